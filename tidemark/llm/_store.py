@@ -121,3 +121,21 @@ def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.Record
             yield from fn(from_ipc(chunk), got)
 
     return both.repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket").mapInArrow(run, schema)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """The arrays' bytes, compressed; unpack_arrays() needs their types only."""
+    raw = [np.ascontiguousarray(a) for a in arrays]
+    head = np.array([len(raw), *(a.nbytes for a in raw)], np.int64).tobytes()
+    return head + pa.compress(b"".join(a.tobytes() for a in raw), codec="zstd", asbytes=True)
+
+
+def unpack_arrays(blob: bytes, *kinds) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, n, 8)
+    raw = pa.decompress(memoryview(blob)[8 * (n + 1) :], decompressed_size=int(sizes.sum()), codec="zstd")
+    raw, at, out = memoryview(raw), 0, []
+    for size, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(raw[at : at + size], kind))
+        at += size
+    return out

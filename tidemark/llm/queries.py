@@ -25,8 +25,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op3_fingerprints": op3_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op5_substring_dedup"] = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(len(w) - 12)) AS p, w FROM d WHERE len(w) >= 13
+), k AS (
+  SELECT doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') AS win FROM s
+), m AS (
+  SELECT win, min(doc_id) AS first_doc FROM k GROUP BY win
+), g AS (
+  SELECT DISTINCT k.doc_id, unnest(range(k.p, k.p + 13)) AS i FROM k JOIN m USING (win) WHERE m.first_doc < k.doc_id
+), a AS (
+  SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+), j AS (
+  SELECT d.doc_id, d.w, coalesce(a.gone, []) AS gone FROM d LEFT JOIN a USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string([w[i + 1] FOR i IN range(len(w)) IF NOT list_contains(gone, i)], ' ')) AS kept_sha256
+FROM j
+"""
