@@ -38,10 +38,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_join import near_classes
+
+    return near_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_near_join": op4_near_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
