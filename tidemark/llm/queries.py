@@ -50,12 +50,22 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_join": op4_near_join,
     "op1_topk": op1_topk,
+    "op2_toxicity": op2_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
