@@ -59,6 +59,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_join": op4_near_join,
     "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
+    "op8_extraction": op8_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
