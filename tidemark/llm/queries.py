@@ -65,6 +65,14 @@ def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    scored = score_texts(_table(spark, sf_dir, "documents"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_toxicity": op2_toxicity,
     "op8_extraction": op8_extraction,
+    "op9_lm_scores": op9_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
