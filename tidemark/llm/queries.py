@@ -73,6 +73,12 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op8_extraction": op8_extraction,
     "op9_lm_scores": op9_lm_scores,
+    "op7_sentencepieces": op7_sentencepieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
