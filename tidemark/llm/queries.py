@@ -79,6 +79,13 @@ def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extraction": op8_extraction,
     "op9_lm_scores": op9_lm_scores,
     "op7_sentencepieces": op7_sentencepieces,
+    "op6_quality": op6_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
