@@ -214,3 +214,17 @@ def near_classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, size: int
     out = signed.select("doc", "key").join(classes, "key").select(F.col("doc").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links")
     nameless = docs.filter("doc is null").select(F.lit(None).cast(kind).alias(id_col), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nameless)
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, all columns, but of each class only its least document.
+
+    Where ids are null or repeat, rows are numbered first, and one row of each class stays.
+    """
+    ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).filter(F.col(id_col).isNull() | (F.col("c") > 1))
+    key = id_col
+    if not ids.isEmpty():
+        key = "_row"
+        docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    gone = near_classes(docs, id_col=key, **how).filter(f"{key} <> class_id").select(key)
+    return docs.join(gone, key, "left_anti").select(*(c for c in docs.columns if c != "_row"))

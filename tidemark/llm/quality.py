@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,26 +209,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return co_train([t.encode() for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["n"].to_numpy(), rows["y"].to_numpy())
 
 
+def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds by text and by metadata, and the probability of good, of columns text, lang, source, n_chars."""
+    buf, offsets = text_buffer(batch.column("text"))
+    n = len(offsets) - 1
+    if model is None:
+        return np.zeros(n), np.zeros(n), np.full(n, 0.5)
+    text, meta = np.zeros(n), np.zeros(n)
+    langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+    lengths = pc.fill_null(batch.column("n_chars").cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
+    for lo, hi in row_slices(offsets, SLICE_BYTES):
+        b, o = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        text[lo:hi] = model.text_view(b, o)
+        meta[lo:hi] = model.meta_view(langs[lo:hi], sources[lo:hi], lengths[lo:hi], layout(b, o))
+    return text, meta, model.probability(text, meta)
+
+
 def quality(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_score, meta_score (log odds of the views), score (probability of good), good (1 from the threshold)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(1))
-            for lo, hi in row_slices(offsets + 64 * np.arange(len(offsets)), SLICE_BYTES):
-                b, o = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                if m is None:
-                    text = meta = np.zeros(hi - lo)
-                    p = np.full(hi - lo, 0.5)
-                else:
-                    part = batch.slice(lo, hi - lo)
-                    text = m.text_view(b, o)
-                    meta = m.meta_view(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_numpy(zero_copy_only=False), layout(b, o))
-                    p = m.probability(text, meta)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(text), pa.array(meta), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "text_score", "meta_score", "score", "good"])
-
-    chosen = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("n"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, good int")
+            text, meta, p = _score(batch, sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(meta), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "text_score", "meta_score", "score", "good"])
+
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, good int")
+
+
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that count as good."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_score(batch, sent.value)[2] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -327,3 +327,17 @@ def toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_co
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _score(it, sent.value, threshold), f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are not predicted toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], names=["id", "text"])
+            found = pa.Table.from_batches(_score([two], sent.value, threshold)) if batch.num_rows else None
+            if found is not None:
+                yield batch.filter(pc.equal(found["predicted"], 0).combine_chunks())
+
+    return docs.mapInArrow(run, docs.schema)
