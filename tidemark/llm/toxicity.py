@@ -23,6 +23,7 @@ document are ignored; an id labelled twice is toxic if any label is; with no usa
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._text import row_slices, text_buffer
 
-MAX_TOXIC, MAX_CLEAN = 2500, 4500
+MAX_TOXIC, MAX_CLEAN = 1500, 3000
 LANDMARKS, DECAY, REACH = 128, 0.9, 5
 #: Unit scores over which units are counted for a document's score.
 EDGES = (-0.3, 0.0, 0.3, 0.6, 0.9, 1.1, 1.3)
@@ -219,11 +220,14 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     calibrate = np.arange(len(texts)) % 3 == 2
     if toxic[~calibrate].all() or not toxic[~calibrate].any() or toxic[calibrate].all() or not toxic[calibrate].any():
         calibrate[:] = False
-    sentences = {k: [set(units_of(s)) for s in _SENTENCE.split(texts[k].lower()) if s.strip()] for k in np.flatnonzero(~calibrate).tolist()}
-    held = {k: set().union(*doc) for k, doc in sentences.items()}
+    # sentences are kept of toxic documents only, and one string of each unit
+    sentences: dict[int, list[list[str]]] = {}
     in_toxic, in_clean = Counter(), Counter()
-    for k, units in held.items():
-        (in_toxic if toxic[k] else in_clean).update(units)
+    for k in np.flatnonzero(~calibrate).tolist():
+        lines = [sorted({sys.intern(u) for u in units_of(s)}) for s in _SENTENCE.split(texts[k].lower()) if s.strip()]
+        (in_toxic if toxic[k] else in_clean).update({u for s in lines for u in s})
+        if toxic[k]:
+            sentences[k] = lines
     n_toxic, n_clean = int((toxic & ~calibrate).sum()), int((~toxic & ~calibrate).sum())
     odds = {u: np.log((c + 0.1) / (n_toxic + 1)) - np.log((in_clean[u] + 0.5) / (n_clean + 1)) for u, c in in_toxic.items() if c >= 2}
     # witnesses at first: units of several toxic documents whose odds no clean document explains
@@ -245,13 +249,18 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     value, vector = np.linalg.eigh(np.array([[sum(v * g.get(i, 0.0) for i, v in f.items()) for g in feats] for f in feats]))
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])
-    tables = [table_of([f], np.ones(1)) for f in feats]
     known: dict[str, np.ndarray] = {}
 
     def nystroem(units: list[str]) -> np.ndarray:
         new = [u for u in units if u not in known]
         if new:
-            known.update(zip(new, np.column_stack([kernel.apply(new, t) for t in tables]) @ root))
+            products, one = np.zeros((len(new), len(feats)), np.float32), np.zeros(_LETTERS**3 + _LETTERS**4, np.float32)
+            for j, f in enumerate(feats):  # one landmark's table at a time
+                at = list(f)
+                one[at] = list(f.values())
+                products[:, j] = kernel.apply(new, one)
+                one[at] = 0
+            known.update(zip(new, products @ root))
         return np.array([known[u] for u in units])
 
     grown = {u: variants(u, rng, 6) for u in ranked[:40]}
@@ -269,13 +278,13 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         pool = sorted(set(pool) | {clean_units[i] for i in hard.tolist()})
         toxic_units = sorted(in_toxic)
         score = dict(zip(toxic_units, (kernel.apply(toxic_units, table) + bias).tolist()))
-        for k, doc in sentences.items():  # a toxic document without a witness gives its most toxic sentence's unit
-            if toxic[k] and held[k] and not witness.intersection(held[k]):
+        for doc in sentences.values():  # a toxic document without a witness gives its most toxic sentence's unit
+            if not any(u in witness for s in doc for u in s):
                 best = max((max(s, key=lambda u: (score[u], u)) for s in doc if s), key=lambda u: (score[u], u), default=None)
                 if best is not None and score[best] > 0 and not in_clean[best]:
                     witness.add(best)
     own = np.flatnonzero(calibrate if calibrate.any() else ~calibrate).tolist()
-    units = [units_of(texts[k].lower()) for k in own]
+    units = [[sys.intern(u) for u in units_of(texts[k].lower())] for k in own]
     flat = sorted({u for x in units for u in x})
     score = dict(zip(flat, (kernel.apply(flat, table) + bias).tolist()))
     first = np.concatenate([[0], np.cumsum([len(x) for x in units])])
