@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes of a chunk: the unit that is combined before a shuffle and answered as a whole.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -123,11 +123,14 @@ def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.Record
     return both.repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket").mapInArrow(run, schema)
 
 
+_CODEC = pa.Codec("zstd", compression_level=6)
+
+
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """The arrays' bytes, compressed; unpack_arrays() needs their types only."""
     raw = [np.ascontiguousarray(a) for a in arrays]
     head = np.array([len(raw), *(a.nbytes for a in raw)], np.int64).tobytes()
-    return head + pa.compress(b"".join(a.tobytes() for a in raw), codec="zstd", asbytes=True)
+    return head + _CODEC.compress(b"".join(a.tobytes() for a in raw), asbytes=True)
 
 
 def unpack_arrays(blob: bytes, *kinds) -> list[np.ndarray]:
