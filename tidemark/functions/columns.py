@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL = F.lit(None)
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that names it many times would repeat it each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def first_filled(*columns: Column) -> Column:
@@ -128,7 +130,7 @@ def markup_free(c: Column) -> Column:
 def sentences(c: Column, least: int = 15) -> Column:
     """Sentences of at least `least` characters."""
     parts = F.split(squeezed(F.coalesce(c, F.lit(""))), r"(?<=[.!?。])\s+|(?<=[다요]\.)\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda s: F.length(s) >= least)
 
 
 def words(c: Column, least: int = 2) -> Column:
@@ -138,12 +140,12 @@ def words(c: Column, least: int = 2) -> Column:
 
 def alias_list(c: Column) -> Column:
     """`a|b|c` as trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda a: a != "")
 
 
 def handle(c: Column) -> Column:
     """A handle without its leading marks; null if nothing is left."""
-    return F.nullif(F.trim(F.ltrim(F.lit("@"), F.trim(c))), F.lit(""))
+    return F.nullif(F.trim(F.ltrim(F.trim(c), F.lit("@"))), F.lit(""))
 
 
 def shortened(c: Column, most: int = 320) -> Column:

@@ -1,0 +1,20 @@
+"""Written intermediate tables for plans that read a greedy operator's result more than once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame, name: str = "plan") -> DataFrame:
+    """df as a Parquet table in the folder that spark.checkpoint.dir names; a temporary one is set where it is unset."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
