@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._text import row_slices, text_buffer, word_hashes, word_spans
 from .toxicity import logistic
 
-MAX_LABELLED, MAX_UNLABELLED = 4000, 3000
+MAX_LABELLED, MAX_UNLABELLED = 3000, 2000
 ROUNDS, PER_ROUND = 4, 100
 SLICE_BYTES = 1 << 20
 #: A document counts as good from this probability on: what is not clearly bad is kept.
@@ -130,6 +130,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _by_slices(fn, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """fn(bytes, offsets) of slices of rows, so that working memory does not follow the sample."""
+    parts = [fn(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in row_slices(offsets, SLICE_BYTES)]
+    return np.concatenate(parts)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -144,7 +150,7 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
         kept_apart = np.zeros(0, np.int64)
     learn = np.setdiff1d(known, kept_apart)
     buf, offsets = text_buffer(pa.array(texts, pa.large_binary()))
-    shape = layout(buf, offsets)
+    shape = _by_slices(layout, buf, offsets)
     top = lambda column: {v: k for k, v in enumerate(sorted(set(column), key=lambda v: (-column.count(v), str(v)))[:NAMED])}
     numbers = np.column_stack([shape, np.log1p(np.maximum(lengths, 0)), lengths < 0])
     model = Model(np.zeros(PAIRS, np.float32), 0.0, top(langs), top(sources), (numbers.mean(axis=0), numbers.std(axis=0) + 1e-6), None, None)
@@ -186,7 +192,7 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
     model.pair_bias = float(fitted[0][-1] - centre @ w)
     model.meta_weights = fitted[1]
     on = kept_apart if len(kept_apart) else learn
-    views = np.clip(np.column_stack([model.text_view(buf, offsets), model.meta_view(langs, sources, lengths, shape)]), -15, 15)[on]
+    views = np.clip(np.column_stack([_by_slices(model.text_view, buf, offsets), model.meta_view(langs, sources, lengths, shape)]), -15, 15)[on]
     y = labels[on].astype(float)
     single = [logistic(views[:, [k]], y, np.ones(len(on)), ridge=0.1) for k in (0, 1)]
     calibrated = np.column_stack([views[:, k] * single[k][0] + single[k][1] for k in (0, 1)])
