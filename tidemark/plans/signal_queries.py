@@ -9,8 +9,16 @@ from ..operators import signals as S
 from .registry import query
 from .views import AS_OF, U, stance_sql, utterances
 
-_AS_OF = F.lit(AS_OF).cast("date")
-_ELIGIBLE = (F.col("relevance") == "HIGH") & F.col("source_type").isin("OFFICIAL", "INFOMAX")
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("date")
+
+
+def _eligible():
+    return (F.col("relevance") == "HIGH") & F.col("source_type").isin("OFFICIAL", "INFOMAX")
+
+
 _TOP = "row_number() OVER (PARTITION BY member ORDER BY d DESC, seq)"
 _EVIDENCE = f"""ev AS (SELECT * FROM (SELECT *, {_TOP} AS rn FROM u WHERE relevance = 'HIGH' AND source_type IN ('OFFICIAL', 'INFOMAX')) t WHERE rn <= 5)"""
 _MODEL = f"""{_EVIDENCE}, ms AS (SELECT member, sum(score * (11 - rn)) / CAST(sum(11 - rn) AS DOUBLE) AS model_score, count(*) AS evidence_count FROM ev GROUP BY member),
@@ -42,23 +50,23 @@ recent AS (SELECT member, recent_score, {stance_sql('recent_score', missing='INS
 
 @query("a3_evidence_score", f"WITH {U}, {_MODEL} SELECT * FROM model")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.evidence_score(utterances(spark, sf_dir), _ELIGIBLE, digits=None)
+    return S.evidence_score(utterances(spark, sf_dir), _eligible(), digits=None)
 
 
 @query("a4_evidence_confidence", f"WITH {U}, {_MODEL} SELECT model_confidence, count(*) AS members FROM model GROUP BY model_confidence")
 def a4(spark, sf_dir):
-    return S.evidence_score(utterances(spark, sf_dir), _ELIGIBLE, digits=None).groupBy("model_confidence").agg(F.count(F.lit(1)).alias("members"))
+    return S.evidence_score(utterances(spark, sf_dir), _eligible(), digits=None).groupBy("model_confidence").agg(F.count(F.lit(1)).alias("members"))
 
 
 @query("a5_evidence_bundle", f"WITH {U}, {_MODEL}, lst AS (SELECT member, string_agg(CAST(seq AS VARCHAR) || ':' || CAST(score AS VARCHAR), ',' ORDER BY rn) AS evidence FROM ev GROUP BY member) SELECT model.*, evidence FROM model LEFT JOIN lst USING (member)")
 def a5(spark, sf_dir):
-    b = S.evidence_bundle(utterances(spark, sf_dir), _ELIGIBLE, ["seq", "score", "d"], digits=None)
+    b = S.evidence_bundle(utterances(spark, sf_dir), _eligible(), ["seq", "score", "d"], digits=None)
     return b.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat(e["seq"].cast("string"), F.lit(":"), e["score"].cast("string"))), ","))
 
 
 @query("w1_top_n", f"WITH {U}, {_EVIDENCE} SELECT member, seq, d, score, CAST(rn AS INT) AS rn FROM ev")
 def w1(spark, sf_dir):
-    return S.evidence(utterances(spark, sf_dir), _ELIGIBLE).select("member", "seq", "d", "score", "rn")
+    return S.evidence(utterances(spark, sf_dir), _eligible()).select("member", "seq", "d", "score", "rn")
 
 
 @query("w2_rank_weights", f"WITH {U}, r AS (SELECT *, {_TOP} AS rn FROM u) SELECT member, seq, CASE WHEN rn <= 5 THEN CAST(11 - rn AS INT) ELSE 5 END AS tenths FROM r WHERE rn <= 8")
@@ -113,7 +121,7 @@ def a10(spark, sf_dir):
 
 
 def _aux(u):
-    return S.auxiliary_speech(u, S.evidence(u, _ELIGIBLE), _AS_OF, days=7, digits=None)
+    return S.auxiliary_speech(u, S.evidence(u, _eligible()), _as_of(), days=7, digits=None)
 
 
 @query("a11_auxiliary_speech", f"WITH {U}, {_MODEL}, {_NEWS}, {_RECENT} SELECT * FROM ax")
@@ -149,7 +157,7 @@ final AS (SELECT member, final_score, {stance_sql('final_score', 5, 2, 'INSUFFIC
 
 def final(spark, sf_dir):
     u = utterances(spark, sf_dir)
-    return S.final_stance(S.evidence_score(u, _ELIGIBLE, digits=None), _recent(u), digits=None)
+    return S.final_stance(S.evidence_score(u, _eligible(), digits=None), _recent(u), digits=None)
 
 
 query("a15_final_stance", f"WITH {U}, {_FINAL} SELECT * FROM final")(final)
@@ -172,7 +180,7 @@ def a18(spark, sf_dir):
 
 @query("f13_look_back", f"WITH {U} SELECT seq, member, d FROM u WHERE d >= DATE '{AS_OF}' - 14")
 def f13(spark, sf_dir):
-    return utterances(spark, sf_dir).filter(F.col("d") >= F.date_sub(_AS_OF, 14)).select("seq", "member", "d")
+    return utterances(spark, sf_dir).filter(F.col("d") >= F.date_sub(_as_of(), 14)).select("seq", "member", "d")
 
 
 @query("f14_incremental_window", f"WITH {U}, c AS (SELECT member, max(d) - 7 AS cutoff FROM u WHERE seq % 2 = 0 GROUP BY member) SELECT u.seq, u.member FROM u LEFT JOIN c USING (member) WHERE seq % 2 = 1 AND (cutoff IS NULL OR d IS NULL OR d >= cutoff)")
@@ -208,7 +216,7 @@ def p8(spark, sf_dir):
     from .serve import attach_results
 
     u = utterances(spark, sf_dir)
-    out = attach_results(u, {"final_stance": final(spark, sf_dir).select("member", "final_stance", "final_score"), "model_stance": S.evidence_score(u, _ELIGIBLE, digits=None).select("member", "model_stance"), "speech_label": S.current_stance(u, digits=None).select("member", "speech_label")}, {"final_stance": "INSUFFICIENT", "model_stance": "INSUFFICIENT", "speech_label": "UNKNOWN"})
+    out = attach_results(u, {"final_stance": final(spark, sf_dir).select("member", "final_stance", "final_score"), "model_stance": S.evidence_score(u, _eligible(), digits=None).select("member", "model_stance"), "speech_label": S.current_stance(u, digits=None).select("member", "speech_label")}, {"final_stance": "INSUFFICIENT", "model_stance": "INSUFFICIENT", "speech_label": "UNKNOWN"})
     return out.select("seq", "member", "final_stance", "final_score", "model_stance", "speech_label")
 
 
