@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,18 +11,28 @@ MEMBER = T.StructType([T.StructField(n, T.StringType()) for n in ("name_en", "na
 ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("published_at", "actual_speech_date", "title", "speaker_raw", "url", "source", "source_type", "text")])
 ENVELOPE = T.StructType([T.StructField("cache_type", T.StringType()), T.StructField("updated_at", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("mode", T.StringType()), T.StructField("count", T.LongType()), T.StructField("articles", T.ArrayType(ARTICLE))])
 #: Encodings in order of trial.
-ENCODINGS = ("UTF-8", "EUC-KR")
+ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
 
 
 def read_roster(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """A roster from CSV, in the first encoding that leaves no replacement marks; `nan` and blanks are null."""
-    df = None
-    for e in encodings:
-        df = spark.read.csv(path, schema=MEMBER, header=True, encoding=e, multiLine=True)
-        df = df.withColumnRenamed("﻿name_en", "name_en")
-        if df.filter(F.concat_ws("", *(F.col(c) for c in ("name_en", "name_ko", "role_ko"))).contains("�")).isEmpty():
-            break
-    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), F.trim(F.ltrim(c, F.lit("﻿"))))
+    """A roster from CSV files with a header, each in the first encoding that reads it; `nan` and blanks are null."""
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                for e in encodings:
+                    try:
+                        text = content.decode(e)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    text = content.decode(encodings[0], "replace")
+                yield pa.RecordBatch.from_arrays([pa.array(text.splitlines()[1:], pa.string())], names=["line"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string").filter(F.trim("line") != "")
+    df = raw.select(F.from_csv("line", MEMBER.simpleString()[7:-1].replace(":", " ")).alias("m")).select("m.*")
+    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), F.trim(c))
     return df.select(*(clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in MEMBER))
 
 
