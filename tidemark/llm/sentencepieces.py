@@ -120,7 +120,7 @@ def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
         after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - have] = rank[have:]
+        after[: max(len(rank) - have, 0)] = rank[have:]
         key = rank * (int(rank.max(initial=0)) + 1) + after
         order = np.argsort(key, kind="stable")
         have *= 2
