@@ -27,10 +27,10 @@ from ._text import ragged, row_slices, text_buffer
 WINDOW = 2048
 END_ID = 1
 #: Tokens packed together; a block's last window is the only one that the plan cannot fill.
-BLOCK_TOKENS = 1 << 22
-SLICE_BYTES = 12 << 20
+BLOCK_TOKENS = 1 << 21
+SLICE_BYTES = 4 << 20
 #: Distinct stems that a task remembers; beyond it starts afresh.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 600_000
 #: Plain Latin letters, then ASCII marks but the apostrophe, which starts contractions.
 _STEM_TAIL = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 

@@ -40,7 +40,7 @@ MAX_TOXIC, MAX_CLEAN = 1500, 3000
 LANDMARKS, DECAY, REACH = 128, 0.9, 5
 #: Unit scores over which units are counted for a document's score.
 EDGES = (-0.3, 0.0, 0.3, 0.6, 0.9, 1.1, 1.3)
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 _LETTERS = 32  # 0 no letter, 1-26 base letters, 27-30 accented vowels and the like, 31 any other letter
 _MARKED = ("é", "èêë", "áàâäãåóòôöõ", "íìîïúùûüñçß")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
