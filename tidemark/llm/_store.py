@@ -6,6 +6,9 @@ executors cost a re-read and never a result.  Where that setting is absent, as i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes of a chunk: the unit that is combined before a shuffle and answered as a whole.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
+
+
+def lean(fn):
+    """fn, a generator over batches, that gives freed memory back to the system when it ends: workers serve many tasks."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        try:
+            yield from fn(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +80,7 @@ def from_ipc(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
+@lean
 def _chunks(batches: Iterable[pa.RecordBatch], text: str, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -105,6 +124,7 @@ def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.Record
     both = chunks.select("chunk_id", F.lit(-1).alias("bucket"), F.col("payload").alias("blob")).unionByName(replies.select("chunk_id", "bucket", "blob"))
     n = partitions(chunks.sparkSession)
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, got, now = None, [], None
         for b in batches:

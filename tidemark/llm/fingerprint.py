@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import partitions
+from ._store import lean, partitions
 from ._text import SHINGLE_WORDS, mix64, row_slices, seeded, shingle_hashes, text_buffer, word_hashes, word_spans
 
 BINS = 512
@@ -105,6 +105,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch], hold: int) -> Iterator[tuple[
         size += len(text)
 
 
+@lean
 def _deal(batches: Iterable[pa.RecordBatch], bounds: np.ndarray, firsts: np.ndarray, guest_of: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each document into its range of ids, and the first of each range also, as a guest, into the range before."""
     for batch in batches:
@@ -146,6 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = docs.mapInArrow(lambda it: _deal(it, bounds, firsts, guest_of), f"r int, guest boolean, k long, {id_col} {kind}, {text_col} string")
     ordered = dealt.repartition(ranges, "r").sortWithinPartitions("r", "guest", "k", text_col).select("r", id_col, "guest", text_col)
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         def typed():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import partitions, written
+from ._store import lean, partitions, written
 from ._text import NEAR_SIMILARITY, SHINGLE_WORDS, mix64, row_slices, seeded, shingle_hashes, text_buffer, word_hashes, word_spans
 
 RECALL = 0.9995
@@ -60,6 +60,7 @@ def set_key(ngrams: np.ndarray) -> bytes:
     return hashlib.blake2b(ngrams.tobytes(), digest_size=16).digest()
 
 
+@lean
 def _signatures(batches: Iterable[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     flips, factors = seeded(bands * rows, 11), seeded(bands * rows, 12) | np.uint64(1)
     band_code = seeded(bands, 13)
@@ -166,6 +167,7 @@ def _unit(group: list[tuple], size: int, threshold: float) -> list[tuple[int, in
     return [(int(r), int(x) if x != r else None, int(t)) for r, x, t in zip(rep, label, told) if t]
 
 
+@lean
 def _units(batches: Iterable[pa.RecordBatch], size: int, threshold: float) -> Iterator[pa.RecordBatch]:
     names = ["a", "b", "links"]
     held: list[tuple] = []

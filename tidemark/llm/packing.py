@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ._store import lean
 from ._text import ragged, row_slices, text_buffer
 
 WINDOW = 2048
@@ -224,6 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long" + ", ids array<int>" * with_ids
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lean
 from ._text import row_slices, text_buffer, word_hashes, word_spans
 from .toxicity import logistic
 
@@ -236,6 +237,7 @@ def quality(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta, p = _score(batch, sent.value)
@@ -248,6 +250,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
     """The rows of docs, all columns, that count as good."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_score(batch, sent.value)[2] >= threshold))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ._store import lean
 from ._text import ragged, row_slices, text_buffer
 
 SPACE = "\u2581"
@@ -287,6 +288,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     schema = f"{id_col} {kind}, n_ids long, ids_crc32 long, decoded_crc32 long, n_bytes long, round_trip boolean" + ", ids array<int>, decoded string" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)
         for batch in batches:

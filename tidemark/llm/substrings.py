@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._store import answer_chunks, chunked, from_ipc, pack_arrays, partitions, unpack_arrays
+from ._store import answer_chunks, chunked, from_ipc, lean, pack_arrays, partitions, unpack_arrays
 from ._text import _STEP, binary_array, mix64, ragged, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 #: Buckets a shuffle partition; a bucket is what is sorted at once.
-BUCKETS_EACH = 4
+BUCKETS_EACH = 6
 
 
 class SuperKmers:
@@ -83,6 +83,7 @@ class SuperKmers:
                 yield b, slice(lo, hi), list(seen), np.array(number, np.int64)
 
 
+@lean
 def _send(chunks: Iterable[pa.RecordBatch], text_col: str, id_col: str, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks:
         for cid, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -145,6 +146,7 @@ def _answer(bucket: int, parts: list[tuple[int, bytes]], window: int) -> Iterato
         at += len(g[0])
 
 
+@lean
 def _buckets(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     now, parts = None, []
 

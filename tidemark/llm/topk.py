@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._store import pack_arrays, partitions, unpack_arrays
+from ._store import lean, pack_arrays, partitions, unpack_arrays
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
@@ -44,6 +44,7 @@ def quantised(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray
     return np.array(at, np.int64), out
 
 
+@lean
 def _blocks(batches: Iterable[pa.RecordBatch], scale: int, every: int) -> Iterator[pa.RecordBatch]:
     """Rows (dims, kind, part, blob): shards of vectors (kind 0) and single-row blocks are joined later by dims."""
     from pyspark import TaskContext
@@ -107,6 +108,7 @@ def maxscore(query: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.
     return rows, score
 
 
+@lean
 def _search(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Top k of each query block over the shards that this task gets; rows (query_id, vec_id, score)."""
     now, ids, vectors, best = None, None, None, []

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import lean
 from ._text import row_slices, text_buffer
 
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
@@ -189,7 +190,7 @@ def doc_shape(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         before = np.concatenate([[0], np.cumsum(scores >= edge)])
         over = before[first[1:]] - before[first[:-1]]
         out += [over > 0, np.log1p(over), np.log1p(200 * over / np.maximum(n, 20))]
-    return np.column_stack([*out, -np.log1p(n)]).astype(float)
+    return np.column_stack([*out, -np.log1p(np.maximum(n, 20))]).astype(float)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -292,6 +293,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     return Model(table, bias, calibrated(shapes, toxic[own].astype(float)))
 
 
+@lean
 def _score(batches: Iterable[pa.RecordBatch], model: Model | None, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -342,6 +344,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_
     """The rows of docs, all columns, that are not predicted toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             two = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], names=["id", "text"])
