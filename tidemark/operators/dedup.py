@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled, plain_event_text, plain_title, words
+from ..sources.tables import written
 from .score import event_key, fingerprint
 from .signals import best_per_key
 
@@ -63,10 +62,6 @@ def recent_feed(items: DataFrame, as_of: Column, days: int = 14, most: int = 320
 
 
 # ---- greedy operators: the order of the input decides, so each block goes through one pass in order ------------------
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-
-
 def _blocks(df: DataFrame, member: str, date: str, url: str) -> DataFrame:
     """Components of rows tied by a block (member and date) or a URL: what a greedy pass must see together."""
     rows = df.withColumn("_block", F.concat_ws("|", F.coalesce(F.col(member).cast("string"), F.lit("\0")), F.coalesce(F.col(date).cast("string"), F.lit("\0")))).withColumn("_url", F.nullif(F.col(url), F.lit("")))
@@ -76,17 +71,13 @@ def _blocks(df: DataFrame, member: str, date: str, url: str) -> DataFrame:
     labels = ties.select("_block").distinct().withColumn("label", F.col("_block"))
     while True:  # least block over shared URLs until nothing moves; ties are few beside rows
         best = ties.join(labels, "_block").groupBy("_url").agg(F.min("label").alias("u"))
-        new = ties.join(best, "_url").groupBy("_block").agg(F.min("u").alias("label")).checkpoint() if _checkpointed(df) else ties.join(best, "_url").groupBy("_block").agg(F.min("u").alias("label"))
+        new = written(ties.join(best, "_url").groupBy("_block").agg(F.min("u").alias("label")), "labels")
         moved = new.join(labels.withColumnRenamed("label", "was"), "_block").filter("label <> was")
         if moved.isEmpty():
             return rows.join(new, "_block", "left").withColumn("_comp", F.coalesce("label", "_comp")).drop("label")
         labels = new
 
 
-def _checkpointed(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def fuzzy_articles(df: DataFrame, threshold: float = 0.92, member: str = "member_name_en", date: str = "published_at") -> DataFrame:
     """Rows in order, less those whose URL was kept before or whose title is like one kept of the same member and date.
 
@@ -102,7 +93,7 @@ def fuzzy_articles(df: DataFrame, threshold: float = 0.92, member: str = "member
         for i, url, block, title in pdf.sort_values("seq", kind="stable")[["_url", "_block", "_title"]].itertuples():
             if url is not None and url in seen:
                 continue
-            if any(t == title and t or _quick(t, title, threshold) for t in titles.get(block, ())):
+            if any((t == title and t) or _alike(t, title, threshold) for t in titles.get(block, ())):
                 continue
             if url is not None:
                 seen.add(url)
@@ -113,7 +104,7 @@ def fuzzy_articles(df: DataFrame, threshold: float = 0.92, member: str = "member
     return rows.groupBy("_comp").applyInPandas(greedy, schema)
 
 
-def _quick(a: str, b: str, threshold: float) -> bool:
+def _alike(a: str, b: str, threshold: float) -> bool:
     """Whether the ratio reaches the threshold, by its upper bounds first."""
     if not a or not b or 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
         return False
@@ -227,7 +218,3 @@ def source_types(source_type: Column, url: Column, source: Column) -> Column:
 def strip_suffix(title: Column, source: Column) -> Column:
     """A headline without ` - Outlet` at its end."""
     return F.when(F.endswith(title, F.concat(F.lit(" - "), source)), F.substring(title, F.lit(1), F.length(title) - F.length(source) - 3)).otherwise(title)
-
-
-def iter_sentences(text: str) -> Iterator[str]:
-    yield from (s for s in re.split(r"(?<=[.!?])\s+", text) if s)

@@ -300,7 +300,7 @@ def d4(spark, sf):
 
 @query("d6_merged_events")
 def d6(spark, sf):
-    from .tables import written
+    from ..sources.tables import written
 
     events = dedup.numbered_events(dedup.merge_groups(written(_linked(spark, sf))))
     return events.select("event_id", "event_key", "seq", "source_coverage", "event_source_count", F.array_join("event_sources", ",").alias("event_sources"), F.array_join("policy_fingerprint", ",").alias("policy_fingerprint"))

@@ -1,4 +1,4 @@
-"""Written intermediate tables for plans that read a greedy operator's result more than once."""
+"""Written intermediate tables: what is read more than once, or by a loop, is computed once and survives lost executors."""
 
 from __future__ import annotations
 
