@@ -12,8 +12,8 @@ one block, one shard and k rows a query.  This is a stated query set against all
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate;
 vectors of another length than a query's are not candidates of it; ties go to the smaller id; rows that repeat an id
-are candidates each, but never of that id's query; a query id that is repeated is asked for each of its vectors and the
-best distinct rows are merged under the id; an empty table gives no rows.
+are candidates each, but never of that id's query; a query id that is repeated is asked for each of its vectors, and the
+k best of all answers stay under the id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
