@@ -249,6 +249,17 @@ def test_lm_without_training(spark):
     assert (r.train_tokens, r.base_score, r.n_known) == (0, 0.0, 0) and r.score < 0
 
 
+def test_lm_learns_from_every_batch():
+    mixer = lm.Mixer((4, 4), 8)
+    before = mixer.weights.copy(), mixer.map.copy()
+    slots, bit = [np.arange(16, dtype=np.uint32)] * 2, np.arange(16) % 2
+    mixer.add(slots, bit)
+    mixer.add(slots, bit)
+    mixer.settle()
+    assert lm.learn(mixer, ((slots, bit, np.full(16, k)) for k in range(8))) == 8 * 16
+    assert (mixer.weights != before[0]).any(axis=0).all() and (mixer.map != before[1]).any(axis=1).all()
+
+
 def labelled(n=400):
     rng = random.Random(0)
     normal, bad = [f"{a}{b}{c}" for a in ("th", "er", "on") for b in ("in", "at", "ou") for c in ("es", "ing", "")], ["idiot", "stupid", "moron", "trash"]
