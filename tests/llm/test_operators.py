@@ -322,6 +322,23 @@ def test_quality(spark):
     assert {r.score for r in quality.quality(docs, None).collect()} == {0.5}
 
 
+def test_toxicity_keeps_to_the_classes_of_the_table(spark):
+    rng = random.Random(4)
+    normal = labelled(4)[2]
+    rows, labels = [], []
+    for k in range(2400):
+        w, toxic = [rng.choice(normal) for _ in range(rng.randrange(25, 90))], k % 10 == 0
+        if toxic or rng.random() < 0.12:  # about half of the documents with an insult are toxic
+            for _ in range(rng.randrange(1, 4)):
+                w.insert(rng.randrange(25), rng.choice(["idiot", "stupid", "moron"]))
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for cap in (9000, 150):
+        got = {r.doc_id: r.score for r in toxicity.toxicity(docs, toxicity.fit(docs, labels, max_toxic=cap, max_clean=cap)).collect()}
+        assert 0.3 < np.mean([got[k] for k in range(0, 2400, 10)]) < 0.85
+
+
 def test_extraction(spark):
     def page(k, body):
         return f"<!DOCTYPE html><html><head><title>t{k}</title><script>var a='<p>no</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/a>Menu {k}</a></li></ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head {k} &amp; more</h1>{body}<div id='comments'><p>reader says</p></div></article><aside>side</aside><div class=\"ad\">Buy {k}</div><form><input>Sign up</form><footer>&copy; x</footer></body></html>"

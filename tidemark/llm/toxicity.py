@@ -193,11 +193,11 @@ def doc_shape(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([*out, -np.log1p(np.maximum(n, 20))]).astype(float)
 
 
-def calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights of doc_shape(), none below 0: more toxic units never lower a score."""
     use = np.ones(x.shape[1], dtype=bool)
     while True:
-        w = logistic(x[:, use], y, np.ones(len(y)))
+        w = logistic(x[:, use], y, weight)
         bad = w[:-1] < 0
         if not bad.any():
             break
@@ -214,8 +214,9 @@ def variants(unit: str, rng: np.random.Generator, count: int) -> list[str]:
     return [unit[:c] + i + unit[c:] for c, i in zip(cut.tolist(), ins.tolist())]
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model | None:
-    """Fit on labelled texts; every third is kept for calibration."""
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, stands_for: tuple[float, float] = (1, 1)) -> Model | None:
+    """Fit on labelled texts; every third is kept for calibration, where a clean and a toxic one count as many documents as
+    they stand for, so that probabilities keep to the table's classes."""
     if not len(texts) or toxic.all() or not toxic.any():
         return None
     calibrate = np.arange(len(texts)) % 3 == 2
@@ -290,7 +291,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     score = dict(zip(flat, (kernel.apply(flat, table) + bias).tolist()))
     first = np.concatenate([[0], np.cumsum([len(x) for x in units])])
     shapes = doc_shape(np.array([score[u] for x in units for u in x]), first)
-    return Model(table, bias, calibrated(shapes, toxic[own].astype(float)))
+    return Model(table, bias, calibrated(shapes, toxic[own].astype(float), np.where(toxic[own], stands_for[1], stands_for[0]).astype(float)))
 
 
 @lean
@@ -325,11 +326,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A machine from the labelled documents whose crc32(id) mod 3 is not 1, a bounded sample of them."""
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(F.col(label_col)).alias("t"))
     named = named.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 3 != 1)
+    count = {x["t"]: x["count"] for x in named.groupBy("t").count().collect() if x["t"] in (0, 1)}
+    stands_for = max(1.0, count.get(0, 0) / max(max_clean, 1)), max(1.0, count.get(1, 0) / max(max_toxic, 1))
     order = [F.xxhash64("i"), F.col("i")]
     some = named.filter("t = 1").orderBy(*order).limit(max_toxic).unionByName(named.filter("t = 0").orderBy(*order).limit(max_clean))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).join(F.broadcast(some), "i").toArrow()  # at most max_toxic + max_clean ids
     rows = sorted(zip(rows["i"].to_pylist(), rows["x"].to_pylist(), rows["t"].to_pylist()))
-    return train([r[1] for r in rows], np.array([r[2] == 1 for r in rows], dtype=bool))
+    return train([r[1] for r in rows], np.array([r[2] == 1 for r in rows], dtype=bool), stands_for=stands_for)
 
 
 def toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
