@@ -322,6 +322,21 @@ def test_quality(spark):
     assert {r.score for r in quality.quality(docs, None).collect()} == {0.5}
 
 
+def without_signal(spark):
+    """Texts that say nothing of their labels, one in ten of which is 1."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["the", "inat", "onth", "ering", "ouhe", "ndth"]) for _ in range(40)), "en", "s", 200) for k in range(900)]
+    return spark.createDataFrame(rows, SCHEMA).cache(), [(k, int(rng.random() < 0.1)) for k in range(900)]
+
+
+def test_quality_keeps_to_the_classes_of_the_table(spark):
+    docs, labels = without_signal(spark)
+    labels = spark.createDataFrame([(k, 1 - y) for k, y in labels], "doc_id long, quality int")
+    for cap in (900, 160):
+        got = [r.score for r in quality.quality(docs, quality.fit(docs, labels, max_labelled=cap)).collect()]
+        assert 0.8 < np.mean(got) < 0.97
+
+
 def test_toxicity_keeps_to_the_classes_of_the_table(spark):
     rng = random.Random(4)
     normal = labelled(4)[2]

@@ -141,8 +141,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
-    """labels: 1 good, 0 bad, -1 none.  None if a class has no label."""
+def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray, labels: np.ndarray, stands_for: tuple[float, float] = (1, 1), rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """labels: 1 good, 0 bad, -1 none; stands_for: how many documents of the table a bad and a good one stand for, so that
+    probabilities keep to the table's classes.  None if a class has no label."""
     known = np.flatnonzero(labels >= 0)
     if not len(known) or labels[known].min() == labels[known].max():
         return None
@@ -170,7 +171,8 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
         return logistic(x[rows], y, weight, ridge=1.0)
 
-    base = labels[learn].mean()
+    each = np.where(labels == 1, stands_for[1], stands_for[0]).astype(float)
+    base = np.average(labels[learn], weights=each[learn])
     extra = {0: {}, 1: {}}  # pseudo-labels that each view learns from, given by the other
     free = np.flatnonzero(labels < 0)
     for r in range(rounds + 1):
@@ -195,9 +197,9 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
     on = kept_apart if len(kept_apart) else learn
     views = np.clip(np.column_stack([_by_slices(model.text_view, buf, offsets), model.meta_view(langs, sources, lengths, shape)]), -15, 15)[on]
     y = labels[on].astype(float)
-    single = [logistic(views[:, [k]], y, np.ones(len(on)), ridge=0.1) for k in (0, 1)]
+    single = [logistic(views[:, [k]], y, each[on], ridge=0.1) for k in (0, 1)]
     calibrated = np.column_stack([views[:, k] * single[k][0] + single[k][1] for k in (0, 1)])
-    both = logistic(calibrated, y, np.ones(len(on)), ridge=0.1)
+    both = logistic(calibrated, y, each[on], ridge=0.1)
     model.combine = np.array([both[0] * single[0][0], both[1] * single[1][0], both[2] + both[0] * single[0][1] + both[1] * single[1][1]])
     return model
 
@@ -208,12 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     ids = docs.select(F.col("doc_id").cast("long").alias("i")).filter("i is not null").distinct()
     named = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("int").alias("y"))
     each = max_labelled // 2
-    some = named.filter("y = 0").join(ids, "i", "left_semi").orderBy(*order("i")).limit(each)
-    some = some.unionByName(named.filter("y = 1").join(ids, "i", "left_semi").orderBy(*order("i")).limit(each))
+    present = named.join(ids, "i", "left_semi")
+    count = {r["y"]: r["count"] for r in present.filter("y in (0, 1)").groupBy("y").count().collect()}
+    stands_for = tuple(max(1.0, count.get(y, 0) / max(each, 1)) for y in (0, 1))
+    some = present.filter("y = 0").orderBy(*order("i")).limit(each)
+    some = some.unionByName(present.filter("y = 1").orderBy(*order("i")).limit(each))
     some = some.unionByName(ids.join(named, "i", "left_anti").orderBy(*order("i")).limit(max_unlabelled).withColumn("y", F.lit(-1)))
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("n")).join(F.broadcast(some), "i").toArrow()  # as many ids as the bounds
     rows = rows.sort_by([("i", "ascending"), ("text", "ascending")])
-    return co_train([t.encode() for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["n"].to_numpy(), rows["y"].to_numpy())
+    return co_train([t.encode() for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["n"].to_numpy(), rows["y"].to_numpy(), stands_for)
 
 
 def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
