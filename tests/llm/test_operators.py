@@ -337,6 +337,23 @@ def test_quality_keeps_to_the_classes_of_the_table(spark):
         assert 0.8 < np.mean(got) < 0.97
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    texts = [f"{'the inat onth ' * 8}{k}" if k % 4 else f"{'%%% | INAT!! ' * 8}{k}" for k in range(3000)]
+    rows = [(k, t, "en", f"s{k % 90}", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert len(model.sources) == quality.NAMED and len(model.meta_weights) == 15 + 1 + quality.NAMED + 2 * quality.HASHED
+    known = labels.select(F.col("doc_id").alias("i"))
+    docs = docs.withColumnRenamed("doc_id", "i").withColumn("n_chars", F.col("n_chars").cast("double"))
+    text = [float(model.text_view(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for t in texts]
+    got = quality._surest(docs, known, model, 5, 8)[0]
+    free = [k for k in range(120, 3000) if abs(text[k]) > quality.SURE]
+    want = sorted(free, key=lambda k: (text[k], k))[:5], sorted(free, key=lambda k: (-text[k], k))[:8]
+    assert np.allclose(sorted(text[i] for i in got), sorted(text[i] for w in want for i in w)) and {i for i in got if i >= 120} == set(got)
+    assert all(got[i][0] == (i % 4 > 0) for i in got) and len(got) == 13
+
+
 def test_toxicity_keeps_to_the_classes_of_the_table(spark):
     rng = random.Random(4)
     normal = labelled(4)[2]

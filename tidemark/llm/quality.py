@@ -6,18 +6,21 @@ view's logistic classifier starts from labelled documents; over rounds, each lab
 surest of, in the classes' proportion, for the other to learn from.  Both are calibrated on labelled documents kept
 apart, and the calibrated views' log odds are combined by a third logistic fit on the same.
 
-Labels are learnt from a bounded sample (`max_labelled`, `max_unlabelled`: the least by a hash of the id); all documents
-are scored on whole texts.
+Labels are learnt from a bounded sample (`max_labelled`: the least by a hash of the id).  Every round scores all unlabelled
+documents in executors; those that a view is surest of, a bounded number, come to the driver.  All documents are scored
+on whole texts.
 
 Edge cases: a null text is empty, and an empty text has the score of its metadata and of no pairs; null language, source
-or length are values of their own; unknown languages and sources count as none; labels that are null are ignored, and an
+or length are values of their own; languages and sources but the most frequent share hashed weights; copies of a text
+give one pseudo-label; labels that are null are ignored, and an
 id labelled twice is good if all its labels are; with one class of labels only, every score is 0.5 for lack of evidence
 and counts as good; repeated rows score alike; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +28,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import lean
+from ._store import drop_written, lean, written
 from ._text import row_slices, text_buffer, word_hashes, word_spans
 from .toxicity import logistic
 
-MAX_LABELLED, MAX_UNLABELLED = 3000, 2000
+MAX_LABELLED = 3000
 ROUNDS, PER_ROUND = 4, 100
 SLICE_BYTES = 1 << 20
 #: A document counts as good from this probability on: what is not clearly bad is kept.
 THRESHOLD = 0.3
 #: Bytes of no kind that every text is taken to hold besides, so that short ones prove little.
 PRIOR = 100
-#: Sources and languages that have a weight of their own, the most frequent of the sample.
-NAMED = 64
+#: Sources and languages that have a weight of their own, the most frequent of all documents, and weights the others share.
+NAMED, HASHED = 64, 64
+#: Log odds from which on a view is sure of a label: a probability of 0.95.
+SURE = float(np.log(0.95 / 0.05))
 
 
 def _kinds() -> np.ndarray:
@@ -119,11 +124,10 @@ class Model:
 
     def meta_matrix(self, langs: list, sources: list, lengths: np.ndarray, shape: np.ndarray) -> np.ndarray:
         numbers = (np.column_stack([shape, np.log1p(np.maximum(lengths, 0)), lengths < 0]) - self.meta_scale[0]) / self.meta_scale[1]
-        one_hot = np.zeros((len(langs), len(self.langs) + len(self.sources)))
-        for names, column, base in ((self.langs, langs, 0), (self.sources, sources, len(self.langs))):
+        one_hot = np.zeros((len(langs), len(self.langs) + len(self.sources) + 2 * HASHED))
+        for names, column, base in ((self.langs, langs, 0), (self.sources, sources, len(self.langs) + HASHED)):
             for k, v in enumerate(column):
-                if v in names:
-                    one_hot[k, base + names[v]] = 1
+                one_hot[k, base + (names[v] if v in names else len(names) + zlib.crc32(str(v).encode()) % HASHED)] = 1
         return np.hstack([numbers, one_hot])
 
     def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -141,11 +145,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray, labels: np.ndarray, stands_for: tuple[float, float] = (1, 1), rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
-    """labels: 1 good, 0 bad, -1 none; stands_for: how many documents of the table a bad and a good one stand for, so that
-    probabilities keep to the table's classes.  None if a class has no label."""
-    known = np.flatnonzero(labels >= 0)
-    if not len(known) or labels[known].min() == labels[known].max():
+def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray, labels: np.ndarray, stands_for: tuple[float, float] = (1, 1), names: tuple[list, list] | None = None, surest: Callable | None = None, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """labels: 1 good, 0 bad; stands_for: how many documents of the table a bad and a good one stand for, so that
+    probabilities keep to the table's classes; names: languages and sources that have weights of their own, by default those
+    of the rows; surest(model, bad, good): for each view the unlabelled documents that it is surest of, as
+    {id: (label, text, lang, source, length)}.  None if a class has no label."""
+    known = np.arange(len(labels))
+    if not len(known) or labels.min() == labels.max():
         return None
     kept_apart = known[2::3]
     if len(set(labels[kept_apart].tolist())) < 2 or len(set(labels[np.setdiff1d(known, kept_apart)].tolist())) < 2:
@@ -153,9 +159,11 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
     learn = np.setdiff1d(known, kept_apart)
     buf, offsets = text_buffer(pa.array(texts, pa.large_binary()))
     shape = _by_slices(layout, buf, offsets)
-    top = lambda column: {v: k for k, v in enumerate(sorted(set(column), key=lambda v: (-column.count(v), str(v)))[:NAMED])}
+    if names is None:
+        names = tuple(sorted(set(c), key=lambda v: (-c.count(v), str(v)))[:NAMED] for c in (langs, sources))
+    own = [{v: k for k, v in enumerate(c)} for c in names]
     numbers = np.column_stack([shape, np.log1p(np.maximum(lengths, 0)), lengths < 0])
-    model = Model(np.zeros(PAIRS, np.float32), 0.0, top(langs), top(sources), (numbers.mean(axis=0), numbers.std(axis=0) + 1e-6), None, None)
+    model = Model(np.zeros(PAIRS, np.float32), 0.0, *own, (numbers.mean(axis=0), numbers.std(axis=0) + 1e-6), None, None)
     meta = model.meta_matrix(langs, sources, lengths, shape)
     # the text view's leading components over the pairs that vary most
     rates = pair_rates(texts)
@@ -167,33 +175,37 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
     basis = vector[:, np.argsort(-value)[:80]]
     text = rates @ basis
 
-    def fit(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        return logistic(x[rows], y, weight, ridge=1.0)
+        return logistic(x, y, weight, ridge=1.0)
+
+    def features(k: int, rows: list[tuple]) -> np.ndarray:
+        _, t, la, so, le = zip(*rows)
+        if k == 0:
+            return (pair_rates(t)[:, columns] * 100 - centre) @ basis
+        b, o = text_buffer(pa.array(t, pa.large_binary()))
+        return model.meta_matrix(list(la), list(so), np.array(le, float), _by_slices(layout, b, o))
 
     each = np.where(labels == 1, stands_for[1], stands_for[0]).astype(float)
     base = np.average(labels[learn], weights=each[learn])
-    extra = {0: {}, 1: {}}  # pseudo-labels that each view learns from, given by the other
-    free = np.flatnonzero(labels < 0)
+    extra = {0: {}, 1: {}}  # pseudo-labels that each view learns from, given by the other, with the view's features
+    bad, good = round(per_round * (1 - base)), round(per_round * base)
     for r in range(rounds + 1):
         fitted = []
         for k, x in enumerate((text, meta)):
-            rows = np.concatenate([learn, np.array(sorted(extra[k]), np.int64)])
-            y = np.concatenate([labels[learn], [extra[k][i] for i in sorted(extra[k])]]).astype(float)
-            fitted.append(fit(x, rows, y))
-        if r == rounds or not len(free):
+            more = [extra[k][i] for i in sorted(extra[k])]
+            y = np.concatenate([labels[learn], [m[0] for m in more]]).astype(float)
+            fitted.append(fit(np.vstack([x[learn], *(m[1] for m in more)]), y))
+        w = basis @ fitted[0][:-1]
+        model.pair_weights[columns] = (w * 100).astype(np.float32)
+        model.pair_bias = float(fitted[0][-1] - centre @ w)
+        model.meta_weights = fitted[1]
+        if r == rounds or surest is None:
             break
-        for k, x in enumerate((text, meta)):
-            z = x[free] @ fitted[k][:-1] + fitted[k][-1]
-            order = np.argsort(z)
-            bad, good = round(per_round * (1 - base)), round(per_round * base)
-            sure = [(i, 0.0) for i in free[order[:bad]].tolist()] + [(i, 1.0) for i in free[order[::-1][:good]].tolist()]
-            p = dict(zip(free.tolist(), _sigmoid(z).tolist()))
-            extra[1 - k].update((i, y) for i, y in sure if (p[i] > 0.95) == (y == 1) and (p[i] < 0.05) == (y == 0))
-    w = basis @ fitted[0][:-1]
-    model.pair_weights[columns] = (w * 100).astype(np.float32)
-    model.pair_bias = float(fitted[0][-1] - centre @ w)
-    model.meta_weights = fitted[1]
+        for k, found in enumerate(surest(model, bad, good)):
+            if found:
+                got = features(1 - k, list(found.values()))
+                extra[1 - k].update((i, (row[0], x)) for (i, row), x in zip(found.items(), got))
     on = kept_apart if len(kept_apart) else learn
     views = np.clip(np.column_stack([_by_slices(model.text_view, buf, offsets), model.meta_view(langs, sources, lengths, shape)]), -15, 15)[on]
     y = labels[on].astype(float)
@@ -204,29 +216,60 @@ def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """A model from labelled documents and some without a label, bounded samples of both."""
+def _surest(docs: DataFrame, named: DataFrame, model: Model, bad: int, good: int) -> list[dict]:
+    """For each view, the `bad` and `good` documents without a label that it is surest of, out of all; see co_train()."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, meta = _views(batch, sent.value)
+            out = pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array(text), pa.array(meta)], names=["i", "h", "v0", "v1"])
+            yield out.filter(pa.array((np.abs(text) > SURE) | (np.abs(meta) > SURE)))
+
+    rows = docs.filter("i is not null").withColumn("h", F.xxhash64("text")).mapInArrow(run, "i long, h long, v0 double, v1 double")
+    scored = written(rows.join(named.select("i"), "i", "left_anti"), "views")
+    picked: list[dict[int, float]] = [{}, {}]
+    for k in (0, 1):
+        for label, sign, n in ((0.0, 1, bad), (1.0, -1, good)):
+            z = F.col(f"v{k}") * sign
+            best = scored.filter(z < -SURE).groupBy("h").agg(F.min(F.struct(z.alias("z"), "i")).alias("b")).select("b.*")
+            picked[k].update((r["i"], label) for r in best.orderBy("z", "i").limit(n).collect())
+    ids = sorted({i for p in picked for i in p})
+    found = {}
+    if ids:
+        some = docs.filter(F.col("i").isin(ids)).groupBy("i").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("i", "d.*")
+        found = {r["i"]: (r["text"].encode(), r["lang"], r["source"], r["n_chars"]) for r in some.collect()}  # at most 2 (bad + good)
+    drop_written(scored)
+    sent.unpersist()
+    return [{i: (y, *found[i]) for i, y in p.items()} for p in picked]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """A model from a bounded sample of labelled documents and from all without a label."""
     order = lambda c: [F.xxhash64(c), F.col(c)]
-    ids = docs.select(F.col("doc_id").cast("long").alias("i")).filter("i is not null").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("n_chars"))
+    ids = rows.select("i").filter("i is not null").distinct()
     named = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("int").alias("y"))
     each = max_labelled // 2
     present = named.join(ids, "i", "left_semi")
     count = {r["y"]: r["count"] for r in present.filter("y in (0, 1)").groupBy("y").count().collect()}
-    stands_for = tuple(max(1.0, count.get(y, 0) / max(each, 1)) for y in (0, 1))
+    if len(count) < 2:
+        return None
+    stands_for = tuple(max(1.0, count[y] / max(each, 1)) for y in (0, 1))
     some = present.filter("y = 0").orderBy(*order("i")).limit(each)
     some = some.unionByName(present.filter("y = 1").orderBy(*order("i")).limit(each))
-    some = some.unionByName(ids.join(named, "i", "left_anti").orderBy(*order("i")).limit(max_unlabelled).withColumn("y", F.lit(-1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("n")).join(F.broadcast(some), "i").toArrow()  # as many ids as the bounds
-    rows = rows.sort_by([("i", "ascending"), ("text", "ascending")])
-    return co_train([t.encode() for t in rows["text"].to_pylist()], rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["n"].to_numpy(), rows["y"].to_numpy(), stands_for)
+    names = tuple([r[0] for r in rows.groupBy(c).count().orderBy(F.desc("count"), c).limit(NAMED).collect()] for c in ("lang", "source"))
+    known = rows.join(F.broadcast(some), "i").toArrow()  # as many ids as the bound
+    known = known.sort_by([("i", "ascending"), ("text", "ascending")])
+    surest = lambda model, bad, good: _surest(rows, named, model, bad, good)
+    return co_train([t.encode() for t in known["text"].to_pylist()], known["lang"].to_pylist(), known["source"].to_pylist(), known["n_chars"].to_numpy(), known["y"].to_numpy(), stands_for, names, surest)
 
 
-def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log odds by text and by metadata, and the probability of good, of columns text, lang, source, n_chars."""
+def _views(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds by text and by metadata of columns text, lang, source, n_chars."""
     buf, offsets = text_buffer(batch.column("text"))
     n = len(offsets) - 1
-    if model is None:
-        return np.zeros(n), np.zeros(n), np.full(n, 0.5)
     text, meta = np.zeros(n), np.zeros(n)
     langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
     lengths = pc.fill_null(batch.column("n_chars").cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
@@ -234,6 +277,15 @@ def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.n
         b, o = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         text[lo:hi] = model.text_view(b, o)
         meta[lo:hi] = model.meta_view(langs[lo:hi], sources[lo:hi], lengths[lo:hi], layout(b, o))
+    return text, meta
+
+
+def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views' log odds and the probability of good."""
+    if model is None:
+        n = batch.num_rows
+        return np.zeros(n), np.zeros(n), np.full(n, 0.5)
+    text, meta = _views(batch, model)
     return text, meta, model.probability(text, meta)
 
 
