@@ -1,7 +1,8 @@
 """Written intermediate tables and Arrow chunks.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder that the cluster names as shared, so lost
-executors cost a re-read and never a result.  Where that setting is absent, as in tests, a temporary folder is set.
+executors cost a re-read and never a result.  Where that setting is absent on one machine, as in tests, a temporary folder
+is set; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of written intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -64,6 +68,12 @@ def drop_written(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -116,14 +126,19 @@ def chunked(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES)
     return written(rows, "chunks", "uncompressed")
 
 
-def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.RecordBatch, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.RecordBatch, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str, read: Callable = from_ipc, with_id: bool = False) -> DataFrame:
     """For each chunk, fn(its record batch, its replies as (bucket, blob)) gives rows of the result.
 
-    replies: (chunk_id, bucket, blob).  A chunk meets its own replies only, so a task holds one chunk at a time.
+    replies: (chunk_id, bucket, blob); read: what makes a chunk of its payload; with_id: rows begin with the chunk_id.
+    A chunk meets its own replies only, so a task holds one chunk at a time.
     """
-    both = chunks.select("chunk_id", F.lit(-1).alias("bucket"), F.col("payload").alias("blob")).unionByName(replies.select("chunk_id", "bucket", "blob"))
+    both = chunks.select("chunk_id", F.lit(-1).alias("bucket"), F.col(chunks.columns[1]).alias("blob")).unionByName(replies.select("chunk_id", "bucket", "blob"))
     n = partitions(chunks.sparkSession)
 
+    def told(cid: int, chunk: bytes, got: list) -> Iterator[pa.RecordBatch]:
+        for batch in fn(read(chunk), got):
+            yield batch.add_column(0, "chunk_id", pa.array([cid] * batch.num_rows, pa.int64())) if with_id else batch
+
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, got, now = None, [], None
@@ -131,19 +146,21 @@ def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.Record
             for cid, bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if cid != now:
                     if chunk is not None:
-                        yield from fn(from_ipc(chunk), got)
+                        yield from told(now, chunk, got)
                     chunk, got, now = None, [], cid
                 if bucket < 0:
                     chunk = blob.as_py()
                 else:
                     got.append((bucket, blob.as_py()))
         if chunk is not None:
-            yield from fn(from_ipc(chunk), got)
+            yield from told(now, chunk, got)
 
+    if with_id:
+        schema = f"chunk_id long, {schema}"
     return both.repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket").mapInArrow(run, schema)
 
 
-_CODEC = pa.Codec("zstd", compression_level=6)
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -153,6 +170,17 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
     return head + _CODEC.compress(b"".join(a.tobytes() for a in raw), asbytes=True)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The array's bytes, first the lowest of all items, then the next: small numbers compress well so."""
+    flat = np.ascontiguousarray(x).ravel()
+    return np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), -1).T).ravel() if len(flat) else np.zeros(0, np.uint8)
+
+
+def from_planes(raw: np.ndarray, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+
+
 def unpack_arrays(blob: bytes, *kinds) -> list[np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     sizes = np.frombuffer(blob, np.int64, n, 8)

@@ -70,7 +70,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_texts(_table(spark, sf_dir, "documents"))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits", "bits_per_byte")
 
 
 def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
