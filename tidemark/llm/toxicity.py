@@ -1,31 +1,34 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 A *unit* is a word, or a run of three or more one-letter words joined.  Units are folded to lower case; whatever is no
-letter only widens gaps.  The kernel counts common subsequences of three and of four letters, each weighted by decay to
+letter only widens gaps; its beginning counts as a letter.  The kernel counts common subsequences of three and of four letters, each weighted by decay to
 the power of the span that it takes in either unit, spans bounded by `reach` letters, so insults with gaps or inserted
 characters stay close to their plain form.  Landmarks are units; Nystroem features of the kernel go into a linear
 support vector machine.  Because the features are linear in the landmarks' subsequence weights, the trained machine
 folds into two tables of subsequence weights, and a unit is scored by one pass over its letters.
 
-Training is on labelled sentences: those of clean documents are clean, and of a toxic document's sentences those are
-toxic that hold a witness, a unit that the present machine (at first: the odds of the units' documents) finds toxic.
+Training is on labelled sentences, each as toxic as its most toxic unit: those of clean documents are clean, and of a toxic
+document's sentences those are toxic that hold a witness.  Witnesses are at first the units with a telling stem (a run of
+letters that toxic documents have and clean ones have not), later also the most toxic unit of a toxic document that has
+none.  Over rounds the machine is trained on the units that the sentences stand by, and says anew which they are.
 A document's score is a logistic function, calibrated on labelled documents that the machine has not seen, of its
 highest unit score and its share of units over the margin.
 
-Labels are learnt from a bounded sample (`max_toxic` and `max_clean` documents, the least by a hash of their id); all
-documents are scored on whole texts.
+Labels are learnt from a bounded sample (`max_toxic` and `max_clean` documents, the least by a hash of their id, of at most
+`max_bytes` of text); all documents are scored on whole texts.
 
 Edge cases: a null or empty text has no units and scores the calibrated base; labels that are null or of ids without a
-document are ignored; an id labelled twice is toxic if any label is; with no usable label of either class all scores are
-0; repeated rows score alike; an empty table gives no rows; only id and text are read, so other columns cannot clash.
+document are ignored, and rows without an id are scored but not learnt from; an id labelled twice is toxic if any label is,
+and an id with several texts teaches its least one; a text longer than the bound on bytes is scored but teaches nothing;
+with no usable label of either class all scores are 0; repeated rows score alike; an empty table gives no rows; only id and
+text are read, so other columns cannot clash, and keep_clean() returns all of them.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,15 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import lean
-from ._text import row_slices, text_buffer
+from ._store import lean, written
+from ._text import mix64, ragged, row_slices, text_buffer
 
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
-LANDMARKS, DECAY, REACH = 128, 0.9, 5
+#: Labelled documents that are learnt from at most, by class, and the bytes of their texts.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2500, 4500, 48 << 20
+LANDMARKS, DECAY, REACH = 160, 0.9, 5
 #: Unit scores over which units are counted for a document's score.
 EDGES = (-0.3, 0.0, 0.3, 0.6, 0.9, 1.1, 1.3)
 SLICE_BYTES = 6 << 20
-_LETTERS = 32  # 0 no letter, 1-26 base letters, 27-30 accented vowels and the like, 31 any other letter
+_LETTERS = 32  # 0 a unit's beginning, 1-26 base letters, 27-30 accented vowels and the like, 31 any other letter
 _MARKED = ("é", "èêë", "áàâäãåóòôöõ", "íìîïúùûüñçß")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 
@@ -61,11 +65,12 @@ _FOLD = _fold_table()
 
 
 def letters(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letter codes, positions, owners) of all units' letters, in order."""
-    points = np.frombuffer("\n".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """(letter codes, positions, owners) of all units' letters, in order; a unit's beginning is a letter of its own, 0."""
+    points = np.frombuffer(("\n" + "\n".join(units) if units else "").encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], np.where((points >= 0x300) & (points < 0x370) | (points >= 0x2000) & (points < 0x2C00), 0, 31))
-    owner = np.cumsum(points == 10)
-    at = np.flatnonzero(code)
+    begins = points == 10
+    owner = np.cumsum(begins) - 1
+    at = np.flatnonzero(code.astype(bool) | begins)
     return code[at], at, owner[at]
 
 
@@ -102,20 +107,45 @@ class Kernel:
         norm = sum(v * v for v in out.values()) ** 0.5
         return {i: v / norm for i, v in out.items()} if norm else {}
 
-    def apply(self, units: list[str], table: np.ndarray) -> np.ndarray:
-        """Normalised inner product of each unit's subsequences with a table of weights."""
+    def scale(self, units: list[str]) -> np.ndarray:
+        """1 over the norm of each unit's subsequence weights, 0 for units without any.  A subsequence that occurs again adds
+        up before it is squared; only units that repeat a letter can have one."""
+        out = np.zeros(len(units))
+        for lo in range(0, len(units), 8192):
+            part = units[lo : lo + 8192]
+            code, pos, owner = letters(part)
+            square = np.zeros(len(code), np.float32)
+            seen = np.unique(owner.astype(np.int64) << 5 | code, return_counts=True)
+            again = np.zeros(len(part), dtype=bool)
+            again[seen[0][seen[1] > 1] >> 5] = True
+            keys, weights = [], []
+            for weight, index, length in self._walk(code, pos, owner):
+                own = owner[: len(weight)]
+                both = again[own] & (weight > 0)
+                square[: len(weight)] += np.where(both, 0, weight * weight)
+                keys.append((own[both].astype(np.int64) << 21 | index[both] + (length == 4) * _LETTERS**3))
+                weights.append(weight[both])
+            norm = np.bincount(owner, square, len(part)) if len(code) else np.zeros(len(part))
+            if keys and (found := np.concatenate(keys)).size:
+                order = np.argsort(found)
+                found = found[order]
+                first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                norm += np.bincount(found[first] >> 21, np.add.reduceat(np.concatenate(weights)[order].astype(np.float64), first) ** 2, len(part))
+            out[lo : lo + 8192] = np.divide(1, np.sqrt(norm), out=np.zeros(len(part)), where=norm > 0)
+        return out
+
+    def apply(self, units: list[str], table: np.ndarray, exact: bool = True) -> np.ndarray:
+        """Inner product of each unit's subsequences with a table of weights, over the unit's norm if `exact`."""
         out = np.zeros(len(units))
         for lo in range(0, len(units), 8192):  # letters of a block stay in the processor's cache
             part = units[lo : lo + 8192]
             code, pos, owner = letters(part)
-            total, square = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
+            total = np.zeros(len(code), np.float32)
             three, four = table[: _LETTERS**3], table[_LETTERS**3 :]
             for weight, index, length in self._walk(code, pos, owner):
                 total[: len(weight)] += weight * (three if length == 3 else four).take(index)
-                square[: len(weight)] += weight * weight
-            norm = np.sqrt(np.bincount(owner, square, len(part)))
-            out[lo : lo + 8192] = np.divide(np.bincount(owner, total, len(part)), norm, out=np.zeros(len(part)), where=norm > 0)
-        return out
+            out[lo : lo + 8192] = np.bincount(owner, total, len(part)) if len(code) else 0
+        return out * self.scale(units) if exact else out
 
 
 def table_of(features: list[dict[int, float]], by: np.ndarray) -> np.ndarray:
@@ -214,6 +244,106 @@ def variants(unit: str, rng: np.random.Generator, count: int) -> list[str]:
     return [unit[:c] + i + unit[c:] for c, i in zip(cut.tolist(), ins.tolist())]
 
 
+def stems(units: list[str], sizes: tuple[int, ...] = (4, 5)) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, stem) of all runs of so many letters, folded, in all units."""
+    code, _, owner = letters(units)
+    code = code.astype(np.int64)
+    who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in sizes:
+        m = len(code) - size + 1
+        if m > 0:
+            run = np.full(m, size, np.int64)
+            for k in range(size):
+                run = run << 5 | code[k : k + m]
+            one = owner[:m] == owner[size - 1 :]
+            who.append(owner[:m][one])
+            what.append(run[one])
+    return np.concatenate(who), np.concatenate(what)
+
+
+def by_chance(kinds: int, n_toxic: int, n_clean: int) -> int:
+    """Of how many documents, all toxic, chance would make one of so many kinds of things a part."""
+    return max(3, int(np.ceil(np.log(max(kinds, 1)) / np.log((n_toxic + n_clean) / n_toxic))))
+
+
+def telling_stems(unit: np.ndarray, stem: np.ndarray, doc: np.ndarray, doc_unit: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Stems that toxic documents have and clean ones have not, found one by one: each is the one that most toxic documents
+    have that hold none of those before.  (unit, stem): which units have which; (doc, doc_unit): which documents have which."""
+    n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    order = np.argsort(unit, kind="stable")
+    unit, stem = unit[order], np.unique(stem[order], return_inverse=True)[1]
+    lo, hi = np.searchsorted(unit, doc_unit), np.searchsorted(unit, doc_unit, "right")
+    held, of = [], []
+    for k in range(0, len(doc), 1 << 18):  # working memory does not follow the sample
+        part = slice(k, k + (1 << 18))
+        size = hi[part] - lo[part]
+        pairs = np.unique(np.repeat(doc[part], size) << 32 | stem[ragged(lo[part], size)])
+        held.append(pairs >> 32)
+        of.append(pairs & 0xFFFFFFFF)
+    pairs = np.unique(np.concatenate(held) << 32 | np.concatenate(of)) if held else np.zeros(0, np.int64)
+    held, of = pairs >> 32, pairs & 0xFFFFFFFF
+    kinds = int(stem.max()) + 1 if len(stem) else 0
+    bad = toxic[held]
+    in_toxic, in_clean = np.bincount(of[bad], minlength=kinds), np.bincount(of[~bad], minlength=kinds)
+    fit = (in_toxic >= by_chance(kinds, n_toxic, n_clean)) & (in_toxic * n_clean >= 6 * n_toxic * np.maximum(in_clean, 0.3))
+    use = bad & fit[of]
+    held, of = held[use], of[use]
+    found, least = [], max(2, n_toxic // 300)
+    while len(of):
+        new = np.bincount(of, minlength=kinds)
+        best = int(np.argmax(new - in_clean * (3 * n_toxic / n_clean)))
+        if new[best] < least:
+            break
+        found.append(best)
+        rest = ~np.isin(held, held[of == best])
+        held, of = held[rest], of[rest]
+    rank = np.full(kinds, -1)
+    rank[found] = np.arange(len(found))
+    out = np.full(int(unit.max()) + 1 if len(unit) else 0, len(found))
+    telling = rank[stem] >= 0
+    np.minimum.at(out, unit[telling], rank[stem[telling]])
+    return out
+
+
+class Sentences:
+    """Labelled documents as sentences of numbered units."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        flat, self.first, docs = array("i"), [0], array("i")
+        for k, text in enumerate(texts):
+            for s in _SENTENCE.split(text.lower()):
+                found = units_of(s)
+                if found:
+                    flat.extend([number.setdefault(u, len(number)) for u in found])
+                    self.first.append(len(flat))
+                    docs.append(k)
+        self.units = list(number)
+        self.flat, self.first, self.doc = np.array(flat, np.int64), np.array(self.first), np.array(docs, np.int64)
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which document holds which unit, once each."""
+        pairs = np.unique(np.repeat(self.doc, np.diff(self.first)) << 32 | self.flat)
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
+    def origins(self, docs: int) -> np.ndarray:
+        """A number of each document that most of its near copies share: the least hash of its sentences."""
+        out = np.full(docs, (1 << 64) - 1, np.uint64)
+        if len(self.flat):
+            with np.errstate(over="ignore"):
+                np.minimum.at(out, self.doc, mix64(np.add.reduceat(mix64(self.flat.astype(np.uint64) + np.uint64(1)), self.first[:-1])))
+        return np.unique(out, return_inverse=True)[1]
+
+    def tops(self, score: np.ndarray) -> np.ndarray:
+        """The unit of each sentence that has its highest score."""
+        if not len(self.flat):
+            return np.zeros(0, np.int64)
+        value = score[self.flat]
+        best = np.repeat(np.maximum.reduceat(value, self.first[:-1]), np.diff(self.first))
+        at = np.where(value == best, np.arange(len(value)), len(value))
+        return self.flat[np.minimum.reduceat(at, self.first[:-1])]
+
+
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, stands_for: tuple[float, float] = (1, 1)) -> Model | None:
     """Fit on labelled texts; every third is kept for calibration, where a clean and a toxic one count as many documents as
     they stand for, so that probabilities keep to the table's classes."""
@@ -222,30 +352,35 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     calibrate = np.arange(len(texts)) % 3 == 2
     if toxic[~calibrate].all() or not toxic[~calibrate].any() or toxic[calibrate].all() or not toxic[calibrate].any():
         calibrate[:] = False
-    # sentences are kept of toxic documents only, and one string of each unit
-    sentences: dict[int, list[list[str]]] = {}
-    in_toxic, in_clean = Counter(), Counter()
-    for k in np.flatnonzero(~calibrate).tolist():
-        lines = [sorted({sys.intern(u) for u in units_of(s)}) for s in _SENTENCE.split(texts[k].lower()) if s.strip()]
-        (in_toxic if toxic[k] else in_clean).update({u for s in lines for u in s})
-        if toxic[k]:
-            sentences[k] = lines
-    n_toxic, n_clean = int((toxic & ~calibrate).sum()), int((~toxic & ~calibrate).sum())
-    odds = {u: np.log((c + 0.1) / (n_toxic + 1)) - np.log((in_clean[u] + 0.5) / (n_clean + 1)) for u, c in in_toxic.items() if c >= 2}
-    # witnesses at first: units of several toxic documents whose odds no clean document explains
-    witness = {u for u, o in odds.items() if in_toxic[u] >= 3 and o > 1.5 and in_toxic[u] * n_clean >= 6 * n_toxic * max(in_clean[u], 0.3)}
+    own = np.flatnonzero(~calibrate)
+    said, bad = Sentences([texts[k] for k in own]), toxic[own]
+    if not said.units:
+        return None
+    doc, unit = said.held()
+    in_toxic, in_clean = (np.bincount(unit[bad[doc] == y], minlength=len(said.units)) for y in (True, False))
+    rank = telling_stems(*stems(said.units), doc, unit, bad)
+    rank = np.append(rank, np.full(len(said.units) - len(rank), rank.max(initial=0) + 1))
+    n_toxic, n_clean = int(bad.sum()), int((~bad).sum())
+    # witnesses at first: units with a telling stem, which clean documents seldom hold
+    clear = (in_toxic > 0) & (in_toxic * n_clean >= 6 * n_toxic * np.maximum(in_clean, 0.01))
+    witness = (rank < rank.max(initial=0)) & clear
+    # and those that so many toxic documents hold, near copies counted once, that it cannot be chance
+    origin = np.unique(unit[bad[doc]] << 32 | said.origins(len(own))[doc[bad[doc]]])
+    often = np.bincount(origin >> 32, minlength=len(in_toxic))
+    witness |= clear & (often >= by_chance(len(said.units), n_toxic, n_clean))
+    if not witness.any():
+        best = np.lexsort((in_clean, -in_toxic))[:20]
+        witness[best[in_toxic[best] > 0]] = True
     kernel, rng = Kernel(), np.random.default_rng(0)
-    clean_units = sorted(in_clean)
-    pool = sorted(in_clean, key=lambda u: (-in_clean[u], u))[:3000]
-    pool += [clean_units[i] for i in rng.permutation(len(clean_units))[:9000]]
-    ranked = sorted(witness, key=lambda u: (-in_toxic[u] * odds[u], u))
-    if not ranked:
-        ranked = sorted(in_toxic, key=lambda u: (-in_toxic[u], in_clean[u], u))[:20]
-        witness = set(ranked)
-    marks = ranked[: landmarks // 2]
-    marks += [u for u in pool if u not in witness][: landmarks // 4]
-    marks += [u for u in reversed(pool) if u not in witness][: landmarks - len(marks)]
-    feats = [f for f in map(kernel.features, marks) if f]
+    # landmarks: of each stem's units the most frequent, turn by turn, then frequent and rare clean units
+    turns = np.flatnonzero(witness)[np.lexsort((np.flatnonzero(witness), -in_toxic[witness], rank[witness]))]
+    turn = np.concatenate([np.arange(c) for c in np.unique(rank[turns], return_counts=True)[1]]) if len(turns) else turns
+    marks = turns[np.lexsort((rank[turns], turn))][: landmarks // 2].tolist()
+    clean = np.flatnonzero((in_clean > 0) & ~witness)
+    often = clean[np.argsort(-in_clean[clean], kind="stable")]
+    pool = np.concatenate([often[:3000], rng.permutation(clean)[:9000]])
+    marks += pool[: landmarks // 4].tolist() + pool[::-1][: landmarks - landmarks // 4 - len(marks)].tolist()
+    feats = [f for f in (kernel.features(said.units[u]) for u in dict.fromkeys(marks)) if f]
     if not feats:
         return None
     value, vector = np.linalg.eigh(np.array([[sum(v * g.get(i, 0.0) for i, v in f.items()) for g in feats] for f in feats]))
@@ -254,44 +389,55 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     known: dict[str, np.ndarray] = {}
 
     def nystroem(units: list[str]) -> np.ndarray:
-        new = [u for u in units if u not in known]
+        new = [u for u in dict.fromkeys(units) if u not in known]
         if new:
             products, one = np.zeros((len(new), len(feats)), np.float32), np.zeros(_LETTERS**3 + _LETTERS**4, np.float32)
             for j, f in enumerate(feats):  # one landmark's table at a time
                 at = list(f)
                 one[at] = list(f.values())
-                products[:, j] = kernel.apply(new, one)
+                products[:, j] = kernel.apply(new, one, exact=False)
                 one[at] = 0
-            known.update(zip(new, products @ root))
+            products *= kernel.scale(new)[:, None]
+            known.update(zip(new, (products @ root).astype(np.float32)))
         return np.array([known[u] for u in units])
 
-    grown = {u: variants(u, rng, 6) for u in ranked[:40]}
+    grown = {u: variants(said.units[u], rng, 6) for u in turns[np.lexsort((rank[turns], turn))][:60].tolist()}
+    score = np.where(witness, 1.0, -1.0) * (1 + 1e-3 * in_toxic)
+    hard = np.zeros(0, np.int64)
     for _ in range(rounds):
-        pos = sorted(witness)
-        more = [(v, in_toxic[u] / 6) for u in pos for v in grown.get(u, [])]
-        neg = sorted(set(pool) - witness)
-        units = pos + [v for v, _ in more] + neg
+        # a sentence is as toxic as its most toxic unit: toxic ones hold a witness, clean ones are all those of clean documents
+        top, of_toxic = said.tops(score), bad[said.doc]
+        pos_sent = np.bincount(top[of_toxic & witness[top]], minlength=len(score))
+        neg_sent = np.bincount(top[~of_toxic & ~witness[top]], minlength=len(score))
+        pos = np.flatnonzero((pos_sent > 0) | (witness & (in_toxic > 0)))
+        neg = np.unique(np.concatenate([pool, hard, np.flatnonzero(neg_sent)]))
+        neg = neg[~witness[neg]]
+        if len(neg) > 30_000:  # the sentences' units that the machine errs on most
+            neg = neg[np.argsort(-score[neg], kind="stable")[:30_000]]
+        more = [(v, max(int(pos_sent[u]), 1) / 6) for u in pos.tolist() for v in grown.get(u, [])]
+        units = [said.units[u] for u in pos.tolist()] + [v for v, _ in more] + [said.units[u] for u in neg.tolist()]
         y = np.array([1.0] * (len(pos) + len(more)) + [-1.0] * len(neg))
-        weight = np.array([min(in_toxic[u], 300) for u in pos] + [w for _, w in more] + [min(max(in_clean[u], 1), 30) ** 0.5 for u in neg], float)
+        weight = np.concatenate([np.clip(np.maximum(pos_sent, in_toxic)[pos], 1, 300), [w for _, w in more], np.sqrt(np.clip(np.maximum(neg_sent, in_clean)[neg], 1, 30))]).astype(float)
         weight[y > 0] *= 0.5 * weight[y < 0].sum() / max(weight[y > 0].sum(), 1e-9)
         w, bias = squared_hinge(nystroem(units), y, weight, ridge=3e-4 * weight.sum())
         table = table_of(feats, root @ w)
-        hard = np.argsort(-kernel.apply(clean_units, table))[:1500]
-        pool = sorted(set(pool) | {clean_units[i] for i in hard.tolist()})
-        toxic_units = sorted(in_toxic)
-        score = dict(zip(toxic_units, (kernel.apply(toxic_units, table) + bias).tolist()))
-        for doc in sentences.values():  # a toxic document without a witness gives its most toxic sentence's unit
-            if not any(u in witness for s in doc for u in s):
-                best = max((max(s, key=lambda u: (score[u], u)) for s in doc if s), key=lambda u: (score[u], u), default=None)
-                if best is not None and score[best] > 0 and not in_clean[best]:
-                    witness.add(best)
-    own = np.flatnonzero(calibrate if calibrate.any() else ~calibrate).tolist()
-    units = [[sys.intern(u) for u in units_of(texts[k].lower())] for k in own]
-    flat = sorted({u for x in units for u in x})
-    score = dict(zip(flat, (kernel.apply(flat, table) + bias).tolist()))
-    first = np.concatenate([[0], np.cumsum([len(x) for x in units])])
-    shapes = doc_shape(np.array([score[u] for x in units for u in x]), first)
-    return Model(table, bias, calibrated(shapes, toxic[own].astype(float), np.where(toxic[own], stands_for[1], stands_for[0]).astype(float)))
+        score = kernel.apply(said.units, table) + bias
+        hard = clean[np.argsort(-score[clean], kind="stable")[:1500]]
+        # a toxic document without a witness gives its most toxic unit, if no clean document holds it
+        holds = np.zeros(len(bad), dtype=bool)
+        holds[doc[witness[unit]]] = True
+        mine = bad[doc] & ~holds[doc] & (in_clean[unit] == 0) & (score[unit] > 0)
+        d, u = doc[mine], unit[mine]
+        order = np.lexsort((u, -score[u], d))
+        witness[u[order][np.unique(d[order], return_index=True)[1]]] = True
+    own = np.flatnonzero(calibrate if calibrate.any() else ~calibrate)
+    known.clear()
+    shapes = []
+    for k in own.tolist():
+        found = units_of(texts[k].lower())
+        s = kernel.apply(found, table) + bias if found else np.zeros(0)
+        shapes.append(doc_shape(s, np.array([0, len(found)]))[0])
+    return Model(table, bias, calibrated(np.array(shapes), toxic[own].astype(float), np.where(toxic[own], stands_for[1], stands_for[0]).astype(float)))
 
 
 @lean
@@ -322,17 +468,30 @@ def _score(batches: Iterable[pa.RecordBatch], model: Model | None, threshold: fl
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
+def sampled(docs: DataFrame, some: DataFrame, max_bytes: int) -> DataFrame:
+    """docs (i, x, ...) of the ids in `some` (i, ...), a bounded number, one row an id (the least), in the order of a hash of
+    the id while their texts stay within max_bytes."""
+    rows = docs.join(F.broadcast(some.select("i")), "i").groupBy("i").agg(F.min(F.struct(*(c for c in docs.columns if c != "i"))).alias("r")).select("i", "r.*")
+    rows = written(rows, "sample")
+    sizes = rows.select("i", F.octet_length("x").alias("n"), F.xxhash64("i").alias("h")).toPandas().sort_values(["h", "i"])  # as many as ids
+    fits = sizes[sizes["n"] <= max_bytes // 8]
+    keep = fits["i"][fits["n"].cumsum() <= max_bytes].tolist()
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(int(k),) for k in keep], "i long")), "i").join(F.broadcast(some), "i")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model | None:
     """A machine from the labelled documents whose crc32(id) mod 3 is not 1, a bounded sample of them."""
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(F.col(label_col)).alias("t"))
     named = named.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 3 != 1)
     count = {x["t"]: x["count"] for x in named.groupBy("t").count().collect() if x["t"] in (0, 1)}
-    stands_for = max(1.0, count.get(0, 0) / max(max_clean, 1)), max(1.0, count.get(1, 0) / max(max_toxic, 1))
     order = [F.xxhash64("i"), F.col("i")]
     some = named.filter("t = 1").orderBy(*order).limit(max_toxic).unionByName(named.filter("t = 0").orderBy(*order).limit(max_clean))
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).join(F.broadcast(some), "i").toArrow()  # at most max_toxic + max_clean ids
+    known = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
+    rows = sampled(known, some, max_bytes).toArrow()  # at most max_toxic + max_clean rows and max_bytes
     rows = sorted(zip(rows["i"].to_pylist(), rows["x"].to_pylist(), rows["t"].to_pylist()))
-    return train([r[1] for r in rows], np.array([r[2] == 1 for r in rows], dtype=bool), stands_for=stands_for)
+    toxic = np.array([r[2] == 1 for r in rows], dtype=bool)
+    stands_for = max(1.0, count.get(0, 0) / max(int((~toxic).sum()), 1)), max(1.0, count.get(1, 0) / max(int(toxic.sum()), 1))
+    return train([r[1] for r in rows], toxic, stands_for=stands_for)
 
 
 def toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
