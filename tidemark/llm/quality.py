@@ -1,26 +1,29 @@
 """Quality by co-training of a text-content and a page-metadata classifier.
 
-The text view is how often each pair of neighbouring kinds of bytes occurs, by length; the metadata view is the language, the
-source, the recorded length and the layout (lines, their lengths, shares of marks, capitals and repeated words).  Each
-view's logistic classifier starts from labelled documents; over rounds, each labels the unlabelled documents that it is
-surest of, in the classes' proportion, for the other to learn from.  Both are calibrated on labelled documents kept
-apart, and the calibrated views' log odds are combined by a third logistic fit on the same.
-
-Labels are learnt from a bounded sample (`max_labelled`: the least by a hash of the id).  Every round scores all unlabelled
-documents in executors; those that a view is surest of, a bounded number, come to the driver.  All documents are scored
-on whole texts.
+The text view is how often each pair of neighbouring kinds of bytes occurs, by length, and the text's layout (lines, words,
+shares of marks, capitals and repeated words); the metadata view is the language, the source and the recorded length,
+and nothing of the text.  Each view's logistic classifier starts from labelled documents; over rounds, each labels the
+unlabelled documents that it is sure of for the other to learn from, where each class's pseudo-labels weigh as much as its
+labels.  Both are calibrated on labelled documents kept apart, and the calibrated views' log odds are combined by a
+third logistic fit on the same.
+
+All labelled and all unlabelled documents take part: their features, some hundred numbers each, are one written table, and
+every step of a fit is a sum over it.  Only the text view's leading components and the numbers' scales come from a bounded
+sample of labelled documents (`max_labelled`, the least by a hash of the id, of at most `max_bytes` of text).  All
+documents are scored on whole texts.
 
 Edge cases: a null text is empty, and an empty text has the score of its metadata and of no pairs; null language, source
 or length are values of their own; languages and sources but the most frequent share hashed weights; copies of a text
-give one pseudo-label; labels that are null are ignored, and an
-id labelled twice is good if all its labels are; with one class of labels only, every score is 0.5 for lack of evidence
-and counts as good; repeated rows score alike; an empty table gives no rows; columns other than those named are not read.
+give one pseudo-label; labels that are null are ignored, an id labelled twice is good if all its labels are, and an id with
+several rows teaches its least one; with one class of labels only, every score is 0.5 for lack of evidence and counts as
+good; repeated rows score alike; an empty table gives no rows; columns other than those named are not read, and
+keep_good() returns all of them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop_written, lean, written
+from ._store import drop_written, lean, pack_arrays, partitions, unpack_arrays, written
 from ._text import row_slices, text_buffer, word_hashes, word_spans
-from .toxicity import logistic
+from .toxicity import logistic, sampled
 
-MAX_LABELLED = 3000
-ROUNDS, PER_ROUND = 4, 100
+#: Labelled documents, and bytes of their texts, that scales and components come from at most.
+MAX_LABELLED, MAX_BYTES = 3000, 24 << 20
+ROUNDS, STEPS = 3, 3
+COMPONENTS, PAIRS_USED = 80, 512
 SLICE_BYTES = 1 << 20
 #: A document counts as good from this probability on: what is not clearly bad is kept.
 THRESHOLD = 0.3
@@ -43,6 +48,8 @@ PRIOR = 100
 NAMED, HASHED = 64, 64
 #: Log odds from which on a view is sure of a label: a probability of 0.95.
 SURE = float(np.log(0.95 / 0.05))
+#: Calibration counts documents by both views' log odds, in steps of this size up to 15.
+GRID = 0.25
 
 
 def _kinds() -> np.ndarray:
@@ -103,189 +110,244 @@ def layout(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(n), np.log1p(lines * 1000), np.log1p(words * 1000), share(upper), share(lower), share(digit), share(high), share(mark), np.sqrt(share(mark)), np.sqrt(share(upper)), repeats, np.sqrt(repeats)])
 
 
+def _by_slices(fn, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """fn(bytes, offsets) of slices of rows, so that working memory does not follow the batch."""
+    parts = [fn(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in row_slices(offsets, SLICE_BYTES)]
+    return np.concatenate(parts)
+
+
+class Space:
+    """What the views are made of: the text's leading components and scales, and the named languages and sources."""
+
+    def __init__(self, texts: list[bytes], lengths: np.ndarray, langs: list, sources: list):
+        self.langs, self.sources = ({v: k for k, v in enumerate(c)} for c in (langs, sources))
+        buf, offsets = text_buffer(pa.array(texts, pa.large_binary()))
+        shape = _by_slices(layout, buf, offsets)
+        self.shape_mean, self.shape_std = shape.mean(axis=0), shape.std(axis=0) + 1e-6
+        numbers = self._numbers(lengths)
+        self.meta_mean, self.meta_std = numbers.mean(axis=0), numbers.std(axis=0) + 1e-6
+        # the leading components over the pairs that vary most
+        rates = pair_rates(texts)
+        self.columns = np.sort(np.argsort(-rates.var(axis=0), kind="stable")[:PAIRS_USED])
+        rates = rates[:, self.columns] * 100
+        self.centre = rates.mean(axis=0)
+        rates -= self.centre
+        value, vector = np.linalg.eigh(rates.T @ rates / len(rates))
+        self.basis = vector[:, np.argsort(-value)[:COMPONENTS]]
+
+    @staticmethod
+    def _numbers(lengths: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.log1p(np.maximum(lengths, 0)), lengths < 0]).astype(float)
+
+    def text(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Features of the text view."""
+        texts = [buf[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        pairs = (pair_rates(texts)[:, self.columns] * 100 - self.centre) @ self.basis
+        return np.hstack([pairs, (layout(buf, offsets) - self.shape_mean) / self.shape_std]).astype(np.float32)
+
+    def meta(self, langs: list, sources: list, lengths: np.ndarray) -> np.ndarray:
+        """Features of the metadata view."""
+        one_hot = np.zeros((len(langs), len(self.langs) + len(self.sources) + 2 * HASHED), np.float32)
+        for names, column, base in ((self.langs, langs, 0), (self.sources, sources, len(self.langs) + HASHED)):
+            for k, v in enumerate(column):
+                one_hot[k, base + (names[v] if v in names else len(names) + zlib.crc32(str(v).encode()) % HASHED)] = 1
+        return np.hstack([((self._numbers(lengths) - self.meta_mean) / self.meta_std).astype(np.float32), one_hot])
+
+    def sizes(self) -> tuple[int, int]:
+        """Weights of each view, the constant included."""
+        return self.basis.shape[1] + len(self.shape_mean) + 1, 2 + len(self.langs) + len(self.sources) + 2 * HASHED + 1
+
+
 class Model:
-    """Weights of both views, their scaling and calibration."""
+    """A space, both views' weights in it (the last for the constant) and their combination."""
 
-    def __init__(self, pair_weights, pair_bias, langs, sources, meta_scale, meta_weights, combine):
-        self.pair_weights, self.pair_bias = pair_weights, pair_bias
-        self.langs, self.sources, self.meta_scale, self.meta_weights = langs, sources, meta_scale, meta_weights
-        self.combine = combine
+    def __init__(self, space: Space, text: np.ndarray, meta: np.ndarray, combine: np.ndarray):
+        self.space, self.text, self.meta, self.combine = space, text, meta, combine
+        # the text's linear score by pair of bytes, so that a text is scored in one pass
+        k = space.basis.shape[1]
+        w = space.basis @ text[:k]
+        self.pair_weights = np.zeros(PAIRS, np.float32)
+        self.pair_weights[space.columns] = (w * 100).astype(np.float32)
+        self.pair_bias = float(text[-1] - space.centre @ w)
 
     def text_view(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        shape = (layout(buf, offsets) - self.space.shape_mean) / self.space.shape_std @ self.text[self.space.basis.shape[1] : -1]
         if len(buf) < 2:
-            return np.full(len(offsets) - 1, self.pair_bias)
+            return self.pair_bias + shape
         c = np.concatenate([[0.0], np.cumsum(self.pair_weights[pair_index(buf)], dtype=np.float64)])
         lo, hi = np.minimum(offsets[:-1], len(buf) - 1), np.clip(offsets[1:] - 1, 0, len(buf) - 1)
         hi = np.maximum(lo, hi)
-        return (c[hi] - c[lo]) / (hi - lo + PRIOR) + self.pair_bias
+        return (c[hi] - c[lo]) / (hi - lo + PRIOR) + self.pair_bias + shape
 
-    def meta_view(self, langs: list, sources: list, lengths: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        return self.meta_matrix(langs, sources, lengths, shape) @ self.meta_weights[:-1] + self.meta_weights[-1]
-
-    def meta_matrix(self, langs: list, sources: list, lengths: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        numbers = (np.column_stack([shape, np.log1p(np.maximum(lengths, 0)), lengths < 0]) - self.meta_scale[0]) / self.meta_scale[1]
-        one_hot = np.zeros((len(langs), len(self.langs) + len(self.sources) + 2 * HASHED))
-        for names, column, base in ((self.langs, langs, 0), (self.sources, sources, len(self.langs) + HASHED)):
-            for k, v in enumerate(column):
-                one_hot[k, base + (names[v] if v in names else len(names) + zlib.crc32(str(v).encode()) % HASHED)] = 1
-        return np.hstack([numbers, one_hot])
+    def meta_view(self, langs: list, sources: list, lengths: np.ndarray) -> np.ndarray:
+        return self.space.meta(langs, sources, lengths) @ self.meta[:-1] + self.meta[-1]
 
     def probability(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         z = np.clip(np.column_stack([text, meta]), -15, 15) @ self.combine[:-1] + self.combine[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _by_slices(fn, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """fn(bytes, offsets) of slices of rows, so that working memory does not follow the sample."""
-    parts = [fn(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in row_slices(offsets, SLICE_BYTES)]
-    return np.concatenate(parts)
+def _lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def _features(docs: DataFrame, space: Space) -> DataFrame:
+    """(i, h, x, lang, source, n_chars) of rows (i, text, lang, source, n_chars): h is a hash of the text, x its features."""
+    sent = docs.sparkSession.sparkContext.broadcast(space)  # of fixed size
 
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column("text"))
+            for lo, hi in row_slices(offsets, SLICE_BYTES):
+                x = sent.value.text(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary()), *(part.column(c) for c in ("lang", "source", "n_chars"))], names=["i", "h", "x", "lang", "source", "n_chars"])
 
-def co_train(texts: list[bytes], langs: list, sources: list, lengths: np.ndarray, labels: np.ndarray, stands_for: tuple[float, float] = (1, 1), names: tuple[list, list] | None = None, surest: Callable | None = None, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
-    """labels: 1 good, 0 bad; stands_for: how many documents of the table a bad and a good one stand for, so that
-    probabilities keep to the table's classes; names: languages and sources that have weights of their own, by default those
-    of the rows; surest(model, bad, good): for each view the unlabelled documents that it is surest of, as
-    {id: (label, text, lang, source, length)}.  None if a class has no label."""
-    known = np.arange(len(labels))
-    if not len(known) or labels.min() == labels.max():
-        return None
-    kept_apart = known[2::3]
-    if len(set(labels[kept_apart].tolist())) < 2 or len(set(labels[np.setdiff1d(known, kept_apart)].tolist())) < 2:
-        kept_apart = np.zeros(0, np.int64)
-    learn = np.setdiff1d(known, kept_apart)
-    buf, offsets = text_buffer(pa.array(texts, pa.large_binary()))
-    shape = _by_slices(layout, buf, offsets)
-    if names is None:
-        names = tuple(sorted(set(c), key=lambda v: (-c.count(v), str(v)))[:NAMED] for c in (langs, sources))
-    own = [{v: k for k, v in enumerate(c)} for c in names]
-    numbers = np.column_stack([shape, np.log1p(np.maximum(lengths, 0)), lengths < 0])
-    model = Model(np.zeros(PAIRS, np.float32), 0.0, *own, (numbers.mean(axis=0), numbers.std(axis=0) + 1e-6), None, None)
-    meta = model.meta_matrix(langs, sources, lengths, shape)
-    # the text view's leading components over the pairs that vary most
-    rates = pair_rates(texts)
-    columns = np.sort(np.argsort(-rates.var(axis=0), kind="stable")[:512])
-    rates = rates[:, columns] * 100
-    centre = rates.mean(axis=0)
-    rates -= centre
-    value, vector = np.linalg.eigh(rates.T @ rates / len(rates))
-    basis = vector[:, np.argsort(-value)[:80]]
-    text = rates @ basis
-
-    def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-        return logistic(x, y, weight, ridge=1.0)
-
-    def features(k: int, rows: list[tuple]) -> np.ndarray:
-        _, t, la, so, le = zip(*rows)
-        if k == 0:
-            return (pair_rates(t)[:, columns] * 100 - centre) @ basis
-        b, o = text_buffer(pa.array(t, pa.large_binary()))
-        return model.meta_matrix(list(la), list(so), np.array(le, float), _by_slices(layout, b, o))
-
-    each = np.where(labels == 1, stands_for[1], stands_for[0]).astype(float)
-    base = np.average(labels[learn], weights=each[learn])
-    extra = {0: {}, 1: {}}  # pseudo-labels that each view learns from, given by the other, with the view's features
-    bad, good = round(per_round * (1 - base)), round(per_round * base)
-    for r in range(rounds + 1):
-        fitted = []
-        for k, x in enumerate((text, meta)):
-            more = [extra[k][i] for i in sorted(extra[k])]
-            y = np.concatenate([labels[learn], [m[0] for m in more]]).astype(float)
-            fitted.append(fit(np.vstack([x[learn], *(m[1] for m in more)]), y))
-        w = basis @ fitted[0][:-1]
-        model.pair_weights[columns] = (w * 100).astype(np.float32)
-        model.pair_bias = float(fitted[0][-1] - centre @ w)
-        model.meta_weights = fitted[1]
-        if r == rounds or surest is None:
-            break
-        for k, found in enumerate(surest(model, bad, good)):
-            if found:
-                got = features(1 - k, list(found.values()))
-                extra[1 - k].update((i, (row[0], x)) for (i, row), x in zip(found.items(), got))
-    on = kept_apart if len(kept_apart) else learn
-    views = np.clip(np.column_stack([_by_slices(model.text_view, buf, offsets), model.meta_view(langs, sources, lengths, shape)]), -15, 15)[on]
-    y = labels[on].astype(float)
-    single = [logistic(views[:, [k]], y, each[on], ridge=0.1) for k in (0, 1)]
-    calibrated = np.column_stack([views[:, k] * single[k][0] + single[k][1] for k in (0, 1)])
-    both = logistic(calibrated, y, each[on], ridge=0.1)
-    model.combine = np.array([both[0] * single[0][0], both[1] * single[1][0], both[2] + both[0] * single[0][1] + both[1] * single[1][1]])
-    return model
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("lang", "source")}
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"i long, h long, x binary, lang {kinds['lang']}, source {kinds['source']}, n_chars double")
 
 
-def _surest(docs: DataFrame, named: DataFrame, model: Model, bad: int, good: int) -> list[dict]:
-    """For each view, the `bad` and `good` documents without a label that it is surest of, out of all; see co_train()."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
+def _matrices(batch: pa.RecordBatch, space: Space) -> list[np.ndarray]:
+    """Both views' features with a column of ones."""
+    n = batch.num_rows
+    x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(n, -1) if n else np.zeros((0, space.sizes()[0] - 1), np.float32)
+    m = space.meta(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), _lengths(batch.column("n_chars")))
+    return [np.hstack([v, np.ones((n, 1), np.float32)]) for v in (x, m)]
+
+
+def _summed(rows: DataFrame, fn, sizes: list[int]) -> list[np.ndarray]:
+    """Sums over all rows of fn(batch), arrays of the given sizes; partial sums meet in a tree."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column(0):
+                got = unpack_arrays(blob.as_py(), *[np.float64] * len(sizes))
+                total = [g.copy() for g in got] if total is None else [a + b for a, b in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack_arrays(*total)], pa.binary())], names=["blob"])
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(s) for s in sizes]
         for batch in batches:
-            text, meta = _views(batch, sent.value)
-            out = pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array(text), pa.array(meta)], names=["i", "h", "v0", "v1"])
-            yield out.filter(pa.array((np.abs(text) > SURE) | (np.abs(meta) > SURE)))
+            for t, x in zip(total, fn(batch)):
+                t += x.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([pack_arrays(*total)], pa.binary())], names=["blob"])
+
+    n = max(1, int(partitions(rows.sparkSession) ** 0.5))
+    got = rows.mapInArrow(run, "blob binary").repartition(n).mapInArrow(add, "blob binary").coalesce(1).mapInArrow(add, "blob binary").collect()
+    return unpack_arrays(bytes(got[0]["blob"]), *[np.float64] * len(sizes)) if got else [np.zeros(s) for s in sizes]
 
-    rows = docs.filter("i is not null").withColumn("h", F.xxhash64("text")).mapInArrow(run, "i long, h long, v0 double, v1 double")
-    scored = written(rows.join(named.select("i"), "i", "left_anti"), "views")
-    picked: list[dict[int, float]] = [{}, {}]
+
+def _told(y: np.ndarray, views: list[np.ndarray], then: list[np.ndarray] | None) -> list[np.ndarray]:
+    """What each view learns of each row: its label, or for rows without one what the other view was sure of; else NaN."""
+    out = []
     for k in (0, 1):
-        for label, sign, n in ((0.0, 1, bad), (1.0, -1, good)):
-            z = F.col(f"v{k}") * sign
-            best = scored.filter(z < -SURE).groupBy("h").agg(F.min(F.struct(z.alias("z"), "i")).alias("b")).select("b.*")
-            picked[k].update((r["i"], label) for r in best.orderBy("z", "i").limit(n).collect())
-    ids = sorted({i for p in picked for i in p})
-    found = {}
-    if ids:
-        some = docs.filter(F.col("i").isin(ids)).groupBy("i").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("i", "d.*")
-        found = {r["i"]: (r["text"].encode(), r["lang"], r["source"], r["n_chars"]) for r in some.collect()}  # at most 2 (bad + good)
-    drop_written(scored)
-    sent.unpersist()
-    return [{i: (y, *found[i]) for i, y in p.items()} for p in picked]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """A model from a bounded sample of labelled documents and from all without a label."""
-    order = lambda c: [F.xxhash64(c), F.col(c)]
+        if then is None:
+            out.append(y)
+        else:
+            z = views[1 - k] @ then[1 - k]
+            out.append(np.where(np.isnan(y), np.where(z > SURE, 1.0, np.where(z < -SURE, 0.0, np.nan)), y))
+    return out
+
+
+def co_train(known: DataFrame, unknown: DataFrame, space: Space, rounds: int = ROUNDS, steps: int = STEPS, ridge: float = 1.0) -> Model | None:
+    """known: features with y (1 good, 0 bad) and apart (kept for calibration); unknown: features without labels.  None if a
+    class has no label."""
+    learn = known.filter("not apart").drop("apart")
+    rows = learn.unionByName(unknown.withColumn("y", F.lit(None).cast("int")))
+    sizes = space.sizes()
+    now = [np.zeros(s) for s in sizes]
+
+    def labels(batch: pa.RecordBatch) -> np.ndarray:
+        return pc.fill_null(batch.column("y").cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+
+    for r in range(rounds + 1):
+        table, then = (rows, [w.copy() for w in now]) if r else (learn, None)
+
+        def count(batch: pa.RecordBatch, then=then) -> list[np.ndarray]:
+            y, views = labels(batch), _matrices(batch, space)
+            mine = np.isnan(y)
+            return [np.array([[np.sum((t == c) & (mine == p)) for c in (0, 1)] for p in (False, True)], float) for t in _told(y, views, then)]
+
+        counts = [c.reshape(2, 2) for c in _summed(table, count, [4, 4])]  # of each view: labels and pseudo-labels, bad and good
+        if (counts[0][0] == 0).any():
+            return None
+        total = counts[0][0].sum()
+        each = [0.5 * total / np.maximum(c, 1) for c in counts]  # every class's labels weigh alike, and its pseudo-labels as much
+        for _ in range(steps if r else 8):
+
+            def slopes(batch: pa.RecordBatch, then=then, now=now, each=each) -> list[np.ndarray]:
+                y, views = labels(batch), _matrices(batch, space)
+                out = []
+                for v, t, w, e in zip(views, _told(y, views, then), now, each):
+                    use = ~np.isnan(t)
+                    x, t, pseudo = v[use], t[use], np.isnan(y)[use].astype(int)
+                    weight = e[pseudo, t.astype(int)]
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    out += [x.T @ (weight * (t - p)), (x * (weight * p * (1 - p))[:, None]).T @ x]
+                return out
+
+            got = _summed(table, slopes, [n for s in sizes for n in (s, s * s)])
+            moved = 0.0
+            for k, s in enumerate(sizes):
+                step = np.linalg.solve(got[2 * k + 1].reshape(s, s) + ridge * np.eye(s), got[2 * k] - ridge * now[k])
+                now[k] = now[k] + np.clip(step, -5, 5)
+                moved = max(moved, np.abs(step).max())
+            if moved < 1e-3:
+                break
+    side = int(round(15 / GRID)) * 2 + 1
+
+    def grid(batch: pa.RecordBatch) -> list[np.ndarray]:
+        views = [np.rint((np.clip(v @ w, -15, 15) + 15) / GRID).astype(np.int64) for v, w in zip(_matrices(batch, space), now)]
+        return [np.bincount((labels(batch).astype(np.int64) * side + views[0]) * side + views[1], minlength=2 * side * side)]
+
+    cells = _summed(known.filter("apart"), grid, [2 * side * side])[0].reshape(2, side, side)
+    if (cells.sum(axis=(1, 2)) == 0).any():  # too few labels to keep some apart
+        cells = _summed(known, grid, [2 * side * side])[0].reshape(2, side, side)
+    y, a, b = np.nonzero(cells)
+    weight = cells[y, a, b]
+    views = np.column_stack([a, b]) * GRID - 15
+    single = [logistic(views[:, [k]], y.astype(float), weight, ridge=0.1) for k in (0, 1)]
+    calibrated = np.column_stack([views[:, k] * single[k][0] + single[k][1] for k in (0, 1)])
+    both = logistic(calibrated, y.astype(float), weight, ridge=0.1)
+    combine = np.array([both[0] * single[0][0], both[1] * single[1][0], both[2] + both[0] * single[0][1] + both[1] * single[1][1]])
+    return Model(space, now[0], now[1], combine)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> Model | None:
+    """A model from all labelled documents and all without a label."""
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)).alias("n_chars"))
-    ids = rows.select("i").filter("i is not null").distinct()
-    named = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("int").alias("y"))
-    each = max_labelled // 2
-    present = named.join(ids, "i", "left_semi")
-    count = {r["y"]: r["count"] for r in present.filter("y in (0, 1)").groupBy("y").count().collect()}
-    if len(count) < 2:
+    named = labels.filter("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("int").alias("y"))
+    some = named.orderBy(F.xxhash64("i"), "i").limit(2 * max_labelled).join(rows.select("i").distinct(), "i", "left_semi").orderBy(F.xxhash64("i"), "i").limit(max_labelled)
+    first = sampled(rows.withColumnRenamed("text", "x"), some, max_bytes).toArrow().sort_by("i")  # max_labelled rows and max_bytes at most
+    if first.num_rows < 2:
         return None
-    stands_for = tuple(max(1.0, count[y] / max(each, 1)) for y in (0, 1))
-    some = present.filter("y = 0").orderBy(*order("i")).limit(each)
-    some = some.unionByName(present.filter("y = 1").orderBy(*order("i")).limit(each))
-    names = tuple([r[0] for r in rows.groupBy(c).count().orderBy(F.desc("count"), c).limit(NAMED).collect()] for c in ("lang", "source"))
-    known = rows.join(F.broadcast(some), "i").toArrow()  # as many ids as the bound
-    known = known.sort_by([("i", "ascending"), ("text", "ascending")])
-    surest = lambda model, bad, good: _surest(rows, named, model, bad, good)
-    return co_train([t.encode() for t in known["text"].to_pylist()], known["lang"].to_pylist(), known["source"].to_pylist(), known["n_chars"].to_numpy(), known["y"].to_numpy(), stands_for, names, surest)
-
-
-def _views(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds by text and by metadata of columns text, lang, source, n_chars."""
-    buf, offsets = text_buffer(batch.column("text"))
-    n = len(offsets) - 1
-    text, meta = np.zeros(n), np.zeros(n)
-    langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-    lengths = pc.fill_null(batch.column("n_chars").cast(pa.float64()), -1.0).to_numpy(zero_copy_only=False)
-    for lo, hi in row_slices(offsets, SLICE_BYTES):
-        b, o = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        text[lo:hi] = model.text_view(b, o)
-        meta[lo:hi] = model.meta_view(langs[lo:hi], sources[lo:hi], lengths[lo:hi], layout(b, o))
-    return text, meta
+    top = tuple([r[0] for r in rows.groupBy(c).count().orderBy(F.desc("count"), c).limit(NAMED).collect()] for c in ("lang", "source"))
+    space = Space([t.encode() for t in first["x"].to_pylist()], first["n_chars"].to_numpy(), *top)
+    features = written(_features(rows, space), "features")
+    one = F.min(F.struct("h", "x", "lang", "source", "n_chars")).alias("r")
+    held = features.filter("i is not null").join(named, "i").groupBy("i").agg(one, F.first("y").alias("y"))
+    known = written(held.select("r.x", "r.lang", "r.source", "r.n_chars", "y", (F.pmod(F.xxhash64("i", F.lit(5)), F.lit(3)) == 2).alias("apart")), "known")
+    free = features.join(named, "i", "left_anti").groupBy("h").agg(one)
+    unknown = written(free.select("r.x", "r.lang", "r.source", "r.n_chars"), "unknown")
+    drop_written(features)
+    model = co_train(known, unknown, space)
+    drop_written(known)
+    drop_written(unknown)
+    return model
 
 
 def _score(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views' log odds and the probability of good."""
-    if model is None:
-        n = batch.num_rows
+    """Both views' log odds and the probability of good of columns text, lang, source, n_chars."""
+    n = batch.num_rows
+    if model is None or not n:
         return np.zeros(n), np.zeros(n), np.full(n, 0.5)
-    text, meta = _views(batch, model)
+    buf, offsets = text_buffer(batch.column("text"))
+    text = _by_slices(model.text_view, buf, offsets)
+    meta = model.meta_view(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), _lengths(batch.column("n_chars")))
     return text, meta, model.probability(text, meta)
 
 
