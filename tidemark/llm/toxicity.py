@@ -26,6 +26,7 @@ text are read, so other columns cannot clash, and keep_clean() returns all of th
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from array import array
@@ -487,11 +488,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = [F.xxhash64("i"), F.col("i")]
     some = named.filter("t = 1").orderBy(*order).limit(max_toxic).unionByName(named.filter("t = 0").orderBy(*order).limit(max_clean))
     known = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
-    rows = sampled(known, some, max_bytes).toArrow()  # at most max_toxic + max_clean rows and max_bytes
-    rows = sorted(zip(rows["i"].to_pylist(), rows["x"].to_pylist(), rows["t"].to_pylist()))
-    toxic = np.array([r[2] == 1 for r in rows], dtype=bool)
-    stands_for = max(1.0, count.get(0, 0) / max(int((~toxic).sum()), 1)), max(1.0, count.get(1, 0) / max(int(toxic.sum()), 1))
-    return train([r[1] for r in rows], toxic, stands_for=stands_for)
+
+    @lean
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("i", "x", "t"))))
+        toxic = np.array([r[2] == 1 for r in rows], dtype=bool)
+        stands_for = max(1.0, count.get(0, 0) / max(int((~toxic).sum()), 1)), max(1.0, count.get(1, 0) / max(int(toxic.sum()), 1))
+        model = train([r[1] for r in rows], toxic, stands_for=stands_for)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task trains, on at most max_toxic + max_clean rows and max_bytes; the driver gets the machine alone
+    got = sampled(known, some, max_bytes).select("i", "x", "t").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
 def toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
