@@ -3,13 +3,14 @@
 Texts with equal n-gram sets form one class first and are represented by the class's least document.  Band and row
 counts follow from the recall wanted at the threshold.  Representatives that share a band hash are tied to the least
 of their bucket (as many ties as rows, never pairs), and the ties' components say which n-gram sets have to meet.  A
-component is cut into blocks of bounded n-grams, and each pair of blocks is one unit of work that compares the sets
-of all pairs sharing a band.  A unit returns how many documents each representative is linked to, and a spanning forest
+component is cut into blocks of bounded texts and n-grams, and each pair of blocks that share a band is one unit of work: it
+gets the texts with such a band, and compares the sets of all pairs sharing one, a tile of them at a time.  A unit returns how many documents each representative is linked to, and a spanning forest
 of the links; pairs are never written.
 
 Edge cases: a null text is empty; texts without words are copies of each other and like no other; texts of fewer than
 `size` words have one n-gram; repeated rows are copies; rows without an id belong to no class (class_id null, no links)
-and link to none; an empty table gives no rows; only the id and the text are read, so other columns cannot clash.
+and link to none; a very long text is one n-gram set, in a block as any other; an empty table gives no rows; only the id and
+the text are read, so other columns cannot clash, and keep_one_each() returns all of them.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import lean, partitions, written
+from ._store import drop_written, lean, partitions, written
 from ._text import NEAR_SIMILARITY, SHINGLE_WORDS, mix64, row_slices, seeded, shingle_hashes, text_buffer, word_hashes, word_spans
 
 RECALL = 0.9995
 MAX_HASHES = 160
-#: N-grams of a block of a component.
-BLOCK_NGRAMS = 1_000_000
+#: N-grams and texts of a block of a component, on average; pairs of TILE by TILE texts are compared at a time.
+BLOCK_NGRAMS, BLOCK_REPS, TILE = 1_000_000, 1000, 1000
 SLICE_BYTES = 1 << 20
 
 
@@ -91,44 +92,47 @@ def _signatures(batches: Iterable[pa.RecordBatch], size: int, bands: int, rows:
             )
 
 
-def linked(sets: list[np.ndarray], may: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of `may` (a matrix over the sets) reach the threshold, exactly."""
-    g = len(sets)
+def linked(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (rows i, j of numbers of sets) reach the threshold, exactly."""
     n = np.array([len(s) for s in sets], np.float64)
-    may = may & (np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n) - 1e-9)
-    out = np.zeros((g, g), dtype=bool)
-    pairs = np.argwhere(may)
+    i, j = pairs[:, 0], pairs[:, 1]
+    out = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+    pairs = pairs[out]
     if not len(pairs):
         return out
     used = np.unique(pairs)
-    value, inverse, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    value, inverse, times = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(used)), n[used].astype(int))
     twice = times >= 2
     column = np.cumsum(twice) - 1
     shared = twice[inverse]
     owner, column, width = owner[shared], column[inverse[shared]], int(twice.sum())
-    mean = n[used].mean()
-    if len(used) ** 2 * width / 8e9 < len(pairs) * (15e-6 + 30e-9 * mean):
-        inter = np.zeros((len(used), len(used)), np.float32)
+    where = np.searchsorted(used, pairs)
+    left, right = np.unique(where[:, 0]), np.unique(where[:, 1])
+    if len(left) * len(right) * width / 8e9 < len(pairs) * (15e-6 + 30e-9 * n[used].mean()):
+        inter = np.zeros((len(left), len(right)), np.float32)
+        row, col = np.full(len(used), -1), np.full(len(used), -1)
+        row[left], col[right] = np.arange(len(left)), np.arange(len(right))
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        step = max(1, 8_000_000 // len(used))
+        step = max(1, 4_000_000 // (len(left) + len(right)))
         for lo in range(0, width, step):
             a, b = np.searchsorted(column, [lo, lo + step])
-            m = np.zeros((len(used), min(step, width - lo)), np.float32)
-            m[owner[a:b], column[a:b] - lo] = 1
-            inter += m @ m.T
-        where = np.searchsorted(used, pairs)
-        both = inter[where[:, 0], where[:, 1]].astype(np.float64)
+            who, at = owner[a:b], column[a:b] - lo
+            parts = []
+            for place, size in ((row, len(left)), (col, len(right))):
+                m, has = np.zeros((size, min(step, width - lo)), np.float32), place[who] >= 0
+                m[place[who[has]], at[has]] = 1
+                parts.append(m)
+            inter += parts[0] @ parts[1].T
+        both = inter[row[where[:, 0]], col[where[:, 1]]].astype(np.float64)
     else:
         both = np.empty(len(pairs))
-        for k, (i, j) in enumerate(pairs.tolist()):
-            x, y = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+        for k, (x, y) in enumerate(pairs.tolist()):
+            x, y = (sets[x], sets[y]) if len(sets[x]) < len(sets[y]) else (sets[y], sets[x])
             at = np.searchsorted(y, x)
             both[k] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-    i, j = pairs[:, 0], pairs[:, 1]
-    ok = both * (1 + threshold) >= threshold * (n[i] + n[j]) - 1e-6
-    out[i[ok], j[ok]] = True
+    out[out] = both * (1 + threshold) >= threshold * (n[pairs[:, 0]] + n[pairs[:, 1]]) - 1e-6
     return out
 
 
@@ -150,17 +154,32 @@ def _unit(group: list[tuple], size: int, threshold: float) -> list[tuple[int, in
     if len(rep) < 2:
         return []
     code, block = np.array(bands, np.int64), np.array(block)
-    may = np.zeros((len(rep), len(rep)), dtype=bool)
-    for b in range(code.shape[1]):
-        may |= code[:, b, None] == code[None, :, b]
-    may &= np.triu(np.ones_like(may), 1) if bi == bj else (block[:, None] == bi) & (block[None, :] == bj)
-    link = linked(sets, may, threshold)
-    link |= link.T
     rep, weight = np.array(rep, np.int64), np.array(weight, np.int64)
-    told = link @ weight
+    here = np.arange(len(rep)) if bi == bj else np.flatnonzero(block == bi)
+    there = np.arange(len(rep)) if bi == bj else np.flatnonzero(block == bj)
+    links = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(here), TILE):  # some rows at a time: memory is a tile, however many are alike
+        mine = here[lo : lo + TILE]
+        for ro in range(0, len(there), TILE):
+            theirs = there[ro : ro + TILE]
+            may = np.zeros((len(mine), len(theirs)), dtype=bool)
+            for b in range(code.shape[1]):
+                may |= code[mine, b, None] == code[None, theirs, b]
+            if bi == bj:
+                may &= mine[:, None] < theirs[None, :]
+            x, y = np.nonzero(may)
+            if len(x):
+                pairs = np.column_stack([mine[x], theirs[y]])
+                links.append(pairs[linked(sets, pairs, threshold)].astype(np.int32))
+    links = np.concatenate(links)
+    told = np.zeros(len(rep), np.int64)
+    np.add.at(told, links[:, 0], weight[links[:, 1]])
+    np.add.at(told, links[:, 1], weight[links[:, 0]])
     label = rep.copy()
-    while True:  # least representative of what hangs together here
-        new = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+    while len(links):  # least representative of what hangs together here
+        new = label.copy()
+        np.minimum.at(new, links[:, 0], label[links[:, 1]])
+        np.minimum.at(new, links[:, 1], label[links[:, 0]])
         if (new == label).all():
             break
         label = new
@@ -187,7 +206,7 @@ def _units(batches: Iterable[pa.RecordBatch], size: int, threshold: float) -> It
     yield from out()
 
 
-def near_classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, size: int = SHINGLE_WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, id_col: str = "doc_id", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, size: int = SHINGLE_WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, id_col: str = "doc_id", text_col: str = "text", block_ngrams: int = BLOCK_NGRAMS, block_reps: int = BLOCK_REPS) -> DataFrame:
     """One row per document: id, class_id (the least id that it hangs together with by links), n_links (other documents
     of at least the threshold's similarity)."""
     bands, rows = bands_for(threshold, recall, max_hashes)
@@ -195,24 +214,36 @@ def near_classes(docs: DataFrame, threshold: float = NEAR_SIMILARITY, size: int
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     signed = written(docs.filter("doc is not null").mapInArrow(lambda it: _signatures(it, size, bands, rows), "doc long, key binary, n long, bands array<long>"), "signatures")
-    reps = written(signed.groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    grouped = written(signed.groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     # an id may stand for several texts, so a class is known by its key; ids serve as nodes only where they are unique
-    reps = reps.withColumn("node", F.xxhash64("key"))
+    reps = grouped.withColumn("node", F.xxhash64("key"))
     spread = reps.select("node", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    met = components(spread.join(buckets, "band").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    buckets = spread.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = written(spread.join(buckets, "band").select("node", "band", "least", "c"), "shared")
+    met = components(shared.select(F.col("node").alias("a"), F.col("least").alias("b")), hashed=True)
     parts = met.join(reps, "node").select("label", "node", "rep", "key", "copies", "bands", "n")
-    cut = parts.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(float(block_ngrams))).cast("int").alias("blocks"))
-    dealt = parts.join(cut, "label").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "key", "copies", "bands", F.col("rep").alias("doc"))
-    work = dealt.join(docs.filter("doc is not null"), "doc").drop("doc")
+    size_of = F.greatest(F.sum("n") / F.lit(float(block_ngrams)), F.count(F.lit(1)) / F.lit(float(block_reps)))
+    cut = parts.groupBy("label").agg(F.ceil(size_of).cast("int").alias("blocks"))
+    # a block is made of whole buckets where they fit, so that few blocks share a band; a large bucket goes over several
+    home = shared.groupBy("node").agg(F.max(F.struct("c", "band")).alias("home"))
+    turn = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("home.c") / F.lit(block_reps)))
+    dealt = parts.join(cut, "label").join(home, "node").withColumn("own", F.pmod(F.xxhash64("home.band") % F.lit(1 << 30) + turn, F.col("blocks")).cast("int")).drop("home")
+    dealt = written(dealt, "blocks")
+    # a text goes to the pairs of blocks that its own bands are in
+    seen = dealt.filter("blocks > 1").select("node", "own").join(shared, "node").select("node", "own", "band")
+    blocks_in = seen.groupBy("band").agg(F.collect_set("own").alias("in"))
+    others = seen.join(blocks_in, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("in"))).alias("others"))
+    dealt_out = dealt.join(others, "node", "left").withColumn("other", F.explode(F.coalesce("others", F.array("own"))))
+    dealt_out = dealt_out.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own", "key", "copies", "bands", F.col("rep").alias("doc"))
+    work = dealt_out.join(docs.filter("doc is not null"), "doc").drop("doc")
     found = written(work.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j", "node").select("label", "i", "j", "node", "own", "key", "copies", "bands", "text").mapInArrow(lambda it: _units(it, size, threshold), "a long, b long, links long"), "links")
-    together = components(found.filter("b is not null").select("a", "b"))
+    together = components(found.filter("b is not null").select("a", "b"), hashed=True)
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = reps.select("key", "node", "rep", "copies").join(together, "node", "left").join(counts, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = named.join(least, "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = written(named.join(least, "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    for table in (grouped, shared, met, dealt, found, together):
+        drop_written(table)
     out = signed.select("doc", "key").join(classes, "key").select(F.col("doc").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links")
     nameless = docs.filter("doc is null").select(F.lit(None).cast(kind).alias(id_col), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nameless)
@@ -223,10 +254,13 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
     Where ids are null or repeat, rows are numbered first, and one row of each class stays.
     """
+    columns = docs.columns
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).filter(F.col(id_col).isNull() | (F.col("c") > 1))
     key = id_col
     if not ids.isEmpty():
         key = "_row"
+        while key in columns:
+            key += "_"
         docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     gone = near_classes(docs, id_col=key, **how).filter(f"{key} <> class_id").select(key)
-    return docs.join(gone, key, "left_anti").select(*(c for c in docs.columns if c != "_row"))
+    return docs.join(gone, key, "left_anti").select(*columns)
