@@ -5,6 +5,9 @@ All are native expressions, so they stay inside generated code and Catalyst can
 
 from __future__ import annotations
 
+import functools
+import html
+import html.entities
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -119,12 +122,35 @@ def plain_event_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^0-9a-zA-Z가-힣\s]", " "), r"\s+", " "))
 
 
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: Numbers of references that stand for other characters than their own.
+_ODD = {n: html.unescape(f"&#{n};") for n in (0, 13, *range(0x80, 0xA0))}
+
+
+@functools.cache
+def _named() -> dict[str, str]:
+    return {f"&{k}": v for k, v in html.entities.html5.items()}
+
+
+def _referred(r: Column) -> Column:
+    """What one character reference stands for; itself if nothing."""
+    table = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    digits = F.regexp_extract(r, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+    code = F.when(r.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    by_number = F.when(code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(F.element_at(table(_ODD), code.cast("int")), plain))
+    return F.when(F.startswith(r, F.lit("&#")), by_number).otherwise(F.coalesce(F.element_at(table(_named()), r), r))
+
+
+def decoded(c: Column) -> Column:
+    """Character references, numbered and named, decoded once."""
+    joined = F.zip_with(F.split(c, _REFERENCE, -1), F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), lambda text, r: F.concat(text, F.when(r.isNull(), "").otherwise(_referred(r))))
+    return F.when(c.contains("&"), F.array_join(joined, "")).otherwise(c)
+
+
 def markup_free(c: Column) -> Column:
-    """Common character references decoded and tags replaced by spaces."""
-    c = F.coalesce(c, F.lit(""))
-    for ref, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ref), F.lit(ch))
-    return squeezed(F.regexp_replace(c, "<[^>]+>", " "))
+    """Character references decoded and tags replaced by spaces."""
+    return squeezed(F.regexp_replace(let(F.coalesce(c, F.lit("")), decoded), "<[^>]+>", " "))
 
 
 def sentences(c: Column, least: int = 15) -> Column:
@@ -154,3 +180,28 @@ def shortened(c: Column, most: int = 320) -> Column:
 
 def lookup(c: Column, table: Mapping[str, str], default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), default)
+
+
+#: What labels are shown as.
+SHOWN_MOMENTUM = {"STRONG_HAWKISH_SHIFT": "▲▲ Strong Hawkish Shift", "HAWKISH_SHIFT": "▲ Hawkish Shift", "STABLE": "→ Stable", "DOVISH_SHIFT": "▼ Dovish Shift", "STRONG_DOVISH_SHIFT": "▼▼ Strong Dovish Shift", "INSUFFICIENT": "– Insufficient"}
+SHOWN_STANCE = {"HAWKISH": "🔴 Hawkish", "NEUTRAL_HAWKISH": "🟥 Neutral Hawkish", "NEUTRAL": "⚪ Neutral", "NEUTRAL_DOVISH": "🟩 Neutral Dovish", "DOVISH": "🟢 Dovish", "INSUFFICIENT": "– Insufficient", "UNKNOWN": "– Unknown"}
+SHOWN_CONFIDENCE = {"HIGH": "High", "MEDIUM": "Medium", "LOW": "Low", "INSUFFICIENT": "Insufficient"}
+
+
+def shown(label: Column, table: Mapping[str, str]) -> Column:
+    """A label as it is shown; one that is not known stays."""
+    text = F.coalesce(label.cast("string"), F.lit(""))
+    return lookup(F.upper(text), table, text)
+
+
+def votes(c: Column) -> Column:
+    """Whether a flag says yes: the number 1, or a word for it."""
+    x = c.try_cast("double")
+    return F.when(c.isNull(), False).when(x.isNotNull() & ~F.isnan(x), x.cast("int") == 1).otherwise(F.lower(F.trim(c)).isin("1", "true", "yes", "y"))
+
+
+def shown_member(name: Column, year: Column) -> Column:
+    """A name with the year that its vote ends in, or with the mark of a permanent one."""
+    x = year.try_cast("double")
+    text = F.when(x.isNotNull() & ~F.isnan(x), x.cast("int").cast("string")).otherwise(F.trim(year))
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(name, F.lit(" (~"), text, F.lit(")"))).otherwise(F.concat(name, F.lit(" (당연직)")))

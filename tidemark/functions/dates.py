@@ -104,3 +104,30 @@ def spoken_date(text: Column, published: Column) -> Column:
     said = try_date(F.year(month), F.month(month), day)
     gap = F.datediff(pub, said)
     return F.when(gap.between(0, 7), F.date_format(said, "yyyy-MM-dd"))
+
+
+def wire_date(c: Column) -> Column:
+    """The day that a mail-style date, YYYY.M.D (or with - or /) or Y년 M월 D일 names, as it is written: an ISO string."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    found = []
+    for p, (y, m, d) in ((r"^(?:[A-Za-z]{3,9},\s*)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\b", (3, 2, 1)), (r"(20\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})", (1, 2, 3)), (r"(20\d{2})년\s*(\d{1,2})월\s*(\d{1,2})일", (1, 2, 3))):
+        part = lambda k, p=p: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
+        month = month_number(part(m)) if m == 2 and d == 1 else part(m)
+        found.append(F.when(part(y).isNotNull(), try_date(part(y), month, part(d))))
+    return F.date_format(F.coalesce(*found), "yyyy-MM-dd")
+
+
+#: Names in file names and whose they are.
+URL_SPEAKERS = {"powell": "Jerome Powell", "cook": "Lisa Cook", "jefferson": "Philip Jefferson", "barr": "Michael Barr", "bowman": "Michelle Bowman", "waller": "Christopher Waller", "warsh": "Kevin Warsh"}
+
+
+def url_speaker(url: Column) -> Column:
+    """Whose name a file name begins with, before its date; null for names that are not known."""
+    slug = F.regexp_extract(F.lower(F.element_at(F.split(F.coalesce(url, F.lit("")), "/"), -1)), r"^([a-z]+)20\d{6}", 1)
+    return F.element_at(F.create_map(*(F.lit(x) for kv in URL_SPEAKERS.items() for x in kv)), slug)
+
+
+def page_speaker(text: Column) -> Column:
+    """The first known speaker that a page names."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*(F.when(low.contains(n.lower()), F.lit(n)) for n in URL_SPEAKERS.values()))

@@ -366,7 +366,7 @@ def c3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.plain_event_text(F.col("text")).alias("t"))
 
 
-_FREE = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_FREE = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("c4_markup_free", f"SELECT page_id, {_FREE.format('html')} AS t FROM pages")
@@ -381,28 +381,11 @@ def c5(spark, sf):
     return o.select("o_orderkey", D.english_date(F.concat(F.lit("Remarks on "), forms)).alias("d"))
 
 
-@query("c8_spoken_date", "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS p FROM orders) SELECT o_orderkey, strftime(p - 2, '%Y-%m-%d') AS d FROM o WHERE extract(day FROM p) > 5 AND extract(day FROM p) < 25")
-def c8(spark, sf):
-    o = table(spark, sf, "orders").withColumn("p", F.to_date("o_orderdate")).filter(F.dayofmonth("p").between(6, 24))
-    return o.select("o_orderkey", D.spoken_date(F.concat(F.dayofmonth(F.date_sub("p", 2)).cast("string"), F.lit("일(현지시간) 연설에서")), F.date_format("p", "yyyy-MM-dd")).alias("d"))
-
-
 @query("c9_url_stamp", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders")
 def c9(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", D.url_stamp(F.concat(F.lit("https://x.org/newsevents/speech/a"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("a.htm"))).alias("d"))
 
 
-@query("c10_url_date", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS d FROM orders WHERE extract(day FROM o_orderdate) < 28")
-def c10(spark, sf):
-    o = table(spark, sf, "orders").filter(F.dayofmonth("o_orderdate") < 28).withColumn("x", F.add_months(F.to_date("o_orderdate"), 144))
-    return o.select("o_orderkey", D.url_date(F.concat(F.lit("https://x.org/s_"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format("x", "yyyyMMdd")).otherwise(F.date_format("x", "yyMMdd")))).alias("d"))
-
-
-@query("c11_year", "SELECT o_orderkey, 2000 + CAST(o_orderkey % 25 AS INT) AS y FROM orders")
-def c11(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", D.year_of(F.lit(None), F.concat(F.lit("https://x.org/"), (2000 + F.col("o_orderkey") % 25).cast("string"), F.lit("/a"))).alias("y"))
-
-
 @query("c17_paragraphs")
 def c17(spark, sf):
     return table(spark, sf, "pages").select("page_id", P.paragraphs(F.col("html")).alias("body"))
@@ -428,11 +411,6 @@ def c21(spark, sf):
     return table(spark, sf, "events").select("event_id", C.number(F.when(F.col("event_id") % 20 == 0, "nan").when(F.col("event_id") % 10 == 0, "x").otherwise(F.col("event_id").cast("string"))).alias("x"))
 
 
-@query("c22_display", "SELECT event_id, CASE event_type WHEN 'click' THEN 'Clicked' WHEN 'view' THEN 'Seen' ELSE event_type END AS t FROM events")
-def c22(spark, sf):
-    return table(spark, sf, "events").select("event_id", C.lookup(F.col("event_type"), {"click": "Clicked", "view": "Seen"}, F.col("event_type")).alias("t"))
-
-
 @query("c25_json", "SELECT event_id, '{\"type\":\"' || event_type || '\",\"user\":' || CAST(user_id AS VARCHAR) || '}' AS j FROM events")
 def c25(spark, sf):
     return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("j"))
@@ -450,12 +428,6 @@ def s9(spark, sf):
     return P.links(table(spark, sf, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("href")), ",").alias("hrefs"))
 
 
-@query("s10_site_links", "WITH m AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 1)) AS h, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>', 2)) AS t FROM pages), l AS (SELECT page_id, regexp_extract(url, '^(\\w+://[^/?#]+)', 1) || h AS u FROM m WHERE h LIKE '/%' AND contains(lower(h), '/th') AND length(trim(t)) >= 3) SELECT u AS url, min(page_id) AS page_id FROM l GROUP BY u")
-def s10(spark, sf):
-    p = table(spark, sf, "pages")
-    return P.speech_links(p, ["/th"], F.col("base")).select("url", "page_id")
-
-
 @query("s18_body_cascade", "SELECT doc_id, CASE WHEN length(trim(CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END)) >= 100 THEN 'EXISTING' WHEN length(trim(text)) >= 100 THEN 'DIRECT' ELSE 'FAILED' END AS method FROM documents")
 def s18(spark, sf):
     b = P.body_cascade([("EXISTING", F.when(F.col("doc_id") % 2 != 0, F.col("text"))), ("DIRECT", F.col("text"))])

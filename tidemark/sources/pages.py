@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import markup_free
+from ..functions.columns import let, markup_free
 from ..functions.dates import english_date, url_date
 from ..operators.filters import same_site, usable_link
 
@@ -22,6 +22,9 @@ REGISTRY = (
     ("Richmond Fed", "https://www.richmondfed.org", "/press_room/speeches/", False),
     ("New York Fed", "https://www.newyorkfed.org", "/newsevents/speeches/", False),
     ("San Francisco Fed", "https://www.frbsf.org", "/speeches/", False),
+    ("Philadelphia Fed", "https://www.philadelphiafed.org", "/the-economy/", False),
+    ("Kansas City Fed", "https://www.kansascityfed.org", "/speeches/", True),
+    ("St. Louis Fed", "https://www.stlouisfed.org", "/from-the-president/remarks", False),
 )
 
 
@@ -37,9 +40,10 @@ def absolute_url(base: Column, href: Column) -> Column:
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, pos, href, text) of all anchors, in order."""
     h = F.coalesce(F.col(html), F.lit(""))
-    hrefs = F.regexp_extract_all(h, F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(1))
-    texts = F.regexp_extract_all(h, F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'), F.lit(2))
-    return pages.select(key, F.col(url).alias("base"), F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "a")).select(key, "base", "pos", F.col("a.href").alias("href"), markup_free(F.col("a.text")).alias("text"))
+    anchor = F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>""")
+    parts = [F.regexp_extract_all(h, anchor, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4)]
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(F.arrays_zip(*parts)).alias("pos", "a"))
+    return rows.select(key, "base", "pos", F.concat("a.g1", "a.g2", "a.g3").alias("href"), markup_free(F.col("a.g4")).alias("text"))
 
 
 def speech_links(pages: DataFrame, parts: list[str], base: Column, least: int = 3, key: str = "page_id") -> DataFrame:
@@ -50,11 +54,19 @@ def speech_links(pages: DataFrame, parts: list[str], base: Column, least: int =
     return first.select("url", F.col("f.text").alias("title"), F.col(f"f.{key}").alias(key), url_date(F.col("url")).alias("published_at")).orderBy(F.col("published_at").desc_nulls_last(), "url")
 
 
-def paragraphs(html: Column, least: int = 20) -> Column:
-    """Text of paragraphs of at least `least` characters, each once, one a line."""
+def region(html: Column, selectors: tuple[str, ...]) -> Column:
+    """What the first of the elements (tag names) that a page has holds; the page, if it has none."""
+    h = F.coalesce(html, F.lit(""))
+    return F.coalesce(*(F.nullif(F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1), F.lit("")) for t in selectors), h)
+
+
+def paragraphs(html: Column, least: int = 20, selectors: tuple[str, ...] = ("article", "main")) -> Column:
+    """Text of the article's paragraphs of at least `least` characters, each once whatever its case, one a line."""
+    html = region(html, selectors)
     parts = F.slice(F.split(F.coalesce(html, F.lit("")), r"(?i)<p\b[^>]*>"), 2, 100_000_000)
     cut = F.transform(parts, lambda p: markup_free(F.regexp_replace(p, r"(?is)</p\s*>.*$", "")))
-    return F.array_join(F.array_distinct(F.filter(cut, lambda t: F.length(t) >= least)), "\n")
+    long = F.filter(cut, lambda t: F.length(t) >= least)
+    return let(long, lambda x: F.array_join(F.filter(x, lambda t, i: F.array_position(F.transform(x, F.lower), F.lower(t)) == i + 1), "\n"))
 
 
 def heading(html: Column) -> Column:
@@ -74,7 +86,7 @@ def page_date(html: Column) -> Column:
 def reader_text(c: Column) -> Column:
     """A text reader's output without its header lines."""
     lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: ~F.trim(x).rlike(r"^(Title|URL Source|Published Time|Markdown Content|Warning):"))
-    return F.trim(F.array_join(lines, "\n"))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
