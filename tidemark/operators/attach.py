@@ -16,7 +16,7 @@ CROSS_DEFAULTS = {"speech_sample_count": 0, "news_label": "INSUFFICIENT", "news_
 EVENT_DEFAULTS = {
     "model_stance": "INSUFFICIENT", "model_confidence": "INSUFFICIENT", "model_evidence_count": 0, "recent_signal": "INSUFFICIENT", "recent_signal_confidence": "INSUFFICIENT",
     "aux_speech_label": "INSUFFICIENT", "aux_speech_count": 0, "recent_news_label": "INSUFFICIENT", "recent_news_confidence": "LOW", "recent_news_usable_count": 0,
-    "final_stance": "INSUFFICIENT", "final_confidence": "INSUFFICIENT", "final_model_weight": 0.0, "final_recent_weight": 0.0, "final_signal_conflict": False,
+    "final_stance": "INSUFFICIENT", "final_confidence": "INSUFFICIENT", "final_model_weight": 0.0, "final_recent_weight": 0.0, "final_signal_conflict": False, "final_reason": signals.REASONS["none"],
     **MOMENTUM_DEFAULTS, "news_count": 0, "news_usable_count": 0, "news_label": "INSUFFICIENT", "news_confidence": "LOW",
 }
 
@@ -69,15 +69,16 @@ def settled_stance(current: DataFrame) -> DataFrame:
     return current.select("member", score_.alias("speech_score"), F.when(F.col("speech_score").isNull(), "NEUTRAL").otherwise(F.col("speech_label")).alias("speech_label"), "sample_count")
 
 
-def attach_all(events: DataFrame, model: DataFrame, recent: DataFrame, final: DataFrame, momentum: DataFrame, news: DataFrame) -> DataFrame:
+def attach_all(events: DataFrame, model: DataFrame, recent: DataFrame, final: DataFrame, momentum: DataFrame, news: DataFrame, current: DataFrame, days: int = 90) -> DataFrame:
     """Events with all signals of their member: the signals meet by member first, then once with the events."""
     named = [
         model.select("member", "model_stance", "model_score", "model_confidence", F.col("evidence_count").alias("model_evidence_count")),
         recent.select("member", "recent_signal", F.col("recent_score").alias("recent_signal_score"), F.col("recent_confidence").alias("recent_signal_confidence"), F.col("aux_score").alias("aux_speech_score"), F.col("aux_label").alias("aux_speech_label"), F.col("aux_count").alias("aux_speech_count"), "recent_news_score", "recent_news_label", "recent_news_confidence", F.col("news_usable_count").alias("recent_news_usable_count")),
-        final.select("member", "final_stance", "final_score", "final_confidence", F.col("model_weight").alias("final_model_weight"), F.col("recent_weight").alias("final_recent_weight"), F.col("signal_conflict").alias("final_signal_conflict")),
+        final.select("member", "final_stance", "final_score", "final_confidence", F.col("model_weight").alias("final_model_weight"), F.col("recent_weight").alias("final_recent_weight"), F.col("signal_conflict").alias("final_signal_conflict"), "final_reason"),
         news.select("member", "news_score", "news_label", "news_count", "news_usable_count", "news_confidence"),
+        current.select("member", F.col("speech_score").alias("speech_current_score"), F.col("speech_label").alias("speech_current_label"), F.col("sample_count").alias("speech_sample_count")),
     ]
     one = named[0]
     for other in named[1:]:
         one = one.join(other, "member", "full_outer")
-    return filled(attach_momentum(events.join(one, "member", "left"), momentum), EVENT_DEFAULTS)
+    return filled(attach_momentum(events.join(one, "member", "left"), momentum), EVENT_DEFAULTS).withColumn("recent_lookback_days", F.lit(days))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,29 @@ _DISINFLATION = (
 )
 
 
+@dataclass(frozen=True)
+class StanceRules:
+    """What sentences are scored by: patterns and phrases of both directions, words of first-hand and of reported stance, and the
+    rules on disinflation (word, one of, one of, none of, weight, name)."""
+
+    hawk_conditions: list = field(default_factory=lambda: L.HAWK_CONDITIONS)
+    dove_conditions: list = field(default_factory=lambda: L.DOVE_CONDITIONS)
+    hawk_phrases: dict = field(default_factory=lambda: L.HAWK_PHRASES)
+    dove_phrases: dict = field(default_factory=lambda: L.DOVE_PHRASES)
+    hawk_phrases_ko: dict = field(default_factory=lambda: L.HAWK_PHRASES_KO)
+    dove_phrases_ko: dict = field(default_factory=lambda: L.DOVE_PHRASES_KO)
+    hawk_patterns: list = field(default_factory=lambda: L.HAWK_PATTERNS)
+    dove_patterns: list = field(default_factory=lambda: L.DOVE_PATTERNS)
+    hawk_patterns_ko: list = field(default_factory=lambda: L.HAWK_PATTERNS_KO)
+    dove_patterns_ko: list = field(default_factory=lambda: L.DOVE_PATTERNS_KO)
+    first_person: list = field(default_factory=lambda: L.FIRST_PERSON)
+    reported: list = field(default_factory=lambda: L.REPORTED)
+    disinflation: tuple = _DISINFLATION
+    context: list = field(default_factory=lambda: L.RATE_CONTEXT)
+    other_rates: list = field(default_factory=lambda: L.OTHER_RATES)
+    strong_context: list = field(default_factory=lambda: L.STRONG_RATE_CONTEXT)
+
+
 def _phrase_signals(s: Column, rates: Column, lexicon: dict[str, int], prefix: str = "") -> Column:
     """Signals of phrases present; those of the rate family only in a context of policy rates."""
     entry = lambda p, w: F.struct(F.lit(prefix + p).alias("k"), F.lit(w).alias("w"), F.lit(p).alias("p"), F.lit(any(x in p.lower() for x in L.RATE_FAMILY)).alias("r"))
@@ -118,25 +142,26 @@ def _without(signals: Column, test: Column, parts: list[str]) -> Column:
     return F.when(test, F.filter(signals, lambda e: ~any_of(e["k"], parts))).otherwise(signals)
 
 
-def sentence_scores(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
+def sentence_scores(rows: DataFrame, sentence: str = "sentence", rules: StanceRules | None = None) -> DataFrame:
     """rows with hawk_score, dove_score, net_score, hawk_signals, dove_signals of each sentence.
 
     Steps are columns of their own, so that no expression grows beyond what one generated method may hold.
     """
+    rules = rules or StanceRules()
     rows = rows.withColumn("_s", F.lower(F.coalesce(F.col(sentence), F.lit(""))))
     s = F.col("_s")
-    rows = rows.withColumn("_r", rate_context(s))
+    rows = rows.withColumn("_r", rate_context(s, rules.context, rules.other_rates, rules.strong_context))
     r = F.col("_r")
-    hawk = F.concat(_pattern_signals(s, r, L.HAWK_CONDITIONS, False), _phrase_signals(s, r, L.HAWK_PHRASES), _phrase_signals(s, r, L.HAWK_PHRASES_KO, "ko:"), _pattern_signals(s, r, L.HAWK_PATTERNS, True), _pattern_signals(s, r, L.HAWK_PATTERNS_KO, False))
-    dove = F.concat(_pattern_signals(s, r, L.DOVE_CONDITIONS, False), _phrase_signals(s, r, L.DOVE_PHRASES), _phrase_signals(s, r, L.DOVE_PHRASES_KO, "ko:"), _pattern_signals(s, r, L.DOVE_PATTERNS, True), _pattern_signals(s, r, L.DOVE_PATTERNS_KO, False))
+    hawk = F.concat(_pattern_signals(s, r, rules.hawk_conditions, False), _phrase_signals(s, r, rules.hawk_phrases), _phrase_signals(s, r, rules.hawk_phrases_ko, "ko:"), _pattern_signals(s, r, rules.hawk_patterns, True), _pattern_signals(s, r, rules.hawk_patterns_ko, False))
+    dove = F.concat(_pattern_signals(s, r, rules.dove_conditions, False), _phrase_signals(s, r, rules.dove_phrases), _phrase_signals(s, r, rules.dove_phrases_ko, "ko:"), _pattern_signals(s, r, rules.dove_patterns, True), _pattern_signals(s, r, rules.dove_patterns_ko, False))
     rows = rows.withColumn("_h", hawk).withColumn("_d", dove)
     # the first disinflation rule that applies
     rule = F.lit(None).cast("string")
-    for word, first, second, none, _, name in reversed(_DISINFLATION):
+    for word, first, second, none, _, name in reversed(rules.disinflation):
         test = s.contains(word) & any_of(s, first) & (any_of(s, second) if second else F.lit(True)) & (~any_of(s, none) if none else F.lit(True))
         rule = F.when(test, F.lit(name)).otherwise(rule)
     rows = rows.withColumn("_x", rule)
-    for _, _, _, _, w, name in _DISINFLATION:
+    for _, _, _, _, w, name in rules.disinflation:
         target = "_h" if w > 0 else "_d"
         rows = rows.withColumn(target, F.concat(F.col(target), _one(F.coalesce(F.col("_x") == name, F.lit(False)), name, w)))
     # negations take signals back, or turn them round
@@ -152,14 +177,14 @@ def sentence_scores(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
     d = _without(d, prolongs, ["금리 인하", "rate_cut"])
     h = F.concat(h, _one(prolongs, "ko_cut_prolongs_inflation", 6))
     rows = rows.withColumn("_h", h).withColumn("_d", d)
-    factor = F.when(any_of(s, L.FIRST_PERSON), 1.35).when(any_of(s, L.REPORTED), 0.5).otherwise(1.0)
+    factor = F.when(any_of(s, rules.first_person), 1.35).when(any_of(s, rules.reported), 0.5).otherwise(1.0)
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, e: a + e["w"])
     rows = rows.withColumn("hawk_score", F.least(F.bround(total(F.col("_h")) * factor).cast("int"), F.lit(6))).withColumn("dove_score", F.greatest(F.bround(total(F.col("_d")) * factor).cast("int"), F.lit(-6)))
     names = lambda c: F.transform(c, lambda e: e["k"])
     return rows.withColumn("net_score", F.col("hawk_score") + F.col("dove_score")).withColumn("hawk_signals", names(F.col("_h"))).withColumn("dove_signals", names(F.col("_d"))).drop("_s", "_r", "_h", "_d", "_x")
 
 
-def article_stance(df: DataFrame, key: str = "seq", most: int = 8, clip: int = 20) -> DataFrame:
+def article_stance(df: DataFrame, key: str = "seq", most: int = 8, clip: int = 20, rules: StanceRules | None = None) -> DataFrame:
     """Stance of articles by their title and sentences, one row each.
 
     Sentences are scored as rows, so a very long text spreads over the expression, not over a Python object.
@@ -167,7 +192,7 @@ def article_stance(df: DataFrame, key: str = "seq", most: int = 8, clip: int = 2
     text = F.coalesce("text", F.lit(""))
     whole = F.when(F.coalesce("title", F.lit("")) != "", F.array(F.col("title"))).otherwise(F.array().cast("array<string>"))
     rows = df.select(key, F.length(F.trim(text)).alias("_len"), F.posexplode_outer(F.concat(whole, sentences(text))).alias("pos", "sentence"))
-    scored = sentence_scores(rows)
+    scored = sentence_scores(rows, rules=rules)
     used = (F.col("hawk_score") != 0) | (F.col("dove_score") != 0)
     item = F.struct((-F.abs("net_score")).alias("o"), F.col("pos").alias("p"), "sentence", "hawk_score", "dove_score", "net_score", "hawk_signals", "dove_signals")
     agg = scored.groupBy(key).agg(

@@ -18,6 +18,15 @@ RANK_TENTHS = (10, 9, 8, 7, 6)
 REST_TENTHS = 5
 SPEECH_SHARE, NEWS_SHARE = 0.7, 0.3
 IMPORTANT = ("HIGH", "MEDIUM")
+#: Why a final stance is what it is.
+REASONS = {
+    "none": "No usable model or recent evidence.",
+    "recent": "Model evidence insufficient; recent signal used as fallback.",
+    "model": "No usable recent signal; model stance retained.",
+    "conflict": "Model and recent signals conflict; model retained as anchor and confidence reduced.",
+    "agreed": "Model and recent signals point in the same direction.",
+    "adjusted": "Recent signal used as a limited adjustment to the model anchor.",
+}
 
 
 def newest(df: DataFrame, n: int, date: str = "d", rank: str = "rn", key: str = "member") -> DataFrame:
@@ -175,7 +184,11 @@ def final_stance(model: DataFrame, recent: DataFrame, digits: int | None = 2) ->
         F.when(m.isNull() & r.isNull(), "INSUFFICIENT").when(m.isNull(), "LOW").when(r.isNull(), F.when(mc.isin("HIGH", "MEDIUM", "LOW"), mc).otherwise("LOW"))
         .when(clash, F.when(mc == "HIGH", "MEDIUM").otherwise("LOW")).otherwise(agreed)
     )
-    return x.select("member", score.alias("final_score"), stance(score, 5, 2, "INSUFFICIENT").alias("final_stance"), conf.alias("final_confidence"), rounded(wm, 3 if digits else None).alias("model_weight"), rounded(wr, 3 if digits else None).alias("recent_weight"), clash.alias("signal_conflict"))
+    why = (
+        F.when(m.isNull() & r.isNull(), REASONS["none"]).when(m.isNull(), REASONS["recent"]).when(r.isNull(), REASONS["model"])
+        .when(clash, REASONS["conflict"]).when(direction(m) * direction(r) == 1, REASONS["agreed"]).otherwise(REASONS["adjusted"])
+    )
+    return x.select("member", score.alias("final_score"), stance(score, 5, 2, "INSUFFICIENT").alias("final_stance"), conf.alias("final_confidence"), rounded(wm, 3 if digits else None).alias("model_weight"), rounded(wr, 3 if digits else None).alias("recent_weight"), clash.alias("signal_conflict"), why.alias("final_reason"))
 
 
 def counted(df: DataFrame, column: str, categories: list[str]) -> DataFrame:

@@ -152,7 +152,8 @@ final AS (SELECT member, final_score, {stance_sql('final_score', 5, 2, 'INSUFFIC
     WHEN clash THEN CASE mc WHEN 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END WHEN mc = 'HIGH' THEN 'HIGH' WHEN mc = 'MEDIUM' THEN CASE WHEN rc IN ('HIGH', 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END
     WHEN rc = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS final_confidence,
   CASE WHEN m IS NOT NULL AND r IS NOT NULL THEN 1 - sh WHEN m IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS model_weight,
-  CASE WHEN m IS NOT NULL AND r IS NOT NULL THEN sh WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recent_weight, clash AS signal_conflict FROM fs)"""
+  CASE WHEN m IS NOT NULL AND r IS NOT NULL THEN sh WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recent_weight, clash AS signal_conflict,
+  CASE WHEN m IS NULL AND r IS NULL THEN '{S.REASONS['none']}' WHEN m IS NULL THEN '{S.REASONS['recent']}' WHEN r IS NULL THEN '{S.REASONS['model']}' WHEN clash THEN '{S.REASONS['conflict']}' WHEN sign(m) * sign(r) = 1 THEN '{S.REASONS['agreed']}' ELSE '{S.REASONS['adjusted']}' END AS final_reason FROM fs)"""
 
 
 def final(spark, sf_dir):
@@ -210,16 +211,6 @@ def q2(spark, sf_dir):
     return kpis(utterances(spark, sf_dir))
 
 
-@query("p8_member_results", f"""WITH {U}, {_CURRENT}, {_FINAL} SELECT u.seq, u.member, coalesce(final_stance, 'INSUFFICIENT') AS final_stance, final_score, coalesce(model_stance, 'INSUFFICIENT') AS model_stance, coalesce(speech_label, 'UNKNOWN') AS speech_label
-FROM u LEFT JOIN final USING (member) LEFT JOIN model USING (member) LEFT JOIN cur USING (member)""")
-def p8(spark, sf_dir):
-    from .serve import attach_results
-
-    u = utterances(spark, sf_dir)
-    out = attach_results(u, {"final_stance": final(spark, sf_dir).select("member", "final_stance", "final_score"), "model_stance": S.evidence_score(u, _eligible(), digits=None).select("member", "model_stance"), "speech_label": S.current_stance(u, digits=None).select("member", "speech_label")}, {"final_stance": "INSUFFICIENT", "model_stance": "INSUFFICIENT", "speech_label": "UNKNOWN"})
-    return out.select("seq", "member", "final_stance", "final_score", "model_stance", "speech_label")
-
-
 @query("k3_member_summary", f"WITH {U} SELECT member, arg_max(score, struct_pack(d := d, s := -seq)) AS latest_score, max(d) AS latest_day, count(*) FILTER (relevance IN ('HIGH', 'MEDIUM')) AS important FROM u GROUP BY member")
 def k3(spark, sf_dir):
     from .serve import member_summary
@@ -247,9 +238,11 @@ def q4(spark, sf_dir):
     return utterances(spark, sf_dir).filter("member = 1").orderBy(F.desc("d"), "seq").select("seq", "d", "score")
 
 
-@query("l3_summary_order", f"WITH {U}, {_FINAL} SELECT member, final_score, row_number() OVER (ORDER BY final_score DESC NULLS LAST, member) AS place FROM final QUALIFY place <= 20")
+@query("l3_summary_order", f"WITH {U}, {_FINAL} SELECT member, final_score, row_number() OVER (ORDER BY final_score DESC NULLS LAST, model_score DESC NULLS LAST, member) AS place FROM final LEFT JOIN model USING (member)")
 def l3(spark, sf_dir):
-    top = final(spark, sf_dir).orderBy(F.col("final_score").desc_nulls_last(), "member").limit(20)  # a report of the first twenty
     from pyspark.sql import Window as W
 
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.col("final_score").desc_nulls_last(), "member")).cast("long")).select("member", "final_score", "place")
+    u = utterances(spark, sf_dir)
+    rows = final(spark, sf_dir).join(S.evidence_score(u, _eligible(), digits=None).select("member", "model_score"), "member", "left")
+    order = W.orderBy(F.col("final_score").desc_nulls_last(), F.col("model_score").desc_nulls_last(), "member")
+    return rows.select("member", "final_score", F.row_number().over(order).cast("long").alias("place"))

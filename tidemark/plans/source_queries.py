@@ -11,9 +11,10 @@ from ..operators import attach
 from ..operators import signals as S
 from ..sources import chains as K
 from ..sources import pages as P
+from ..sources.tables import written
 from .registry import query
-from .signal_queries import _CURRENT, _NEWS
-from .views import A, U, articles, table, utterances
+from .signal_queries import _CURRENT, _FINAL, _NEWS, _as_of, _eligible
+from .views import A, U, articles, stance_sql, table, utterances
 
 #: orders as dated items of the years from 2004 on: a key, a member and a day.
 O = "o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) + INTERVAL 12 YEAR AS t, o_orderpriority AS p FROM orders), i AS (SELECT *, CAST(t AS DATE) AS d FROM o)"
@@ -311,3 +312,24 @@ def p10c(spark, sf):
 def a2b(spark, sf):
     u = utterances(spark, sf)
     return attach.settled_stance(S.current_stance(u, digits=None))
+
+
+@query("p8_all_signals", f"""WITH {U}, {_CURRENT}, {_FINAL}, {_MOMENTUM} SELECT u.seq, coalesce(model_stance, 'INSUFFICIENT') AS model_stance, model_score, coalesce(model_confidence, 'INSUFFICIENT') AS model_confidence, coalesce(evidence_count, 0) AS model_evidence_count,
+  coalesce(recent_signal, 'INSUFFICIENT') AS recent_signal, recent_score AS recent_signal_score, coalesce(recent_confidence, 'INSUFFICIENT') AS recent_signal_confidence, 7 AS recent_lookback_days,
+  ax.aux_score AS aux_speech_score, {stance_sql('ax.aux_score', missing='INSUFFICIENT')} AS aux_speech_label, coalesce(recent.aux_count, 0) AS aux_speech_count,
+  news.news_score AS recent_news_score, coalesce(news_label, 'INSUFFICIENT') AS recent_news_label, coalesce(news_confidence, 'LOW') AS recent_news_confidence, coalesce(recent.news_usable_count, 0) AS recent_news_usable_count,
+  coalesce(final_stance, 'INSUFFICIENT') AS final_stance, final_score, coalesce(final_confidence, 'INSUFFICIENT') AS final_confidence, coalesce(model_weight, 0) AS final_model_weight, coalesce(recent_weight, 0) AS final_recent_weight, coalesce(signal_conflict, false) AS final_signal_conflict, coalesce(final_reason, '{S.REASONS['none']}') AS final_reason,
+  {', '.join(_MOMENTUM_COLUMNS)}, speech_score AS speech_current_score, speech_label AS speech_current_label, sample_count AS speech_sample_count,
+  news.news_score, coalesce(news_label, 'INSUFFICIENT') AS news_label, coalesce(news_count, 0) AS news_count, coalesce(news.news_usable_count, 0) AS news_usable_count, coalesce(news_confidence, 'LOW') AS news_confidence
+FROM u LEFT JOIN final USING (member) LEFT JOIN model USING (member) LEFT JOIN recent USING (member) LEFT JOIN ax USING (member) LEFT JOIN news USING (member) LEFT JOIN momentum USING (member) LEFT JOIN cur USING (member)""")
+def p8(spark, sf):
+    u = written(utterances(spark, sf), "statements")  # events are read once; what follows reads seven narrow columns
+    model, used = S.evidence_score(u, _eligible(), digits=None), S.evidence(u, _eligible())
+    news = S.news_score(u.filter("source_type = 'NEWS'"), None)
+    aux = S.auxiliary_speech(u, used, _as_of(), 7, digits=None)
+    recent = S.recent_signal(S.members_of(u), aux, news, None)
+    final = S.final_stance(model, recent, None)
+    more = aux.select("member", "aux_score", C.stance(F.col("aux_score"), missing="INSUFFICIENT").alias("aux_label"))
+    recent = recent.join(more, "member", "left").join(news.select("member", F.col("news_score").alias("recent_news_score"), F.col("news_label").alias("recent_news_label"), F.col("news_confidence").alias("recent_news_confidence")), "member", "left")
+    out = attach.attach_all(u.select("seq", "member"), model, recent, final, S.momentum(u, None), news, S.current_stance(u, digits=None), days=7)
+    return out.drop("member")

@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import lexicons as L
 from ..operators import dedup, entity, filters, score
 from ..sources import pages as P
+from ..sources.files import union_sources
 from ..streaming import incremental as I
 from . import serve
 from .registry import query
@@ -91,14 +92,61 @@ def x3(spark, sf):
     return articles(spark, sf).select("seq", F.array_join(score.topics(F.col("title"), F.col("text"), _TOPIC_GROUPS), ",").alias("topics"))
 
 
-@query("x4_sentences")
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?。]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 15)"
+
+
+@query("x4_sentences", f"WITH {A}, s AS (SELECT seq, {_SENTENCES} AS l FROM a), p AS (SELECT seq, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM s) SELECT seq, CAST(pos AS INTEGER) AS pos, sentence FROM p")
 def x4(spark, sf):
     return articles(spark, sf).select("seq", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("x8_article_stance")
+#: Rules whose words occur in the driver's corpus, so that every step has something to do.
+_RULES = score.StanceRules(
+    hawk_conditions=[("the.{0,20}of", 2, "c1")], dove_conditions=[("und.{0,15}die", -3, "c2")], hawk_phrases={"license": 4, "the ": 1, "rate": 2, "que ": 1}, dove_phrases={" und ": -2, " les ": -1, "with": -1, " la ": -2},
+    hawk_phrases_ko={"eau": 1}, dove_phrases_ko={"lich": -1}, hawk_patterns=[("and.{0,10}in", 1, "p1"), ("rate.{0,9}the", 3, "p3")], dove_patterns=[("thth", -1, "p2")], hawk_patterns_ko=[], dove_patterns_ko=[],
+    first_person=["that", "des "], reported=["from", "ciónes"], disinflation=(("software", ["license", "apache"], [], ["not"], 3, "x1"), ("ment", ["eaux", "tion"], ["vi"], ["ouou"], -2, "x2")), context=["the ", "le "], other_rates=["anrate"], strong_context=["of"],
+)
+
+
+def _stance_sql() -> str:
+    r = _RULES
+    rates = f"((NOT {any_sql('s', r.other_rates)} OR {any_sql('s', r.strong_context)}) AND {any_sql('s', r.context)})"
+
+    def side(conditions, phrases, ko, patterns, sign):
+        hits = [f"CASE WHEN regexp_matches(s, {q(p)}) THEN {w} ELSE 0 END" for p, w, _ in conditions]
+        hits += [f"CASE WHEN contains(s, {q(p)}) AND {rates if any(x in p for x in L.RATE_FAMILY) else 'true'} THEN {w} ELSE 0 END" for p, w in [*phrases.items(), *ko.items()]]
+        hits += [f"CASE WHEN regexp_matches(s, {q(p)}) AND {rates if 'rate' in p else 'true'} THEN {w} ELSE 0 END" for p, w, _ in patterns]
+        done = "false"
+        for word, first, second, none, w, _ in r.disinflation:
+            test = f"contains(s, {q(word)}) AND {any_sql('s', first)}" + (f" AND {any_sql('s', second)}" if second else "") + (f" AND NOT {any_sql('s', none)}" if none else "")
+            if (w > 0) == (sign > 0):
+                hits.append(f"CASE WHEN NOT ({done}) AND {test} THEN {w} ELSE 0 END")
+            done = f"{done} OR ({test})"
+        return " + ".join(hits)
+
+    factor = f"CASE WHEN {any_sql('s', r.first_person)} THEN 1.35::DOUBLE WHEN {any_sql('s', r.reported)} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+    hawk, dove = side(r.hawk_conditions, r.hawk_phrases, r.hawk_phrases_ko, r.hawk_patterns, 1), side(r.dove_conditions, r.dove_phrases, r.dove_phrases_ko, r.dove_patterns, -1)
+    return f"""{A}, l AS (SELECT seq, length(trim(text)) AS n, list_concat(CASE WHEN title <> '' THEN [title] ELSE [] END, {_SENTENCES}) AS l FROM a),
+e AS (SELECT seq, n, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM l), f AS (SELECT *, lower(sentence) AS s FROM e),
+g AS (SELECT seq, n, pos, CAST(least(round_even(({hawk}) * {factor}, 0), 6) AS INTEGER) AS hawk_score, CAST(greatest(round_even(({dove}) * {factor}, 0), -6) AS INTEGER) AS dove_score FROM f)"""
+
+
+@query("x5_sentence_scores", f"WITH {_stance_sql()} SELECT seq, CAST(pos AS INTEGER) AS pos, hawk_score, dove_score FROM g")
+def x5(spark, sf):
+    a = articles(spark, sf)
+    whole = F.when(F.col("title") != "", F.array("title")).otherwise(F.array().cast("array<string>"))
+    rows = a.select("seq", F.posexplode(F.concat(whole, C.sentences(F.col("text")))).alias("pos", "sentence"))
+    return score.sentence_scores(rows, rules=_RULES).select("seq", "pos", "hawk_score", "dove_score")
+
+
+@query("x8_article_stance", f"""WITH {_stance_sql()}, h AS (SELECT l.seq, l.n, coalesce(sum(hawk_score) FILTER (hawk_score <> 0 OR dove_score <> 0), 0) AS h, coalesce(sum(dove_score) FILTER (hawk_score <> 0 OR dove_score <> 0), 0) AS d, count(*) FILTER (hawk_score <> 0 OR dove_score <> 0) AS m,
+  list(hawk_score + dove_score ORDER BY -abs(hawk_score + dove_score), pos) FILTER (hawk_score <> 0 OR dove_score <> 0) AS nets FROM l LEFT JOIN g USING (seq) GROUP BY l.seq, l.n),
+k AS (SELECT *, greatest(least(h + d, 20), -20) AS score FROM h)
+SELECT seq, CAST(score AS BIGINT) AS score, CAST(h + d AS BIGINT) AS raw_score, CASE WHEN score >= 4 THEN 'HAWKISH' WHEN score >= 1 THEN 'NEUTRAL_HAWKISH' WHEN score <= -4 THEN 'DOVISH' WHEN score <= -1 THEN 'NEUTRAL_DOVISH' ELSE 'NEUTRAL' END AS label,
+  CASE WHEN n < 100 THEN 'LOW' WHEN m >= 4 THEN 'HIGH' WHEN m >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CAST(h AS BIGINT) AS hawkish_score, CAST(d AS BIGINT) AS dovish_score, m AS match_count, coalesce(array_to_string(nets[1:8], ','), '') AS evidence_nets FROM k""")
 def x8(spark, sf):
-    return score.article_stance(articles(spark, sf)).drop("evidence")
+    out = score.article_stance(articles(spark, sf), rules=_RULES)
+    return out.withColumn("evidence_nets", F.array_join(F.transform("evidence", lambda e: e["net_score"].cast("string")), ",")).drop("evidence")
 
 
 def _news_rule_sql() -> str:
@@ -216,12 +264,15 @@ def f6(spark, sf):
     return articles(spark, sf).select("seq", filters.is_official(none, F.col("source"), F.col("source_type")).alias("official"), filters.is_wire(none, F.col("source"), F.col("source_type")).alias("wire"))
 
 
-@query("f7_strong_evidence", f"""WITH {A} SELECT seq FROM a WHERE {any_sql('lower(title || ' + q(' ') + ' || text)', L.EVIDENCE_POLICY)} AND source_type = 'OFFICIAL'""")
+@query("f7_strong_evidence", f"""WITH {A}, b AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'HIGH' ELSE 'LOW' END AS relevance, CASE WHEN seq % 7 <> 0 THEN seq % 9 - 4 END AS score, lower(title || ' ' || text) AS t FROM a)
+SELECT seq FROM b WHERE score IS NOT NULL AND {any_sql('t', [*L.EVIDENCE_POLICY, 'software', 'the of'])} AND ((source_type = 'OFFICIAL' AND relevance = 'HIGH') OR (source_type = 'INFOMAX' AND seq % 4 <> 0 AND {any_sql("' ' || t || ' '", L.EVIDENCE_SPEECH)}))""")
 def f7(spark, sf):
     none = F.lit(None).cast("string")
-    official = filters.is_official(none, F.col("source"), F.col("source_type"))
-    verified = filters.verified_wire_speech(filters.is_wire(none, F.col("source"), F.col("source_type")), F.lit("x"), F.lit("y"), F.col("title"), F.col("text"), F.lit(None))
-    return articles(spark, sf).filter(filters.strong_evidence(official, verified, F.lit("HIGH"), F.col("title"), F.col("text"), F.lit(1))).select("seq")
+    a = articles(spark, sf).withColumn("text", F.concat("text", F.when(F.lower(F.concat_ws(" ", "title", "text")).contains("software") | F.lower(F.concat_ws(" ", "title", "text")).contains("the of"), F.lit(f" {L.EVIDENCE_POLICY[0]}")).otherwise(F.lit(""))))
+    s, relevance = F.when(F.col("seq") % 7 != 0, F.col("seq") % 9 - 4), F.when(F.col("seq") % 5 == 0, "HIGH").otherwise("LOW")
+    official, wire = (f(none, F.col("source"), F.col("source_type")) for f in (filters.is_official, filters.is_wire))
+    verified = filters.verified_wire_speech(wire, F.when(F.col("seq") % 4 != 0, F.col("source")), F.lit(None).cast("string"), F.col("title"), F.col("text"), s)
+    return a.filter(filters.strong_evidence(official, verified, relevance, F.col("title"), F.col("text"), s)).select("seq")
 
 
 @query("f8_mentions_member", f"WITH {A} SELECT seq FROM a WHERE contains(lower(text), 'that this') OR contains(lower(text), 'this')")
@@ -344,10 +395,14 @@ def d10(spark, sf):
     return articles(spark, sf).select("seq", dedup.distinct_paragraphs(F.col("text")).alias("body"))
 
 
-@query("u1_union_sources", f"WITH {A}, x AS (SELECT seq, title FROM a WHERE source_type = 'OFFICIAL' UNION ALL SELECT seq, title FROM a WHERE source_type = 'INFOMAX') SELECT * FROM x")
+@query("u1_union_sources", f"WITH {A}, x AS (SELECT 0 AS o, seq, title FROM a WHERE source_type = 'OFFICIAL' UNION ALL SELECT 1, seq, title FROM a WHERE source_type = 'INFOMAX') SELECT seq, title, row_number() OVER (ORDER BY o, seq) AS place FROM x")
 def u1(spark, sf):
+    from pyspark.sql import Window as W
+
     a = articles(spark, sf)
-    return a.filter("source_type = 'OFFICIAL'").select("seq", "title").unionByName(a.filter("source_type = 'INFOMAX'").select("title", "seq"), allowMissingColumns=True)
+    both = union_sources(a.filter("source_type = 'OFFICIAL'").select("seq", "title"), a.filter("source_type = 'INFOMAX'").select("title", "seq", "lang"))
+    order = F.row_number().over(W.orderBy("seq")).cast("long")
+    return both.withColumn("place", order).select(F.col("seq.seq").alias("seq"), "title", "place")
 
 
 # ---- scalars --------------------------------------------------------------------------------------------------------
