@@ -12,6 +12,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -69,9 +70,12 @@ def drop_written(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected, and a plan is
+    garbage only once the events of its end are handled."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
