@@ -65,9 +65,10 @@ def rounded(c: Column, digits: int | None) -> Column:
     def fit(x: Column) -> Column:
         twice = x * scale
         high = x * 134217729.0 - (x * 134217729.0 - x)
-        rest = (high * scale - twice) + (x - high) * scale
-        odd = (twice == F.rint(twice)) & (F.abs(twice) < 2.0**52) & (F.pmod(twice, F.lit(2.0)) == 1.0)
-        return F.when(odd & (rest > 0), (twice + 1) / scale).when(odd & (rest < 0), (twice - 1) / scale).otherwise(F.bround(x, digits))
+        near = F.rint(twice)
+        rest = (high * scale - near) + (x - high) * scale
+        odd = (F.abs(twice - near) < 1e-3) & (F.abs(twice) < 2.0**50) & (F.pmod(near, F.lit(2.0)) == 1.0)
+        return F.when(odd & (rest > 0), (near + 1) / scale).when(odd & (rest < 0), (near - 1) / scale).otherwise(F.bround(x, digits))
 
     return let(c.cast("double"), fit)
 
