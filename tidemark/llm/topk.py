@@ -7,13 +7,15 @@ non-essential.  Essential postings are traversed for the whole shard; of the oth
 competitive are probed, term by term.  A task goes on with the k-th scores of its earlier shards, and the shards' tops
 are merged at the end.
 
-Blocks of queries meet all shards: a shard is dealt to as many tasks as there are query blocks, so memory is bounded by
-one block, one shard and k rows a query.  This is a stated query set against all rows, in blocks.
+Blocks of queries meet all shards: shards are dealt to groups of a few, each block goes to every group and streams past its
+shards, so memory is bounded by these shards, one block and k rows a query.  This is a stated query set against all rows,
+in blocks.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part, as query or candidate;
 vectors of another length than a query's are not candidates of it; ties go to the smaller id; rows that repeat an id
 are candidates each, but never of that id's query; a query id that is repeated is asked for each of its vectors, and the
-k best of all answers stay under the id; an empty table gives no rows; other columns are not read.
+k best of all answers stay under the id; rows without an id take no part; an empty table gives no rows; other columns are
+not read, so they cannot clash and do not come back.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._store import lean, pack_arrays, partitions, unpack_arrays
+from ._store import lean, pack_arrays, partitions, unpack_arrays, written
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
+#: Shards that a task holds at a time, on average.
+SHARDS_HELD = 4
 
 
 def quantised(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -110,37 +114,35 @@ def maxscore(query: np.ndarray, postings: np.ndarray, low: np.ndarray, high: np.
 
 @lean
 def _search(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Top k of each query block over the shards that this task gets; rows (query_id, vec_id, score)."""
-    now, ids, vectors, best = None, None, None, []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = [(int(q), int(i), int(s)) for q, (bi, bs) in zip(ids, best) for i, s in zip(bi, bs)] if now is not None else []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
-
+    """Rows (dims, salt, kind, part, blob) in order: the shards of a salt, which are held, then all query blocks, one by one.
+    Gives (query_id, vec_id, score) of each block's top k over these shards."""
+    now, shards = None, []
     for batch in batches:
-        for dims, block, q_blob, s_blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if (dims, block) != now:
-                yield from out()
-                now = (dims, block)
-                ids, flat = unpack_arrays(q_blob.as_py(), np.int64, np.int64)
-                vectors = flat.reshape(len(ids), dims)
-                best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-            cand, flat = unpack_arrays(s_blob.as_py(), np.int64, np.int64)
-            rows = flat.reshape(len(cand), dims)
-            postings, low, high = np.ascontiguousarray(rows.T).astype(np.float64), rows.min(axis=0), rows.max(axis=0)
-            for x in range(len(ids)):
-                bi, bs = best[x]
-                threshold = int(bs[-1]) if len(bs) == k else np.iinfo(np.int64).min
-                at, score = maxscore(vectors[x].astype(np.float64), postings, low.astype(np.float64), high.astype(np.float64), threshold)
-                own = cand[at] != ids[x]
-                ni, ns = np.concatenate([bi, cand[at][own]]), np.concatenate([bs, score[own].astype(np.int64)])
-                if len(ns) > 4 * k:  # scores below the k-th cannot stay
-                    ok = ns >= np.partition(ns, len(ns) - k)[len(ns) - k]
-                    ni, ns = ni[ok], ns[ok]
-                top = np.lexsort((ni, -ns))[:k]
-                best[x] = (ni[top], ns[top])
-    yield from out()
+        for dims, salt, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)):
+            if (dims, salt) != now:
+                now, shards = (dims, salt), []
+            ids, flat = unpack_arrays(blob.as_py(), np.int64, np.int64)
+            rows = flat.reshape(len(ids), dims)
+            if kind == 0:
+                shards.append((ids, np.ascontiguousarray(rows.T).astype(np.float64), rows.min(axis=0).astype(np.float64), rows.max(axis=0).astype(np.float64)))
+                continue
+            found: list[tuple] = []
+            for query, vector in zip(ids.tolist(), rows.astype(np.float64)):
+                bi, bs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for cand, postings, low, high in shards:  # the k-th score so far is the next shard's threshold
+                    threshold = int(bs[-1]) if len(bs) == k else np.iinfo(np.int64).min
+                    at, score = maxscore(vector, postings, low, high, threshold)
+                    own = cand[at] != query
+                    ni, ns = np.concatenate([bi, cand[at][own]]), np.concatenate([bs, score[own].astype(np.int64)])
+                    if len(ns) > 4 * k:  # scores below the k-th cannot stay
+                        ok = ns >= np.partition(ns, len(ns) - k)[len(ns) - k]
+                        ni, ns = ni[ok], ns[ok]
+                    top = np.lexsort((ni, -ns))[:k]
+                    bi, bs = ni[top], ns[top]
+                found.append((np.full(len(bi), query), bi, bs))
+            columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -149,11 +151,11 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_
     Scores are exact integers while their sums stay below 2**53.
     """
     n = partitions(vectors.sparkSession)
-    blocks = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).mapInArrow(lambda it: _blocks(it, scale, every), "dims int, kind int, part long, blob binary")
-    salt = F.pmod(F.xxhash64("part"), F.lit(n)).cast("int")
-    shards = blocks.filter("kind = 0").select("dims", salt.alias("salt"), F.col("part").alias("shard"), F.col("blob").alias("s_blob"))
-    asks = blocks.filter("kind = 1").select("dims", F.col("part").alias("block"), F.col("blob").alias("q_blob")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = asks.join(shards.hint("shuffle_hash"), ["dims", "salt"]).sortWithinPartitions("dims", "block", "salt", "shard").select("dims", "block", "q_blob", "s_blob")
+    blocks = written(vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).mapInArrow(lambda it: _blocks(it, scale, every), "dims int, kind int, part long, blob binary"), "shards", "uncompressed")
+    salts = max(1, -(-blocks.filter("kind = 0").count() // SHARDS_HELD))
+    one = F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int")
+    salt = F.when(F.col("kind") == 0, F.array(one)).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    met = blocks.select("dims", F.explode(salt).alias("salt"), "kind", "part", "blob").repartition(n, "dims", "salt").sortWithinPartitions("dims", "salt", "kind", "part")
     tops = met.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return tops.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
