@@ -27,6 +27,8 @@ from ._text import SHINGLE_WORDS, mix64, row_slices, seeded, shingle_hashes, tex
 
 BINS = 512
 BITS = 4
+#: Ranges of ids a shuffle partition.
+RANGES_EACH = 4
 SLICE_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
 
@@ -122,14 +124,14 @@ def _deal(batches: Iterable[pa.RecordBatch], bounds: np.ndarray, firsts: np.ndar
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
     """One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt into as many ranges of ids as there are shuffle partitions, each followed by a guest: the first
+    Documents are dealt into ranges of ids, a few for each shuffle partition so that long texts even out, each followed by a guest: the first
     document of the next range.  The bounds of the ranges, two numbers each, are all that the driver sees.
     """
-    docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ranges = partitions(docs.sparkSession)
-    keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ranges = RANGES_EACH * partitions(docs.sparkSession)
+    keys = docs.select(F.coalesce(F.col("_id").cast("long"), F.lit(_NO_ID)).alias("k"))
     cuts = keys.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges + 1000)).first()[0] if ranges > 1 else None
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
@@ -144,8 +146,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = sorted((r.k, r.r) for r in keys.mapInArrow(ranged, "r int, k long").groupBy("r").agg(F.min("k").alias("k")).collect())  # a row for each range
     firsts = np.array([k for k, _ in found] or [0], np.int64)
     guest_of = np.array([found[i - 1][1] for i in range(len(found))] or [0], np.int32)  # the first of all follows the last
-    dealt = docs.mapInArrow(lambda it: _deal(it, bounds, firsts, guest_of), f"r int, guest boolean, k long, {id_col} {kind}, {text_col} string")
-    ordered = dealt.repartition(ranges, "r").sortWithinPartitions("r", "guest", "k", text_col).select("r", id_col, "guest", text_col)
+    dealt = docs.mapInArrow(lambda it: _deal(it, bounds, firsts, guest_of), f"r int, guest boolean, k long, _id {kind}, _text string")
+    ordered = dealt.repartition(ranges, "r").sortWithinPartitions("r", "guest", "k", "_text").select("r", "_id", "guest", "_text")
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +175,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=[x.split()[0] for x in schema.split(", ")],
             )
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
