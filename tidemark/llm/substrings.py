@@ -1,7 +1,8 @@
 """Exact removal of repeated passages by super-k-mer partitioning.
 
 A window is `window` consecutive words of one document.  Consecutive windows that share a minimiser (the least hash of
-the word pairs in them) travel as one packed string to the bucket of that minimiser, so equal windows always meet.
+the word pairs in them) travel as one packed string to the bucket of that minimiser, so equal windows always meet.  Windows
+of a frequent minimiser are dealt by their greatest word pair as well, so no bucket holds them all.
 Within a chunk of documents equal strings travel once, with the least and the greatest document that hold them; a
 passage that a third of all documents share therefore costs a bucket one string a chunk.  In the bucket the strings'
 words get exact numbers, windows are sorted and equal ones compared word by word, and each string that holds a window
@@ -10,7 +11,8 @@ to its own strings and drops the words that they cover.
 
 Edge cases: a null text has no words and stays null; texts of fewer words than a window lose nothing; a document that
 repeats itself loses nothing for that; rows of one id are each judged against smaller ids only; rows without an id are
-returned with nothing removed and remove nothing; an empty table gives no rows.  Input columns named like the added
+returned with nothing removed and remove nothing; a text longer than a chunk is a chunk of its own; an empty table gives no
+rows.  Input columns named like the added
 ones (n_words, n_removed) are replaced; all others are kept.
 """
 
@@ -22,21 +24,37 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._store import answer_chunks, chunked, from_ipc, lean, pack_arrays, partitions, unpack_arrays
+from ._store import CHUNK_BYTES, answer_chunks, chunked, from_ipc, lean, pack_arrays, partitions, unpack_arrays
 from ._text import _STEP, binary_array, mix64, ragged, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
-#: Buckets a shuffle partition; a bucket is what is sorted at once.
-BUCKETS_EACH = 6
+#: Text bytes of a bucket on average: a bucket is what is sorted at once, and there are as many as the corpus needs.
+BUCKET_BYTES = 2 << 20
+#: A minimiser of a larger share of windows is frequent; in how many chunks that is looked up.
+HOT_SHARE, HOT_CHUNKS = 0.001, 16
+
+
+NO_HOT = np.zeros(0, np.uint64)
+
+
+def _over(x: np.ndarray, length: int, what) -> np.ndarray:
+    """what (least or greatest) of x over length consecutive items, from each on."""
+    have = 1
+    while have < length:
+        step = min(have, length - have)
+        x = what(x[: len(x) - step], x[step:])
+        have += step
+    return x
 
 
 class SuperKmers:
     """The super-k-mers of a chunk by bucket: a function of the chunk's rows alone."""
 
-    def __init__(self, batch: pa.RecordBatch, text_col: str, id_col: str, window: int, buckets: int):
+    def __init__(self, batch: pa.RecordBatch, text_col: str, id_col: str, window: int, buckets: int, hot: np.ndarray = NO_HOT):
         self.buf, offsets = text_buffer(batch.column(text_col))
         self.starts, self.ends, self.first = word_spans(self.buf, offsets)
         ids = batch.column(id_col)
@@ -52,18 +70,23 @@ class SuperKmers:
         hashes = word_hashes(self.buf, self.starts, self.ends)
         with np.errstate(over="ignore"):
             pair = mix64(hashes[:-1] * _STEP[0] + hashes[1:] * _STEP[1])
-        least, have, pairs = pair, 1, window - 1  # least[i]: over pairs i .. i + have - 1
-        while have < pairs:
-            step = min(have, pairs - have)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            have += step
-        least = least[at]
+        least = _over(pair, window - 1, np.minimum)[at]
         row = np.repeat(np.arange(rows), windows)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+        key = least
+        if len(hot):  # windows of a frequent minimiser are told apart by their greatest pair as well
+            place = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
+            of_hot = hot[place] == least
+            if of_hot.any():
+                most = _over(pair, window - 1, np.maximum)[at]
+                new[1:] |= of_hot[1:] & (most[1:] != most[:-1])
+                with np.errstate(over="ignore"):
+                    key = np.where(of_hot, mix64(least + most * _STEP[2]), least)
         lo = np.flatnonzero(new)
-        count = np.diff(np.append(lo, len(at)))
-        bucket = (least[lo] % np.uint64(buckets)).astype(np.int64)
+        self.least, self.per_least = least[lo], np.diff(np.append(lo, len(at)))
+        count = self.per_least
+        bucket = (key[lo] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.bucket, self.word, self.count, self.row = bucket[order], at[lo][order], count[order], row[lo][order]
         self.window = window
@@ -84,10 +107,23 @@ class SuperKmers:
 
 
 @lean
-def _send(chunks: Iterable[pa.RecordBatch], text_col: str, id_col: str, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _minimisers(chunks: Iterable[pa.RecordBatch], text_col: str, id_col: str, window: int) -> Iterator[pa.RecordBatch]:
+    """(minimiser, share of the chunk's windows) of those that a chunk has often."""
+    for batch in chunks:
+        for payload in batch.column(1):
+            sk = SuperKmers(from_ipc(payload.as_py()), text_col, id_col, window, 1)
+            if len(sk.word):
+                least, inverse = np.unique(sk.least, return_inverse=True)
+                share = np.bincount(inverse, sk.per_least) / sk.per_least.sum()
+                often = share > HOT_SHARE
+                yield pa.RecordBatch.from_arrays([pa.array(least[often].view(np.int64)), pa.array(share[often])], names=["m", "share"])
+
+
+@lean
+def _send(chunks: Iterable[pa.RecordBatch], text_col: str, id_col: str, window: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in chunks:
         for cid, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            sk = SuperKmers(from_ipc(payload.as_py()), text_col, id_col, window, buckets)
+            sk = SuperKmers(from_ipc(payload.as_py()), text_col, id_col, window, buckets, hot)
             out: list[tuple[int, bytes]] = []
             for b, span, strings, number in sk.by_bucket():
                 ids = sk.ids[sk.row[span]]
@@ -164,9 +200,9 @@ def _buckets(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     yield from out()
 
 
-def covered(batch: pa.RecordBatch, replies: list[tuple[int, bytes]], text_col: str, id_col: str, window: int, buckets: int) -> tuple[SuperKmers, np.ndarray]:
+def covered(batch: pa.RecordBatch, replies: list[tuple[int, bytes]], text_col: str, id_col: str, window: int, buckets: int, hot: np.ndarray = NO_HOT) -> tuple[SuperKmers, np.ndarray]:
     """Which words of the chunk a window covers that also starts in a smaller document."""
-    sk = SuperKmers(batch, text_col, id_col, window, buckets)
+    sk = SuperKmers(batch, text_col, id_col, window, buckets, hot)
     edge = np.zeros(len(sk.starts) + 1, np.int32)
     told = dict(replies)
     for b, span, strings, number in sk.by_bucket(set(told)):
@@ -188,16 +224,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """docs with each text's kept words, joined by one space, and n_words, n_removed."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = n * BUCKETS_EACH
     docs = docs.drop("n_words", "n_removed")
     chunks = chunked(docs, text_col)
-    sent = chunks.mapInArrow(lambda it: _send(it, text_col, id_col, window, buckets), "bucket int, chunk_id long, blob binary")
+    buckets = max(n, chunks.count() * CHUNK_BYTES // BUCKET_BYTES)
+    # frequent minimisers are looked up in some chunks; which they are only says how windows are dealt, never what is found
+    seen = chunks.limit(HOT_CHUNKS).mapInArrow(lambda it: _minimisers(it, text_col, id_col, window), "m long, share double")
+    often = seen.groupBy("m").agg(F.sum("share").alias("share")).filter(F.col("share") > HOT_SHARE * HOT_CHUNKS / 4).collect()  # 4 / HOT_SHARE rows at most
+    hot = np.sort(np.array([r["m"] for r in often], np.int64).view(np.uint64))
+    sent = chunks.mapInArrow(lambda it: _send(it, text_col, id_col, window, buckets, hot), "bucket int, chunk_id long, blob binary")
     replies = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk_id").mapInArrow(lambda it: _buckets(it, window), "chunk_id long, bucket int, blob binary")
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def finish(batch: pa.RecordBatch, told: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        sk, gone = covered(batch, told, text_col, id_col, window, buckets)
+        sk, gone = covered(batch, told, text_col, id_col, window, buckets, hot)
         before = np.concatenate([[0], np.cumsum(gone)])
         removed = before[sk.first[1:]] - before[sk.first[:-1]]
         texts = []
