@@ -31,7 +31,7 @@ from ._text import NEAR_SIMILARITY, SHINGLE_WORDS, mix64, row_slices, seeded, sh
 RECALL = 0.9995
 MAX_HASHES = 160
 #: N-grams and texts of a block of a component, on average; pairs of TILE by TILE texts are compared at a time.
-BLOCK_NGRAMS, BLOCK_REPS, TILE = 1_000_000, 1000, 1000
+BLOCK_NGRAMS, BLOCK_REPS, TILE = 1_000_000, 500, 1000
 SLICE_BYTES = 1 << 20
 
 
