@@ -37,7 +37,8 @@ from .toxicity import logistic, sampled
 
 #: Labelled documents, and bytes of their texts, that scales and components come from at most.
 MAX_LABELLED, MAX_BYTES = 3000, 24 << 20
-ROUNDS, STEPS = 3, 3
+#: Rounds, and at most so many steps of a fit in each and in the first.
+ROUNDS, STEPS, FIRST_STEPS = 3, 4, 12
 COMPONENTS, PAIRS_USED = 80, 512
 SLICE_BYTES = 1 << 20
 #: A document counts as good from this probability on: what is not clearly bad is kept.
@@ -48,6 +49,8 @@ PRIOR = 100
 NAMED, HASHED = 64, 64
 #: Log odds from which on a view is sure of a label: a probability of 0.95.
 SURE = float(np.log(0.95 / 0.05))
+#: A number counts as at most so many spreads from its mean.
+MOST_SPREADS = 8
 #: Calibration counts documents by both views' log odds, in steps of this size up to 15.
 GRID = 0.25
 
@@ -116,6 +119,12 @@ def _by_slices(fn, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of columns; one that hardly varies in the sample is left as it is, for it may elsewhere."""
+    spread = x.std(axis=0)
+    return x.mean(axis=0), np.where(spread > 1e-3, spread, 1.0)
+
+
 class Space:
     """What the views are made of: the text's leading components and scales, and the named languages and sources."""
 
@@ -123,9 +132,8 @@ class Space:
         self.langs, self.sources = ({v: k for k, v in enumerate(c)} for c in (langs, sources))
         buf, offsets = text_buffer(pa.array(texts, pa.large_binary()))
         shape = _by_slices(layout, buf, offsets)
-        self.shape_mean, self.shape_std = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-        numbers = self._numbers(lengths)
-        self.meta_mean, self.meta_std = numbers.mean(axis=0), numbers.std(axis=0) + 1e-6
+        self.shape_mean, self.shape_std = _scale(shape)
+        self.meta_mean, self.meta_std = _scale(self._numbers(lengths))
         # the leading components over the pairs that vary most
         rates = pair_rates(texts)
         self.columns = np.sort(np.argsort(-rates.var(axis=0), kind="stable")[:PAIRS_USED])
@@ -143,7 +151,10 @@ class Space:
         """Features of the text view."""
         texts = [buf[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         pairs = (pair_rates(texts)[:, self.columns] * 100 - self.centre) @ self.basis
-        return np.hstack([pairs, (layout(buf, offsets) - self.shape_mean) / self.shape_std]).astype(np.float32)
+        return np.hstack([pairs, self.shape(buf, offsets)]).astype(np.float32)
+
+    def shape(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.clip((layout(buf, offsets) - self.shape_mean) / self.shape_std, -MOST_SPREADS, MOST_SPREADS)
 
     def meta(self, langs: list, sources: list, lengths: np.ndarray) -> np.ndarray:
         """Features of the metadata view."""
@@ -151,7 +162,8 @@ class Space:
         for names, column, base in ((self.langs, langs, 0), (self.sources, sources, len(self.langs) + HASHED)):
             for k, v in enumerate(column):
                 one_hot[k, base + (names[v] if v in names else len(names) + zlib.crc32(str(v).encode()) % HASHED)] = 1
-        return np.hstack([((self._numbers(lengths) - self.meta_mean) / self.meta_std).astype(np.float32), one_hot])
+        numbers = np.clip((self._numbers(lengths) - self.meta_mean) / self.meta_std, -MOST_SPREADS, MOST_SPREADS)
+        return np.hstack([numbers.astype(np.float32), one_hot])
 
     def sizes(self) -> tuple[int, int]:
         """Weights of each view, the constant included."""
@@ -171,7 +183,7 @@ class Model:
         self.pair_bias = float(text[-1] - space.centre @ w)
 
     def text_view(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        shape = (layout(buf, offsets) - self.space.shape_mean) / self.space.shape_std @ self.text[self.space.basis.shape[1] : -1]
+        shape = self.space.shape(buf, offsets) @ self.text[self.space.basis.shape[1] : -1]
         if len(buf) < 2:
             return self.pair_bias + shape
         c = np.concatenate([[0.0], np.cumsum(self.pair_weights[pair_index(buf)], dtype=np.float64)])
@@ -277,27 +289,34 @@ def co_train(known: DataFrame, unknown: DataFrame, space: Space, rounds: int = R
             return None
         total = counts[0][0].sum()
         each = [0.5 * total / np.maximum(c, 1) for c in counts]  # every class's labels weigh alike, and its pseudo-labels as much
-        for _ in range(steps if r else 8):
+        base, least = [w.copy() for w in now], [np.inf, np.inf]  # the best weights so far and their loss
+        for _ in range(steps if r else FIRST_STEPS):
 
             def slopes(batch: pa.RecordBatch, then=then, now=now, each=each) -> list[np.ndarray]:
                 y, views = labels(batch), _matrices(batch, space)
                 out = []
                 for v, t, w, e in zip(views, _told(y, views, then), now, each):
                     use = ~np.isnan(t)
-                    x, t, pseudo = v[use], t[use], np.isnan(y)[use].astype(int)
-                    weight = e[pseudo, t.astype(int)]
-                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                    out += [x.T @ (weight * (t - p)), (x * (weight * p * (1 - p))[:, None]).T @ x]
+                    x, t, pseudo = v[use].astype(np.float64), t[use], np.isnan(y)[use].astype(int)
+                    weight, z = e[pseudo, t.astype(int)], x @ w
+                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                    out += [np.array([weight @ np.logaddexp(0, np.where(t == 1, -z, z))]), x.T @ (weight * (t - p)), (x * (weight * p * (1 - p))[:, None]).T @ x]
                 return out
 
-            got = _summed(table, slopes, [n for s in sizes for n in (s, s * s)])
-            moved = 0.0
+            got, moved = _summed(table, slopes, [n for s in sizes for n in (1, s, s * s)]), 0.0
             for k, s in enumerate(sizes):
-                step = np.linalg.solve(got[2 * k + 1].reshape(s, s) + ridge * np.eye(s), got[2 * k] - ridge * now[k])
-                now[k] = now[k] + np.clip(step, -5, 5)
+                loss = got[3 * k][0] + 0.5 * ridge * now[k] @ now[k]
+                if loss > least[k]:  # the step went too far: half of it
+                    now[k] = (now[k] + base[k]) / 2
+                    moved = np.inf
+                    continue
+                base[k], least[k] = now[k], loss
+                step = np.linalg.solve(got[3 * k + 2].reshape(s, s) + ridge * np.eye(s), got[3 * k + 1] - ridge * now[k])
+                now[k] = now[k] + step
                 moved = max(moved, np.abs(step).max())
             if moved < 1e-3:
                 break
+        now = base
     side = int(round(15 / GRID)) * 2 + 1
 
     def grid(batch: pa.RecordBatch) -> list[np.ndarray]:
