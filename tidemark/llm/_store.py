@@ -72,10 +72,10 @@ def drop_written(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected, and a plan is
     garbage only once the events of its end are handled."""
-    for _ in range(2):
+    for _ in range(1 if spark.sparkContext.master.startswith("local[") else 2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.5 if not spark.sparkContext.master.startswith("local[") else 0)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -164,7 +164,7 @@ def answer_chunks(chunks: DataFrame, replies: DataFrame, fn: Callable[[pa.Record
     return both.repartition(n, "chunk_id").sortWithinPartitions("chunk_id", "bucket").mapInArrow(run, schema)
 
 
-_CODEC = pa.Codec("zstd", compression_level=3)
+_CODEC = pa.Codec("zstd", compression_level=6)
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
