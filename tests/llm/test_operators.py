@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out labels, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -122,9 +123,39 @@ def test_linked_both_ways():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for k in range(0, 60, 3)]
-    may = np.triu(np.ones((20, 20), bool), 1)
-    want = np.array([[len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8 for b in sets] for a in sets]) & may
-    assert (near_join.linked(sets, may, 0.8) == want).all()
+    pairs = np.argwhere(np.triu(np.ones((20, 20), bool), 1))
+    want = [len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8 for i, j in pairs]
+    assert near_join.linked(sets, pairs, 0.8).tolist() == want and near_join.linked(sets, pairs[:3], 0.8).tolist() == want[:3]
+
+
+def test_components_of_a_chain(spark):
+    from tidemark.llm import _graph
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
+    rounds, step = [], _graph._moves
+    _graph._moves = lambda e: rounds.append(1) or step(e)
+    try:
+        got = {r.node: r.label for r in _graph.components(edges).collect()}
+    finally:
+        _graph._moves = step
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100} and len(rounds) < 12
+
+
+def test_near_classes_of_many_short_copies(spark):
+    words = " ".join(f"w{k}" for k in range(19))
+    rows = [(k, f"{words} x{k}") for k in range(3000)] + [(9000 + k, f"{words} x7") for k in range(3)]
+    got = near_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_reps=400).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 3003
+    assert min(r.n_links for r in got) >= 2990 and max(r.n_links for r in got) == 3002  # 16 of 17 shingles are shared
+
+
+def test_near_classes_keep_columns_and_long_texts(spark):
+    long = " ".join(f"v{k % 5000}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, 5, "a"), (2, long + " more", 6, "b"), (None, "x", 7, "c")], "doc_id long, text string, _row int, class_id string")
+    got = {r.doc_id: r.class_id for r in near_join.near_classes(df).collect()}
+    assert got == {1: 1, 2: 1, None: None}
+    kept = near_join.keep_one_each(df)
+    assert kept.columns == df.columns and sorted(r._row for r in kept.collect()) == [5, 7]
 
 
 def test_top_k(spark):
@@ -224,7 +255,6 @@ def test_sentencepieces(spark):
 
 def test_lm_base_and_learning(spark):
     rows = corpus(6, 150)
-    import math
     from collections import Counter
 
     docs = {i: [w.encode().lower() for w in WORD.findall(t or "")] + [b""] for i, t in rows}
@@ -249,15 +279,85 @@ def test_lm_without_training(spark):
     assert (r.train_tokens, r.base_score, r.n_known) == (0, 0.0, 0) and r.score < 0
 
 
-def test_lm_learns_from_every_batch():
-    mixer = lm.Mixer((4, 4), 8)
-    before = mixer.weights.copy(), mixer.map.copy()
-    slots, bit = [np.arange(16, dtype=np.uint32)] * 2, np.arange(16) % 2
-    mixer.add(slots, bit)
-    mixer.add(slots, bit)
-    mixer.settle()
-    assert lm.learn(mixer, ((slots, bit, np.full(16, k)) for k in range(8))) == 8 * 16
-    assert (mixer.weights != before[0]).any(axis=0).all() and (mixer.map != before[1]).any(axis=1).all()
+def held_out(n):
+    return zlib.crc32(str(n).encode()) % 5 == 1
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in lm.score_texts(docs).collect() if held_out(r.doc_id)]
+    assert sum(r.score for r in rows) > 0.9 * sum(r.base_score for r in rows)
+    assert all(r.bits == pytest.approx(-r.score / math.log10(2)) and r.bits_per_byte >= 0 for r in rows)
+
+
+def test_lm_edges(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "y"), (None, "a b", "z"), (3, None, None), (4, "word " * 60_000, "l"), (6, "zzz", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = lm.score_texts(df, chunk_bytes=10_000).collect()
+    assert len(got) == 6 and sorted(r.n_tokens for r in got) == [1, 2, 3, 4, 4, 60_001]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and all(r.score < 0 or r.n_tokens == 1 for r in got)
+    assert got[0].train_tokens == sum(r.n_tokens for r in got if r.doc_id is not None and not held_out(r.doc_id))
+
+
+def test_path_counts_equal_a_plain_count():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 6, 400).astype(np.uint64) << np.uint64(lm.BITS) | rng.integers(0, 1 << lm.BITS, 400).astype(np.uint64) >> np.uint64(3) << np.uint64(3))
+    own = rng.integers(0, 9, len(keys))
+    got, back = lm.path_counts(keys, own), lm.shares(lm.path_counts(keys, own))
+    for j, key in enumerate(keys.tolist()):
+        at = [sum(int(o) for k, o in zip(keys.tolist(), own) if k >> (lm.BITS - b) == key >> (lm.BITS - b)) for b in range(lm.BITS + 1)]
+        assert got[0, j] == at[0] and got[1:, j].tolist() == [at[b] - at[b + 1] for b in range(lm.BITS)]
+        left = at[0]
+        for b in range(lm.BITS):  # small counts come through exactly, large ones to half a doubling of their odds
+            other = int(lm.others_of(back[b : b + 1, j], np.array([left]))[0])
+            assert other == got[b + 1, j] if at[0] <= 15 else (other == 0) == (got[b + 1, j] == 0)
+            left -= other
+
+
+def plain_probability(weights, pairs, bit_gate):
+    """One bit by the plain formulas: stretched counts, mixed, refined by the map."""
+    dot = 0.0
+    for k, (a, b) in enumerate(pairs):
+        dot += weights.weights[k, bit_gate] * math.log((a + 0.4) / (b + 0.4)) * (a + b) / (a + b + 0.3)
+    dot = max(-9.0, min(9.0, dot))
+    x = min(abs(dot) * (lm.MAP_STEPS - 1) / 8, lm.MAP_STEPS - 1.001)
+    low = int(x)
+    sure = weights.map[bit_gate, low] + (weights.map[bit_gate, low + 1] - weights.map[bit_gate, low]) * (x - low)
+    return (1 / (1 + math.exp(-dot)) + (sure if dot >= 0 else 1 - sure)) / 2
+
+
+def test_mixing_equals_the_plain_formulas_and_adds_up():
+    rng = np.random.default_rng(1)
+    weights = lm.Weights()
+    gate = rng.integers(0, lm.GATES, 500)
+    counts = rng.integers(0, 12, (lm.INPUTS, 2, 500))
+    inputs = [lm._STRETCH[0].take(lm.pair(c[0], c[1])) for c in counts]
+    for _ in range(30):
+        weights.learn(inputs, gate)
+    p = weights.probability(weights.mixed(inputs, gate), gate)[1]
+    other = weights.probability(weights.mixed([lm._STRETCH[0].take(lm.pair(c[1], c[0])) for c in counts], gate), gate)[1]
+    assert np.allclose(p + other, 1, atol=1e-5)
+    for j in range(50):
+        assert p[j] == pytest.approx(plain_probability(weights, counts[:, :, j].tolist(), gate[j]), abs=1e-4)
+
+
+def test_every_training_bit_is_learnt_from(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50, 200)) for _ in range(3)])
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 2, 3]), text], names=["i", "t"])
+    first, code, buf, offsets = lm.tokens(docs, "t")
+    counts = np.bincount(code, minlength=len(offsets) - 1)
+    bucket = lm.word_hashes(buf, offsets[:-1], offsets[1:]) % np.uint64(2)
+    replies = [(b, lm.pack_arrays(counts[bucket == b])) for b in (0, 1)]
+    part = lm.Part(next(lm._encode(docs, replies, "i", "t", 2, (5, 1))).column(0)[0].as_py())
+    cells = np.bincount(lm.code_of(part.counts, part.kinds, part.hashes) >> lm.HASH_BITS, minlength=1 << lm.TOP)
+    scheme = lm.Scheme(int(counts.sum()), len(counts), cells, np.zeros(0, np.uint64))
+    full, own = lm.codes(part, scheme)
+    tables = lm.Tables(np.bincount(7 << lm.BITS | own, minlength=lm.GROUPS << lm.BITS), np.zeros(lm.BEFORE << lm.TOP, np.int64))
+    taught = int(scheme.depths(own)[part.taught].sum())
+    assert lm.learn_part(lm.Weights(), part, scheme, tables, [], 1) == taught and taught > 3 * 200
+    score = lm.score_part(lm.Weights(), part, scheme, tables, [], 1)
+    assert len(score) == len(part.words) and (score <= 0).all() and np.isfinite(score).all()
 
 
 def labelled(n=400):
@@ -292,13 +392,37 @@ def test_toxicity_tolerates_gaps(spark):
 
 def test_folded_tables_equal_the_kernel():
     k = toxicity.Kernel()
-    units = ["clown", "cl.oxwn", "trash", "ab", "", "stupidstupid"]
+    units = ["idiot", "i.dxiot", "réeux", "cl.oxwn", "trash", "ab", "", "stupidstupid", "aaaaaa"]
     feats = [k.features(u) for u in units]
-    by = np.array([0.5, -1.0, 2.0, 0, 0, 1.5])
+    by = np.array([0.5, -1.0, 2.0, 0.3, 0.7, 0, 0, 1.5, 0.2])
     want = [sum(b * sum(v * g.get(i, 0) for i, v in f.items()) for g, b in zip(feats, by)) for f in feats]
-    # the walk's norm takes subsequences that occur twice as two
-    same = [0, 1, 2]
-    assert np.allclose(k.apply(units, toxicity.table_of(feats, by))[same], np.array(want)[same], atol=1e-4)
+    assert np.allclose(k.apply(units, toxicity.table_of(feats, by)), want, atol=1e-4)
+    assert k.features("") == {} and sum(v * v for v in feats[7].values()) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("sf, recall", [("sf0.1", 0.9), ("sf0.01", 0.75)])
+def test_toxicity_on_held_out_labels(spark, sf, recall):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    caught, told, toxic = sum(r.predicted and r.toxic for r in held), sum(r.predicted for r in held), sum(r.toxic for r in held)
+    # of sf0.1's labels one in twelve is on a text without any insult, of sf0.01's one in five
+    assert caught >= recall * toxic and caught >= 0.95 * told
+
+
+def test_toxicity_edges(spark):
+    texts, toxic, _ = labelled(120)
+    rows = [(k, t, 0.5, "p") for k, t in enumerate(texts)] + [(None, "idiot moron trash", 0.1, ""), (5, texts[5], 0.2, ""), (5, texts[4], 0.2, ""), (7000, "stupid idiot trash " * 30_000, None, None), (7001, "quiet " * 100_000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)] + [(0, 0), (1, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_bytes=1 << 20)
+    got = toxicity.toxicity(docs, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 8}) == 1
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[None] == 1 and by[7000] == 1 and by[7001] == 0
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and 7000 not in {r.doc_id for r in kept.collect()}
+    assert toxicity.fit(docs, labels.filter("toxic = 0")) is None and toxicity.fit(docs.filter("false"), labels) is None
 
 
 def test_quality(spark):
@@ -318,8 +442,38 @@ def test_quality(spark):
     got = {r.doc_id: r.good for r in quality.quality(docs, model).collect()}
     assert sum(got[k] != (k % 5 != 0) for k in range(400)) <= 4 and len(got) == 402
     assert quality.keep_good(docs, model).columns == docs.columns
-    assert quality.co_train([b"a"], [None], [None], np.array([1.0]), np.array([1])) is None
     assert {r.score for r in quality.quality(docs, None).collect()} == {0.5}
+    assert quality.fit(docs, spark.createDataFrame([(0, 1), (5, 1)], "doc_id long, quality int")) is None
+    again = {r.doc_id: r.good for r in quality.quality(docs.union(docs), model).collect()}
+    assert again == got
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    rows = quality.quality(docs, quality.fit(docs, labels.filter(~held))).join(labels.filter(held), "doc_id").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert sum(r.good for r in good) >= 0.98 * len(good) and sum(not r.good for r in bad) >= 0.9 * len(bad)
+
+
+def test_quality_views_are_separate(spark):
+    docs = spark.createDataFrame([(k, "%%% | INAT!! " * 9 if k % 4 == 0 else "the inat onth " * 9, "en", f"s{k % 3}", 100) for k in range(200)], SCHEMA)
+    model = quality.fit(docs, spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(150)], "doc_id long, quality int"))
+    other = docs.withColumn("text", F.lit("%%% @@ XX " * 50))
+    a, b = ({r.doc_id: r.meta_score for r in quality.quality(d, model).collect()} for d in (docs, other))
+    assert a == b
+
+
+def test_quality_edges(spark):
+    texts = [f"{'the inat onth ' * 8}{k}" if k % 4 else f"{'%%% | INAT!! ' * 8}{k}" for k in range(160)]
+    rows = [(k, t, "en", "s", len(t), "g") for k, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1, "g"), (3, texts[4], None, None, None, None), (900, "the inat " * 200_000, "en", "s", 5, ""), (None, "the", "en", None, 3, "")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", good string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(120)] + [(8, 1), (9, None), (5000, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_bytes=1 << 20)
+    got = quality.quality(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got) and {r.good for r in got if r.doc_id == 8} == {0}
+    assert quality.keep_good(docs, model).columns == docs.columns
+    assert quality.quality(docs.filter("false"), model).count() == 0 and quality.fit(docs.filter("false"), labels) is None
 
 
 def without_signal(spark):
@@ -338,20 +492,15 @@ def test_quality_keeps_to_the_classes_of_the_table(spark):
 
 
 def test_quality_learns_from_all_unlabelled(spark):
-    texts = [f"{'the inat onth ' * 8}{k}" if k % 4 else f"{'%%% | INAT!! ' * 8}{k}" for k in range(3000)]
-    rows = [(k, t, "en", f"s{k % 90}", len(t)) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(120)], "doc_id long, quality int")
-    model = quality.fit(docs, labels)
-    assert len(model.sources) == quality.NAMED and len(model.meta_weights) == 15 + 1 + quality.NAMED + 2 * quality.HASHED
-    known = labels.select(F.col("doc_id").alias("i"))
-    docs = docs.withColumnRenamed("doc_id", "i").withColumn("n_chars", F.col("n_chars").cast("double"))
-    text = [float(model.text_view(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for t in texts]
-    got = quality._surest(docs, known, model, 5, 8)[0]
-    free = [k for k in range(120, 3000) if abs(text[k]) > quality.SURE]
-    want = sorted(free, key=lambda k: (text[k], k))[:5], sorted(free, key=lambda k: (-text[k], k))[:8]
-    assert np.allclose(sorted(text[i] for i in got), sorted(text[i] for w in want for i in w)) and {i for i in got if i >= 120} == set(got)
-    assert all(got[i][0] == (i % 4 > 0) for i in got) and len(got) == 13
+    """A kind of bad text that no label shows, but that the source of labelled bad ones gives away."""
+    texts = [(f"{'the inat onth ' * 8}{k}", "good") if k % 4 else (f"{'%%% | INAT!! ' * 8}{k}" if k < 600 else f"{'0 1 2 3 ' * 12}{k}", "junk") for k in range(3000)]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, (t, s) in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(400)], "doc_id long, quality int")
+    views = {}
+    for name, some in (("all", docs), ("labelled", docs.filter("doc_id < 400"))):
+        got = quality.quality(docs.filter("doc_id >= 600 and doc_id % 4 = 0"), quality.fit(some, labels)).collect()
+        views[name] = np.mean([r.text_score for r in got])
+    assert views["all"] < views["labelled"] - 1
 
 
 def test_toxicity_keeps_to_the_classes_of_the_table(spark):
@@ -385,8 +534,118 @@ def test_extraction(spark):
     assert extraction.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_finds_the_article_where_names_say_nothing():
+    def page(k):
+        own = " ".join(f"w{k * 7 + j}" for j in range(40))
+        return (
+            f"<html><body><div class='a{k}'>Menu of things</div><div class='q'><form action='/p{k}'><div class='z'><h1>Head {k}</h1><p>{own}</p>"
+            f"<p class='story-share'>own {k} text here</p><div class='notice-board'><p>pinned {k} words</p></div><p>The same sentence.</p></div></form></div><div class='r'>Copyright of us</div></body></html>"
+        )
+
+    got = extraction.extract([page(k) for k in range(10)])
+    for k, (text, by_template) in enumerate(got):
+        assert by_template and text.split("\n") == [f"Head {k}", " ".join(f"w{k * 7 + j}" for j in range(40)), f"own {k} text here", f"pinned {k} words"]
+
+
+def test_copies_of_an_article_stay():
+    def page(k, body):
+        return f"<html><body><div class='m'>Menu of things</div><div class='z'><h1>Head {k}</h1>{body}</div><div class='r'>Copyright of us</div></body></html>"
+
+    body = "".join(f"<p>Paragraph {j} that all of the copies hold, word for word.</p>" for j in range(6))
+    got = extraction.extract([page(k, body) for k in range(8)] + [page(50 + k, f"<p>Other {k} text of its own with more words than that</p>") for k in range(4)])
+    assert all(text.count("Paragraph") == 6 for text, _ in got[:8])
+    line = "<p>A line that many quote.</p>"
+    mixed = [page(k, "".join(f"<p>Own text {k} {j} is here</p>" + (line if j == k % 5 else "") for j in range(6))) for k in range(10)]
+    assert all("A line that many quote." in text for text, _ in extraction.extract(mixed))
+
+
+def test_extraction_of_broken_and_very_long_pages():
+    import time
+
+    began = time.time()
+    hard = ['<a x' * 40_000 + '"', "<div>" * 200_000 + "deep", "<td><tr>" * 60_000 + "</x>" * 60_000, "<div class=\"a>x</div><p '>" * 50_000, "<!--" * 100_000, "&" * 500_000, "<p>" + "word " * 300_000]
+    got = [extraction.extract([h])[0][0] for h in hard]
+    assert time.time() - began < 30 and got[1] == "deep" and got[-1].count("word") == 300_000
+    assert extraction.extract(['<p>one <a href="y>two</a> three</p><p class="z">four</p>'])[0][0] == "one two three\nfour"
+
+
+def test_extraction_edges(spark):
+    page = "<html><body><div class='m'>Menu</div><div class='z'><p>Text of {0} and more of it {0}</p></div></body></html>"
+    rows = [(k, "http://h.org/x", page.format(k), "t") for k in range(6)] + [(3, "http://h.org/x", page.format(3), "t")] * 5 + [(None, None, page.format(9), None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = sorted((r.page_id if r.page_id is not None else -1, r.text) for r in extraction.main_texts(df, group_pages=4).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len({t for i, t in got if i == 3}) == 1 and all(f"Text of {i} and more of it {i}" in t for i, t in got if i >= 0) and len(got) == 13
+        if parts == 1:
+            first = got
+        assert got == first  # groups do not follow the partitions
+
+
 def test_template_has_valid_classes():
-    pages = [extraction.Page(f"<html><body><nav><a href=x>m</a></nav><article><p>a{k}</p>{'<p>b</p>' * k}</article></body></html>") for k in range(6)]
+    keys: dict = {}
+    pages = [extraction.Page(f"<html><body><nav><a href=x>m</a></nav><article><p>a{k}</p>{'<p>b</p>' * k}</article></body></html>", keys) for k in range(6)]
     classes = extraction.template(pages)
-    assert ["/html", "/html/body", "/html/body/nav"] == classes[0][:3]
-    assert extraction.article_slot(pages, classes) == "/html/body/article"
+    name = {v: k for k, v in keys.items()}
+    assert [name[t][1] for t in classes[0][:3]] == ["html", "body", "nav"]
+    for p in pages:
+        p.constant = [False] * len(p.blocks)
+    slot, _ = extraction.article_slot(pages, classes)
+    assert name[slot][1] == "article"
+
+
+# ---- nulls, repeats and clashing names of the others -------------------------------------------------------------------
+def test_top_k_edges(spark):
+    rows = [(0, [1.0, 2.0], "a"), (0, [2.0, 1.0], "b"), (1, [1.0, 1.0], "c"), (1, [1.0, 1.0], "d"), (None, [9.0, 9.0], "e"), (50, [0.5, 0.5], "f")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = topk.top_k(df).collect()
+    assert {r.query_id for r in got} == {0, 50} and all(r.vec_id != r.query_id for r in got)
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 50] == [(0, 98304), (0, 98304), (1, 65536), (1, 65536)]
+
+
+def test_fingerprint_edges(spark):
+    rows = [(None, "a b c d e f", 1), (None, None, 2), (4, "x y", 3), (4, "a b", 4), (5, "long words here " * 100_000, 5)]
+    df = spark.createDataFrame(rows, "r long, k string, guest int")
+    got = fingerprint.fingerprints(df, id_col="r", text_col="k").collect()
+    assert sorted(r.n_chars for r in got) == [0, 3, 3, 11, 1_600_000] and sum(r.r is None for r in got) == 2
+
+
+def test_substrings_of_very_long_texts_and_frequent_minimisers(spark):
+    rng = random.Random(8)
+    long = [f"t{rng.randrange(10**6)}" for _ in range(30_000)]
+    shared = [f"s{k}" for k in range(15)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[5000:9000] + ["x"] + long[:50])), *((k, " ".join([f"u{k}", *shared, f"v{k}"])) for k in range(10, 400))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1] == (30_000, 0) and got[2] == (4051, 4050) and got[10] == (17, 0) and all(got[k] == (17, 15) for k in range(11, 400))
+
+
+def test_frequent_minimisers_are_split_alike():
+    words = [f"w{k % 7}" for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(words), " ".join(words[5:40])])], names=["i", "t"])
+    plain = substrings.SuperKmers(batch, "t", "i", 13, 50)
+    split = substrings.SuperKmers(batch, "t", "i", 13, 50, np.unique(plain.least))
+
+    def windows(sk):
+        out = {}
+        for b, w, c in zip(sk.bucket.tolist(), sk.word.tolist(), sk.count.tolist()):
+            for at in range(w, w + c):
+                text = sk.buf[sk.starts[at] : sk.ends[at + 12]].tobytes()
+                out.setdefault(text, set()).add(b)
+        return out
+
+    assert all(len(b) == 1 for sk in (plain, split) for b in windows(sk).values()) and set(windows(plain)) == set(windows(split))
+    assert plain.count.sum() == split.count.sum()
+
+
+def test_packing_and_pieces_edges(spark):
+    rows = [(None, "one two", "x"), (7, "one two", "y"), (7, "one two", "z"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length string")
+    packed = packing.pack(df, tokenizer_path("word_bpe_49k.json")).collect()
+    assert {r.doc_tokens for r in packed if r.doc_id != 8} == {3}
+    assert {i: sum(r.length for r in packed if r.doc_id == i) for i in (None, 7, 8)} == {None: 3, 7: 6, 8: 1} and min(r.offset for r in packed) == 0
+    long = spark.createDataFrame([(1, "ab" * 40_000, 1), (1, "ab" * 40_000, 2), (None, "hello there", 3)], "doc_id long, text string, n_ids int")
+    got = sentencepieces.encode_decode(long, tokenizer_path("piece_bpe_32k.model")).collect()
+    assert len(got) == 3 and all(r.round_trip for r in got) and len({r.ids_crc32 for r in got if r.doc_id == 1}) == 1
