@@ -3,7 +3,9 @@ out, and what is left is tokenised and packed.
 
 Every stage takes what its predecessor kept and, but for the last, returns the columns of `documents`.  run() writes each
 stage's rows below spark.checkpoint.dir before the next stage reads them, so a lost executor costs part of one stage.
-Null and empty texts, repeated rows and empty tables are treated as each stage's operator documents.
+Null and empty texts, missing and repeated ids and empty tables are treated as each stage's operator documents: of rows that
+share an id and a text one stays, and a null text counts as empty.  Columns of documents beyond COLUMNS are dropped by the
+first stage, so they cannot clash.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The trained filters cannot be put in SQL; tests hold the stages against brute force.
+#: The trained filters cannot be put in SQL; tests/llm/test_pipeline.py holds every stage and run() against plain models.
 ORACLE_SQL = None
 
 
