@@ -33,7 +33,7 @@ from ._text import _STEP, binary_array, mix64, ragged, text_buffer, word_hashes,
 
 WINDOW = 13
 #: Text bytes of a bucket on average: a bucket is what is sorted at once, and there are as many as the corpus needs.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: A minimiser of a larger share of windows is frequent; in how many chunks that is looked up.
 HOT_SHARE, HOT_CHUNKS = 0.001, 16
 
@@ -226,10 +226,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n = partitions(spark)
     docs = docs.drop("n_words", "n_removed")
     chunks = chunked(docs, text_col)
-    buckets = max(n, chunks.count() * CHUNK_BYTES // BUCKET_BYTES)
+    n_chunks = max(1, chunks.count())
+    buckets = max(n, n_chunks * CHUNK_BYTES // BUCKET_BYTES)
     # frequent minimisers are looked up in some chunks; which they are only says how windows are dealt, never what is found
     seen = chunks.limit(HOT_CHUNKS).mapInArrow(lambda it: _minimisers(it, text_col, id_col, window), "m long, share double")
-    often = seen.groupBy("m").agg(F.sum("share").alias("share")).filter(F.col("share") > HOT_SHARE * HOT_CHUNKS / 4).collect()  # 4 / HOT_SHARE rows at most
+    least = max(HOT_SHARE, 4 / buckets)  # what holds several buckets' share
+    often = seen.groupBy("m").agg((F.sum("share") / min(HOT_CHUNKS, n_chunks)).alias("share")).filter(F.col("share") > least).collect()  # 1 / HOT_SHARE rows at most
     hot = np.sort(np.array([r["m"] for r in often], np.int64).view(np.uint64))
     sent = chunks.mapInArrow(lambda it: _send(it, text_col, id_col, window, buckets, hot), "bucket int, chunk_id long, blob binary")
     replies = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk_id").mapInArrow(lambda it: _buckets(it, window), "chunk_id long, bucket int, blob binary")
