@@ -78,3 +78,40 @@ def test_auxiliary_excludes_evidence(spark):
     used = spark.createDataFrame([("m", 2)], "member string, seq long")
     r = S.auxiliary_speech(df, used, F.lit(DAY), 90).first()
     assert (r.aux_score, r.aux_count) == (2.0, 2)
+
+
+def test_rounded_signals_equal_a_plain_model(spark):
+    """Every step rounded as Python rounds, over the whole small table."""
+    from tidemark.plans.views import utterances
+
+    u = utterances(spark, "/root/testdata/sf0.001")
+    rows = sorted(u.collect(), key=lambda r: r.seq)
+    by = {}
+    for r in sorted(rows, key=lambda r: r.d, reverse=True):
+        by.setdefault(r.member, []).append(r)
+
+    def mean(xs):
+        return round(sum(xs) / len(xs), 2) if xs else None
+
+    current = {r.member: r.speech_score for r in S.current_stance(u).collect()}
+    moved = {r.member: r for r in S.momentum(u).collect()}
+    model = {r.member: r.model_score for r in S.evidence_score(u, (F.col("relevance") == "HIGH") & F.col("source_type").isin("OFFICIAL", "INFOMAX")).collect()}
+    for member, own in by.items():
+        important = [r.score for r in own if r.relevance in ("HIGH", "MEDIUM")]
+        assert current[member] == mean(important[:5])
+        k = 3 if len(important) >= 6 else 2 if len(important) >= 4 else 0
+        if k:
+            a, b = mean(important[:k]), mean(important[k : 2 * k])
+            assert (moved[member].recent_avg, moved[member].previous_avg, moved[member].momentum_score) == (a, b, round(a - b, 2))
+        proof = [r.score for r in own if r.relevance == "HIGH" and r.source_type in ("OFFICIAL", "INFOMAX")][:5]
+        weights = [1.0, 0.9, 0.8, 0.7, 0.6]
+        want = sum(s * w for s, w in zip(proof, weights)) / sum(weights[: len(proof)]) if proof else None
+        assert model[member] == pytest.approx(want, abs=0.0051) if proof else model[member] is None
+
+
+def test_rounding_is_pythons(spark):
+    from tidemark.functions.columns import rounded
+
+    xs = [k / 200 for k in range(-801, 802, 2)] + [1.075, 2.675, 1.005, -1.005, 0.125, 2.5, None] + [k / 1000 for k in range(-995, 1000, 7)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", rounded(F.col("x"), 2).alias("y"), rounded(F.col("x"), 3).alias("z")).collect()
+    assert all(r.y is None if r.x is None else (r.y == round(r.x, 2) and r.z == round(r.x, 3)) for r in got)

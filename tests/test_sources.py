@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.dedup import identity
@@ -65,9 +67,56 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     stream = I.stream_of(spark, src, schema, 1)
     q = stream.writeStream.foreachBatch(I.upsert_sink(target, key)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    assert {r.title for r in spark.read.parquet(f"{target}/version=2").filter("url = 'u1'").collect()} <= {"t0", "t1"}
-    assert spark.read.parquet(f"{target}/version=2").count() == 3
+    sink = I.upsert_sink(target, key)
+    assert {r.title for r in sink.table(spark, schema).filter("url = 'u1'").collect()} <= {"t0", "t1"}
+    assert sink.table(spark, schema).count() == 3
     counts = I.tumbling(I.stream_of(spark, src, schema).withColumn("score", F.lit(1)), "url")
     q = counts.writeStream.outputMode("complete").format("memory").queryName("tumbled").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.sql("select sum(n) from tumbled").first()[0] == 4
+
+
+def test_upsert_sink_keeps_its_state(spark, tmp_path):
+    schema = "seq long, url string, published_at string, title string"
+    sink = I.upsert_sink(str(tmp_path / "sink"), F.col("url"), parts=8)
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    sink(batch((1, "a", "2024-01-01", "a1"), (2, "b", "2024-01-02", "b1")), 0)
+    sink(batch((3, "a", "2024-01-03", "a2")), 1)
+    sink(batch((9, "a", "2024-01-09", "never")), 1)  # a retry of a complete batch
+    sink(batch((4, "c", "2024-01-04", "c1")), 2)
+    got = lambda: {r.url: r.title for r in sink.table(spark, schema).collect()}
+    assert got() == {"a": "a2", "b": "b1", "c": "c1"}
+    assert sink._versions(spark) == [2, 3]  # older ones are gone
+    with pytest.raises(RuntimeError):
+        sink(batch((5, "d", "2024-01-05", "d1")), 7)
+    assert got() == {"a": "a2", "b": "b1", "c": "c1"}
+    assert I.upsert_sink(str(tmp_path / "new"), F.col("url")).table(spark, schema).count() == 0
+
+
+def test_exactly_once(spark, tmp_path):
+    schema = "id long, ts timestamp"
+    for k in range(2):
+        spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2)), (2, datetime(2024, 1, 2))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = I.exactly_once(I.stream_of(spark, str(tmp_path / "in"), schema), "id").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(r.id for r in spark.sql("select id from once").collect()) == [1, 2]
+
+
+def test_link_contexts_and_wire_limits(spark):
+    from tidemark.sources import chains as K
+
+    html = "<div><p>" + "x " * 1500 + "</p><article><h2>Desk</h2><a href='/s'>Talk</a> by <b>Doe</b></article></div><a>no link</a><script>var a = \"<a href='/n'>n</a>\"</script>"
+    rows = K.link_contexts(spark.createDataFrame([(1, "https://x.org", html), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert [(r.href, r.text, r.context) for r in rows] == [("/s", "Talk", "Desk Talk by Doe")]
+    c = spark.createDataFrame([(k, "연합인포맥스", f"https://w.org/{k % 3}", "파월 - 연합인포맥스", "파월 의장은 기준금리를 유지한다고 밝혔다 말했다", "2024-01-05") for k in range(9)], "seq long, source string, url string, title string, text string, published_at string")
+    assert [r.seq for r in K.wire_search(c, ["파월"], 2024, most=2).collect()] == [0, 1]
+
+
+def test_roster_in_slices(spark, monkeypatch):
+    from tidemark.operators import entity
+
+    people = entity.roster(spark.createDataFrame([(k, f"Name{k:03d} Last{k:03d}", "", "", "", "", 0) for k in range(23)], "member_id int, name_en string, name_ko string, role_en string, role_ko string, aliases string, voter int"))
+    a = spark.createDataFrame([(k, "", f"Name{k:03d} Last{k:03d} and Last{(k + 9) % 23:03d}", "", "") for k in range(23)], "seq long, speaker_raw string, title string, text string, url string")
+    whole = {r.seq: (r.member_id, r.match_score) for r in entity.attribute(a, people).collect()}
+    monkeypatch.setattr(entity, "ROSTER_SLICE", 5)
+    assert {r.seq: (r.member_id, r.match_score) for r in entity.attribute(a, people).collect()} == whole and whole[22] == (22, 13)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import alias_list
 
-#: Roster rows that may be broadcast; a larger roster is refused, since attribution tests each text against all of it.
-MAX_ROSTER = 5000
+#: Roster rows that travel with each row at a time; a larger roster is gone through in slices of so many.
+ROSTER_SLICE = 5000
 
 
 def search_terms(name_en: Column, name_ko: Column, role_en: Column, role_ko: Column, aliases: Column) -> Column:
@@ -19,31 +20,45 @@ def search_terms(name_en: Column, name_ko: Column, role_en: Column, role_ko: Col
 
 
 def roster(df: DataFrame) -> DataFrame:
-    """A roster with its search terms, bounded."""
-    if df.limit(MAX_ROSTER + 1).count() > MAX_ROSTER:
-        raise ValueError(f"a roster holds at most {MAX_ROSTER} entities")
+    """A roster with its search terms."""
     return df.withColumn("terms", search_terms(F.col("name_en"), F.col("name_ko"), F.col("role_en"), F.col("role_ko"), F.col("aliases")))
 
 
+def special_match(rows: list[tuple[str, object]], url: Column, speaker: Column, title: Column, text: Column, text_chars: int = 3000) -> Column:
+    """struct(member_id, match_score, member_group) for terms that stand for an entity wherever they occur: 100 in the URL or the
+    speaker, 80 in the title or the text's beginning; the first term that fits, null if none."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    body = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, text_chars)))
+    found = lambda i, n: F.struct(F.lit(i).alias("member_id"), F.lit(n).alias("match_score"), F.lit("FOMC").alias("member_group"))
+    sure = [F.when(low(url).contains(t.lower()) | low(speaker).contains(t.lower()), found(i, 100)) for t, i in rows]
+    likely = [F.when(body.contains(t.lower()), found(i, 80)) for t, i in rows]
+    return F.coalesce(*sure, *likely)
+
+
 def attribute(articles: DataFrame, members: DataFrame, key: str = "seq", special: Column | None = None, text_chars: int = 3000) -> DataFrame:
     """articles with member_id, match_score, member_group: the best-scoring entity, the first of the roster among equals.
 
-    The bounded roster travels as one array in each row's expression: no join, no shuffle, one pass over the articles.
+    The roster travels as one array in each row's expression, in slices of ROSTER_SLICE: no join, no shuffle, one pass.
     special: a struct(member_id, match_score, member_group) that goes before, where not null.
     """
-    people = members.agg(F.array_sort(F.collect_list(F.struct("member_id", F.lower("name_en").alias("en"), F.lower("name_ko").alias("ko"), F.transform("terms", F.lower).alias("terms")))).alias("_people"))
+    order = W.orderBy("member_id")  # over the roster, small beside the articles
+    numbered = members.withColumn("_slice", F.floor((F.row_number().over(order) - 1) / ROSTER_SLICE).cast("int"))
+    person = F.struct("member_id", F.lower("name_en").alias("en"), F.lower("name_ko").alias("ko"), F.transform("terms", F.lower).alias("terms"))
+    slices = range(max(1, -(-members.count() // ROSTER_SLICE)))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     hay = F.lower(F.concat_ws(" ", text("speaker_raw"), text("title"), F.substring(text("text"), 1, text_chars), text("url")))
     spoken = F.lower(text("speaker_raw"))
-    out = articles.crossJoin(F.broadcast(people)).withColumn("_hay", hay).withColumn("_said", spoken)  # one row of a bounded roster
+    out = articles.withColumn("_hay", hay).withColumn("_said", spoken)
 
     def points(p: Column) -> Column:
         each = F.aggregate(p["terms"], F.lit(0), lambda a, t: a + F.when(F.col("_hay").contains(t), F.when((t == p["en"]) | (t == p["ko"]), 10).otherwise(3)).otherwise(0))
         return each + F.when((p["en"] != "") & F.col("_said").contains(p["en"]), 20).otherwise(0)
 
-    scored = F.transform("_people", lambda p: F.struct((-points(p)).alias("s"), p["member_id"].alias("m")))
-    best = F.array_min(scored)
-    out = out.withColumn("_best", best)
+    for k in slices:
+        people = numbered.filter(F.col("_slice") == k).agg(F.array_sort(F.collect_list(person)).alias("_people"))
+        scored = F.transform("_people", lambda p: F.struct((-points(p)).alias("s"), p["member_id"].alias("m")))
+        out = out.crossJoin(F.broadcast(people)).withColumn("_new", F.array_min(scored)).drop("_people")  # one row of a bounded slice
+        out = out.withColumnRenamed("_new", "_best") if k == 0 else out.withColumn("_best", F.least("_best", "_new")).drop("_new")
     found = F.when(F.col("_best.s") < 0, F.struct(F.col("_best.m").alias("member_id"), (-F.col("_best.s")).alias("match_score"), F.lit("FOMC").alias("member_group")))
     none = F.struct(F.lit(None).cast(members.schema["member_id"].dataType).alias("member_id"), F.lit(0).alias("match_score"), F.lit("UNMATCHED").alias("member_group"))
     chosen = F.coalesce(*([special] if special is not None else []), found, none)

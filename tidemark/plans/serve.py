@@ -57,3 +57,12 @@ def social_feed(posts: DataFrame, institutional: list[str]) -> DataFrame:
     latest = posts.groupBy("member").agg(F.max_by(F.struct("posted_at", "text", "url"), F.struct("posted_at", "url")).alias("p"))
     kind = F.when(F.col("member").isin(*institutional), "INSTITUTIONAL").otherwise("PERSONAL") if institutional else F.lit("PERSONAL")
     return latest.select("member", F.when(F.col("p.posted_at").isNull(), "NO_POST").otherwise("OK").alias("status"), "p.*", kind.alias("account")).orderBy(F.col("posted_at").desc_nulls_last(), "member")
+
+
+def latest_posts(posts: DataFrame, roster: DataFrame) -> DataFrame:
+    """The newest post of each member of the roster that is no reply, and how it went: OK, NO_POST, or ERROR where fetching failed."""
+    own = ~F.coalesce("reply", F.lit(False)) & F.col("error").isNull()
+    best = posts.groupBy("member").agg(F.max_by("seq", F.when(own, F.struct("posted_at", "seq"))).alias("seq"), F.max(F.when(own, F.col("posted_at"))).alias("posted_at"), F.first("error", ignorenulls=True).alias("error"))
+    out = roster.select("member").join(best, "member", "left")
+    status = F.when(F.col("error").isNotNull(), "ERROR").when(F.col("seq").isNull(), "NO_POST").otherwise("OK")
+    return out.select("member", "seq", "posted_at", "error", status.alias("status"))

@@ -333,3 +333,17 @@ def p8(spark, sf):
     recent = recent.join(more, "member", "left").join(news.select("member", F.col("news_score").alias("recent_news_score"), F.col("news_label").alias("recent_news_label"), F.col("news_confidence").alias("recent_news_confidence")), "member", "left")
     out = attach.attach_all(u.select("seq", "member"), model, recent, final, S.momentum(u, None), news, S.current_stance(u, digits=None), days=7)
     return out.drop("member")
+
+
+@query("q1_speaker_summary", f"WITH {U}, {_FINAL}, f AS (SELECT member, seq, d, score, relevance FROM u QUALIFY row_number() OVER (PARTITION BY member ORDER BY seq) = 1) SELECT f.*, 'Name ' || member AS name, final_score, model_score, row_number() OVER (ORDER BY final_score DESC NULLS LAST, model_score DESC NULLS LAST, member) AS place FROM f LEFT JOIN final USING (member) LEFT JOIN model USING (member)")
+def q1(spark, sf):
+    from pyspark.sql import Window as W
+
+    from .serve import speaker_summary
+    from .signal_queries import final
+
+    u = utterances(spark, sf)
+    results = final(spark, sf).select("member", "final_score").join(S.evidence_score(u, _eligible(), digits=None).select("member", "model_score"), "member", "full_outer")
+    out = speaker_summary(u, results, S.members_of(u).withColumn("name", text("Name ", F.col("member"))))
+    order = W.orderBy(F.col("final_score").desc_nulls_last(), F.col("model_score").desc_nulls_last(), "member")
+    return out.withColumn("place", F.row_number().over(order).cast("long"))

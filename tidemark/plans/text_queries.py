@@ -221,11 +221,11 @@ def j1(spark, sf):
     return entity.attribute(a, _roster(spark)).select("seq", "member_id", "match_score", "member_group")
 
 
-@query("j2_special_match", f"WITH {A} SELECT seq, CASE WHEN contains(url, '/a/7') THEN 100 WHEN contains(lower(title || ' ' || substr(text, 1, 3000)), 'license') THEN 80 ELSE 0 END AS match_score FROM a")
+@query("j2_special_match", _match_sql().replace("SELECT seq, CASE WHEN s > 0 THEN id END", "SELECT b.seq, CASE WHEN contains(url, '/a/7') THEN 901 WHEN contains(lower(title || ' ' || substr(text, 1, 3000)), 'license') THEN 902 WHEN s > 0 THEN id END").replace("greatest(s, 0) AS match_score", "CASE WHEN contains(url, '/a/7') THEN 100 WHEN contains(lower(title || ' ' || substr(text, 1, 3000)), 'license') THEN 80 ELSE greatest(s, 0) END AS match_score").replace("CASE WHEN s > 0 THEN 'FOMC'", "CASE WHEN s > 0 OR contains(url, '/a/7') OR contains(lower(title || ' ' || substr(text, 1, 3000)), 'license') THEN 'FOMC'").replace("FROM b", "FROM b JOIN a USING (seq)"))
 def j2(spark, sf):
-    a = articles(spark, sf)
-    text = F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 3000)))
-    return a.select("seq", F.when(F.col("url").contains("/a/7"), 100).when(text.contains("license"), 80).otherwise(0).alias("match_score"))
+    a = articles(spark, sf).withColumn("speaker_raw", F.col("source"))
+    special = entity.special_match([("/a/7", 901), ("License", 902)], F.col("url"), F.col("speaker_raw"), F.col("title"), F.col("text"))
+    return entity.attribute(a, _roster(spark), special=special).select("seq", "member_id", "match_score", "member_group")
 
 
 @query("p2_source_type", f"WITH {A} SELECT seq, CASE WHEN source_type <> 'NEWS' THEN source_type WHEN contains(url, 'src1') THEN 'FED_BOARD' ELSE 'REGIONAL_FED' END AS source_type FROM a")
@@ -489,10 +489,16 @@ def s18(spark, sf):
     return table(spark, sf, "documents").select("doc_id", b["method"].alias("method"))
 
 
-@query("s21_latest_post", f"WITH {U} SELECT member, arg_max(seq, struct_pack(d := d, s := seq)) AS seq FROM u GROUP BY member")
+@query("s21_latest_posts", f"WITH {U}, p AS (SELECT * FROM u WHERE relevance <> 'LOW' AND member % 5 <> 4), r AS (SELECT DISTINCT member FROM u), l AS (SELECT member, arg_max(seq, struct_pack(d := d, s := seq)) AS seq FROM p WHERE member % 7 <> 0 GROUP BY member) SELECT r.member, l.seq, CASE WHEN r.member % 7 = 0 AND r.member % 5 <> 4 THEN 'ERROR' WHEN l.seq IS NULL THEN 'NO_POST' ELSE 'OK' END AS status FROM r LEFT JOIN l USING (member)")
 def s21(spark, sf):
-    u = utterances(spark, sf).groupBy("member").agg(F.max_by("seq", F.struct("d", "seq")).alias("seq"))
-    return u
+    u = utterances(spark, sf)
+    posts = u.filter("member % 5 <> 4").select("member", "seq", F.col("d").alias("posted_at"), (F.col("relevance") == "LOW").alias("reply"), F.when(F.col("member") % 7 == 0, "no access").alias("error"))
+    return serve.latest_posts(posts, u.select("member").distinct()).select("member", "seq", "status")
+
+
+@query("k2_all_columns", f"WITH {A} SELECT " + ", ".join((f"{ {'published_at': 'published_at', 'title': 'title', 'source': 'source', 'member_name_en': 'source', 'text': 'text', 'url': 'url', 'source_type': 'source_type'}.get(c, 'CAST(NULL AS VARCHAR)')} AS \"{L.EXPORT_NAMES.get(c, c)}\"") for c in L.EXPORT_COLUMNS) + " FROM a")
+def k2all(spark, sf):
+    return serve.export_frame(articles(spark, sf))
 
 
 @query("k2_export", f"WITH {A} SELECT published_at AS Date, source AS Source, title AS Title, CASE WHEN contains(title, 'the') THEN 'a | b' ELSE 'a' END AS Topics FROM a")
