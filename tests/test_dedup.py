@@ -1,8 +1,10 @@
 """Duplicate operators against plain Python models on random inputs."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup
@@ -73,3 +75,82 @@ def test_upsert_is_idempotent(spark):
 def test_paragraphs_and_titles(spark):
     r = spark.createDataFrame([("A line that is long enough\nshort\na LINE that is long enough\nAnother long enough line",)], "t string").select(dedup.distinct_paragraphs(F.col("t")).alias("x"), dedup.strip_suffix(F.lit("Head - Out"), F.lit("Out")).alias("h")).first()
     assert (r.x, r.h) == ("A line that is long enough\nAnother long enough line", "Head")
+
+
+def plain_title(t):
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", (t or "").lower(), flags=re.A)).strip()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    """The whole small table with repeated titles and addresses."""
+    from tidemark.plans.views import articles
+
+    a = articles(spark, "/root/testdata/sf0.001")
+    again = a.filter("seq % 4 = 0").withColumns({"seq": F.col("seq") + 1000, "title": F.concat(F.upper("title"), F.lit("!")), "url": F.concat("url", F.lit("x"))})
+    return a.unionByName(again).withColumn("url", F.when(F.col("seq") % 10 == 3, "").otherwise(F.col("url"))).cache()
+
+
+def test_fuzzy_articles_equal_a_plain_pass_over_the_table(table):
+    rows = sorted(table.collect(), key=lambda r: r.seq)
+    seen, titles, want = set(), {}, []
+    for r in rows:
+        t, block = plain_title(r.title), (r.member_name_en, r.published_at)
+        if r.url and r.url in seen:
+            continue
+        if any((t and t == o) or (t and o and SequenceMatcher(None, o, t).ratio() >= 0.92) for o in titles.get(block, [])):
+            continue
+        if r.url:
+            seen.add(r.url)
+        titles.setdefault(block, []).append(t)
+        want.append(r.seq)
+    got = sorted(r.seq for r in dedup.fuzzy_articles(table).collect())
+    assert got == want and 0 < len(want) < len(rows)
+
+
+def test_ranked_containment_equals_a_plain_pass_over_the_table(table):
+    a = table.select("seq", F.col("source").alias("member"), "title", "published_at", (F.col("seq") % 2 == 0).alias("preferred"))
+    want = []
+    by = {}
+    for r in sorted(a.collect(), key=lambda r: r.seq):
+        by.setdefault(r.member, []).append(r)
+    for own in by.values():
+        seen = []
+        for r in sorted(own, key=lambda r: (r.preferred, r.published_at or ""), reverse=True):
+            t = plain_title(r.title)
+            if len(seen) == 10:
+                break
+            if not any(t == s or (min(len(t), len(s)) >= 35 and (t in s or s in t)) for s in seen):
+                seen.append(t)
+                want.append(r.seq)
+    assert sorted(r.seq for r in dedup.ranked_containment(a).collect()) == sorted(want)
+
+
+def test_linked_events_equal_a_plain_pass_over_the_table(table):
+    from tidemark.functions.columns import plain_event_text, words
+    from tidemark.operators.score import fingerprint
+
+    a = table.withColumn("event_day", F.to_date("published_at")).withColumn("score", (F.col("seq") % 9 - 4).cast("int"))
+    body = plain_event_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 1000)))
+    rows = a.select("seq", F.col("member_name_en").alias("m"), "event_day", "score", fingerprint(F.col("title"), F.col("text")).alias("p"), words(body).alias("w")).collect()
+    groups, want = [], {}
+
+    def same(x, y):
+        gap, common = abs((x.event_day - y.event_day).days), len(set(x.p) & set(y.p))
+        union = len(set(x.w) | set(y.w))
+        sign = lambda s: (s >= 1) - (s <= -1)
+        alike = x.w and y.w and len(set(x.w) & set(y.w)) / union >= 0.25
+        return gap <= 1 and (common >= 2 or alike or (gap == 0 and common >= 1 and sign(x.score) != 0 and sign(x.score) == sign(y.score)))
+
+    for r in sorted(rows, key=lambda r: (r.event_day, r.seq)):  # the oldest first
+        for k, g in enumerate(groups):
+            if g[0].m == r.m and any(same(r, o) for o in g):
+                g.append(r)
+                want[r.seq] = k
+                break
+        else:
+            want[r.seq] = len(groups)
+            groups.append([r])
+    got = {r.seq: r.group for r in dedup.link_events(a).collect()}
+    parts = lambda of: sorted(sorted(s for s in of if of[s] == g) for g in set(of.values()))
+    assert parts(got) == parts(want) and len(groups) < len(rows)

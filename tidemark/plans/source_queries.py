@@ -347,3 +347,24 @@ def q1(spark, sf):
     out = speaker_summary(u, results, S.members_of(u).withColumn("name", text("Name ", F.col("member"))))
     order = W.orderBy(F.col("final_score").desc_nulls_last(), F.col("model_score").desc_nulls_last(), "member")
     return out.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+@query("c1_repaired_text", f"WITH {O} SELECT k, 'It’s “' || k || '” – x — y' AS t FROM i")
+def c1(spark, sf):
+    return items(spark, sf).select("k", C.clean_text(text(" Itâ€™s  â€œ", F.col("k"), "â€\x9d â€“  xÂ\n â€” y ")).alias("t"))
+
+
+@query("c17_article_paragraphs", f"WITH {O} SELECT k, 'First paragraph, number ' || k || ' & more' || chr(10) || 'Another one of some length' AS body FROM i")
+def c17(spark, sf):
+    page = text("<p>Outside of the article, long enough</p><article class='x'><p>First paragraph, number ", F.col("k"), " &amp; more</p><p>Short</p><p id=q>FIRST <b>paragraph,</b> number ", F.col("k"), " &amp; MORE</p><p>Another one of some length</article><p>Also outside, and long enough too</p>")
+    return items(spark, sf).select("k", P.paragraphs(page).alias("body"))
+
+
+@query("p4_defaults", f"WITH {O} SELECT k, CASE WHEN k % 3 = 0 THEN 'given' ELSE '' END AS source, CASE WHEN k % 2 = 0 THEN 'REGIONAL' ELSE 'OFFICIAL' END AS source_type, '' AS text FROM i")
+def p4(spark, sf):
+    k = F.col("k")
+    rows = items(spark, sf).select(
+        k.alias("seq"), text("https://x.org/", k).alias("url"), F.lit("2008-01-01").alias("published_at"), F.lit("T").alias("title"), F.when(k % 3 == 0, "given").when(k % 3 == 1, "").alias("source"),
+        F.when(k % 2 == 0, "REGIONAL").when(k % 4 == 1, "").alias("source_type"), F.lit(None).cast("string").alias("speaker_raw"), F.when(k % 5 == 0, "").alias("text"),
+    )
+    return K.all_sources(rows).select(F.col("seq").alias("k"), "source", "source_type", "text")

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str = "plan") -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names; a temporary one is set where it is unset."""
+    """df as a Parquet table in the folder that spark.checkpoint.dir names; on one machine a temporary one is set where it
+    is unset, on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
