@@ -213,3 +213,8 @@ def first_per_key(df: DataFrame, key: str) -> DataFrame:
     """Each key's first row in input order."""
     w = W.partitionBy(key).orderBy("seq")
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def event_identity(event_id: Column, date: Column, title: Column) -> Column:
+    """What an event is known by: its id, else its date and title."""
+    return F.coalesce(F.nullif(F.trim(event_id.cast("string")), F.lit("")), F.concat_ws("|", F.coalesce(date.cast("string"), F.lit("")), F.coalesce(title, F.lit(""))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import dates as D
-from ..operators import attach
+from ..operators import attach, filters
 from ..operators import signals as S
 from ..sources import chains as K
 from ..sources import pages as P
@@ -368,3 +368,23 @@ def p4(spark, sf):
         F.when(k % 2 == 0, "REGIONAL").when(k % 4 == 1, "").alias("source_type"), F.lit(None).cast("string").alias("speaker_raw"), F.when(k % 5 == 0, "").alias("text"),
     )
     return K.all_sources(rows).select(F.col("seq").alias("k"), "source", "source_type", "text")
+
+
+@query("j5_event_identity", f"WITH {U}, w AS (SELECT *, CASE WHEN seq % 3 = 0 THEN CAST(seq AS VARCHAR) ELSE CAST(d AS VARCHAR) || '|' || relevance || seq % 5 END AS identity FROM u), e AS (SELECT * FROM w WHERE relevance = 'MEDIUM' QUALIFY row_number() OVER (PARTITION BY member ORDER BY d DESC, seq) <= 3), x AS (SELECT * FROM w WHERE relevance IN ('MEDIUM', 'LOW') AND NOT EXISTS (SELECT 1 FROM e WHERE e.member = w.member AND e.identity = w.identity) QUALIFY row_number() OVER (PARTITION BY member ORDER BY d DESC, seq) <= 5) SELECT member, avg(score) AS aux_score, count(*) AS aux_count FROM x GROUP BY member")
+def j5(spark, sf):
+    u = utterances(spark, sf)
+    w = u.withColumn("identity", S.event_identity(F.when(F.col("seq") % 3 == 0, F.col("seq")), F.col("d"), text(F.col("relevance"), F.col("seq") % 5)))
+    used = S.newest(w.filter("relevance = 'MEDIUM'"), 3)
+    return S.auxiliary_speech(w, used, F.lit("2024-12-31").cast("date"), 100_000, digits=None, identity="identity")
+
+
+@query("a8_undated_clusters", f"WITH {U} SELECT member, CASE WHEN seq % 4 = 0 THEN 'UNKNOWN_DATE' ELSE CAST(d AS VARCHAR) END AS cluster_date, sum(score * CASE WHEN preferred THEN 15 ELSE 10 END) / CAST(sum(CASE WHEN preferred THEN 15 ELSE 10 END) AS DOUBLE) AS cluster_score, count(*) AS article_count, count(*) FILTER (preferred) AS preferred_count FROM u WHERE source_type = 'NEWS' AND score <> 0 GROUP BY 1, 2")
+def a8(spark, sf):
+    u = utterances(spark, sf).filter("source_type = 'NEWS'").withColumn("d", F.when(F.col("seq") % 4 != 0, F.col("d")))
+    return S.news_clusters(u, None).drop("cluster_label")
+
+
+@query("f18_grid_stances", f"WITH {A}, b AS (SELECT *, seq % 9 - 4 AS score FROM a) SELECT seq FROM b WHERE source_type = 'NEWS' AND score >= 1 AND source IN ('src1', 'src2', 'src5') AND contains(lower(title), 'an')")
+def f18(spark, sf):
+    a = articles(spark, sf).withColumns({"relevance": F.col("source_type"), "speaker": F.col("source"), "stance": C.stance(F.col("seq") % 9 - 4)})
+    return a.filter(filters.grid(["NEWS"], ["HAWKISH", "NEUTRAL_HAWKISH"], ["src1", "src2", "src5"], "An")).select("seq")
