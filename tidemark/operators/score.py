@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.columns import any_of, direction, found_in, labels_of, let, matches, plain_event_text, sentences, stance, weight_of, words
+from ..functions.columns import any_of, labels_of, let, matches, plain_event_text, sentences, stance, weight_of, words
 from .filters import rate_context
 
 
@@ -209,12 +209,3 @@ def quality_points(date: Column, speaker: Column, title: Column, text: Column, l
     """How complete a scraped row is: 2 each for date, speaker and a long text, 1 for the title, 2 for any text."""
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     return F.when(has(date), 2).otherwise(0) + F.when(has(speaker), 2).otherwise(0) + F.when(has(title), 1).otherwise(0) + F.when(has(text), 2).otherwise(0) + F.when(F.length(text) >= least, 2).otherwise(0)
-
-
-def matched(text: Column, terms) -> Column:
-    return found_in(text, terms)
-
-
-def same_direction(a: Column, b: Column) -> Column:
-    x, y = direction(a, 1), direction(b, 1)
-    return (x != 0) & (x == y)

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import dates as D
 from ..operators import attach, filters
 from ..operators import signals as S
+from ..operators.entity import search_terms
 from ..sources import chains as K
 from ..sources import pages as P
 from ..sources.tables import written
@@ -388,3 +389,18 @@ def a8(spark, sf):
 def f18(spark, sf):
     a = articles(spark, sf).withColumns({"relevance": F.col("source_type"), "speaker": F.col("source"), "stance": C.stance(F.col("seq") % 9 - 4)})
     return a.filter(filters.grid(["NEWS"], ["HAWKISH", "NEUTRAL_HAWKISH"], ["src1", "src2", "src5"], "An")).select("seq")
+
+
+@query("x13_customer_terms", "SELECT c_custkey, 'Ann ' || c_mktsegment || '|코' || c_custkey || '|chair|a1|b' || c_custkey || '|' || c_mktsegment AS terms FROM customer")
+def x13(spark, sf):
+    key = F.col("c_custkey")
+    terms = search_terms(text("Ann ", F.col("c_mktsegment")), text("코", key), F.lit("chair"), F.lit(" "), text(" a1 | |b", key, "|chair"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(terms, "|").alias("terms"))
+
+
+@query("c24_date_policies", f"WITH {O} SELECT k, CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN strftime(d, '%Y-%m-%d') ELSE strftime(d - 1, '%Y-%m-%d') END AS event, CASE WHEN k % 5 = 0 THEN 'soon' WHEN k % 3 = 0 THEN strftime(d, '%Y-%m-%d') ELSE strftime(d - 1, '%Y-%m-%d') END AS model, strftime(d - 1, '%Y-%m-%d') AS export FROM i")
+def c24(spark, sf):
+    k, iso = F.col("k"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    rows = items(spark, sf).select(k, F.when(k % 5 == 0, "soon").when(k % 3 == 0, iso("d")).otherwise("").alias("actual_speech_date"), F.concat(iso(F.date_sub("d", 1)), F.lit("T09:00")).alias("published_at"))
+    have = rows.columns
+    return rows.select("k", D.resolved("event", have).alias("event"), F.substring(D.resolved("model", have), 1, 10).alias("model"), D.resolved("export", have).alias("export"))

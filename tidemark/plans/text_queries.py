@@ -74,6 +74,15 @@ def x2(spark, sf):
     return _relevance(spark, sf).select("seq", "policy_score", "mandate_score", "macro_score", "relevance_score", "relevance", "has_body")
 
 
+_GROUPS_OF = [(p, w, g) for g, lex in zip(("POLICY", "DUAL_MANDATE", "MACRO", "LOW_RELEVANCE"), _REL) for p, w in lex.items()]
+
+
+@query("x2_matches", f"WITH {A} SELECT seq, array_to_string(list_filter([{', '.join(f'CASE WHEN contains({_T}, {q(p)}) THEN {q(f"{p}:{w}:{g}")} END' for p, w, g in _GROUPS_OF)}], lambda x: x IS NOT NULL), '|') AS found FROM a")
+def x2m(spark, sf):
+    found = F.transform("relevance_matches", lambda e: F.concat(e["phrase"], F.lit(":"), e["weight"].cast("string"), F.lit(":"), e["category"]))
+    return _relevance(spark, sf).select("seq", F.array_join(found, "|").alias("found"))
+
+
 @query("x2_relevance_labels", f"WITH {_REL_SQL} SELECT relevance, count(*) AS n FROM rel GROUP BY 1")
 def x2l(spark, sf):
     return _relevance(spark, sf).groupBy("relevance").agg(F.count(F.lit(1)).alias("n"))
@@ -483,10 +492,10 @@ def s9(spark, sf):
     return P.links(table(spark, sf, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("href")), ",").alias("hrefs"))
 
 
-@query("s18_body_cascade", "SELECT doc_id, CASE WHEN length(trim(CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END)) >= 100 THEN 'EXISTING' WHEN length(trim(text)) >= 100 THEN 'DIRECT' ELSE 'FAILED' END AS method FROM documents")
+@query("s18_body_cascade", "SELECT doc_id, CASE WHEN length(trim(CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END)) >= 100 THEN 'EXISTING' WHEN length(trim(text)) >= 100 THEN 'DIRECT' ELSE 'FAILED' END AS method, CASE WHEN length(trim(text)) >= 100 THEN md5(trim(text)) ELSE md5('') END AS digest FROM documents")
 def s18(spark, sf):
     b = P.body_cascade([("EXISTING", F.when(F.col("doc_id") % 2 != 0, F.col("text"))), ("DIRECT", F.col("text"))])
-    return table(spark, sf, "documents").select("doc_id", b["method"].alias("method"))
+    return table(spark, sf, "documents").select("doc_id", b["method"].alias("method"), F.md5(b["text"]).alias("digest"))
 
 
 @query("s21_latest_posts", f"WITH {U}, p AS (SELECT * FROM u WHERE relevance <> 'LOW' AND member % 5 <> 4), r AS (SELECT DISTINCT member FROM u), l AS (SELECT member, arg_max(seq, struct_pack(d := d, s := seq)) AS seq FROM p WHERE member % 7 <> 0 GROUP BY member) SELECT r.member, l.seq, CASE WHEN r.member % 7 = 0 AND r.member % 5 <> 4 THEN 'ERROR' WHEN l.seq IS NULL THEN 'NO_POST' ELSE 'OK' END AS status FROM r LEFT JOIN l USING (member)")

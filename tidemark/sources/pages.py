@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import let, markup_free
 from ..functions.dates import english_date, url_date
@@ -113,14 +112,7 @@ def body_cascade(candidates: list[tuple[str, Column]], least: int = 100) -> Colu
     return F.struct(text.alias("text"), method.alias("method"), (method != "FAILED").alias("fetched"))
 
 
-ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "source", "published", "description")])
-
-
 def search_queries(name_en: Column, name_ko: Column, aliases: Column, site: str) -> Column:
     """Distinct query strings for a member's names on a site."""
     names = F.filter(F.concat(F.array(name_ko, name_en), aliases), lambda n: n.isNotNull() & (F.trim(n) != ""))
     return F.array_distinct(F.transform(names, lambda n: F.concat(F.lit(f"site:{site} \""), F.trim(n), F.lit("\""))))
-
-
-def feed_url(query: Column, base: str = "https://news.example.org/rss/search") -> Column:
-    return F.concat(F.lit(base + "?q="), F.url_encode(query))
