@@ -404,3 +404,12 @@ def c24(spark, sf):
     rows = items(spark, sf).select(k, F.when(k % 5 == 0, "soon").when(k % 3 == 0, iso("d")).otherwise("").alias("actual_speech_date"), F.concat(iso(F.date_sub("d", 1)), F.lit("T09:00")).alias("published_at"))
     have = rows.columns
     return rows.select("k", D.resolved("event", have).alias("event"), F.substring(D.resolved("model", have), 1, 10).alias("model"), D.resolved("export", have).alias("export"))
+
+
+@query("f11_signal_windows", f"WITH {O}, g AS (SELECT k, k % 500 AS g FROM i) SELECT k, g + 11 <= 250 AS before, g + 11 <= 450 AS after, k % 2 = 0 AS quoted FROM g")
+def f11(spark, sf):
+    k = F.col("k")
+    gap = F.expr("repeat('x', cast(k % 500 as int))")
+    told = lambda title, body: filters.direct_member_signal(title, body, ["Powell"], veto=["photo"], verbs=["said"], policy=["rate"])
+    quote = F.when(k % 4 == 0, "Powell “steady”").when(k % 4 == 1, "Powell “steady”, a photo").when(k % 4 == 2, "“Go on”, Powell").otherwise("“Go on”, all")
+    return items(spark, sf).select("k", told(F.lit(""), text("said rate ", gap, " Powell")).alias("before"), told(F.lit(""), text("Powell ", gap, " said rate")).alias("after"), told(quote, F.lit("")).alias("quoted"))
