@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
+from ..sources.tables import written
 from .registry import query
 from .views import AS_OF, U, stance_sql, utterances
 
@@ -135,7 +136,7 @@ def _recent(u):
 
 @query("a12_recent_signal", f"WITH {U}, {_MODEL}, {_NEWS}, {_RECENT} SELECT * FROM recent")
 def a12(spark, sf_dir):
-    return _recent(utterances(spark, sf_dir))
+    return _recent(written(utterances(spark, sf_dir), "statements"))
 
 
 @query("a13_recent_confidence", f"WITH {U}, {_MODEL}, {_NEWS}, {_RECENT} SELECT recent_confidence, count(*) AS members FROM recent GROUP BY 1")
@@ -157,7 +158,7 @@ final AS (SELECT member, final_score, {stance_sql('final_score', 5, 2, 'INSUFFIC
 
 
 def final(spark, sf_dir):
-    u = utterances(spark, sf_dir)
+    u = written(utterances(spark, sf_dir), "statements")  # events are read and parsed once
     return S.final_stance(S.evidence_score(u, _eligible(), digits=None), _recent(u), digits=None)
 
 

@@ -10,6 +10,7 @@ from ..functions import lexicons as L
 from ..operators import dedup, entity, filters, score
 from ..sources import pages as P
 from ..sources.files import union_sources
+from ..sources.tables import written
 from ..streaming import incremental as I
 from . import serve
 from .registry import query
@@ -196,8 +197,8 @@ _TOK = f"list_distinct(list_filter(string_split({plain_sql('title || ' + q(' ')
 def x12(spark, sf):
     a = articles(spark, sf)
     body = C.plain_event_text(F.concat_ws(" ", "title", F.substring("text", 1, 1000)))
-    x = a.select("seq", body.alias("x"))
-    y = a.select((F.col("seq") - 1).alias("seq"), body.alias("y"))
+    x = written(a.select("seq", body.alias("x")), "bodies")  # texts are normalised once
+    y = x.select((F.col("seq") - 1).alias("seq"), F.col("x").alias("y"))
     return x.join(y, "seq").select("seq", score.token_jaccard(F.col("x"), F.col("y")).alias("likeness"))
 
 
@@ -360,8 +361,6 @@ def d4(spark, sf):
 
 @query("d6_merged_events")
 def d6(spark, sf):
-    from ..sources.tables import written
-
     events = dedup.numbered_events(dedup.merge_groups(written(_linked(spark, sf))))
     return events.select("event_id", "event_key", "seq", "source_coverage", "event_source_count", F.array_join("event_sources", ",").alias("event_sources"), F.array_join("policy_fingerprint", ",").alias("policy_fingerprint"))
 
@@ -374,7 +373,7 @@ def w5(spark, sf):
 
 @query("d5_candidate_pairs", f"WITH {_FP_SQL} SELECT x.seq AS a, y.seq AS b FROM fp x JOIN fp y ON x.member_name_en = y.member_name_en AND x.seq < y.seq AND abs(CAST(x.published_at AS DATE) - CAST(y.published_at AS DATE)) <= 1 AND len(list_intersect(x.prints, y.prints)) >= 2")
 def d5(spark, sf):
-    a = articles(spark, sf).select("seq", "member_name_en", F.to_date("published_at").alias("d"), score.fingerprint(F.col("title"), F.col("text"), _PRINTS).alias("p"))
+    a = written(articles(spark, sf).select("seq", "member_name_en", F.to_date("published_at").alias("d"), score.fingerprint(F.col("title"), F.col("text"), _PRINTS).alias("p")), "prints")
     # equal days or neighbours as an equi-join: each right row is offered on its day and the two beside it
     b = a.select(F.col("seq").alias("b"), "member_name_en", F.col("p").alias("p2"), F.explode(F.array(F.col("d"), F.date_add("d", 1), F.date_sub("d", 1))).alias("d"))
     return a.join(b, ["member_name_en", "d"]).filter((F.col("seq") < F.col("b")) & (F.size(F.array_intersect("p", "p2")) >= 2)).select(F.col("seq").alias("a"), "b")
