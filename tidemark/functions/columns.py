@@ -125,17 +125,24 @@ def plain_title(c: Column) -> Column:
 
 
 #: Outlet names that normalised texts are freed of.
-OUTLETS = r"\b(reuters|bloomberg|cnbc|wsj|yonhap infomax)\b"
+OUTLET_WORDS = ("reuters", "bloomberg", "cnbc", "wsj", "yonhap infomax")
+OUTLETS = rf"\b({'|'.join(OUTLET_WORDS)})\b"
 OUTLET_SUFFIX = r"\s*-\s*연합인포맥스\s*$"
 
 
+def _where(test: str, pattern_: str, new: str):
+    """A replacement that only texts that hold `test` go through."""
+    return lambda c: F.when(c.contains(test), F.regexp_replace(c, pattern_, new)).otherwise(c)
+
+
 def plain_event_text(c: Column) -> Column:
     """Lower-case letters and digits of two scripts without links and outlet names."""
+    outlets = lambda x: F.when(any_of(x, OUTLET_WORDS), F.regexp_replace(x, OUTLETS, " ")).otherwise(x)
+    steps = [_where("http", r"https?://\S+", " "), _where("연합인포맥스", OUTLET_SUFFIX, ""), outlets]
     c = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    c = F.regexp_replace(c, r"https?://\S+", " ")
-    c = F.regexp_replace(c, OUTLET_SUFFIX, "")
-    c = F.regexp_replace(c, OUTLETS, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^0-9a-zA-Z가-힣\s]", " "), r"\s+", " "))
+    for step in steps:
+        c = let(c, step)
+    return F.trim(F.regexp_replace(c, "[^0-9a-zA-Z가-힣]+", " "))
 
 
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
