@@ -229,9 +229,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n_chunks = max(1, chunks.count())
     buckets = max(n, n_chunks * CHUNK_BYTES // BUCKET_BYTES)
     # frequent minimisers are looked up in some chunks; which they are only says how windows are dealt, never what is found
-    seen = chunks.limit(HOT_CHUNKS).mapInArrow(lambda it: _minimisers(it, text_col, id_col, window), "m long, share double")
+    every = -(-n_chunks // HOT_CHUNKS)
+    some = chunks.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(every)) == 0)
+    seen = some.mapInArrow(lambda it: _minimisers(it, text_col, id_col, window), "m long, share double")
     least = max(HOT_SHARE, 4 / buckets)  # what holds several buckets' share
-    often = seen.groupBy("m").agg((F.sum("share") / min(HOT_CHUNKS, n_chunks)).alias("share")).filter(F.col("share") > least).collect()  # 1 / HOT_SHARE rows at most
+    often = seen.groupBy("m").agg((F.sum("share") / F.lit(n_chunks / every)).alias("share")).filter(F.col("share") > least).collect()  # some thousand rows at most
     hot = np.sort(np.array([r["m"] for r in often], np.int64).view(np.uint64))
     sent = chunks.mapInArrow(lambda it: _send(it, text_col, id_col, window, buckets, hot), "bucket int, chunk_id long, blob binary")
     replies = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk_id").mapInArrow(lambda it: _buckets(it, window), "chunk_id long, bucket int, blob binary")
