@@ -8,7 +8,8 @@ are stored, as lowercase hex, and a comparison takes the chance agreement of tho
 Edge cases: a null text is empty; a text without words has the fingerprint of zeros with the suffix "-", whose likeness
 is 1 to another such and 0 to any other; texts of fewer than five words have one shingle, all their words; equal texts
 have equal fingerprints; rows of one id follow each other in the order of their texts; a single row is its own
-neighbour; rows without an id come before all others; an empty table gives no rows.
+neighbour; rows without an id come before all others; a very long text is hashed as any other; an empty table gives no rows;
+only id and text are read, so other columns cannot clash and do not come back.
 """
 
 from __future__ import annotations

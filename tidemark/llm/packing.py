@@ -6,7 +6,7 @@ enumerated; non-negative least squares finds how often to use each; the counts a
 (the residuals) is packed greedily: it fills the slack that the units leave, then windows of its own.  The end of a
 block is cut at powers of two, which need no padding.
 
-Edge cases: a null or empty text is the end token alone; repeated rows are packed once per row; an empty table gives
+Edge cases: a null or empty text is the end token alone; repeated rows, and rows without an id, are packed once per row; an empty table gives
 no rows; a document longer than a block is cut across blocks of the same task; input columns other than the id and the
 text are not returned, so their names cannot clash.
 """

@@ -10,7 +10,9 @@ is.)  Characters without a piece become byte pieces.  Decoding joins the pieces'
 
 Edge cases: null and empty texts have no ids and decode to the empty text; the mark that stands for a space decodes to
 a space, so texts that hold the mark itself do not come back as they were (`round_trip` is false there); bytes that are
-no text cannot occur; repeated rows are encoded alike; an empty table gives no rows; only id and text are read.
+no text cannot occur; repeated rows and rows without an id are encoded as any other; a very long text is a slice of its own,
+and one without spaces a single segment, whose suffix array takes some fifty bytes a character; an empty table gives no
+rows; only id and text are read, so other columns cannot clash and do not come back.
 """
 
 from __future__ import annotations
