@@ -49,6 +49,8 @@ PRIOR = 100
 NAMED, HASHED = 64, 64
 #: Log odds from which on a view is sure of a label: a probability of 0.95.
 SURE = float(np.log(0.95 / 0.05))
+#: Rows of features that a task sums at least, if there are more than a few tasks.
+ROWS_A_TASK = 20_000
 #: A number counts as at most so many spreads from its mean.
 MOST_SPREADS = 8
 #: Calibration counts documents by both views' log odds, in steps of this size up to 15.
@@ -353,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     free = features.join(named, "i", "left_anti").groupBy("h").agg(one)
     unknown = written(free.select("r.x", "r.lang", "r.source", "r.n_chars"), "unknown")
     drop_written(features)
-    model = co_train(known, unknown, space)
+    model = co_train(*(t.coalesce(max(8, t.count() // ROWS_A_TASK)) for t in (known, unknown)), space)
     drop_written(known)
     drop_written(unknown)
     return model
