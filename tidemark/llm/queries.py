@@ -86,6 +86,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import index, search
+
+    return search(index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op7_sentencepieces": op7_sentencepieces,
     "op6_quality": op6_quality,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -134,3 +141,25 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE_SQL["op11_lexical_search"] = """
+WITH d AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), f AS (
+  SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL
+), n AS (
+  SELECT doc_id, sum(tf) AS n FROM f GROUP BY doc_id
+), c AS (
+  SELECT count(*) AS docs, sum(n) AS total FROM n
+), q AS (
+  SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+), w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t, docs
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * n.n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN f USING (t) JOIN n USING (doc_id), c GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
