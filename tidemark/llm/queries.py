@@ -92,6 +92,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepieces": op7_sentencepieces,
     "op6_quality": op6_quality,
     "op11_lexical_search": op11_lexical_search,
+    "op12_media": op12_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -163,3 +170,25 @@ WITH d AS (
 )
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+ORACLE_SQL["op12_media"] = """
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), p AS (
+  SELECT doc_id, n, CAST(greatest(64, (n + 63) // 64 * 64) AS BIGINT) AS size, b || unhex(repeat('00', CAST(greatest(64, (n + 63) // 64 * 64) - n AS INTEGER))) AS payload FROM t
+), h AS (
+  SELECT *, hex(payload) AS x, printf('%08x', size + 48) AS riff, printf('%08x', n) AS told, printf('%08x', size) AS data FROM p
+), w AS (
+  SELECT *, unhex('52494646' || riff[7:8] || riff[5:6] || riff[3:4] || riff[1:2] || '57415645666D7420' || '10000000' || '01000100' || '401F0000401F0000' || '01000800'
+    || '66616374' || '04000000' || told[7:8] || told[5:6] || told[3:4] || told[1:2] || '64617461' || data[7:8] || data[5:6] || data[3:4] || data[1:2]) || payload AS media,
+    list_transform(range(size), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS INTEGER) - 128) AS v
+  FROM h
+)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(v[size - 63 : size], lambda y: list_transform(range(8), lambda i: CAST(((y + 128) >> CAST(i AS INTEGER)) & 1 AS BIGINT))))),
+    lambda c, bit: CASE WHEN (xor(c, bit) & 1) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) AS tail_crc32,
+  CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256,
+  array_to_string([CAST(list_sum(list_transform(v[s * size // 8 + 1 : (s + 1) * size // 8], lambda y: abs(y))) AS BIGINT) // (size // 8) FOR s IN range(8)], '-')
+    || ';' || len(list_filter(list_zip(v[1 : size - 1], v[2 : size]), lambda z: (z[1] >= 0) <> (z[2] >= 0))) || ';' || list_max(list_transform(v, lambda y: abs(y))) AS feature
+FROM w
+"""
