@@ -98,6 +98,12 @@ def op12_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import audits, damage
+
+    return audits(damage(_table(spark, sf_dir, "conversations")), "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op5_substring_dedup": op5_substring_dedup,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op11_lexical_search": op11_lexical_search,
     "op12_media": op12_media,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -181,7 +188,7 @@ WITH t AS (
 ), w AS (
   SELECT *, unhex('52494646' || riff[7:8] || riff[5:6] || riff[3:4] || riff[1:2] || '57415645666D7420' || '10000000' || '01000100' || '401F0000401F0000' || '01000800'
     || '66616374' || '04000000' || told[7:8] || told[5:6] || told[3:4] || told[1:2] || '64617461' || data[7:8] || data[5:6] || data[3:4] || data[1:2]) || payload AS media,
-    list_transform(range(size), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS INTEGER) - 128) AS v
+    list_transform(regexp_extract_all(x, '..'), lambda y: CAST('0x' || y AS INTEGER) - 128) AS v
   FROM h
 )
 SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256,
@@ -192,3 +199,46 @@ SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_s
     || ';' || len(list_filter(list_zip(v[1 : size - 1], v[2 : size]), lambda z: (z[1] >= 0) <> (z[2] >= 0))) || ';' || list_max(list_transform(v, lambda y: abs(y))) AS feature
 FROM w
 """
+
+ORACLE_SQL["op13_conversations"] = """
+WITH RECURSIVE n AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda x: list_transform(range(8), lambda i: CAST((ascii(x) >> CAST(i AS INTEGER)) & 1 AS BIGINT))))),
+    lambda c, bit: CASE WHEN (xor(c, bit) & 1) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) % 20 AS fate FROM n
+), d AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h
+), o AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    lag(role[1]) OVER w || role[1] AS pair
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM o
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS size
+  FROM f GROUP BY conv_id
+), ins(q, p, price, letters, lines) AS (
+  VALUES (0, 0, 0, '', ''), (0, 2, 5, 'I', '\nuser:'), (0, 3, 10, 'II', '\nuser:\nassistant:'), (1, 1, 0, '', ''), (1, 2, 5, 'I', '\nuser:'), (1, 3, 10, 'II', '\nuser:\nassistant:'),
+    (2, 2, 0, '', ''), (2, 3, 5, 'I', '\nassistant:'), (3, 3, 0, '', ''), (3, 2, 5, 'I', '\nuser:')
+), turn(p, q, role) AS (
+  VALUES (0, 1, 'system'), (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), step AS (
+  SELECT f.conv_id, f.i, x.q AS p, 'D' AS letter, x.q, 2 AS price, '' AS line FROM f, (VALUES (0), (1), (2), (3)) AS x(q)
+  UNION ALL SELECT f.conv_id, f.i, t.p, 'K', t.q, CASE fault WHEN 't' THEN 5 ELSE 0 END, '\n' || f.role || ':' || f.text FROM f JOIN turn t ON f.role[1] = t.role[1] WHERE fault IN ('', 't')
+  UNION ALL SELECT f.conv_id, f.i, t.p, 'R', t.q, CASE fault WHEN 't' THEN 6 ELSE 1 END, '\n' || t.role || ':' || f.text FROM f JOIN turn t ON t.q > 1 WHERE fault IN ('', 't')
+), walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {'cost': 0, 'audit': '', 'lines': ''} AS best FROM f
+  UNION ALL
+  SELECT w.conv_id, s.i, s.q, min({'cost': w.best.cost + ins.price + s.price, 'audit': w.best.audit || ins.letters || s.letter, 'lines': w.best.lines || ins.lines || s.line})
+  FROM walk w JOIN ins USING (q) JOIN step s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i + 1 AND s.p = ins.p GROUP BY ALL
+), e AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + ins.price, 'audit': w.best.audit || ins.letters, 'lines': w.best.lines || ins.lines}) AS best
+  FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.size = w.i JOIN ins USING (q) WHERE ins.p IN (0, 3) GROUP BY w.conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit, sha256(substr(coalesce(e.best.lines, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
