@@ -45,10 +45,10 @@ def test_texts_come_back(spark):
 def test_ranges_take_each_member_once(spark, tmp_path):
     rows = [(i, "y" * (i * 7 % 900)) for i in range(300)]
     media.store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path))
-    for size in (500, 5000, 1 << 20):
+    for size in (200, 5000, 1 << 20):
         got = media.media(spark, str(tmp_path), rangeBytes=str(size), batchBytes="2000")
         assert sorted((int(r.member[:-4]), media.samples(bytes(r.payload))[0]) for r in got.collect()) == [(i, len(t)) for i, t in rows]
-    assert media.media(spark, str(tmp_path), rangeBytes="500").rdd.getNumPartitions() > 20
+    assert media.media(spark, str(tmp_path), rangeBytes="200").rdd.getNumPartitions() > 20
     (tmp_path / "stray.zip").write_bytes(b"left by a failed attempt")
     assert media.media(spark, str(tmp_path)).count() == 300
 

@@ -10,7 +10,8 @@ member that does not come through, be it that the request failed or that its che
 offset, up to `retries` times, while the others stay as they are; after that the read fails, or with `onError=keep` the row
 has a null payload and says why.  A lost executor costs its ranges again.
 
-Writing.  Each task writes archives of up to `archiveBytes` under names of their own and the commit writes a manifest of them.
+Writing.  Each task writes archives of up to `archiveBytes`, each member deflated by itself, under names of their own and the
+commit writes a manifest of them.
 
 Documents as media: a text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the samples of an 8-bit mono
 WAV file whose `fact` chunk tells how many of them are text.
@@ -49,6 +50,8 @@ BATCH_BYTES = 4 << 20
 ARCHIVE_BYTES = 256 << 20
 BATCH_ROWS = 1024
 RETRIES = 3
+#: Of the archives' compression.
+LEVEL = 2
 #: Samples of a stored text come in whole frames of this many.
 FRAME = 64
 RATE = 8000
@@ -251,8 +254,8 @@ class ArchiveWriter(DataSourceArrowWriter):
                     if archive is None:
                         name = f"{uuid.uuid4().hex}.zip"
                         sink = files.open_output_stream(f"{root}/{name}")
-                        archive = zipfile.ZipFile(sink, "w", _STORED)
-                    archive.writestr(zipfile.ZipInfo(member), payload.as_py())
+                        archive = zipfile.ZipFile(sink, "w", _DEFLATED, compresslevel=LEVEL)
+                    archive.writestr(zipfile.ZipInfo(member), payload.as_py(), _DEFLATED, LEVEL)
                     if sink.tell() >= self.archive_bytes:
                         close()
                         archive = None
