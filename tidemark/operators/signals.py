@@ -43,8 +43,12 @@ def current_stance(df: DataFrame, n: int = 5, digits: int | None = 2) -> DataFra
     """Mean score of the n newest important rows; rows without a score take a place among the n but no part."""
     top = newest(df.filter(F.col("relevance").isin(*IMPORTANT)), n)
     agg = top.groupBy("member").agg(F.avg("score").alias("raw"), F.count("score").cast("long").alias("sample_count"))
-    out = members_of(df).join(agg, "member", "left").withColumn("speech_score", rounded(F.col("raw"), digits))
-    return out.select("member", "speech_score", stance(F.col("speech_score"), missing="UNKNOWN").alias("speech_label"), F.coalesce("sample_count", F.lit(0).cast("long")).alias("sample_count"))
+    return members_of(df).join(agg, "member", "left").select("member", *current_columns(F.col("raw"), F.col("sample_count"), digits))
+
+
+def current_columns(raw: Column, n: Column, digits: int | None) -> list[Column]:
+    score = rounded(raw, digits)
+    return [score.alias("speech_score"), stance(score, missing="UNKNOWN").alias("speech_label"), F.coalesce(n, F.lit(0).cast("long")).alias("sample_count")]
 
 
 def rank_tenths(rn: Column) -> Column:
@@ -67,8 +71,12 @@ def evidence_score(df: DataFrame, eligible: Column, n: int = 5, digits: int | No
     """Rank-weighted mean of the evidence, its label and its confidence."""
     top = evidence(df, eligible, n).withColumn("w", rank_tenths(F.col("rn")))
     agg = top.groupBy("member").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("raw"), F.count(F.lit(1)).cast("long").alias("evidence_count"))
-    out = members_of(df).join(agg, "member", "left").withColumn("model_score", rounded(F.col("raw"), digits)).withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("long")))
-    return out.select("member", "model_score", stance(F.col("model_score"), 5, 2, "INSUFFICIENT").alias("model_stance"), evidence_confidence(F.col("evidence_count")).alias("model_confidence"), "evidence_count")
+    return members_of(df).join(agg, "member", "left").select("member", *model_columns(F.col("raw"), F.col("evidence_count"), digits))
+
+
+def model_columns(raw: Column, n: Column, digits: int | None) -> list[Column]:
+    score, n = rounded(raw, digits), F.coalesce(n, F.lit(0).cast("long"))
+    return [score.alias("model_score"), stance(score, 5, 2, "INSUFFICIENT").alias("model_stance"), evidence_confidence(n).alias("model_confidence"), n.alias("evidence_count")]
 
 
 def evidence_bundle(df: DataFrame, eligible: Column, fields: list[str], n: int = 5, digits: int | None = 2) -> DataFrame:
@@ -83,16 +91,20 @@ def momentum(df: DataFrame, digits: int | None = 2) -> DataFrame:
     n = rows.groupBy("member").agg(F.count(F.lit(1)).cast("long").alias("important_count"))
     mean = lambda lo, hi: F.avg(F.when(F.col("rn").between(lo, hi), F.col("score")))
     agg = newest(rows, 6).groupBy("member").agg(mean(1, 3).alias("a3"), mean(4, 6).alias("b3"), mean(1, 2).alias("a2"), mean(3, 4).alias("b2"))
-    out = members_of(df).join(n, "member", "left").join(agg, "member", "left").withColumn("important_count", F.coalesce("important_count", F.lit(0).cast("long")))
-    c = F.col("important_count")
+    out = members_of(df).join(n, "member", "left").join(agg, "member", "left")
+    return out.select("member", *momentum_columns(F.col("important_count"), *(F.col(c) for c in ("a3", "b3", "a2", "b2")), digits=digits))
+
+
+def momentum_columns(n: Column, a3: Column, b3: Column, a2: Column, b2: Column, digits: int | None) -> list[Column]:
+    c = F.coalesce(n, F.lit(0).cast("long"))
     k = F.when(c >= 6, 3).when(c >= 4, 2).otherwise(0)
-    out = out.withColumn("recent_avg", rounded(F.when(k == 3, F.col("a3")).when(k == 2, F.col("a2")), digits)).withColumn("previous_avg", rounded(F.when(k == 3, F.col("b3")).when(k == 2, F.col("b2")), digits))
-    m = rounded(F.col("recent_avg") - F.col("previous_avg"), digits)
+    recent, previous = rounded(F.when(k == 3, a3).when(k == 2, a2), digits), rounded(F.when(k == 3, b3).when(k == 2, b2), digits)
+    m = rounded(recent - previous, digits)
     label = F.when(m >= 3, "STRONG_HAWKISH_SHIFT").when(m >= 1, "HAWKISH_SHIFT").when(m <= -3, "STRONG_DOVISH_SHIFT").when(m <= -1, "DOVISH_SHIFT").when(m.isNotNull(), "STABLE").otherwise("INSUFFICIENT")
-    return out.select(
-        "member", m.alias("momentum_score"), label.alias("momentum_label"), F.when(k == 3, "HIGH").when(k == 2, "LOW").otherwise("INSUFFICIENT").alias("momentum_confidence"),
-        "recent_avg", "previous_avg", k.cast("long").alias("recent_count"), k.cast("long").alias("previous_count"), "important_count",
-    )
+    return [
+        m.alias("momentum_score"), label.alias("momentum_label"), F.when(k == 3, "HIGH").when(k == 2, "LOW").otherwise("INSUFFICIENT").alias("momentum_confidence"),
+        recent.alias("recent_avg"), previous.alias("previous_avg"), k.cast("long").alias("recent_count"), k.cast("long").alias("previous_count"), c.alias("important_count"),
+    ]
 
 
 # ---- news -----------------------------------------------------------------------------------------------------------
@@ -108,10 +120,13 @@ def news_score(df: DataFrame, digits: int | None = 2) -> DataFrame:
         (F.sum(F.when(used, F.col("score") * w)) / F.sum(F.when(used, w))).alias("raw"),
         F.count(F.lit(1)).cast("long").alias("news_count"), F.count_if(used).cast("long").alias("news_usable_count"), F.count_if(used & F.col("preferred")).alias("p"),
     )
-    u = F.col("news_usable_count")
-    sure = F.when((u >= 4) & (F.col("p") >= 2), "HIGH").when(u >= 2, "MEDIUM").otherwise("LOW")
-    agg = agg.withColumn("news_score", rounded(F.col("raw"), digits))
-    return agg.select("member", "news_score", stance(F.col("news_score"), missing="INSUFFICIENT").alias("news_label"), "news_count", "news_usable_count", sure.alias("news_confidence"))
+    return agg.select("member", *news_columns(F.col("raw"), F.col("news_count"), F.col("news_usable_count"), F.col("p"), digits))
+
+
+def news_columns(raw: Column, n: Column, usable: Column, preferred: Column, digits: int | None) -> list[Column]:
+    score = rounded(raw, digits)
+    sure = F.when((usable >= 4) & (preferred >= 2), "HIGH").when(usable >= 2, "MEDIUM").otherwise("LOW")
+    return [score.alias("news_score"), stance(score, missing="INSUFFICIENT").alias("news_label"), n.alias("news_count"), usable.alias("news_usable_count"), sure.alias("news_confidence")]
 
 
 def news_clusters(df: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -157,22 +172,32 @@ def auxiliary_speech(df: DataFrame, used: DataFrame, as_of: Column, days: int =
 def recent_signal(members: DataFrame, aux: DataFrame, news: DataFrame, digits: int | None = 2) -> DataFrame:
     """Auxiliary speech and news weighted by how much of each there is."""
     x = members.join(aux, "member", "left").join(news.select("member", "news_score", "news_usable_count", "news_confidence"), "member", "left")
-    a, u = F.coalesce("aux_count", F.lit(0).cast("long")), F.coalesce("news_usable_count", F.lit(0).cast("long"))
-    sure = F.coalesce("news_confidence", F.lit("LOW"))
-    wa = F.when(F.col("aux_score").isNull() | (a <= 0), 0).when(a == 1, 35).when(a == 2, 45).otherwise(55)
-    wn = F.when(F.col("news_score").isNull() | (u <= 0), 0).when(sure == "HIGH", 60).when(sure == "MEDIUM", 45).otherwise(25)
+    score, label, conf = recent_columns(F.col("aux_score"), F.col("aux_count"), F.col("news_score"), F.col("news_usable_count"), F.col("news_confidence"), digits)
+    none = F.lit(0).cast("long")
+    return x.select("member", score.alias("recent_score"), label.alias("recent_signal"), conf.alias("recent_confidence"), F.coalesce("aux_count", none).alias("aux_count"), F.coalesce("news_usable_count", none).alias("news_usable_count"))
+
+
+def recent_columns(aux: Column, aux_count: Column, news: Column, usable: Column, sure: Column, digits: int | None) -> list[Column]:
+    """The recent score, its label and its confidence."""
+    a, u = F.coalesce(aux_count, F.lit(0).cast("long")), F.coalesce(usable, F.lit(0).cast("long"))
+    sure = F.coalesce(sure, F.lit("LOW"))
+    wa = F.when(aux.isNull() | (a <= 0), 0).when(a == 1, 35).when(a == 2, 45).otherwise(55)
+    wn = F.when(news.isNull() | (u <= 0), 0).when(sure == "HIGH", 60).when(sure == "MEDIUM", 45).otherwise(25)
     total = wa + wn
-    score = rounded(F.when(total > 0, (F.coalesce("aux_score", F.lit(0.0)) * wa + F.coalesce("news_score", F.lit(0.0)) * wn) / total), digits)
+    score = rounded(F.when(total > 0, (F.coalesce(aux, F.lit(0.0)) * wa + F.coalesce(news, F.lit(0.0)) * wn) / total), digits)
     conf = F.when(a + u == 0, "INSUFFICIENT").when((a >= 2) & (u >= 2), "HIGH").when(a + u >= 3, "MEDIUM").when((sure == "HIGH") & (u >= 2), "MEDIUM").otherwise("LOW")
-    return x.select("member", score.alias("recent_score"), stance(score, missing="INSUFFICIENT").alias("recent_signal"), conf.alias("recent_confidence"), a.alias("aux_count"), u.alias("news_usable_count"))
+    return [score, stance(score, missing="INSUFFICIENT"), conf]
 
 
 def final_stance(model: DataFrame, recent: DataFrame, digits: int | None = 2) -> DataFrame:
     """The model score as anchor, moved by the recent signal as far as confidence allows."""
-    x = model.select("member", number(F.col("model_score")).alias("m"), F.upper("model_confidence").alias("mc")).join(
-        recent.select("member", number(F.col("recent_score")).alias("r"), F.upper("recent_confidence").alias("rc")), "member", "full_outer"
-    )
-    m, r, mc, rc = F.col("m"), F.col("r"), F.coalesce("mc", F.lit("")), F.coalesce("rc", F.lit(""))
+    x = model.select("member", "model_score", "model_confidence").join(recent.select("member", "recent_score", "recent_confidence"), "member", "full_outer")
+    return x.select("member", *final_columns(F.col("model_score"), F.col("model_confidence"), F.col("recent_score"), F.col("recent_confidence"), digits))
+
+
+def final_columns(model: Column, model_confidence: Column, recent: Column, recent_confidence: Column, digits: int | None) -> list[Column]:
+    m, r = number(model), number(recent)
+    mc, rc = F.coalesce(F.upper(model_confidence), F.lit("")), F.coalesce(F.upper(recent_confidence), F.lit(""))
     share = (1 - F.when(mc == "HIGH", 0.8).when(mc == "MEDIUM", 0.7).otherwise(0.6)) * F.when(rc == "HIGH", 1.0).when(rc == "MEDIUM", 0.75).when(rc == "LOW", 0.5).otherwise(0.0)
     both = m.isNotNull() & r.isNotNull()
     wr = F.when(both, share).when(r.isNotNull(), 1.0).otherwise(0.0)
@@ -188,7 +213,7 @@ def final_stance(model: DataFrame, recent: DataFrame, digits: int | None = 2) ->
         F.when(m.isNull() & r.isNull(), REASONS["none"]).when(m.isNull(), REASONS["recent"]).when(r.isNull(), REASONS["model"])
         .when(clash, REASONS["conflict"]).when(direction(m) * direction(r) == 1, REASONS["agreed"]).otherwise(REASONS["adjusted"])
     )
-    return x.select("member", score.alias("final_score"), stance(score, 5, 2, "INSUFFICIENT").alias("final_stance"), conf.alias("final_confidence"), rounded(wm, 3 if digits else None).alias("model_weight"), rounded(wr, 3 if digits else None).alias("recent_weight"), clash.alias("signal_conflict"), why.alias("final_reason"))
+    return [score.alias("final_score"), stance(score, 5, 2, "INSUFFICIENT").alias("final_stance"), conf.alias("final_confidence"), rounded(wm, 3 if digits else None).alias("model_weight"), rounded(wr, 3 if digits else None).alias("recent_weight"), clash.alias("signal_conflict"), why.alias("final_reason")]
 
 
 def counted(df: DataFrame, column: str, categories: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import signals as S
-from ..sources.tables import written
+from ..operators.profile import member_signals
 from .registry import query
 from .views import AS_OF, U, stance_sql, utterances
 
@@ -130,13 +130,19 @@ def a11(spark, sf_dir):
     return _aux(utterances(spark, sf_dir))
 
 
+def all_signals(u):
+    """Every signal of every member, from one pass over the statements."""
+    return member_signals(u, _eligible(), F.col("source_type") == "NEWS", _as_of(), days=7, digits=None)
+
+
 def _recent(u):
-    return S.recent_signal(S.members_of(u), _aux(u), S.news_score(u.filter("source_type = 'NEWS'"), digits=None), digits=None)
+    none = F.lit(0).cast("long")
+    return all_signals(u).select("member", "recent_score", "recent_signal", "recent_confidence", "aux_count", F.coalesce("news_usable_count", none).alias("news_usable_count"))
 
 
 @query("a12_recent_signal", f"WITH {U}, {_MODEL}, {_NEWS}, {_RECENT} SELECT * FROM recent")
 def a12(spark, sf_dir):
-    return _recent(written(utterances(spark, sf_dir), "statements"))
+    return _recent(utterances(spark, sf_dir))
 
 
 @query("a13_recent_confidence", f"WITH {U}, {_MODEL}, {_NEWS}, {_RECENT} SELECT recent_confidence, count(*) AS members FROM recent GROUP BY 1")
@@ -158,8 +164,7 @@ final AS (SELECT member, final_score, {stance_sql('final_score', 5, 2, 'INSUFFIC
 
 
 def final(spark, sf_dir):
-    u = written(utterances(spark, sf_dir), "statements")  # events are read and parsed once
-    return S.final_stance(S.evidence_score(u, _eligible(), digits=None), _recent(u), digits=None)
+    return all_signals(utterances(spark, sf_dir)).select("member", "final_score", "final_stance", "final_confidence", "model_weight", "recent_weight", "signal_conflict", "final_reason")
 
 
 query("a15_final_stance", f"WITH {U}, {_FINAL} SELECT * FROM final")(final)
@@ -243,7 +248,6 @@ def q4(spark, sf_dir):
 def l3(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    u = utterances(spark, sf_dir)
-    rows = final(spark, sf_dir).join(S.evidence_score(u, _eligible(), digits=None).select("member", "model_score"), "member", "left")
+    rows = all_signals(utterances(spark, sf_dir))
     order = W.orderBy(F.col("final_score").desc_nulls_last(), F.col("model_score").desc_nulls_last(), "member")
     return rows.select("member", "final_score", F.row_number().over(order).cast("long").alias("place"))

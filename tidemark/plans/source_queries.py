@@ -10,9 +10,9 @@ from ..functions import dates as D
 from ..operators import attach, filters
 from ..operators import signals as S
 from ..operators.entity import search_terms
+from ..operators.profile import attach_signals
 from ..sources import chains as K
 from ..sources import pages as P
-from ..sources.tables import written
 from .registry import query
 from .signal_queries import _CURRENT, _FINAL, _NEWS, _as_of, _eligible
 from .views import A, U, articles, stance_sql, table, utterances
@@ -315,7 +315,7 @@ def a2b(spark, sf):
     return attach.settled_stance(S.current_stance(u, digits=None))
 
 
-@query("p8_all_signals", f"""WITH {U}, {_CURRENT}, {_FINAL}, {_MOMENTUM} SELECT u.seq, coalesce(model_stance, 'INSUFFICIENT') AS model_stance, model_score, coalesce(model_confidence, 'INSUFFICIENT') AS model_confidence, coalesce(evidence_count, 0) AS model_evidence_count,
+@query("p8_all_signals", f"""WITH {U}, {_CURRENT}, {_FINAL}, {_MOMENTUM} SELECT u.seq, u.d, u.score, u.relevance, u.source_type, u.preferred, coalesce(model_stance, 'INSUFFICIENT') AS model_stance, model_score, coalesce(model_confidence, 'INSUFFICIENT') AS model_confidence, coalesce(evidence_count, 0) AS model_evidence_count,
   coalesce(recent_signal, 'INSUFFICIENT') AS recent_signal, recent_score AS recent_signal_score, coalesce(recent_confidence, 'INSUFFICIENT') AS recent_signal_confidence, 7 AS recent_lookback_days,
   ax.aux_score AS aux_speech_score, {stance_sql('ax.aux_score', missing='INSUFFICIENT')} AS aux_speech_label, coalesce(recent.aux_count, 0) AS aux_speech_count,
   news.news_score AS recent_news_score, coalesce(news_label, 'INSUFFICIENT') AS recent_news_label, coalesce(news_confidence, 'LOW') AS recent_news_confidence, coalesce(recent.news_usable_count, 0) AS recent_news_usable_count,
@@ -324,16 +324,7 @@ def a2b(spark, sf):
   news.news_score, coalesce(news_label, 'INSUFFICIENT') AS news_label, coalesce(news_count, 0) AS news_count, coalesce(news.news_usable_count, 0) AS news_usable_count, coalesce(news_confidence, 'LOW') AS news_confidence
 FROM u LEFT JOIN final USING (member) LEFT JOIN model USING (member) LEFT JOIN recent USING (member) LEFT JOIN ax USING (member) LEFT JOIN news USING (member) LEFT JOIN momentum USING (member) LEFT JOIN cur USING (member)""")
 def p8(spark, sf):
-    u = written(utterances(spark, sf), "statements")  # events are read once; what follows reads seven narrow columns
-    model, used = S.evidence_score(u, _eligible(), digits=None), S.evidence(u, _eligible())
-    news = S.news_score(u.filter("source_type = 'NEWS'"), None)
-    aux = S.auxiliary_speech(u, used, _as_of(), 7, digits=None)
-    recent = S.recent_signal(S.members_of(u), aux, news, None)
-    final = S.final_stance(model, recent, None)
-    more = aux.select("member", "aux_score", C.stance(F.col("aux_score"), missing="INSUFFICIENT").alias("aux_label"))
-    recent = recent.join(more, "member", "left").join(news.select("member", F.col("news_score").alias("recent_news_score"), F.col("news_label").alias("recent_news_label"), F.col("news_confidence").alias("recent_news_confidence")), "member", "left")
-    out = attach.attach_all(u.select("seq", "member"), model, recent, final, S.momentum(u, None), news, S.current_stance(u, digits=None), days=7)
-    return out.drop("member")
+    return attach_signals(utterances(spark, sf), _eligible(), F.col("source_type") == "NEWS", _as_of(), 7, digits=None).drop("member")
 
 
 @query("q1_speaker_summary", f"WITH {U}, {_FINAL}, f AS (SELECT member, seq, d, score, relevance FROM u QUALIFY row_number() OVER (PARTITION BY member ORDER BY seq) = 1) SELECT f.*, 'Name ' || member AS name, final_score, model_score, row_number() OVER (ORDER BY final_score DESC NULLS LAST, model_score DESC NULLS LAST, member) AS place FROM f LEFT JOIN final USING (member) LEFT JOIN model USING (member)")
@@ -341,10 +332,10 @@ def q1(spark, sf):
     from pyspark.sql import Window as W
 
     from .serve import speaker_summary
-    from .signal_queries import final
+    from .signal_queries import all_signals
 
     u = utterances(spark, sf)
-    results = final(spark, sf).select("member", "final_score").join(S.evidence_score(u, _eligible(), digits=None).select("member", "model_score"), "member", "full_outer")
+    results = all_signals(u).select("member", "final_score", "model_score")
     out = speaker_summary(u, results, S.members_of(u).withColumn("name", text("Name ", F.col("member"))))
     order = W.orderBy(F.col("final_score").desc_nulls_last(), F.col("model_score").desc_nulls_last(), "member")
     return out.withColumn("place", F.row_number().over(order).cast("long"))
