@@ -5,10 +5,14 @@ open elements (with their classes and ids, digits left out), and words, told apa
 a group with the same occurrence vector (how often each distinct page holds them) form an equivalence class; a class is
 kept if it is large and frequent enough, and of its tokens those that come in one order on every page.  Kept classes are the
 template and nest by their elements; what lies between their tokens is a slot.  A block of text of which some word is no
-template token is slot text, one of template tokens alone is constant.  Of the template's elements, the innermost that
-holds most of the slots' text is the article.  Constant blocks in it are template text and go if their place, counted from
-the article's beginning or end, is the same on the pages that hold them, and if these pages have more else than that: so
-copies of an article, or a line that many articles quote, stay.
+template token is slot text, one of template tokens alone is constant.  The innermost template element that holds most of
+the slots' text only says where the article is; its extent is the element around it: the outermost article, else main
+element that it lies in, or else, for markup that has neither, the element that is reached by going out from it as long as
+it comes several times on a page (a paragraph is part of something larger) or what the next element adds is slot text that
+is no link list.  All slots and constant blocks of the extent are kept, headings that stand right before it too.  Constant
+blocks in it are template text and go if their place, counted from the article's beginning or end, is the same on the pages
+that hold them, and if these pages have more else than that: so copies of an article, or a line that many articles quote,
+stay.
 
 What only markup can tell, for slots vary in menus and adverts too, is taken from tags, roles and whole class names
 (furniture).  A form that holds most of the page is none.  Where a group has no template (fewer than three distinct pages),
@@ -42,8 +46,11 @@ GROUP_PAGES, GROUP_BYTES = 200, 8 << 20
 MAX_BROADCAST = 200_000
 #: Classes of fewer tokens, or on a smaller share of the group's pages, are no template; nor are fewer distinct pages.
 CLASS_TOKENS, CLASS_SHARE, LEAST_PAGES = 3, 0.5, 3
-#: The article holds this share of what the best element holds; constant text counts less than slots do.
-INNERMOST, CONSTANT = 0.8, 0.3
+#: The element that marks where the article is holds this share of what the best one holds; constant text counts less
+#: than slots do.
+MARK, CONSTANT = 0.8, 0.3
+#: What an element around the article adds is the article's if this share of it is slot text.
+ADDED = 0.8
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
@@ -97,7 +104,7 @@ def tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
             if to >= size or html[to] == ">":
                 break
             close = next_quote(html[to], to + 1)
-            first = html.find(">", to, min(close + 1, to + 4096))
+            first = html.find(">", to, close + 1)
             if close >= size or (first >= 0 and html.find("<", first, close) >= 0):  # it does not close before the next tag
                 end = html.find(">", to)
                 to = size if end < 0 else end
@@ -125,22 +132,29 @@ def _signs(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
 
 
 class Page:
-    """Elements (tag, key of the path, parent, furniture by itself), blocks of text (element, text) and tokens in order."""
+    """Elements (tag, key of the path, parent, furniture by itself), blocks of text (element, text) with the share of each that
+    is links, and tokens in order."""
 
     def __init__(self, html: str, keys: dict):
         self.tag, self.key, self.parent, self.odd, self.inside = [""], [0], [0], [False], [False]
         self.blocks: list[tuple[int, str]] = []
+        self.links: list[float] = []
         self.tokens: list[int] = []
+        linked, in_link = 0, False
         now, at, run, open_tags = 0, 0, [], Counter()
 
         def key(*what) -> int:
             return keys.setdefault(what, len(keys) + 1)
 
         def close() -> None:
-            nonlocal run
-            text = _SPACE.sub(" ", unescape("".join(run))).strip()
+            nonlocal run, linked
+            raw = "".join(run)
+            text = _SPACE.sub(" ", unescape(raw)).strip()
             if text:
                 self.blocks.append((now, text))
+                self.links.append(linked / len(raw))
+            linked = 0
+            if text:
                 self.tokens.extend(key(self.key[now], w) for w in text.split(" "))
             run = []
 
@@ -149,9 +163,12 @@ class Page:
             if lo < skip:
                 continue
             run.append(html[at:lo])
+            linked += lo - at if in_link else 0
             at = hi
             if not tag:
                 continue
+            if tag == "a":
+                in_link = not ends
             if ends:
                 if tag in _INLINE:
                     continue
@@ -193,8 +210,9 @@ class Page:
             open_tags[tag] += 1
             self.tokens.append(self.key[now])
             if tag in _RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = skip = end.end() if end else len(html)
+                end = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(html, at)
+                at = html.find(">", end.end()) + 1 if end else 0
+                at = skip = at or len(html)
                 open_tags[tag] -= 1
                 now = self.parent[now]
         run.append(html[at:])
@@ -204,6 +222,7 @@ class Page:
             size[node] += len(text)
         for node in range(len(size) - 1, 0, -1):
             size[self.parent[node]] += size[node]
+        self.size = size
         self.furniture = self.odd[:]
         for node in range(1, len(self.tag)):  # parents come first
             self.furniture[node] |= self.furniture[self.parent[node]] or (self.tag[node] == "form" and 2 * size[node] < size[0])
@@ -288,7 +307,58 @@ def article_slot(pages: list[Page], classes: list[list[int]]) -> tuple[int | Non
                 weight[p.key[node]] += own[node]
                 depth[p.key[node]] = level[node]
     most = max(weight.values(), default=0)
-    return max((k for k, w in weight.items() if w >= INNERMOST * most), key=lambda k: (depth[k], -k), default=None), fixed
+    return max((k for k, w in weight.items() if w >= MARK * most), key=lambda k: (depth[k], -k), default=None), fixed
+
+
+def extent(pages: list[Page], mark: int) -> int:
+    """The path of the element that the article fills, around the one that marks it."""
+    parent, tag, places = {}, {}, Counter()
+    inside: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    on: Counter[int] = Counter()
+    for p in pages:
+        own = [[0.0, 0.0] for _ in p.tag]
+        for (node, text), constant, linked in zip(p.blocks, p.constant, p.links):
+            own[node][0] += len(text)
+            own[node][1] += len(text) * (not constant and not p.furniture[node] and linked < 0.5)
+        for node in range(len(p.tag) - 1, 0, -1):
+            k, up = p.key[node], p.parent[node]
+            for j in (0, 1):
+                own[up][j] += own[node][j]
+                inside[k][j] += own[node][j]
+            parent[k], tag[k] = p.key[up], p.tag[node]
+            places[k] += 1
+        on.update(set(p.key[1:]))
+    chain = [mark]
+    while parent.get(chain[-1]):
+        chain.append(parent[chain[-1]])
+    for name in ("article", "main"):
+        named = [k for k in chain if tag[k] == name]
+        if named:
+            return named[-1]
+    for now, up in zip(chain, chain[1:]):
+        if places[now] > 1.5 * on[now]:
+            continue
+        total, slots = (inside[up][j] - inside[now][j] for j in (0, 1))
+        if tag[up] in ("body", "html") or slots < ADDED * total:
+            return now
+    return chain[-1]
+
+
+_HEADINGS = {f"h{k}" for k in range(1, 7)}
+
+
+def chosen(page: Page, use: list[bool] | None) -> list[int]:
+    """Indices of the page's blocks that are no furniture and lie in the wanted elements, or in headings right before them."""
+    plain = [i for i, (node, _) in enumerate(page.blocks) if not page.furniture[node]]
+    if use is None:
+        return plain
+    kept = [i for i in plain if use[page.blocks[i][0]]]
+    if kept:
+        at = plain.index(kept[0])
+        while at and page.tag[page.blocks[plain[at - 1]][0]] in _HEADINGS:
+            at -= 1
+            kept.insert(0, plain[at])
+    return kept
 
 
 def extract(htmls: list[str]) -> list[tuple[str, bool]]:
@@ -307,6 +377,7 @@ def extract(htmls: list[str]) -> list[tuple[str, bool]]:
             p.constant = [all(keys[(p.key[node], w)] in fixed for w in text.split(" ")) for node, text in p.blocks]
         slot, _ = article_slot(pages, classes)
         if slot is not None:
+            slot = extent(pages, slot)
             gone = _template_text(pages, slot)
     texts = {}
     for h, p in distinct.items():
@@ -315,14 +386,14 @@ def extract(htmls: list[str]) -> list[tuple[str, bool]]:
         if not decided:
             use = None
             for tag in ("article", "main"):
-                named = Counter({k: 0 for k, t in zip(p.key, p.tag) if t == tag})
+                named: Counter[int] = Counter()
+                for k, t, n in zip(p.key, p.tag, p.size):
+                    if t == tag:
+                        named[k] += n
                 if named:
-                    inside = {k: p.within({k}) for k in list(named)[:8]}
-                    for k, flags in inside.items():
-                        named[k] = sum(len(t) for node, t in p.blocks if flags[node])
-                    use = inside[max(inside, key=lambda k: named[k])]
+                    use = p.within({max(named, key=lambda k: named[k])})
                     break
-        kept = [(p.key[node], t) for node, t in p.blocks if not p.furniture[node] and (use is None or use[node])]
+        kept = [(p.key[p.blocks[i][0]], p.blocks[i][1]) for i in chosen(p, use)]
         texts[h] = ("\n".join(t for b in kept for t in (b[1],) if not (decided and b in gone)), decided)
     return [texts[h or ""] for h in htmls]
 
