@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup
+from tidemark.operators import dedup, linkage
 
 
 def plain(t):
@@ -45,14 +45,14 @@ def test_links_first_group_wins(spark):
     # B is like A and C, A and C are unlike; in order A, C, B: two groups
     rows = [(1, "m", "2024-01-01", "aa bb cc dd", ""), (2, "m", "2024-01-01", "ee ff gg hh", ""), (3, "m", "2024-01-01", "aa bb ee ff", ""), (4, "m", "2024-01-03", "aa bb cc dd", ""), (5, "", "2024-01-01", "aa bb cc dd", ""), (6, "m", None, "aa bb cc dd", "")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "seq long, member_name_en string, event_day string, title string, text string, score int")
-    got = {r.seq: r.group for r in dedup.link_events(df).collect()}
+    got = {r.seq: r.group for r in linkage.link_events(df).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
 def test_merge_and_numbers(spark):
     rows = [(1, 1, "m", "2024-01-02", "t1", "x", "NEWS", "s1", "u1"), (2, 1, "m", "2024-01-02", "t2", "y", "OFFICIAL", "s2", "u2"), (3, 3, "m", "2024-01-05", "t3", "z", "INFOMAX", "s3", "u3")]
     df = spark.createDataFrame(rows, "seq long, group long, member_name_en string, event_day string, title string, text string, source_type string, source string, url string")
-    got = dedup.numbered_events(dedup.merge_groups(df)).orderBy("event_id").collect()
+    got = linkage.numbered_events(linkage.merge_groups(df)).orderBy("event_id").collect()
     assert [(r.event_id, r.seq, r.source_coverage, r.event_titles) for r in got] == [("EVT0001", 3, "INFOMAX", ["t3"]), ("EVT0002", 2, "OFFICIAL", ["t2", "t1"])]
 
 
@@ -151,6 +151,6 @@ def test_linked_events_equal_a_plain_pass_over_the_table(table):
         else:
             want[r.seq] = len(groups)
             groups.append([r])
-    got = {r.seq: r.group for r in dedup.link_events(a).collect()}
+    got = {r.seq: r.group for r in linkage.link_events(a).collect()}
     parts = lambda of: sorted(sorted(s for s in of if of[s] == g) for g in set(of.values()))
     assert parts(got) == parts(want) and len(groups) < len(rows)

@@ -1,4 +1,4 @@
-"""Duplicate removal, event linkage and upsert."""
+"""Duplicate removal and upsert."""
 
 from __future__ import annotations
 
@@ -9,13 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_filled, plain_event_text, plain_title, words
+from ..functions.columns import first_filled, plain_title
 from ..sources.tables import written
-from .score import event_key, fingerprint
 from .signals import best_per_key
 
-PRIORITY = {"OFFICIAL": 100, "FED_BOARD": 100, "REGIONAL_FED": 100, "INFOMAX": 80, "NEWS": 50}
-
 
 def best_per_url(df: DataFrame, quality: Column, url: str = "url") -> DataFrame:
     return best_per_key(df, url, quality)
@@ -131,84 +128,6 @@ def ranked_containment(df: DataFrame, most: int = 10, least: int = 35) -> DataFr
     return rows.groupBy("member").applyInPandas(greedy, schema)
 
 
-def link_events(df: DataFrame, threshold: float = 0.25, days: int = 1, member: str = "member_name_en", date: str = "event_day", text_chars: int = 1000) -> DataFrame:
-    """df with `group`: each row joins the first group of its member that holds any like event, else starts one.
-
-    Dates cut a member's rows into sessions wherever a gap is longer than the tolerance; no link can cross one, so a
-    member of many rows is many units.  Rows without member or date are groups of their own.
-    """
-    rows = df.withColumn("_m", plain_event_text(F.col(member))).withColumn("_d", F.to_date(F.col(date)))
-    alone = (F.col("_m") == "") | F.col("_d").isNull()
-    w = W.partitionBy("_m").orderBy("_d", "seq")
-    linkable = rows.filter(~alone)
-    # day-level gaps: days of a member are few, rows may be many
-    day = linkable.select("_m", "_d").distinct().withColumn("_gap", F.datediff("_d", F.lag("_d").over(W.partitionBy("_m").orderBy("_d"))))
-    day = day.withColumn("_session", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > days), 1).otherwise(0)).over(W.partitionBy("_m").orderBy("_d"))).select("_m", "_d", "_session")
-    body = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, text_chars))
-    slim = linkable.join(day, ["_m", "_d"]).select("seq", "_m", "_d", "_session", fingerprint(F.col("title"), F.col("text")).alias("fp"), words(plain_event_text(body)).alias("tok"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_d", "seq"], kind="stable")
-        groups: list[list[tuple]] = []
-        first: list[int] = []
-        out = []
-        for seq, d, fp, tok, score in pdf[["seq", "_d", "fp", "tok", "score"]].itertuples(index=False):
-            x = (d, set(fp), set(tok), 1 if score >= 1 else -1 if score <= -1 else 0)
-            g = next((k for k, members in enumerate(groups) if any(_same(x, y, threshold, days) for y in members)), None)
-            if g is None:
-                g = len(groups)
-                groups.append([])
-                first.append(seq)
-            groups[g].append(x)
-            out.append((seq, first[g]))
-        return pd.DataFrame(out, columns=["seq", "group"])
-
-    linked = slim.groupBy("_m", "_session").applyInPandas(assign, "seq long, group long")
-    return rows.join(linked, "seq", "left").withColumn("group", F.coalesce("group", "seq")).drop("_m", "_d")
-
-
-def _same(x: tuple, y: tuple, threshold: float, days: int) -> bool:
-    gap = abs((x[0] - y[0]).days)
-    if gap > days:
-        return False
-    common = len(x[1] & y[1])
-    if common >= 2:
-        return True
-    union = len(x[2] | y[2]) if x[2] and y[2] else 0
-    if union and len(x[2] & y[2]) / union >= threshold:
-        return True
-    return gap == 0 and common >= 1 and x[3] != 0 and x[3] == y[3]
-
-
-def merge_groups(linked: DataFrame, member: str = "member_name_en", date: str = "event_day") -> DataFrame:
-    """One row per group: the row of most authority, with distinct types, sources, URLs and titles of all in its order."""
-    types = F.upper(F.coalesce("source_type", F.lit("")))
-    prio = F.coalesce(*(F.when(types == k, v) for k, v in PRIORITY.items()), F.lit(0))
-    rows = linked.withColumn("_o", F.struct((-prio).alias("p"), F.col(date).alias("d"), F.col("seq").alias("s"))).withColumn("_fp", fingerprint(F.col("title"), F.col("text")))
-    base = [c for c in linked.columns if c != "group"]
-    sorted_of = lambda c: F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(c).alias("v")))), lambda e: e["v"]), lambda v: v.isNotNull() & (v != "")))
-    agg = rows.groupBy("group").agg(
-        F.min_by(F.struct(*base), "_o").alias("b"), sorted_of("source_type").alias("event_sources"), sorted_of("source").alias("event_source_names"), sorted_of("url").alias("event_urls"), sorted_of("title").alias("event_titles"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_fp")))).alias("policy_fingerprint"), F.min_by("_fp", "_o").alias("_base_fp"),
-    )
-    up = F.transform("event_sources", F.upper)
-    official, wire = F.arrays_overlap(up, F.array(F.lit("OFFICIAL"), F.lit("FED_BOARD"), F.lit("REGIONAL_FED"))), F.array_contains(up, "INFOMAX")
-    coverage = F.when(official & wire, "BOTH").when(official, "OFFICIAL").when(wire, "INFOMAX").otherwise("OTHER")
-    return agg.withColumn("source_coverage", coverage).withColumn("event_source_count", F.size("event_sources")).select("group", "b.*", "event_sources", "event_source_names", "event_urls", "event_titles", "source_coverage", "event_source_count", "policy_fingerprint", "_base_fp").withColumn(
-        "event_key", event_key(F.col(member), F.col(date).cast("string"), F.col("_base_fp"), plain_event_text(F.concat_ws(" ", "title", F.substring(plain_event_text(F.col("text")), 1, 1000))))
-    ).drop("_base_fp")
-
-
-def numbered_events(events: DataFrame, date: str = "event_day") -> DataFrame:
-    """event_id `EVT%04d`, newest first.  Numbers are ranks within days plus the days' totals, so no task sees all rows."""
-    d = F.coalesce(F.col(date).cast("string"), F.lit(""))
-    rows = events.withColumn("_d", d)
-    per_day = rows.groupBy("_d").agg(F.count(F.lit(1)).alias("c"))
-    before = per_day.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy(F.col("_d").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_d", "before")  # one row a day
-    rn = F.row_number().over(W.partitionBy("_d").orderBy("group"))
-    return rows.withColumn("_rn", rn).join(F.broadcast(before), "_d").withColumn("event_id", F.format_string("EVT%04d", F.col("before") + F.col("_rn"))).drop("_d", "_rn", "before")
-
-
 def source_types(source_type: Column, url: Column, source: Column) -> Column:
     """A given type, else the board by its address or name, else a regional bank."""
     board = F.lower(F.coalesce(url, F.lit(""))).contains("federalreserve.gov") | F.lower(F.coalesce(source, F.lit(""))).contains("board of governors")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import dates as D
 from ..functions import lexicons as L
-from ..operators import dedup, entity, filters, score
+from ..operators import dedup, entity, filters, linkage, score
 from ..sources import pages as P
 from ..sources.files import union_sources
 from ..sources.tables import written
@@ -349,26 +349,47 @@ def d3(spark, sf):
     return dedup.ranked_containment(a).select("seq", "member")
 
 
+_SAME_SQL = f"""k AS (SELECT seq, {plain_sql('member_name_en')} AS m, CAST(published_at AS DATE) AS d, prints, list_sort({_TOK}) AS tok, CASE WHEN seq % 9 >= 5 THEN 1 WHEN seq % 9 <= 3 THEN -1 ELSE 0 END AS way FROM fp),
+same AS (SELECT x.seq, y.seq AS other, (y.d, y.seq) < (x.d, x.seq) AS earlier FROM k x JOIN k y ON x.m = y.m AND x.m <> '' AND x.seq <> y.seq AND abs(x.d - y.d) <= 1 AND (len(list_intersect(x.prints, y.prints)) >= 2
+  OR (len(x.tok) > 0 AND len(y.tok) > 0 AND len(list_intersect(x.tok, y.tok)) / CAST(len(list_distinct(list_concat(x.tok, y.tok))) AS DOUBLE) >= 0.25)
+  OR (x.d = y.d AND x.way = y.way AND x.way <> 0 AND len(list_intersect(x.prints, y.prints)) >= 1)))"""
+# a row's group is the first of all rows without an earlier like row that chains of earlier like rows lead to
+_GROUP_SQL = f"""{_FP_SQL}, {_SAME_SQL}, e AS (SELECT seq, other FROM same WHERE earlier), r AS (SELECT seq, seq AS at FROM k UNION SELECT r.seq, e.other FROM r JOIN e ON e.seq = r.at),
+grouped AS (SELECT r.seq, arg_min(r.at, (k.d, k.seq)) AS "group" FROM r JOIN k ON k.seq = r.at WHERE r.at NOT IN (SELECT seq FROM e) GROUP BY r.seq)"""
+_MERGED_SQL = f"""b AS (SELECT "group", fp.*, CAST(published_at AS DATE) AS day, (CASE source_type WHEN 'OFFICIAL' THEN -100 WHEN 'INFOMAX' THEN -80 ELSE -50 END, CAST(published_at AS DATE), seq) AS o FROM grouped JOIN fp USING (seq)),
+w AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY o) = 1),
+s AS (SELECT "group", list(source_type ORDER BY o) AS types FROM (SELECT "group", source_type, min(o) AS o FROM b GROUP BY ALL) t GROUP BY "group"),
+p AS (SELECT "group", array_to_string(list_sort(list(DISTINCT code)), ',') AS codes FROM (SELECT "group", unnest(prints) AS code FROM b) t GROUP BY "group"),
+g AS (SELECT *, {plain_sql("title || ' ' || substr(" + plain_sql('text') + ", 1, 1000)")} AS sig FROM w)"""
+
+
 def _linked(spark, sf):
     a = articles(spark, sf).withColumn("event_day", F.to_date("published_at")).withColumn("score", (F.col("seq") % 9 - 4).cast("int"))
-    return dedup.link_events(a)
+    return linkage.link_events(a, prints=_prints())
+
+
+def _prints():
+    return score.fingerprint(F.col("title"), F.col("text"), _PRINTS)
 
 
-@query("d4_event_links")
+@query("d4_event_links", f'WITH RECURSIVE {_GROUP_SQL} SELECT seq, "group" FROM grouped')
 def d4(spark, sf):
     return _linked(spark, sf).select("seq", "group")
 
 
-@query("d6_merged_events")
+@query("d6_merged_events", f"""WITH RECURSIVE {_GROUP_SQL}, {_MERGED_SQL} SELECT 'EVT' || lpad(CAST(row_number() OVER (ORDER BY day DESC, g."group") AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY day DESC, g."group") AS VARCHAR))) AS INTEGER), '0') AS event_id,
+  {plain_sql('member_name_en')} || '|' || published_at || '|' || substr(sha1(CASE WHEN len(prints) > 0 THEN array_to_string(prints, '|') ELSE sig END), 1, 12) AS event_key, seq,
+  CASE WHEN list_contains(types, 'OFFICIAL') AND list_contains(types, 'INFOMAX') THEN 'BOTH' WHEN list_contains(types, 'OFFICIAL') THEN 'OFFICIAL' WHEN list_contains(types, 'INFOMAX') THEN 'INFOMAX' ELSE 'OTHER' END AS source_coverage,
+  CAST(len(types) AS INTEGER) AS event_source_count, array_to_string(types, ',') AS event_sources, coalesce(codes, '') AS policy_fingerprint FROM g JOIN s USING ("group") LEFT JOIN p USING ("group")""")
 def d6(spark, sf):
-    events = dedup.numbered_events(dedup.merge_groups(written(_linked(spark, sf))))
+    events = linkage.numbered_events(linkage.merge_groups(written(_linked(spark, sf)), prints=_prints()))
     return events.select("event_id", "event_key", "seq", "source_coverage", "event_source_count", F.array_join("event_sources", ",").alias("event_sources"), F.array_join("policy_fingerprint", ",").alias("policy_fingerprint"))
 
 
 @query("w5_event_numbers", f"WITH {A} SELECT seq, 'EVT' || lpad(CAST(row_number() OVER (ORDER BY published_at DESC, seq) AS VARCHAR), CAST(greatest(4, length(CAST(row_number() OVER (ORDER BY published_at DESC, seq) AS VARCHAR))) AS INTEGER), '0') AS event_id FROM a")
 def w5(spark, sf):
     a = articles(spark, sf).select("seq", F.col("published_at").alias("event_day"), F.col("seq").alias("group"))
-    return dedup.numbered_events(a).select("seq", "event_id")
+    return linkage.numbered_events(a).select("seq", "event_id")
 
 
 @query("d5_candidate_pairs", f"WITH {_FP_SQL} SELECT x.seq AS a, y.seq AS b FROM fp x JOIN fp y ON x.member_name_en = y.member_name_en AND x.seq < y.seq AND abs(CAST(x.published_at AS DATE) - CAST(y.published_at AS DATE)) <= 1 AND len(list_intersect(x.prints, y.prints)) >= 2")
@@ -379,6 +400,12 @@ def d5(spark, sf):
     return a.join(b, ["member_name_en", "d"]).filter((F.col("seq") < F.col("b")) & (F.size(F.array_intersect("p", "p2")) >= 2)).select(F.col("seq").alias("a"), "b")
 
 
+@query("d5_same_events", f"WITH {_FP_SQL}, {_SAME_SQL}, c AS (SELECT seq, count(*) AS alike FROM same GROUP BY seq) SELECT k.seq, min(k.seq) OVER (PARTITION BY m, d, prints, tok, way) AS class, coalesce(alike, 0) AS alike FROM k LEFT JOIN c USING (seq) WHERE m <> ''")
+def d5_same(spark, sf):
+    a = articles(spark, sf).withColumn("event_day", F.to_date("published_at")).withColumn("score", (F.col("seq") % 9 - 4).cast("int"))
+    return linkage.same_events(written(linkage.event_rows(a, prints=_prints()), "reports"))
+
+
 @query("d7_upsert", f"WITH {A}, o AS (SELECT *, 0 AS n FROM a WHERE seq % 3 <> 0), w AS (SELECT seq, member_name_en, 'new ' || title AS title, text, source, lang, url, published_at, source_type, 1 AS n FROM a WHERE seq % 2 = 0), u AS (SELECT * FROM o UNION ALL SELECT * FROM w) SELECT url, title, seq FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, seq DESC) = 1")
 def d7(spark, sf):
     a = articles(spark, sf)
