@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, linkage
+from tidemark.operators import dedup, fuzzy, linkage
 
 
 def plain(t):
@@ -38,7 +38,7 @@ def test_fuzzy_articles(spark):
                 t = t[:i] + rng.choice("abcxyz") + t[i + rng.randrange(2) :]
             rows.append((k, rng.choice(["a", "b", None]), rng.choice(["2024-01-01", "2024-01-02"]), t, rng.choice([None, "", *(f"u{i}" for i in range(25))])))
         df = spark.createDataFrame(rows, "seq long, member_name_en string, published_at string, title string, url string")
-        assert {r.seq for r in dedup.fuzzy_articles(df).collect()} == model_fuzzy(rows)
+        assert {r.seq for r in fuzzy.fuzzy_articles(df).collect()} == model_fuzzy(rows)
 
 
 def test_links_first_group_wins(spark):
@@ -60,7 +60,7 @@ def test_containment(spark):
     long = "the central bank holds rates again today"
     rows = [(1, "m", long + " says x", "2024-01-02", False), (2, "m", long, "2024-01-01", True), (3, "m", "short", "2024-01-03", False), (4, "m", "Short!", "2024-01-01", False)]
     df = spark.createDataFrame(rows, "seq long, member string, title string, published_at string, preferred boolean")
-    assert {r.seq for r in dedup.ranked_containment(df).collect()} == {2, 3}
+    assert {r.seq for r in fuzzy.ranked_containment(df).collect()} == {2, 3}
 
 
 def test_upsert_is_idempotent(spark):
@@ -104,7 +104,7 @@ def test_fuzzy_articles_equal_a_plain_pass_over_the_table(table):
             seen.add(r.url)
         titles.setdefault(block, []).append(t)
         want.append(r.seq)
-    got = sorted(r.seq for r in dedup.fuzzy_articles(table).collect())
+    got = sorted(r.seq for r in fuzzy.fuzzy_articles(table).collect())
     assert got == want and 0 < len(want) < len(rows)
 
 
@@ -123,7 +123,7 @@ def test_ranked_containment_equals_a_plain_pass_over_the_table(table):
             if not any(t == s or (min(len(t), len(s)) >= 35 and (t in s or s in t)) for s in seen):
                 seen.append(t)
                 want.append(r.seq)
-    assert sorted(r.seq for r in dedup.ranked_containment(a).collect()) == sorted(want)
+    assert sorted(r.seq for r in fuzzy.ranked_containment(a).collect()) == sorted(want)
 
 
 def test_linked_events_equal_a_plain_pass_over_the_table(table):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import dates as D
 from ..functions import lexicons as L
-from ..operators import dedup, entity, filters, linkage, score
+from ..operators import dedup, entity, filters, fuzzy, linkage, score
 from ..sources import pages as P
 from ..sources.files import union_sources
 from ..sources.tables import written
@@ -335,7 +335,7 @@ def f19(spark, sf):
 # ---- duplicates -----------------------------------------------------------------------------------------------------
 @query("d1_fuzzy_articles")
 def d1(spark, sf):
-    return dedup.fuzzy_articles(articles(spark, sf)).select("seq", "url", "title")
+    return fuzzy.fuzzy_articles(articles(spark, sf)).select("seq", "url", "title")
 
 
 @query("d2_best_per_url", f"WITH {A} SELECT seq, url FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(text) DESC, seq) = 1")
@@ -343,10 +343,16 @@ def d2(spark, sf):
     return dedup.best_per_url(articles(spark, sf), F.length("text")).select("seq", "url")
 
 
-@query("d3_ranked_containment")
+_KEEPS = "NOT list_contains(g.seen, t.t) AND len(list_filter(g.seen, lambda s: least(length(s), length(t.t)) >= 35 AND (contains(s, t.t) OR contains(t.t, s)))) = 0"
+
+
+@query("d3_ranked_containment", f"""WITH RECURSIVE {A}, t AS (SELECT seq, source AS m, trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY source ORDER BY seq % 2, published_at DESC, seq) AS rn FROM a),
+g AS (SELECT DISTINCT m, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS seen, CAST([] AS BIGINT[]) AS seqs FROM t
+  UNION ALL SELECT g.m, t.rn, CASE WHEN {_KEEPS} THEN list_append(g.seen, t.t) ELSE g.seen END, CASE WHEN {_KEEPS} THEN list_append(g.seqs, t.seq) ELSE g.seqs END FROM g JOIN t ON t.m = g.m AND t.rn = g.rn + 1 WHERE len(g.seen) < 10)
+SELECT unnest(arg_max(seqs, rn)) AS seq, m AS member FROM g GROUP BY m""")
 def d3(spark, sf):
     a = articles(spark, sf).select("seq", F.col("source").alias("member"), "title", "published_at", (F.col("seq") % 2 == 0).alias("preferred"))
-    return dedup.ranked_containment(a).select("seq", "member")
+    return fuzzy.ranked_containment(a).select("seq", "member")
 
 
 _SAME_SQL = f"""k AS (SELECT seq, {plain_sql('member_name_en')} AS m, CAST(published_at AS DATE) AS d, prints, list_sort({_TOK}) AS tok, CASE WHEN seq % 9 >= 5 THEN 1 WHEN seq % 9 <= 3 THEN -1 ELSE 0 END AS way FROM fp),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.columns import any_of, clean_text, first_filled, markup_free
 from ..functions.dates import english_date, iso_date, rss_date, spoken_date, url_date, year_of
-from ..operators.dedup import ranked_containment
+from ..operators.fuzzy import ranked_containment
 from ..operators.filters import direct_member_signal, in_year, mentions, news_relevant, same_site, usable_link
 from ..operators.score import quality_points
 from .pages import REGISTRY, absolute_url, feed_items, links
