@@ -1,4 +1,4 @@
-"""Column building blocks: truthiness, numbers, labels, lexicon lookups and text normalisers.
+"""Column building blocks: truthiness, numbers, labels and text normalisers.
 
 All are native expressions, so they stay inside generated code and Catalyst can push and fold them.
 """
@@ -78,21 +78,6 @@ def any_of(text: Column, terms: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(t) for t in dict.fromkeys(terms)), F.lit(False))
 
 
-def weight_of(text: Column, lexicon: Mapping[str, int]) -> Column:
-    """Sum of the weights of phrases present; a phrase counts once."""
-    return reduce(lambda a, b: a + b, (F.when(text.contains(p), w).otherwise(0) for p, w in lexicon.items()), F.lit(0))
-
-
-def found_in(text: Column, terms: Iterable[str]) -> Column:
-    """The terms present, in the lexicon's order."""
-    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: text.contains(t))
-
-
-def labels_of(text: Column, groups: Mapping[str, Iterable[str]]) -> Column:
-    """Names of groups of which any term is present, in the groups' order."""
-    return F.array_compact(F.array(*(F.when(any_of(text, terms), F.lit(name)) for name, terms in groups.items())))
-
-
 def pattern(regex: str) -> str:
     """A pattern with the flags under which `.`, classes and case work alike for all scripts."""
     return "(?iuUd)" + regex

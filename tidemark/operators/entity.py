@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import alias_list
+from ..functions.phrases import found_numbers
 
-#: Roster rows that travel with each row at a time; a larger roster is gone through in slices of so many.
-ROSTER_SLICE = 5000
+#: Roster rows that make one automaton; a larger roster is gone through in slices of so many.
+ROSTER_SLICE = 20_000
 
 
 def search_terms(name_en: Column, name_ko: Column, role_en: Column, role_ko: Column, aliases: Column) -> Column:
@@ -38,28 +42,59 @@ def special_match(rows: list[tuple[str, object]], url: Column, speaker: Column,
 def attribute(articles: DataFrame, members: DataFrame, key: str = "seq", special: Column | None = None, text_chars: int = 3000) -> DataFrame:
     """articles with member_id, match_score, member_group: the best-scoring entity, the first of the roster among equals.
 
-    The roster travels as one array in each row's expression, in slices of ROSTER_SLICE: no join, no shuffle, one pass.
+    All terms of a slice of the roster are one automaton that reads each text once, so the cost of a row grows with what it
+    holds, not with the roster; there is no join and no shuffle.  A larger roster is gone through in slices of ROSTER_SLICE.
     special: a struct(member_id, match_score, member_group) that goes before, where not null.
     """
+    kind = members.schema["member_id"].dataType
     order = W.orderBy("member_id")  # over the roster, small beside the articles
     numbered = members.withColumn("_slice", F.floor((F.row_number().over(order) - 1) / ROSTER_SLICE).cast("int"))
-    person = F.struct("member_id", F.lower("name_en").alias("en"), F.lower("name_ko").alias("ko"), F.transform("terms", F.lower).alias("terms"))
+    person = numbered.select("_slice", "member_id", F.lower("name_en").alias("en"), F.lower("name_ko").alias("ko"), F.transform("terms", F.lower).alias("terms"))
     slices = range(max(1, -(-members.count() // ROSTER_SLICE)))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     hay = F.lower(F.concat_ws(" ", text("speaker_raw"), text("title"), F.substring(text("text"), 1, text_chars), text("url")))
     spoken = F.lower(text("speaker_raw"))
     out = articles.withColumn("_hay", hay).withColumn("_said", spoken)
-
-    def points(p: Column) -> Column:
-        each = F.aggregate(p["terms"], F.lit(0), lambda a, t: a + F.when(F.col("_hay").contains(t), F.when((t == p["en"]) | (t == p["ko"]), 10).otherwise(3)).otherwise(0))
-        return each + F.when((p["en"] != "") & F.col("_said").contains(p["en"]), 20).otherwise(0)
-
     for k in slices:
-        people = numbered.filter(F.col("_slice") == k).agg(F.array_sort(F.collect_list(person)).alias("_people"))
-        scored = F.transform("_people", lambda p: F.struct((-points(p)).alias("s"), p["member_id"].alias("m")))
-        out = out.crossJoin(F.broadcast(people)).withColumn("_new", F.array_min(scored)).drop("_people")  # one row of a bounded slice
-        out = out.withColumnRenamed("_new", "_best") if k == 0 else out.withColumn("_best", F.least("_best", "_new")).drop("_new")
+        people = person.filter(F.col("_slice") == k).orderBy("member_id").drop("_slice").collect()  # ROSTER_SLICE rows at most
+        best = _best_of([tuple(r) for r in people], kind)(F.col("_hay"), F.col("_said"))
+        new = F.when(best["s"] > 0, F.struct((-best["s"]).alias("s"), best["m"].alias("m")))
+        out = out.withColumn("_best", new if k == 0 else F.least("_best", new))
     found = F.when(F.col("_best.s") < 0, F.struct(F.col("_best.m").alias("member_id"), (-F.col("_best.s")).alias("match_score"), F.lit("FOMC").alias("member_group")))
     none = F.struct(F.lit(None).cast(members.schema["member_id"].dataType).alias("member_id"), F.lit(0).alias("match_score"), F.lit("UNMATCHED").alias("member_group"))
     chosen = F.coalesce(*([special] if special is not None else []), found, none)
     return out.withColumn("_m", chosen).select(*(c for c in articles.columns if c not in ("member_id", "match_score", "member_group")), "_m.*")
+
+
+def _best_of(people: list[tuple], kind):
+    """A function of texts and speakers that gives each row's best entity (m) and its points (s): 10 for a full name and 3 for
+    another term in the text, 20 for the English name in the speaker; the first among equals, in the order given."""
+    terms: dict[str, dict[int, int]] = {}
+    names: dict[str, list[int]] = {}
+    for i, (_, en, ko, own) in enumerate(people):
+        for t in own:
+            points = terms.setdefault(t, {})
+            points[i] = points.get(i, 0) + (10 if t in (en, ko) else 3)
+        if en:
+            names.setdefault(en, []).append(i)
+    words, worth = tuple(terms), list(terms.values())
+    called, whose = tuple(names), list(names.values())
+    ids = [p[0] for p in people]
+
+    @F.arrow_udf(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("m", kind)]))
+    def best(hays: pa.Array, spoken: pa.Array) -> pa.Array:
+        scores, found = [], []
+        for hay, said in zip(hays.to_pylist(), spoken.to_pylist()):
+            points: dict[int, int] = {}
+            for j in found_numbers(words, hay):
+                for i, n in worth[j].items():
+                    points[i] = points.get(i, 0) + n
+            for j in found_numbers(called, said) if said else ():
+                for i in whose[j]:
+                    points[i] = points.get(i, 0) + 20
+            top = min(((-n, i) for i, n in points.items()), default=(0, None))
+            scores.append(-top[0])
+            found.append(None if top[1] is None else ids[top[1]])
+        return pa.StructArray.from_arrays([pa.array(scores, pa.int32()), pa.array(found, to_arrow_type(kind))], names=["s", "m"])
+
+    return best

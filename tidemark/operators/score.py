@@ -1,4 +1,4 @@
-"""Lexicon and rule scores of texts, as native columns."""
+"""Lexicon and rule scores of texts: phrases are found in one pass, and what they mean is native columns."""
 
 from __future__ import annotations
 
@@ -9,37 +9,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.columns import any_of, labels_of, let, matches, plain_event_text, sentences, stance, weight_of, words
+from ..functions.columns import any_of, let, matches, plain_event_text, sentences, stance, words
+from ..functions.phrases import Phrases
 from .filters import rate_context
 
 
 def relevance(df: DataFrame, policy=L.RELEVANCE_POLICY, mandate=L.RELEVANCE_MANDATE, macro=L.RELEVANCE_MACRO, low=L.RELEVANCE_LOW) -> DataFrame:
     """policy, mandate and macro scores, their total with penalties, a label, whether there is a body, and the matches."""
+    groups = {"POLICY": policy, "DUAL_MANDATE": mandate, "MACRO": macro, "LOW_RELEVANCE": low}
+    known = Phrases(*groups.values())
     body = F.lower(F.coalesce("text", F.lit("")))
-    df = df.withColumn("_t", F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit("\n"), body))
-    t = F.col("_t")
-    df = df.withColumn("policy_score", weight_of(t, policy)).withColumn("mandate_score", weight_of(t, mandate)).withColumn("macro_score", weight_of(t, macro))
+    df = df.withColumn("_hits", known.hits(F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit("\n"), body)))
+    t = F.col("_hits")
+    df = df.withColumn("policy_score", known.weight(t, policy)).withColumn("mandate_score", known.weight(t, mandate)).withColumn("macro_score", known.weight(t, macro))
     p, m = F.col("policy_score"), F.col("mandate_score")
-    total = F.greatest(p + m + F.col("macro_score") + weight_of(t, low), F.lit(0))
+    total = F.greatest(p + m + F.col("macro_score") + known.weight(t, low), F.lit(0))
     label = F.when((p >= 6) | ((p >= 3) & (m >= 3)) | (F.col("relevance_score") >= 8), "HIGH").when(F.col("relevance_score") >= 4, "MEDIUM").otherwise("LOW")
-    groups = {"POLICY": policy, "DUAL_MANDATE": mandate, "MACRO": macro, "LOW_RELEVANCE": low}
-    entry = lambda x, w, g: F.struct(x.alias("phrase"), w.cast("int").alias("weight"), F.lit(g).alias("category"))
-    lex = F.array(*(entry(F.lit(x), F.lit(w), g) for g, words_ in groups.items() for x, w in words_.items()))
+    entry = lambda x, w, g: F.struct(F.lit(x).alias("phrase"), F.lit(w).cast("int").alias("weight"), F.lit(g).alias("category"))
+    entries = [(x, entry(x, w, g)) for g, words_ in groups.items() for x, w in words_.items()]
     return (
         df.withColumn("relevance_score", total).withColumn("relevance", label).withColumn("has_body", F.length(F.trim(body)) >= 100)
-        .withColumn("relevance_matches", F.filter(lex, lambda e: t.contains(e["phrase"]))).drop("_t")
+        .withColumn("relevance_matches", known.found(t, entries)).drop("_hits")
     )
 
 
 def topics(title: Column, text: Column, groups=L.TOPICS) -> Column:
-    return let(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))), lambda t: labels_of(t, groups))
+    known = Phrases(*groups.values())
+    hits = known.hits(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))))
+    return let(hits, lambda h: known.labels(h, groups))
 
 
 def fingerprint(title: Column, text: Column, groups=L.FINGERPRINTS, most: int = 8000) -> Column:
     """Sorted labels whose phrases a normalised text holds."""
     t = plain_event_text(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, most)))
     plain = {label: [_plain(p) for p in phrases if _plain(p)] for label, phrases in groups.items()}
-    return F.array_sort(let(t, lambda x: labels_of(x, plain)))
+    known = Phrases(*plain.values())
+    return F.array_sort(let(known.hits(t), lambda hits: known.labels(hits, plain)))
 
 
 def _plain(phrase: str) -> str:

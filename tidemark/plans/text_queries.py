@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import dates as D
 from ..functions import lexicons as L
+from ..functions.phrases import Phrases
 from ..operators import dedup, entity, filters, fuzzy, linkage, score
 from ..sources import pages as P
 from ..sources.files import union_sources
@@ -47,17 +48,18 @@ def plain_sql(x: str) -> str:
 
 
 _POLICY = L.RELEVANCE_POLICY | LEX_POLICY
+_KNOWN = Phrases(_POLICY)
 _T = "lower(coalesce(title, '')) || chr(10) || lower(coalesce(text, ''))"
 
 
 @query("x1_lexicon_score", f"WITH {A} SELECT seq, {weight_sql('lower(text)', _POLICY)} AS score FROM a")
 def x1(spark, sf):
-    return articles(spark, sf).select("seq", C.let(F.lower("text"), lambda t: C.weight_of(t, _POLICY)).alias("score"))
+    return articles(spark, sf).select("seq", _KNOWN.weight(_KNOWN.hits(F.lower("text")), _POLICY).alias("score"))
 
 
 @query("x1_lexicon_matches", f"WITH {A} SELECT seq, array_to_string(list_filter([{', '.join(q(p) for p in _POLICY)}], lambda p: contains(lower(text), p)), ',') AS found FROM a")
 def x1m(spark, sf):
-    return articles(spark, sf).select("seq", F.array_join(C.let(F.lower("text"), lambda t: C.found_in(t, _POLICY)), ",").alias("found"))
+    return articles(spark, sf).select("seq", F.array_join(C.let(_KNOWN.hits(F.lower("text")), lambda h: _KNOWN.found(h, [(p, F.lit(p)) for p in _POLICY])), ",").alias("found"))
 
 
 _REL = (_POLICY, L.RELEVANCE_MANDATE | LEX_MANDATE, L.RELEVANCE_MACRO | LEX_MACRO, L.RELEVANCE_LOW | LEX_LOW)
