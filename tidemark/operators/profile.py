@@ -34,18 +34,10 @@ def dealt(rows: DataFrame, identity: str = "seq") -> DataFrame:
     return rows.withColumns({"entity": F.struct("member"), "share": share}).drop("member").repartition(n, "entity", "share")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
-
-def _mean(values: Column) -> Column:
-    """Of those that are there; null for none."""
-    there = F.filter(values, lambda x: x.isNotNull())
-    return F.when(F.size(there) > 0, _sum(F.transform(there, lambda x: x.cast("double"))) / F.size(there))
-
-
-def _scores(rows: str, lo: int, n: int) -> Column:
-    return F.transform(F.slice(rows, lo, n), lambda r: r["score"])
+def _mean(rows: str, lo: int, n: int) -> str:
+    """Of the scores that are there among n rows; null for none."""
+    there = f"filter(transform(slice({rows}, {lo}, {n}), r -> r.score), x -> x is not null)"
+    return f"aggregate({there}, 0D, (a, x) -> a + x) / nullif(size({there}), 0)"
 
 
 def shares(rows: DataFrame, eligible: Column, news: Column, as_of: Column, days: int, n: int, identity: str) -> DataFrame:
@@ -83,22 +75,20 @@ def _signals(rows: DataFrame, eligible: Column, news: Column, as_of: Column, day
     sums = ["important_count", "news_count", "news_usable_count", "news_preferred", "news_sum", "news_weight"]
     one = parts.groupBy("entity").agg(F.collect_list("share").alias("shares"), F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"), *(F.sum(c).alias(c) for c in sums))
 
-    def of(kind: str, most: int) -> Column:
-        return F.slice(F.filter("rows", lambda r: r[f"is_{kind}"]), 1, most)
-
-    one = one.select("entity", "shares", "rows", *sums, of("evidence", n).alias("evidence"), of("important", n).alias("current"), of("moving", MOMENTUM_ROWS).alias("moving"))
-    fresh = F.filter("rows", lambda r: r["is_aux"] & ~F.array_contains(F.transform("evidence", lambda e: e["id"]), r["id"]))
-    one = one.withColumn("aux", F.slice(fresh, 1, n))
-    weighed = F.transform("evidence", lambda r, i: r["score"] * signals.rank_tenths(i + 1))
-    weights = F.transform("evidence", lambda r, i: signals.rank_tenths(i + 1).cast("double"))
-    found = F.col("news_count") > 0
-    raw = one.select(
-        "entity", "shares", (_sum(weighed) / F.nullif(_sum(weights), F.lit(0.0))).alias("model_raw"), F.size("evidence").cast("long").alias("evidence_count"),
-        _mean(_scores("current", 1, n)).alias("speech_raw"), F.size(F.filter("current", lambda r: r["score"].isNotNull())).cast("long").alias("sample_count"),
-        "important_count", _mean(_scores("moving", 1, 3)).alias("a3"), _mean(_scores("moving", 4, 3)).alias("b3"), _mean(_scores("moving", 1, 2)).alias("a2"), _mean(_scores("moving", 3, 2)).alias("b2"),
-        _mean(_scores("aux", 1, n)).alias("aux_raw"), F.size("aux").cast("long").alias("aux_count"),
-        (F.col("news_sum") / F.col("news_weight")).alias("news_raw"), F.when(found, F.col("news_count")).alias("news_count"), F.when(found, F.col("news_usable_count")).alias("news_usable"), "news_preferred",
-    )
+    def of(kind: str, most: int) -> str:
+        return f"slice(filter(rows, r -> r.is_{kind}), 1, {most}) AS {kind}"
+
+    one = one.selectExpr("entity", "shares", "rows", *sums, of("evidence", n), of("important", n), of("moving", MOMENTUM_ROWS))
+    one = one.selectExpr("*", f"slice(filter(rows, r -> r.is_aux and not array_contains(transform(evidence, e -> e.id), r.id)), 1, {n}) AS aux")
+    tenths = f"CASE i {' '.join(f'WHEN {i} THEN {w}' for i, w in enumerate(signals.RANK_TENTHS))} ELSE {signals.REST_TENTHS} END"
+    total = lambda x: f"aggregate(transform(evidence, (r, i) -> {x}), 0D, (a, x) -> a + x)"
+    raw = one.selectExpr(
+        "entity", "shares", f"{total(f'r.score * {tenths}')} / nullif({total(tenths)}, 0) AS model_raw", "cast(size(evidence) as long) AS evidence_count",
+        f"{_mean('important', 1, n)} AS speech_raw", "cast(size(filter(important, r -> r.score is not null)) as long) AS sample_count",
+        "important_count", f"{_mean('moving', 1, 3)} AS a3", f"{_mean('moving', 4, 3)} AS b3", f"{_mean('moving', 1, 2)} AS a2", f"{_mean('moving', 3, 2)} AS b2",
+        f"{_mean('aux', 1, n)} AS aux_raw", "cast(size(aux) as long) AS aux_count",
+        "news_sum / news_weight AS news_raw", "nullif(news_count, 0) AS news_count", "if(news_count > 0, news_usable_count, null) AS news_usable", "news_preferred",
+    )
     known = raw.select(
         "entity", "shares", *signals.model_columns(F.col("model_raw"), F.col("evidence_count"), digits), *signals.current_columns(F.col("speech_raw"), F.col("sample_count"), digits),
         *signals.momentum_columns(F.col("important_count"), *(F.col(c) for c in ("a3", "b3", "a2", "b2")), digits=digits),
