@@ -352,6 +352,17 @@ def c17(spark, sf):
     return items(spark, sf).select("k", P.paragraphs(page).alias("body"))
 
 
+@query("c17_selectors", f"""WITH {O} SELECT k, CASE WHEN k % 6 = 5 THEN 'Above of all that counts ' || k || chr(10) ELSE '' END || 'Body of the page number ' || k || chr(10) || 'Nested in it, number ' || k || CASE WHEN k % 6 = 5 THEN chr(10) || 'Below of all that counts ' || k ELSE '' END AS body FROM i""")
+def c17_selectors(spark, sf):
+    k = F.col("k")
+    begin = F.when(k % 6 == 0, "<div class='x content y'>").when(k % 6 == 1, "<div id=article class=q>").when(k % 6 == 2, "<div class='col-sm-8 col-xs-12'>").when(k % 6 == 3, "<section class=story><div data-x='a>b' class='inner wide'>").when(k % 6 == 4, "<main><div>").otherwise("<div class='contents'>")
+    end = F.when(k % 6 == 3, "</div></section>").when(k % 6 == 4, "</div></main>").otherwise("</div>")
+    page = text("<body><p>Above of all that counts ", k, "</p>", begin, "<p>Body of the page number ", k, "<div><div><p>Nested in it, number ", k, "</p></div></div><p>Short</p>", end, "<div class=inner><p>Below of all that counts ", k, "</p></div></body>")
+    board, plain = F.lit("Federal Reserve Board"), F.lit(None).cast("string")
+    own = {"Federal Reserve Board": P.SOURCE_SELECTORS["Federal Reserve Board"], "story": ("section.story > .inner.wide", "article")}
+    return items(spark, sf).select("k", P.paragraphs(page, source=F.when(k % 6 == 2, board).when(k % 6 == 3, "story").otherwise(plain), by_source=own).alias("body"))
+
+
 @query("p4_defaults", f"WITH {O} SELECT k, CASE WHEN k % 3 = 0 THEN 'given' ELSE '' END AS source, CASE WHEN k % 2 = 0 THEN 'REGIONAL' ELSE 'OFFICIAL' END AS source_type, '' AS text FROM i")
 def p4(spark, sf):
     k = F.col("k")

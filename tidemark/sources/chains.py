@@ -7,9 +7,8 @@ stops the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,76 +20,28 @@ from ..operators.fuzzy import ranked_containment
 from ..operators.filters import direct_member_signal, in_year, mentions, news_relevant, same_site, usable_link
 from ..operators.score import quality_points
 from .pages import REGISTRY, absolute_url, feed_items, links
+from .tree import contexts
 
 #: Titles of sections, which are no speeches.
 SECTION_TITLES = ("monetary policy", "banking & financial markets", "macroeconomics", "regional economics", "the economy", "research", "speeches")
 #: Elements whose text is a link's context, and the most characters that one may have.
 CONTEXT_ELEMENTS, CONTEXT_CHARS = ("article", "li", "section", "div"), 2000
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Contexts(HTMLParser):
-    """Anchors of a page with the elements that they stand in; an element's text is a range of the page's pieces."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.pieces: list[str] = []
-        self.open: list[list] = []  # [tag, first piece, piece after its last or None]
-        self.found: list[tuple[str, list, list[list]]] = []
-        self.hidden = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.hidden += 1
-        if tag in _VOID:
-            return
-        node = [tag, len(self.pieces), None]
-        if tag == "a":
-            href = dict(attrs).get("href")
-            if href is not None:
-                around = self.open[-1:] + [next((n for n in reversed(self.open) if n[0] == t), None) for t in CONTEXT_ELEMENTS]
-                self.found.append((href, node, [n for n in around if n is not None]))
-        self.open.append(node)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        if any(n[0] == tag for n in self.open):
-            while self.open:
-                node = self.open.pop()
-                node[2] = len(self.pieces)
-                if node[0] == tag:
-                    break
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text and not self.hidden:
-            self.pieces.append(text)
-
-    def rows(self) -> Iterator[tuple[str, str, str]]:
-        text = lambda n: " ".join(self.pieces[n[1] : len(self.pieces) if n[2] is None else n[2]])
-        for href, node, around in self.found:
-            seen = dict.fromkeys(t for t in map(text, around) if t and len(t) <= CONTEXT_CHARS)
-            yield href, text(node), " | ".join(seen)
 
 
 def link_contexts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, base, pos, href, text, context) of all anchors: the context is the text of the elements around a link, each once,
-    without those that are too long.  Needs the element tree, so it parses in Python, batch by batch."""
+    without those that are too long."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, base, page in pdf.itertuples(index=False):
-                p = _Contexts()
-                p.feed(page or "")
-                p.close()
-                out += [(k, base, pos, *row) for pos, row in enumerate(p.rows())]
-            yield pd.DataFrame(out, columns=["k", "base", "pos", "href", "text", "context"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(k, base, pos, *row) for k, base, page in zip(*(c.to_pylist() for c in b.columns)) for pos, row in enumerate(contexts(page or "", CONTEXT_ELEMENTS, CONTEXT_CHARS))]
+            columns = list(zip(*out)) if out else [()] * 6
+            types = (b.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["k", "base", "pos", "href", "text", "context"])
 
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("base"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, f"k {kind}, base string, pos int, href string, text string, context string").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {kind}, base string, pos int, href string, text string, context string").withColumnRenamed("k", key)
 
 
 def member_named(text: Column, terms: Column) -> Column:

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, markup_free
+from ..functions.columns import clean_text, let, markup_free
 from ..functions.dates import english_date, url_date
 from ..operators.filters import same_site, usable_link
+from .tree import paragraph_texts
 
 #: List pages by source, what their links hold, and whether a member must be named beside a link.
 REGISTRY = (
@@ -39,10 +40,11 @@ def absolute_url(base: Column, href: Column) -> Column:
 def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page, pos, href, text) of all anchors, in order."""
     h = F.coalesce(F.col(html), F.lit(""))
-    anchor = F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*>(.*?)</a>""")
-    parts = [F.regexp_extract_all(h, anchor, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4)]
-    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(F.arrays_zip(*parts)).alias("pos", "a"))
-    return rows.select(key, "base", "pos", F.concat("a.g1", "a.g2", "a.g3").alias("href"), markup_free(F.col("a.g4")).alias("text"))
+    anchor = F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)[^>]*>.*?</a>""")
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(F.regexp_extract_all(h, anchor, F.lit(0))).alias("pos", "a"))
+    head = F.regexp_extract("a", r"""(?is)^<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+    inner = F.regexp_replace(F.regexp_replace("a", r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)[^>]*>""", ""), r"(?i)</a>$", "")
+    return rows.select(key, "base", "pos", F.regexp_replace(head, "^[\"']|[\"']$", "").alias("href"), markup_free(inner).alias("text"))
 
 
 def speech_links(pages: DataFrame, parts: list[str], base: Column, least: int = 3, key: str = "page_id") -> DataFrame:
@@ -53,18 +55,34 @@ def speech_links(pages: DataFrame, parts: list[str], base: Column, least: int =
     return first.select("url", F.col("f.text").alias("title"), F.col(f"f.{key}").alias(key), url_date(F.col("url")).alias("published_at")).orderBy(F.col("published_at").desc_nulls_last(), "url")
 
 
-def region(html: Column, selectors: tuple[str, ...]) -> Column:
-    """What the first of the elements (tag names) that a page has holds; the page, if it has none."""
-    h = F.coalesce(html, F.lit(""))
-    return F.coalesce(*(F.nullif(F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1), F.lit("")) for t in selectors), h)
-
-
-def paragraphs(html: Column, least: int = 20, selectors: tuple[str, ...] = ("article", "main")) -> Column:
-    """Text of the article's paragraphs of at least `least` characters, each once whatever its case, one a line."""
-    html = region(html, selectors)
-    parts = F.slice(F.split(F.coalesce(html, F.lit("")), r"(?i)<p\b[^>]*>"), 2, 100_000_000)
-    cut = F.transform(parts, lambda p: markup_free(F.regexp_replace(p, r"(?is)</p\s*>.*$", "")))
-    long = F.filter(cut, lambda t: F.length(t) >= least)
+#: Where the body of a page stands, in the order of the search, by default and by source.
+SELECTORS = ("article", "main", ".article-content", ".entry-content", ".page-content", ".body-content", ".content", "#article", "#content")
+SOURCE_SELECTORS = {
+    "Federal Reserve Board": ("#article", ".col-xs-12.col-sm-8.col-md-8", ".col-xs-12.col-sm-8", "article", "main"),
+    "Dallas Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Cleveland Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Minneapolis Fed": ("article", "main", ".article-content", ".entry-content", ".content", "#content"),
+    "Chicago Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Boston Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Kansas City Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Richmond Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "St. Louis Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "New York Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "Philadelphia Fed": ("article", "main", ".article-content", ".content", "#content"),
+    "San Francisco Fed": ("article", "main", ".article-content", ".entry-content", ".content", "#content"),
+}
+
+
+def paragraphs(html: Column, least: int = 20, selectors: tuple[str, ...] = SELECTORS, source: Column | None = None, by_source=SOURCE_SELECTORS) -> Column:
+    """Text of the body's paragraphs of at least `least` characters, each once whatever its case, one a line.
+
+    The body is the first element that the first fitting selector takes, or the page; a source may have a list of its own.
+    """
+    lists = F.array(*(F.lit(s) for s in selectors))
+    if source is not None:
+        for name, own in by_source.items():
+            lists = F.when(source == name, F.array(*(F.lit(s) for s in own))).otherwise(lists)
+    long = F.filter(F.transform(paragraph_texts(html, lists), clean_text), lambda t: F.length(t) >= least)
     return let(long, lambda x: F.array_join(F.filter(x, lambda t, i: F.array_position(F.transform(x, F.lower), F.lower(t)) == i + 1), "\n"))
 
 
@@ -78,8 +96,9 @@ def page_date(html: Column) -> Column:
     """The date that a meta element or a time element gives, else the first that the page's text spells out."""
     h = F.coalesce(html, F.lit(""))
     meta = F.regexp_extract(h, r'(?is)<meta[^>]+(?:published_time|pubdate|dc\.date|"date")[^>]*content="(\d{4}-\d{2}-\d{2})', 1)
+    turned = F.regexp_extract(h, r'(?is)<meta[^>]+content="(\d{4}-\d{2}-\d{2})[^"]*"[^>]*(?:published_time|pubdate|dc\.date|"date")', 1)
     time = F.regexp_extract(h, r'(?is)<time[^>]+datetime="(\d{4}-\d{2}-\d{2})', 1)
-    return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(time, F.lit("")), english_date(markup_free(h)))
+    return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(turned, F.lit("")), F.nullif(time, F.lit("")), english_date(markup_free(h)))
 
 
 def reader_text(c: Column) -> Column:
