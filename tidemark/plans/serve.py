@@ -12,16 +12,13 @@ def kpis(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("relevance") == "HIGH").alias("high"), F.count_if(F.col("score") >= 1).alias("hawk_family"), F.count_if(F.col("score") <= -1).alias("dove_family"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
 
 
-def attach_results(events: DataFrame, results: dict[str, DataFrame], defaults: dict[str, object]) -> DataFrame:
-    """Per-entity results on each event, with defaults where an entity has none; results are small beside events."""
-    out = events
-    for r in results.values():
-        out = out.join(r, "member", "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
-
-
 def member_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("member").agg(F.max_by("score", F.struct("d", -F.col("seq"))).alias("latest_score"), F.max("d").alias("latest_day"), F.count_if(F.col("relevance").isin("HIGH", "MEDIUM")).alias("important"))
+    """One row per member: all columns of its latest row under `latest_`, how many rows are important and how many there are;
+    the latest first, then by member."""
+    order = F.struct(F.col("d").isNotNull(), "d", -F.col("seq"))
+    fields = [c for c in df.columns if c != "member"]
+    out = df.filter("member is not null").groupBy("member").agg(F.max_by(F.struct(*fields), order).alias("x"), F.count_if(F.col("relevance").isin("HIGH", "MEDIUM")).alias("important"), F.count(F.lit(1)).alias("total"))
+    return out.select("member", *(F.col(f"x.{c}").alias(f"latest_{c}") for c in fields), "important", "total").orderBy(F.col("latest_d").desc_nulls_last(), "member")
 
 
 def export_frame(df: DataFrame, columns: list[str] = L.EXPORT_COLUMNS, names: dict[str, str] = L.EXPORT_NAMES) -> DataFrame:

@@ -217,11 +217,14 @@ def q2(spark, sf_dir):
     return kpis(utterances(spark, sf_dir))
 
 
-@query("k3_member_summary", f"WITH {U} SELECT member, arg_max(score, struct_pack(d := d, s := -seq)) AS latest_score, max(d) AS latest_day, count(*) FILTER (relevance IN ('HIGH', 'MEDIUM')) AS important FROM u GROUP BY member")
+@query("k3_member_summary", f"WITH {U}, l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY member ORDER BY d DESC NULLS LAST, seq) = 1), n AS (SELECT member, count(*) FILTER (relevance IN ('HIGH', 'MEDIUM')) AS important, count(*) AS total FROM u GROUP BY member) SELECT member, seq AS latest_seq, d AS latest_d, score AS latest_score, relevance AS latest_relevance, source_type AS latest_source_type, preferred AS latest_preferred, important, total, row_number() OVER (ORDER BY d DESC NULLS LAST, member) AS place FROM l JOIN n USING (member)")
 def k3(spark, sf_dir):
+    from pyspark.sql import Window as W
+
     from .serve import member_summary
 
-    return member_summary(utterances(spark, sf_dir))
+    order = W.orderBy(F.col("latest_d").desc_nulls_last(), "member")  # one row a member
+    return member_summary(utterances(spark, sf_dir)).withColumn("place", F.row_number().over(order).cast("long"))
 
 
 @query("a20_first_filled", f"WITH {U} SELECT member, arg_min(score, seq) AS score FROM u WHERE score IS NOT NULL GROUP BY member")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +18,14 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
 
 
 def read_roster(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """A roster from CSV files with a header, each in the first encoding that reads it; `nan` and blanks are null."""
+    """A roster from CSV files with a header, each in the first encoding that reads it; `nan` and blanks are null.
+
+    Columns are told by the header, whatever their order, or by their places where it names none of them; quoted fields may
+    hold line breaks.
+    """
+    names = MEMBER.fieldNames()
 
-    def lines(batches):
+    def rows(batches):
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 for e in encodings:
@@ -28,12 +36,15 @@ def read_roster(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENC
                         continue
                 else:
                     text = content.decode(encodings[0], "replace")
-                yield pa.RecordBatch.from_arrays([pa.array(text.splitlines()[1:], pa.string())], names=["line"])
+                table = csv.reader(io.StringIO(text, newline=""))
+                head = [h.strip() for h in next(table, [])]
+                place = [head.index(n) if n in head else None for n in names] if set(head) & set(names) else list(range(len(names)))
+                own = [[r[p] if p is not None and p < len(r) else None for p in place] for r in table if any(x.strip() for x in r)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in own], pa.string()) for k in range(len(names))], names=names)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "line string").filter(F.trim("line") != "")
-    df = raw.select(F.from_csv("line", MEMBER.simpleString()[7:-1].replace(":", " ")).alias("m")).select("m.*")
+    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"{n} string" for n in names))
     clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "nan", "none"), F.trim(c))
-    return df.select(*(clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in MEMBER))
+    return df.select(*((clean(F.col(f.name)) if isinstance(f.dataType, T.StringType) else F.trim(f.name).try_cast("double").cast("int")).alias(f.name) for f in MEMBER))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
