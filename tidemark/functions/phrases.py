@@ -70,3 +70,14 @@ class Phrases:
         """Of (phrase, what it stands for), what stands for the phrases present, in the order given."""
         table = F.array(*(F.struct(F.lit(self.number[p]).alias("n"), x.alias("x")) for p, x in entries))
         return F.transform(F.filter(table, lambda e: F.array_contains(F.coalesce(hits, F.array().cast("array<int>")), e["n"])), lambda e: e["x"])
+
+
+def found_terms(text: Column, terms: Iterable[str]) -> Column:
+    """The distinct terms that a text holds, as strings."""
+    known = tuple(dict.fromkeys(t for t in terms if t))
+
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [known[i] for i in sorted(found_numbers(known, t))] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return find(text)

@@ -72,19 +72,27 @@ def news_relevant(title: Column, description: Column, terms=L.NEWS_POLICY, veto=
     return let(text, lambda t: ~any_of(t, veto) & any_of(t, terms))
 
 
-def near_term(text: Column, term: str, need: list[list[str]], before: int = 250, after: int = 450) -> Column:
+def near_term(text: Column, term: str | Column, need: list[list[str]], before: int = 250, after: int = 450) -> Column:
     """Whether some occurrence of a term has, in the window around it, one of each list of needed terms.
 
     Occurrences are found by splitting at the term, so windows may overlap; no Python is involved.
     """
-    low, t = F.lower(F.coalesce(text, F.lit(""))), term.lower()
-    parts = F.split(low, r"\Q" + t + r"\E", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * len(t))
-    window = lambda s: F.substring(low, F.greatest(s - before, F.lit(0)) + 1, F.least(s, F.lit(before)) + len(t) + after)
+    low, t = F.lower(F.coalesce(text, F.lit(""))), F.lower(term) if isinstance(term, Column) else F.lit(term.lower())
+    n = F.length(t)
+    parts = F.split(low, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * n)
+    window = lambda s: F.substring(low, F.greatest(s - before, F.lit(0)) + 1, F.least(s, F.lit(before)) + n + after)
     hit = lambda s: reduce(lambda a, b: a & b, (any_of(window(s), [n.lower() for n in terms]) for terms in need))
     return F.when(F.size(parts) > 1, F.exists(starts, hit)).otherwise(False)
 
 
+def direct_term_signal(title: Column, text: Column, term: Column, veto=L.WIRE_TITLE_VETO, verbs=L.WIRE_SPEECH_VERBS, policy=L.WIRE_POLICY) -> Column:
+    """direct_member_signal() for one lower-case term that the row itself holds."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    quoted = F.contains(low, term) & any_of(F.coalesce(title, F.lit("")), L.QUOTES)
+    return ~any_of(low, [v.lower() for v in veto]) & (quoted | near_term(text, term, [verbs, policy]))
+
+
 def direct_member_signal(title: Column, text: Column, terms: list[str], veto=L.WIRE_TITLE_VETO, verbs=L.WIRE_SPEECH_VERBS, policy=L.WIRE_POLICY) -> Column:
     """Whether a report gives a member's own words: named in a quoting title, or near a speech verb and a policy term."""
     low, terms = F.lower(F.coalesce(title, F.lit(""))), [t for t in terms if t]

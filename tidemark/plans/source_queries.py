@@ -249,11 +249,29 @@ def s17(spark, sf):
         k.alias("seq"), F.when(k % 4 == 3, "Other press").otherwise("연합인포맥스").alias("source"), text("https://w.org/", F.when(k % 4 == 0, text("a", c)).otherwise(text("b", k))).alias("url"),
         text("보도 ", k % 3, " - 연합인포맥스").alias("title"), body.alias("text"), F.date_format("d", "yyyy-MM-dd").alias("published_at"),
     )
-    # one row a URL is decided before the year, as the search goes: rows of other years are left out here
-    rows = rows.filter(F.startswith("published_at", F.lit("2008")))
+    # one row a URL is decided before the year, as the search goes: a URL's rows of other years are left out here
+    rows = rows.filter(F.startswith("published_at", F.lit("2008")) | (F.col("seq") % 4 != 0))
     return K.wire_search(rows, ["파월"], 2008, most=None).select("seq")
 
 
+@query("s17_wire_roster", f"""WITH {O}, m AS (SELECT k, unnest(CASE WHEN k % 15 = 0 THEN [c % 40, (c + 1) % 40] ELSE [c % 40] END) AS member, d FROM i WHERE k % 4 = 0 AND k % 3 <> 1 AND year(d) = 2008)
+SELECT DISTINCT member, k AS seq, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY k) AS rn FROM m) t WHERE rn <= 7""")
+def s17_roster(spark, sf):
+    from pyspark.sql import Window as W
+
+    k, who = F.col("k"), lambda c: text("위원", F.lpad((c % 40).cast("string"), 2, "0"))
+    said = lambda c: text(who(c), " 의장은 기준금리를 두고 말했다: 금리를 유지한다고 밝혔다. ", F.repeat(F.lit("그리고 "), 90))
+    good = F.when(k % 15 == 0, text(said(F.col("c")), said(F.col("c") + 1))).otherwise(said(F.col("c")))
+    body = F.when(k % 4 == 0, good).when(k % 4 == 1, text(who(F.col("c")), " 날씨가 좋다")).when(k % 4 == 2, text(who(F.col("c")), "의 사진, 기준금리")).otherwise(good)
+    rows = items(spark, sf).select(
+        k.alias("seq"), F.when(k % 3 == 1, "Other press").otherwise("연합인포맥스").alias("source"), text("https://w.org/", k).alias("url"), text("보도 - 연합인포맥스").alias("title"), body.alias("text"),
+        F.when(k % 4 == 3, "").otherwise(F.date_format("d", "yyyy-MM-dd")).alias("published_at"),
+    ).filter("seq % 4 <> 3")
+    members = spark.range(40).select(F.col("id").alias("member"), F.array(text("위원", F.lpad(F.col("id").cast("string"), 2, "0")), F.lit("")).alias("terms"))
+    found = K.wire_search_all(rows, members, 2008, 7)
+    return found.select("member", "seq", F.row_number().over(W.partitionBy("member").orderBy("seq")).cast("long").alias("place"))
+
+
 @query("s19_body_fetch", f"WITH {A} SELECT seq, CASE WHEN seq % 3 = 2 THEN NULL WHEN length(trim(text)) >= 100 AND seq % 2 = 0 THEN 'EXISTING' WHEN seq % 5 <> 0 THEN 'DIRECT' ELSE 'FAILED' END AS body_method FROM a")
 def s19(spark, sf):
     a = articles(spark, sf).withColumn("relevance", F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), (F.col("seq") % 3 + 1).cast("int"))).withColumn("url", text("u", F.col("seq")))

@@ -204,11 +204,6 @@ def x12(spark, sf):
     return x.join(y, "seq").select("seq", score.token_jaccard(F.col("x"), F.col("y")).alias("likeness"))
 
 
-@query("x13_search_terms", "SELECT id, array_to_string(t, ',') AS terms FROM (VALUES " + ", ".join(f"({r[0]}, [{', '.join(q(x) for x in dict.fromkeys([r[1], r[2], r[3], r[4], *r[5].split('|'), *([r[1].split()[-1]] if len(r[1].split()[-1]) >= 4 else [])]))}])" for r in ROSTER) + ") v(id, t)")
-def x13(spark, sf):
-    return _roster(spark).select(F.col("member_id").alias("id"), F.array_join("terms", ",").alias("terms"))
-
-
 def _roster(spark):
     return entity.roster(spark.createDataFrame(ROSTER, "member_id int, name_en string, name_ko string, role_en string, role_ko string, aliases string, voter int"))
 

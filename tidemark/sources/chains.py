@@ -17,7 +17,8 @@ from ..functions import lexicons as L
 from ..functions.columns import any_of, clean_text, first_filled, markup_free
 from ..functions.dates import english_date, iso_date, rss_date, spoken_date, url_date, year_of
 from ..operators.fuzzy import ranked_containment
-from ..operators.filters import direct_member_signal, in_year, mentions, news_relevant, same_site, usable_link
+from ..functions.phrases import found_terms
+from ..operators.filters import direct_member_signal, direct_term_signal, in_year, mentions, news_relevant, same_site, usable_link
 from ..operators.score import quality_points
 from .pages import REGISTRY, absolute_url, feed_items, links
 from .tree import contexts
@@ -141,22 +142,55 @@ def news_search(feeds: DataFrame, as_of: Column, days: int = 90, most: int = 10,
     return ranked_containment(rows, most)
 
 
-def wire_search(candidates: DataFrame, terms: list[str], year: int | None = None, most: int | None = 20) -> DataFrame:
-    """Wire reports of a member's own words out of fetched candidates (seq, source, url, title, text, published_at): of the
-    wire service, one each URL, of the year, naming the member, on policy, in direct speech; so many at most in the order of the
-    search, the newest first."""
+def _wire_reports(candidates: DataFrame, year: int | None) -> DataFrame:
+    """Reports of the wire service on policy, one each URL, of the year, with the day of the speech and the text to search."""
     rows = candidates.filter(F.col("source").contains("인포맥스") | F.col("source").contains("Infomax")).filter(F.coalesce("url", F.lit("")) != "")
     rows = once_per_url(rows, F.col("url"), "seq").withColumn("title", F.trim(F.replace(F.coalesce("title", F.lit("")), F.lit(" - 연합인포맥스"), F.lit(""))))
     rows = rows.withColumn("actual_speech_date", spoken_date(F.col("text"), F.col("published_at")))
     day = F.coalesce("actual_speech_date", "published_at")
     if year is not None:
         rows = rows.filter(F.coalesce(day, F.lit("")).isin("") | F.startswith(day, F.lit(str(year))))
-    both = F.concat_ws(" ", "title", "text")
-    rows = rows.filter(any_of(F.lower(both), [t.lower() for t in terms]) & any_of(F.lower(both), [p.lower() for p in L.WIRE_POLICY]) & direct_member_signal(F.col("title"), F.col("text"), terms))
-    found = (rows if most is None else rows.orderBy("seq").limit(most)).withColumns({"source": F.lit("Yonhap Infomax"), "source_type": F.lit("INFOMAX"), "matched": F.lit(True)})
+    rows = rows.withColumn("_both", F.lower(F.concat_ws(" ", "title", "text")))
+    return rows.filter(any_of(F.col("_both"), [p.lower() for p in L.WIRE_POLICY]))
+
+
+_WIRE = {"source": "Yonhap Infomax", "source_type": "INFOMAX", "matched": True}
+
+
+def wire_search(candidates: DataFrame, terms: list[str], year: int | None = None, most: int | None = 20) -> DataFrame:
+    """Wire reports of a member's own words out of fetched candidates (seq, source, url, title, text, published_at): of the
+    wire service, one each URL, of the year, naming the member, on policy, in direct speech; so many at most in the order of the
+    search, the newest first."""
+    rows = _wire_reports(candidates, year)
+    rows = rows.filter(any_of(F.col("_both"), [t.lower() for t in terms]) & direct_member_signal(F.col("title"), F.col("text"), terms)).drop("_both")
+    found = (rows if most is None else rows.orderBy("seq").limit(most)).withColumns({k: F.lit(v) for k, v in _WIRE.items()})
     return found.orderBy(F.coalesce(F.coalesce("actual_speech_date", "published_at"), F.lit("")).desc(), "seq")
 
 
+#: Terms of a roster that make one automaton; a larger roster is gone through in slices of so many.
+TERM_SLICE = 50_000
+
+
+def wire_search_all(candidates: DataFrame, members: DataFrame, year: int | None = None, most: int | None = 20) -> DataFrame:
+    """wire_search() for all members (member, terms) in one plan: (member, the report's columns), so many a member at most.
+
+    Reports are cleaned once and read once for all terms; only the terms that a report holds meet their members.
+    """
+    reports = _wire_reports(candidates, year)
+    terms = members.select("member", F.explode("terms").alias("t")).select("member", F.lower("t").alias("term")).filter(F.trim("term") != "").distinct()
+    slices = max(1, -(-terms.select("term").distinct().count() // TERM_SLICE))
+    held = None
+    for k in range(slices):
+        mine = terms.select("term").distinct().filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
+        one = reports.withColumn("term", F.explode(found_terms(F.col("_both"), [r.term for r in mine.collect()])))  # a slice of the roster
+        held = one if held is None else held.unionByName(one)
+    direct = held.filter(direct_term_signal(F.col("title"), F.col("text"), F.col("term"))).drop("_both")
+    found = direct.join(terms, "term").drop("term").dropDuplicates(["member", "seq"]).withColumns({k: F.lit(v) for k, v in _WIRE.items()})
+    if most is not None:
+        found = found.withColumn("_rn", F.row_number().over(W.partitionBy("member").orderBy("seq"))).filter(F.col("_rn") <= most).drop("_rn")
+    return found.orderBy("member", F.coalesce(F.coalesce("actual_speech_date", "published_at"), F.lit("")).desc(), "seq")
+
+
 def fetched_bodies(articles: DataFrame, bodies: DataFrame, levels: tuple[str, ...] = ("HIGH", "MEDIUM", "LOW"), most: int | None = None, least: int = 100, order: str = "seq") -> DataFrame:
     """articles with text, body_method and body_fetched: those of the wanted relevance (the first so many, if a cap is given) take
     the fetched body (url, body) where their own text is too short; all rows stay."""
