@@ -93,6 +93,17 @@ def test_upsert_sink_keeps_its_state(spark, tmp_path):
     assert I.upsert_sink(str(tmp_path / "new"), F.col("url")).table(spark, schema).count() == 0
 
 
+def test_events_of_a_payload(spark, tmp_path):
+    kind = "event_id: string, event_sources: array<string>, hawk_dove_score: double"
+    p = tmp_path / "events.json"
+    p.write_text(json.dumps({"count": 2, "events": [{"event_id": "EVT0001", "event_sources": ["OFFICIAL"], "hawk_dove_score": 2}, {"event_id": "EVT0002", "more": {}}]}))
+    assert [(r.seq, r.event_id, r.event_sources, r.hawk_dove_score) for r in files.read_events(spark, str(p), kind).collect()] == [(0, "EVT0001", ["OFFICIAL"], 2.0), (1, "EVT0002", None, None)]
+    for text in ("{broken", "{}", '{"events": null}'):
+        p.write_text(text)
+        assert files.read_events(spark, str(p), kind).count() == 0
+    assert files.read_events(spark, str(tmp_path / "none.json"), "event_id string").count() == 0
+
+
 def test_exactly_once(spark, tmp_path):
     schema = "id long, ts timestamp"
     for k in range(2):

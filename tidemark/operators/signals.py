@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import direction, label_direction, number, rounded, stance
+from ..functions.columns import direction, first_filled, label_direction, number, rounded, stance
 
 #: Weights by rank of evidence, tens of thousandths apart from their tenths.
 RANK_TENTHS = (10, 9, 8, 7, 6)
@@ -129,6 +129,24 @@ def news_columns(raw: Column, n: Column, usable: Column, preferred: Column, digi
     return [score.alias("news_score"), stance(score, missing="INSUFFICIENT").alias("news_label"), n.alias("news_count"), usable.alias("news_usable_count"), sure.alias("news_confidence")]
 
 
+def normal_news(df: DataFrame) -> DataFrame:
+    """News results with what a signal takes where something is missing: a score that is a number, a label, a confidence and a
+    count; other columns stay."""
+    return df.withColumns({
+        "news_score": number(F.col("news_score")), "news_label": F.coalesce(first_filled(F.col("news_label")), F.lit("INSUFFICIENT")), "news_confidence": F.coalesce(first_filled(F.col("news_confidence")), F.lit("LOW")),
+        "news_usable_count": F.coalesce(F.col("news_usable_count").try_cast("double").cast("long"), F.lit(0).cast("long")),
+    })
+
+
+#: What an evidence summary tells of each row.
+SUMMARY_FIELDS = ("event_id", "date", "title", "source_coverage", "fomc_relevance", "hawk_dove_score", "hawk_dove_label")
+
+
+def evidence_summary(bundle: DataFrame, fields: tuple[str, ...] = SUMMARY_FIELDS) -> DataFrame:
+    """The evidence of an evidence_bundle() as rows (member, place, fields), newest first."""
+    return bundle.select("member", F.posexplode("evidence").alias("place", "e")).select("member", "place", *(F.col(f"e.{f}").alias(f) for f in fields))
+
+
 def news_clusters(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Non-zero news scores of one entity and day as one weighted mean; undated rows share a day that sorts first."""
     w = _preferred_tenths()

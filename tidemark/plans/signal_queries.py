@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import stance
 from ..operators import signals as S
 from ..operators.profile import member_signals
 from .registry import query
@@ -65,6 +66,26 @@ def a5(spark, sf_dir):
     return b.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat(e["seq"].cast("string"), F.lit(":"), e["score"].cast("string"))), ","))
 
 
+@query("p7_evidence_summary", f"""WITH {U}, {_EVIDENCE} SELECT member, CAST(rn - 1 AS INTEGER) AS place, seq AS event_id, d AS date, 'Title ' || seq AS title, CASE WHEN preferred THEN 'BOTH' ELSE source_type END AS source_coverage,
+  relevance AS fomc_relevance, score AS hawk_dove_score, {stance_sql('score')} AS hawk_dove_label FROM ev""")
+def p7(spark, sf_dir):
+    u = utterances(spark, sf_dir).withColumns({
+        "event_id": F.col("seq"), "date": F.col("d"), "title": F.concat(F.lit("Title "), F.col("seq").cast("string")), "source_coverage": F.when(F.col("preferred"), "BOTH").otherwise(F.col("source_type")),
+        "fomc_relevance": F.col("relevance"), "hawk_dove_score": F.col("score"), "hawk_dove_label": stance(F.col("score")),
+    })
+    return S.evidence_summary(S.evidence_bundle(u, _eligible(), list(S.SUMMARY_FIELDS), digits=None))
+
+
+@query("a14_news_defaults", f"""WITH {U}, {_NEWS} SELECT m.member, CASE WHEN m.member % 3 <> 0 THEN news_score END AS news_score, CASE WHEN m.member % 5 = 0 THEN 'INSUFFICIENT' ELSE coalesce(news_label, 'INSUFFICIENT') END AS news_label,
+  coalesce(news_confidence, 'LOW') AS news_confidence, CASE WHEN m.member % 7 = 0 THEN 0 ELSE coalesce(news_usable_count, 0) END AS news_usable_count FROM (SELECT DISTINCT member FROM u) m LEFT JOIN news USING (member)""")
+def a14(spark, sf_dir):
+    u, m = utterances(spark, sf_dir), F.col("member")
+    news = S.members_of(u).join(S.news_score(u.filter("source_type = 'NEWS'"), digits=None), "member", "left").select(
+        "member", F.when(m % 3 == 0, "no number").otherwise(F.col("news_score").cast("string")).alias("news_score"), F.when(m % 5 == 0, "").otherwise(F.col("news_label")).alias("news_label"), "news_confidence", F.when(m % 7 == 0, None).otherwise(F.col("news_usable_count")).alias("news_usable_count"),
+    )
+    return S.normal_news(news)
+
+
 @query("w1_top_n", f"WITH {U}, {_EVIDENCE} SELECT member, seq, d, score, CAST(rn AS INT) AS rn FROM ev")
 def w1(spark, sf_dir):
     return S.evidence(utterances(spark, sf_dir), _eligible()).select("member", "seq", "d", "score", "rn")

@@ -60,6 +60,14 @@ def read_envelope(spark: SparkSession, path: str, tolerant: bool = False) -> Dat
     return df.select(F.posexplode("articles").alias("seq", "a")).select("seq", "a.*")
 
 
+def read_events(spark: SparkSession, path: str, event: str) -> DataFrame:
+    """Events (of the schema given) of a JSON payload `{"events": [...]}`, in order; a missing or unreadable file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"seq int, {event}")
+    df = spark.read.json(path, schema=f"events array<struct<{event}>>", multiLine=True, mode="PERMISSIVE")
+    return df.select(F.posexplode("events").alias("seq", "e")).select("seq", "e.*")
+
+
 def write_envelope(articles: DataFrame, path: str, kind: str, year: int, mode: str = "full") -> None:
     """Articles as lines of JSON below `path`/articles and one line about them below `path`/about."""
     articles.write.mode("overwrite").json(f"{path}/articles")
