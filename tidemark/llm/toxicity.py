@@ -1,8 +1,10 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 A *unit* is a word, or a run of three or more one-letter words joined.  Units are folded to lower case; whatever is no
-letter only widens gaps; its beginning counts as a letter.  The kernel counts common subsequences of three and of four letters, each weighted by decay to
-the power of the span that it takes in either unit, spans bounded by `reach` letters, so insults with gaps or inserted
+letter only widens gaps; its beginning counts as a letter.  Letters of all scripts have codes: 26 base letters with some
+accented ones apart, other alphabets go round the same codes by their numbers, and signs of scripts with thousands of them are
+two codes each.  The kernel counts common subsequences of three and of four letters, each weighted by decay to the power of
+the span that it takes in either unit, spans bounded by `reach` letters, so insults with gaps or inserted
 characters stay close to their plain form.  Landmarks are units; Nystroem features of the kernel go into a linear
 support vector machine.  Because the features are linear in the landmarks' subsequence weights, the trained machine
 folds into two tables of subsequence weights, and a unit is scored by one pass over its letters.
@@ -47,29 +49,49 @@ LANDMARKS, DECAY, REACH = 160, 0.9, 5
 #: Unit scores over which units are counted for a document's score.
 EDGES = (-0.3, 0.0, 0.3, 0.6, 0.9, 1.1, 1.3)
 SLICE_BYTES = 6 << 20
-_LETTERS = 32  # 0 a unit's beginning, 1-26 base letters, 27-30 accented vowels and the like, 31 any other letter
+_LETTERS = 32  # 0 a unit's beginning, 1-26 base letters, 27-30 accented vowels and the like, 31 any other sign
 _MARKED = ("é", "èêë", "áàâäãåóòôöõ", "íìîïúùûüñçß")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
-
-
-def _fold_table() -> np.ndarray:
-    out = np.zeros(0x250, np.int32)
-    for c in range(0x250):
+#: Letters of other scripts go round these codes by their numbers, so neighbours in an alphabet differ; from WIDE on, where
+#: scripts have thousands of signs, a sign is two of them.
+_ROUND, _WIDE = 30, 0x2E80
+#: Units of a fit, beside all witnesses: frequent and other clean ones from the start, those that a round errs on, and most
+#: negatives of a round.  They bound what is learnt from the bounded sample of labelled documents, not what is scored.
+FREQUENT_UNITS, OTHER_UNITS, HARD_UNITS, NEGATIVE_UNITS = 3000, 9000, 1500, 30_000
+
+
+def _fold_table() -> tuple[np.ndarray, np.ndarray]:
+    """Of each sign its code, and whether it is two."""
+    out, two = np.zeros(0x10000, np.int32), np.zeros(0x10000, bool)
+    for c in range(len(out)):
         ch = _LEET.get(chr(c), chr(c))
         base = unicodedata.normalize("NFKD", ch.lower())[:1]
-        marked = next((27 + k for k, group in enumerate(_MARKED) if ch.lower() in group), 0)
-        out[c] = marked or (ord(base) - 96 if "a" <= base <= "z" else 31 if ch.isalpha() else 0)
-    return out
+        marked = next((27 + k for k, group in enumerate(_MARKED) if ch.lower() in group), 0) if c < 0x250 else 0
+        if marked or "a" <= base <= "z":
+            out[c] = marked or ord(base) - 96
+        elif c < 0x250:
+            out[c] = 31 if ch.isalpha() else 0
+        elif ch.isalpha():
+            out[c], two[c] = 1 + ord(ch.lower()[0]) % _ROUND, c >= _WIDE
+        elif not 0x2000 <= c < 0x2C00:
+            out[c] = 0 if unicodedata.category(ch)[0] in "MPZC" else 31
+    return out, two
 
 
-_FOLD = _fold_table()
+_FOLD, _TWO = _fold_table()
 
 
 def letters(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letter codes, positions, owners) of all units' letters, in order; a unit's beginning is a letter of its own, 0."""
     points = np.frombuffer(("\n" + "\n".join(units) if units else "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], np.where((points >= 0x300) & (points < 0x370) | (points >= 0x2000) & (points < 0x2C00), 0, 31))
+    code = np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], 31)
     begins = points == 10
+    wide = (points < 0x10000) & _TWO[np.minimum(points, 0xFFFF)]
+    if wide.any():
+        place = np.repeat(np.arange(len(points)), 1 + wide)
+        second = np.diff(place, prepend=-1) == 0
+        points, begins = points[place], begins[place]
+        code = np.where(second, 1 + points.astype(np.int64) // _ROUND % _ROUND, code[place])
     owner = np.cumsum(begins) - 1
     at = np.flatnonzero(code.astype(bool) | begins)
     return code[at], at, owner[at]
@@ -189,12 +211,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 _SENTENCE = re.compile(r"[.!?。]+\s|\n")
+_BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _ONE_LETTER = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?[\x20\x09-\x0D]+){2,}[^\W\d_](?!\w)")
 
 
 def units_of(text: str) -> list[str]:
     """Words of a text and its joined runs of one-letter words."""
-    out = text.split()
+    out = [u for u in _BLANK.split(text) if u]  # as scoring splits them
     out += ["".join(m.group().split()) for m in _ONE_LETTER.finditer(text)]
     return out
 
@@ -379,7 +402,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     marks = turns[np.lexsort((rank[turns], turn))][: landmarks // 2].tolist()
     clean = np.flatnonzero((in_clean > 0) & ~witness)
     often = clean[np.argsort(-in_clean[clean], kind="stable")]
-    pool = np.concatenate([often[:3000], rng.permutation(clean)[:9000]])
+    pool = np.concatenate([often[:FREQUENT_UNITS], rng.permutation(clean)[:OTHER_UNITS]])
     marks += pool[: landmarks // 4].tolist() + pool[::-1][: landmarks - landmarks // 4 - len(marks)].tolist()
     feats = [f for f in (kernel.features(said.units[u]) for u in dict.fromkeys(marks)) if f]
     if not feats:
@@ -413,8 +436,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         pos = np.flatnonzero((pos_sent > 0) | (witness & (in_toxic > 0)))
         neg = np.unique(np.concatenate([pool, hard, np.flatnonzero(neg_sent)]))
         neg = neg[~witness[neg]]
-        if len(neg) > 30_000:  # the sentences' units that the machine errs on most
-            neg = neg[np.argsort(-score[neg], kind="stable")[:30_000]]
+        if len(neg) > NEGATIVE_UNITS:  # the sentences' units that the machine errs on most
+            neg = neg[np.argsort(-score[neg], kind="stable")[:NEGATIVE_UNITS]]
         more = [(v, max(int(pos_sent[u]), 1) / 6) for u in pos.tolist() for v in grown.get(u, [])]
         units = [said.units[u] for u in pos.tolist()] + [v for v, _ in more] + [said.units[u] for u in neg.tolist()]
         y = np.array([1.0] * (len(pos) + len(more)) + [-1.0] * len(neg))
@@ -423,7 +446,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
         w, bias = squared_hinge(nystroem(units), y, weight, ridge=3e-4 * weight.sum())
         table = table_of(feats, root @ w)
         score = kernel.apply(said.units, table) + bias
-        hard = clean[np.argsort(-score[clean], kind="stable")[:1500]]
+        hard = clean[np.argsort(-score[clean], kind="stable")[:HARD_UNITS]]
         # a toxic document without a witness gives its most toxic unit, if no clean document holds it
         holds = np.zeros(len(bad), dtype=bool)
         holds[doc[witness[unit]]] = True
