@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled
-from . import score, signals
+from . import signals
 
 #: Columns of momentum on events and what they are without a result.
 MOMENTUM_DEFAULTS = {"momentum_label": "INSUFFICIENT", "momentum_confidence": "INSUFFICIENT", "momentum_recent_count": 0, "momentum_previous_count": 0, "momentum_total_important_count": 0}
@@ -30,12 +30,6 @@ def attach_member(articles: DataFrame, members: DataFrame, key: str = "member_id
     return out.withColumns({"member_match_score": F.lit(100), "speaker_raw": F.col("member_name_en"), "source": F.lit("Yonhap Infomax"), "source_type": F.lit("INFOMAX")})
 
 
-def analysed(articles: DataFrame, members: DataFrame, key: str = "member_id") -> DataFrame:
-    """attach_member() with relevance, topics and stance."""
-    rows = score.relevance(attach_member(articles, members, key)).withColumn("topics", score.topics(F.col("title"), F.col("text")))
-    return rows.join(score.article_stance(rows).select("seq", F.col("score").alias("hawk_dove_score"), F.col("label").alias("hawk_dove_label"), "confidence"), "seq")
-
-
 def crossed_dates(df: DataFrame, found: Column) -> DataFrame:
     """published_at and date, each filled with a date found in the article where it is missing, neither overwritten."""
     return df.withColumns({c: F.coalesce(first_filled(F.col(c)), found) for c in ("published_at", "date")})
@@ -67,18 +61,3 @@ def settled_stance(current: DataFrame) -> DataFrame:
     """current_stance() where having no score counts as a neutral 0."""
     score_ = F.coalesce("speech_score", F.lit(0.0))
     return current.select("member", score_.alias("speech_score"), F.when(F.col("speech_score").isNull(), "NEUTRAL").otherwise(F.col("speech_label")).alias("speech_label"), "sample_count")
-
-
-def attach_all(events: DataFrame, model: DataFrame, recent: DataFrame, final: DataFrame, momentum: DataFrame, news: DataFrame, current: DataFrame, days: int = 90) -> DataFrame:
-    """Events with all signals of their member: the signals meet by member first, then once with the events."""
-    named = [
-        model.select("member", "model_stance", "model_score", "model_confidence", F.col("evidence_count").alias("model_evidence_count")),
-        recent.select("member", "recent_signal", F.col("recent_score").alias("recent_signal_score"), F.col("recent_confidence").alias("recent_signal_confidence"), F.col("aux_score").alias("aux_speech_score"), F.col("aux_label").alias("aux_speech_label"), F.col("aux_count").alias("aux_speech_count"), "recent_news_score", "recent_news_label", "recent_news_confidence", F.col("news_usable_count").alias("recent_news_usable_count")),
-        final.select("member", "final_stance", "final_score", "final_confidence", F.col("model_weight").alias("final_model_weight"), F.col("recent_weight").alias("final_recent_weight"), F.col("signal_conflict").alias("final_signal_conflict"), "final_reason"),
-        news.select("member", "news_score", "news_label", "news_count", "news_usable_count", "news_confidence"),
-        current.select("member", F.col("speech_score").alias("speech_current_score"), F.col("speech_label").alias("speech_current_label"), F.col("sample_count").alias("speech_sample_count")),
-    ]
-    one = named[0]
-    for other in named[1:]:
-        one = one.join(other, "member", "full_outer")
-    return filled(attach_momentum(events.join(one, "member", "left"), momentum), EVENT_DEFAULTS).withColumn("recent_lookback_days", F.lit(days))

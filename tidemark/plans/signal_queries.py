@@ -219,6 +219,24 @@ def f14(spark, sf_dir):
     return inside_window(u.filter("seq % 2 = 1"), S.cutoffs(u.filter("seq % 2 = 0"), 7)).select("seq", "member")
 
 
+@query("t4_running_evidence", f"WITH {U}, {_MODEL}, n AS (SELECT member, max(d) AS newest, count(*) AS taken FROM u GROUP BY member) SELECT model.*, newest, taken, CAST(0 AS BIGINT) AS late FROM model JOIN n USING (member)")
+def t4(spark, sf_dir):
+    """The statements as a stream that is taken in one go: what its state gives is what the batch plan gives."""
+    from ..sources.tables import folder
+    from ..streaming.incremental import stream_of
+    from ..streaming.running import running_evidence
+
+    u, out = utterances(spark, sf_dir), folder(spark, "running")
+    u.write.parquet(f"{out}/in")
+    results = running_evidence(stream_of(spark, f"{out}/in", u.schema), _eligible(), digits=None)
+    run = results.writeStream.outputMode("update").foreachBatch(lambda df, k: df.write.parquet(f"{out}/rows/batch={k}")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    rows = spark.read.schema(results.schema).parquet(f"{out}/rows")  # a member's last row has taken the most
+    return rows.groupBy("member").agg(F.max_by(F.struct(*(c for c in results.columns if c != "member")), "taken").alias("x")).select("member", "x.*")
+
+
 @query("f20_momentum_rows", f"WITH {U} SELECT seq, member, score FROM u WHERE relevance IN ('HIGH', 'MEDIUM') AND score IS NOT NULL")
 def f20(spark, sf_dir):
     return utterances(spark, sf_dir).filter(F.col("relevance").isin(*S.IMPORTANT) & S.number(F.col("score")).isNotNull()).select("seq", "member", "score")
