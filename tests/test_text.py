@@ -102,6 +102,27 @@ def test_text_helpers(spark):
     assert one(spark, C.sentences(F.col("t")), t="One long sentence here. No. 길고 긴 문장이라 남는다다. Another one is kept!") == ["One long sentence here.", "길고 긴 문장이라 남는다다.", "Another one is kept!"]
 
 
+def _against_sql(spark, folder, query, pages):
+    import duckdb
+
+    from tidemark.plans import registry, text_queries  # noqa: F401
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES[query](spark, str(folder)).collect()))
+    assert got == sorted(con.execute(registry.ORACLE_SQL[query]).fetchall())
+    return got
+
+
+_OPEN_REFERENCES = [(1, "u", "<h1>a&amp; b&amp</h1><p>x &lt y &copy;</p>"), (2, "u", "<h1>&amp;amp;&ampb &nbsp;c</h1>")]
+
+
+def test_markup_free_equals_its_sql_on_open_references(spark, tmp_path):
+    assert _against_sql(spark, tmp_path, "c4_markup_free", _OPEN_REFERENCES)[0] == (1, "a& b&amp x &lt y ©")
+    assert one(spark, C.markup_free(F.col("t")), t="<b>a&amp</b>") == "a&"  # the operator decodes both, as browsers do
+
+
 def test_pages(spark):
     html = '<html><title>T</title><h1>Head &amp; x</h1><a href="/s/20240105a.htm">Talk</a><a href="mailto:x">m</a><a href="http://other.org/s/">o</a><p>A paragraph of twenty characters.</p><p>short<p>A paragraph of twenty characters.</html>'
     df = spark.createDataFrame([(1, "https://www.x.org/list/", html)], "page_id long, url string, html string")
