@@ -123,6 +123,10 @@ def test_markup_free_equals_its_sql_on_open_references(spark, tmp_path):
     assert one(spark, C.markup_free(F.col("t")), t="<b>a&amp</b>") == "a&"  # the operator decodes both, as browsers do
 
 
+def test_headings_equal_their_sql_on_open_references(spark, tmp_path):
+    assert _against_sql(spark, tmp_path, "c17_headings", _OPEN_REFERENCES)[0] == (1, "a& b&amp")
+
+
 def test_pages(spark):
     html = '<html><title>T</title><h1>Head &amp; x</h1><a href="/s/20240105a.htm">Talk</a><a href="mailto:x">m</a><a href="http://other.org/s/">o</a><p>A paragraph of twenty characters.</p><p>short<p>A paragraph of twenty characters.</html>'
     df = spark.createDataFrame([(1, "https://www.x.org/list/", html)], "page_id long, url string, html string")

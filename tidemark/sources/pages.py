@@ -86,10 +86,10 @@ def paragraphs(html: Column, least: int = 20, selectors: tuple[str, ...] = SELEC
     return let(long, lambda x: F.array_join(F.filter(x, lambda t, i: F.array_position(F.transform(x, F.lower), F.lower(t)) == i + 1), "\n"))
 
 
-def heading(html: Column) -> Column:
-    """The first h1, else the title element."""
+def heading(html: Column, closed: bool = False) -> Column:
+    """The first h1, else the title element; `closed`: character references count with their semicolon only."""
     h = F.coalesce(html, F.lit(""))
-    return F.coalesce(*(F.nullif(markup_free(F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)), F.lit("")) for t in ("h1", "title")))
+    return F.coalesce(*(F.nullif(markup_free(F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1), closed), F.lit("")) for t in ("h1", "title")))
 
 
 def page_date(html: Column) -> Column:
