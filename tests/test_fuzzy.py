@@ -39,6 +39,31 @@ def test_rare_grams_find_all_like_titles():
     assert hits > 300
 
 
+def test_likely_pairs_hold_all_like_titles():
+    rng = random.Random(2)
+    for _ in range(25):
+        a = [words(rng, rng.randrange(1, 14)) for _ in range(150)]
+        b = [near(rng, t, rng.randrange(0, 8)) for t in a]
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if i == j and (fuzzy.alike(x, y, 0.92) or fuzzy.alike(y, x, 0.92))}
+        got = list(fuzzy.likely_pairs(a, b, 0.92))
+        assert want <= set(got) and len(set(got)) == len(got) < 150 * 150 / 4 and len(want) > 50
+        both = a + b
+        assert {(i, j + 150) for i, j in want if a[i] != b[j]} <= set(fuzzy.likely_pairs(both, None, 0.92))
+
+
+@pytest.mark.parametrize("size", [4096, 7])
+def test_only_like_pairs_leave_a_task(spark, monkeypatch, size):
+    """Titles that share their rarest trigrams are compared where they meet: what is shuffled does not grow with their pairs."""
+    monkeypatch.setattr(fuzzy, "CELL", size)
+    rng = random.Random(3)
+    titles = sorted({near(rng, words(random.Random(k % 9), 9), rng.randrange(9)) for k in range(60)})
+    rows = [(k, k % 2, t) for k, t in enumerate(titles)]
+    got = fuzzy.like_titles(spark.createDataFrame(rows, "t long, block long, title string").repartition(3), 0.92)
+    want = {(a, b) for a, m, x in rows for b, n, y in rows if a != b and m == n and fuzzy.alike(x, y, 0.92)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert "gram" not in got._jdf.queryExecution().analyzed().toString()
+
+
 def chain(seed, n):
     """Rows of which many rule each other out, also in long chains of URLs and titles by turns."""
     rng = random.Random(seed)

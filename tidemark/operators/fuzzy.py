@@ -1,8 +1,8 @@
 """Greedy choices among titles: the order of the rows decides which stay, and yet no group of rows has to fit a task.
 
 `fuzzy_articles` keeps a row unless an earlier kept row has its URL, or its title or one like it on the same member and
-date.  Rows with an equal URL or title meet by key, never in pairs.  Titles that can be alike are found by an index of
-trigrams: as many of a title's rarest as any title that is like enough must share one of; only such pairs are compared.
+date.  Rows with an equal URL or title meet by key, never in pairs.  Titles of a member and date meet in cells of bounded
+size, where prints of their trigrams say which can be alike; only those are compared, and only pairs that are alike are written.
 The choice then goes in rounds over keys and pairs: of the undecided rows those are kept that no earlier undecided row
 rules out, and what they rule out is dropped.  What is left when few rows are undecided goes through one ordinary pass.
 
@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,11 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import plain_title
 from ..sources.tables import written
+from .cells import by_cell, dealt
 
 GRAM = 3
+#: Bits of a title's print, titles of a group, and how many are held against a group at once.
+PRINT_BITS, CELL, STRIP = 512, 4096, 64
 #: Undecided rows and pairs that one task may finish.
 LEFT = 100_000
 #: Titles of a member that a round looks at.
@@ -63,31 +67,66 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
+def prints_of(titles: list[str]) -> np.ndarray:
+    """A print of PRINT_BITS bits of each title: of every trigram that it has the bit is set."""
+    size = np.array([len(t) for t in titles], np.int64)
+    text = np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out = np.zeros((len(titles), PRINT_BITS), np.uint8)
+    whose = np.repeat(np.arange(len(titles)), size)[: max(len(text) - GRAM + 1, 0)]
+    inside = whose == np.repeat(np.arange(len(titles)), size)[GRAM - 1 :]
+    gram = np.zeros(len(whose), np.uint64)
+    for k in range(GRAM):
+        gram = gram << np.uint64(21) | text[k : k + len(whose)]
+    bit = (gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - PRINT_BITS.bit_length())).astype(np.int64)
+    out[whose[inside], bit[inside]] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def likely_pairs(a: list[str], b: list[str] | None, threshold: float) -> Iterator[tuple[int, int]]:
+    """Places in two lists of titles, or of two in one, of all pairs that can make a ratio of the threshold, and of few others.
+
+    Of the trigrams of one title those are not the other's that an unmatched character of its own, three at most each, or one
+    of the other's, two at most, breaks; so prints differ in five bits at most for each unmatched character of the two.
+    """
+    lists = (a, a if b is None else b)
+    sizes, marks = [np.array([len(t) for t in x], np.int64) for x in lists], [prints_of(x) for x in lists]
+    order = np.argsort(sizes[1], kind="stable")
+    length, print_ = sizes[1][order], np.ascontiguousarray(marks[1][order].T)
+    at = np.argsort(sizes[0], kind="stable")
+    for lo in range(0, len(at), STRIP):
+        strip = at[lo : lo + STRIP]
+        own = sizes[0][strip]
+        first, last = np.searchsorted(length, [int(own[0] * threshold / (2 - threshold)), int(own[-1] * (2 - threshold) / threshold) + 2])
+        theirs = length[first:last]
+        apart = np.zeros((len(strip), last - first), np.uint16)
+        for k in range(print_.shape[0]):
+            apart += np.bitwise_count(marks[0][strip, k, None] ^ print_[None, k, first:last])
+        both = own[:, None] + theirs
+        close = apart <= 5 * ((1 - threshold) * both + 1e-9).astype(np.int64)
+        i, j = np.nonzero(close & (2 * np.minimum(own[:, None], theirs) >= threshold * both))
+        i, j = strip[i], order[first + j]
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        yield from zip(i.tolist(), j.tolist())
+
+
 def like_titles(titles: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the titles (t, block, title) of one block where title a before title b makes a ratio of the threshold; a
-    ratio can depend on the order, so both are tried."""
-    if threshold < 0.92:
-        raise ValueError("below a ratio of 0.92 two short titles need not share a trigram")
-    cut = F.expr(f"transform(sequence(1, length(title) - {GRAM - 1}), i -> substring(title, i, {GRAM}))")
-    grams = titles.filter(F.length("title") >= GRAM).select(F.explode(cut).alias("g"))
-    often = {r.g: r.n for r in grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # letters, digits and the space make 37 ** 3 at most
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(t, block, title, g) for t, block, title in zip(*(c.to_pylist() for c in b.columns)) for g in rare_grams(title, often, threshold)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["t", "block", "title", "gram"])
+    ratio can depend on the order, so both are tried.  Titles meet in cells, and only pairs that are alike leave a task."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [pair for a, b_, x, y in zip(*(c.to_pylist() for c in b.columns)) for pair, one, two in (((a, b_), x, y), ((b_, a), y, x)) if alike(one, two, threshold)]
+        for first, second in by_cell(batches):
+            t, x = first["t"].to_pylist(), first["title"].to_pylist()
+            u, y = (t, x) if second is None else (second["t"].to_pylist(), second["title"].to_pylist())
+            out = []
+            for i, j in likely_pairs(x, None if second is None else y, threshold):
+                out += [p for p, one, two in (((t[i], u[j]), x[i], y[j]), ((u[j], t[i]), y[j], x[i])) if alike(one, two, threshold)]
+                if len(out) > LEFT:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    out = []
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    posted = titles.select("t", "block", "title").mapInArrow(index, "t long, block long, title string, gram string")
-    x, y = posted.alias("x"), posted.alias("y")
-    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.t") < F.col("y.t")) & (2 * F.least(F.length("x.title"), F.length("y.title")) >= threshold * (F.length("x.title") + F.length("y.title"))))
-    pairs = near.select(F.col("x.t").alias("a"), F.col("y.t").alias("b"), F.col("x.title").alias("x"), F.col("y.title").alias("y")).distinct()
-    return pairs.mapInArrow(compare, "a long, b long")
+    return dealt(titles.select("t", "block", "title", F.lit(0).alias("place")), CELL, "t").mapInArrow(compare, "a long, b long")
 
 
 def first_choices(rows: DataFrame, pairs: DataFrame) -> DataFrame:
