@@ -649,3 +649,22 @@ def test_packing_and_pieces_edges(spark):
     long = spark.createDataFrame([(1, "ab" * 40_000, 1), (1, "ab" * 40_000, 2), (None, "hello there", 3)], "doc_id long, text string, n_ids int")
     got = sentencepieces.encode_decode(long, tokenizer_path("piece_bpe_32k.model")).collect()
     assert len(got) == 3 and all(r.round_trip for r in got) and len({r.ids_crc32 for r in got if r.doc_id == 1}) == 1
+
+
+def test_turns_of_asking_share_the_keys():
+    """No key is asked for twice or left out, and a turn sorts and sends its own range of buckets only."""
+    rng = np.random.default_rng(3)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 40, 300)) for _ in range(4)])
+    docs = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), text], names=["i", "t"])
+    first, code, buf, offsets = lm.tokens(docs, "t")
+    counts = np.bincount(code, minlength=len(offsets) - 1)
+    part = lm.Part(next(lm._encode(docs, [(0, lm.pack_arrays(counts))], "i", "t", 1, (5, 1))).column(0)[0].as_py())
+    cells = np.bincount(lm.code_of(part.counts, part.kinds, part.hashes) >> lm.HASH_BITS, minlength=1 << lm.TOP)
+    scheme = lm.Scheme(int(counts.sum()), len(counts), cells, np.zeros(0, np.uint64))
+    keys, own, one, two = lm._distinct(part, scheme, lm.codes(part, scheme)[0])
+    for buckets, turns in ((1, 1), (5, 2), (7, 3), (1, 2)):
+        got = [lm._turn_keys(part, scheme, buckets, t, turns) for t in range(turns)]
+        assert np.array_equal(np.concatenate([g[0] for g in got]), keys)
+        assert np.array_equal(np.concatenate([g[1] for g in got]), own) and all(g[1].dtype == np.int32 for g in got)
+        if buckets > turns:
+            assert max(len(g[0]) for g in got) < 0.7 * len(keys)
